@@ -111,7 +111,7 @@ def _unzip(data: bytes) -> bytes:
         return zlib.decompressobj(31).decompress(data)
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(batches: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataFrame]:
     names = [f.split()[0] for f in RECORD.split(", ")]
     for batch in batches:
         for content in batch["content"]:
@@ -121,6 +121,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if kind == "response":
                     body = block[block.find(b"\r\n\r\n") + 4 :]
                     n, digest = len(body), hashlib.sha1(body).hexdigest()
+                    body = body if payloads else None
                 elif kind == "revisit":
                     digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
                 else:
@@ -142,20 +143,23 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return out
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record below ``path``, with the payload's length and digest for responses."""
+def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Every record below ``path``, with the payload's length and digest for responses.
+
+    Without ``payloads`` the responses' own bytes stay behind once they are digested.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(_parse, RECORD)
+    return files.mapInPandas(lambda batches: _parse(batches, payloads), RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row for each capture: (capture, request, metadata)."""
     capture = records.where("kind IN ('response', 'revisit')")
     body = F.struct("record_id", "uri", F.col("block").cast("string").alias("text"))
-    extra = records.where("kind IN ('request', 'metadata') AND concurrent_to IS NOT NULL").groupBy("concurrent_to").agg(
+    extra = records.where("kind IN ('request', 'metadata') AND concurrent_to IS NOT NULL").groupBy(F.col("concurrent_to").alias("_to")).agg(
         F.min(F.when(F.col("kind") == "request", body)).alias("request"), F.min(F.when(F.col("kind") == "metadata", body)).alias("metadata")
     )
-    nested = capture.join(extra, capture["record_id"] == extra["concurrent_to"], "left").drop(extra["concurrent_to"])
+    nested = capture.join(extra, capture["record_id"] == extra["_to"], "left")
     return nested.select(F.struct(*capture.columns).alias("capture"), "request", "metadata")
 
 
@@ -163,7 +167,7 @@ def op10_warc(spark, sf_dir: str) -> DataFrame:
     """Archive every page, read the archives back and assemble the captures."""
     path = new_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-    got = assemble(read_records(spark, path))
+    got = assemble(read_records(spark, path, payloads=False))
     told = F.regexp_extract("metadata.text", r"payload-length: (\d+)", 1).cast("long")
     return got.select(
         F.col("capture.page_id").alias("page_id"),
