@@ -36,7 +36,7 @@ from lorekeep.llm.common import new_path
 FILE_BYTES = 16_000_000
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
-RECORD = "kind string, record_id string, concurrent_to string, refers_to string, page_id long, uri string, payload_bytes long, payload_digest string, block binary"
+RECORD = "kind string, record_id string, concurrent_to string, refers_to long, page_id long, uri string, payload_bytes long, payload_digest string, block binary"
 
 
 def _record(kind: str, record_id: Column, extra: list[Column], content_type: str, block: Column) -> Column:
