@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import chat_format, mixing, url_filter, warc
+from lorekeep.llm import bpe, chat_format, mixing, near_dup, url_filter, warc
 
 QUERIES = {
+    "op2_near_dup": near_dup.op2_near_dup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op6_chat_formatting": chat_format.op6_chat_formatting,
+    "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
 }
