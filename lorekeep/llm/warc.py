@@ -7,8 +7,8 @@ separator, makes gzip-compressed WARC/1.1 files of them under its commit
 protocol, so a task that is run again leaves no doubled records.
 
 Reading: Spark hands whole archive files to the executors, which cut them into
-records by ``Content-Length``.  Files are kept near ``FILE_BYTES``, which bounds
-a reading task.  Request and metadata records are then joined to the capture
+records by ``Content-Length``.  A file gets as many records as pages of average size
+fill ``FILE_BYTES``, which bounds a reading task.  Request and metadata records are then joined to the capture
 they are concurrent to: one nested row for each capture.
 
 Defined results: a null payload is empty.  Rows with one id give captures with one id,
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import new_path
+from lorekeep.llm.common import new_path, small
 
 #: Payload bytes that an archive file aims at.
 FILE_BYTES = 16_000_000
@@ -48,20 +48,21 @@ def _record(kind: str, record_id: Column, extra: list[Column], content_type: str
 def plan_captures(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """(page_id, url, html, n, digest, refers_to): refers_to is null for responses.
 
-    Only the largest id of each repeated payload is shuffled to the pages, by
-    digest; a payload that most pages share is a skewed but splittable join.
+    Only the largest id of each repeated payload meets the pages, by digest.  As
+    long as those ids are counted to be few they are broadcast and no payload is
+    shuffled; beyond that a shuffled join takes over, whose skew can be split.
     """
     html = F.coalesce("html", F.lit(""))
     own = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).alias("n"), F.sha1(html.cast("binary")).alias("digest"))
     held = own.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1").select("digest", "n", "last")
-    joined = own.join(held, ["digest", "n"], "left")
+    joined = own.join(small(held), ["digest", "n"], "left")
     return joined.select("page_id", "url", "html", "n", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000) -> None:
     """Write the captures of ``pages`` (page_id, url, html) to WARC files below ``path``."""
     plan = plan_captures(pages, min_bytes)
-    size = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("n")).first()["n"]
+    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
     # the number tells rows with one id apart; it need not be the same if a task runs again
     page = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.monotonically_increasing_id().cast("string"))
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
@@ -79,10 +80,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000) -> None:
     request = _record("request", F.concat(F.col("at"), F.lit(":request")), [*named, to], "application/http; msgtype=request", F.concat(F.lit("GET "), F.col("uri"), F.lit(f" HTTP/1.1{CRLF}{CRLF}")))
     metadata = _record("metadata", F.concat(F.col("at"), F.lit(":metadata")), [*named, to], "application/warc-fields", F.concat(F.lit("payload-length: "), F.col("n").cast("string"), F.lit(CRLF)))
     records = own.select(F.explode(F.array(request, capture, metadata)).alias("value"))
-    files = max(1, -(-int(size) // FILE_BYTES))
-    if records.rdd.getNumPartitions() < files:
-        records = records.repartition(files)
-    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    pages_in_file = max(1, FILE_BYTES * total["rows"] // max(1, total["bytes"]))
+    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * pages_in_file).text(path)
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
