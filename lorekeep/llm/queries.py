@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import bpe, chat_format, mixing, near_dup, url_filter, warc
+from lorekeep.llm import bpe, chat_format, mixing, near_dup, quality, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_near_dup": near_dup.op2_near_dup,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_quality": quality.op4_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_formatting": chat_format.op6_chat_formatting,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
@@ -15,6 +17,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_url_filter": url_filter.OP3_SQL,
+    "op4_quality": quality.op4_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_formatting": chat_format.OP6_SQL,
     "op10_warc": warc.OP10_SQL,
 }
