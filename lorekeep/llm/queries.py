@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import bpe, chat_format, mixing, near_dup, quality, toxicity, url_filter, warc
+from lorekeep.llm import ann, bpe, chat_format, media, mixing, near_dup, quality, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op2_near_dup": near_dup.op2_near_dup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_formatting": chat_format.op6_chat_formatting,
+    "op7_media": media.op7_media,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
