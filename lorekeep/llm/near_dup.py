@@ -11,11 +11,11 @@ value, so a shingle costs little more than its first point.
 
 Signatures are cut into bands; documents that share a band are candidates and
 are verified on the exact overlap of their bags.  Within a band's bucket all are
-compared with a pivot.  Weighted Jaccard distance is a metric, so a later pair
-needs a comparison only if its two distances to the pivot differ by no more than
-the threshold distance, and pairs that both link to the pivot are in one class anyway.
-What is left of a bucket goes on to the next round with another pivot; small remainders are
-compared pair by pair.  No bucket is capped and no link is given up.
+compared with a pivot; then those that didn't link to it meet the rest, a bounded number
+each round.  Comparisons are left out only where they can't succeed: the sizes of two
+bags and their elements that no other bag holds limit their similarity, weighted
+Jaccard distance is a metric, so two distances to the pivot limit it too, and documents that
+both link to the pivot are in one class anyway.  No bucket is capped and no link is given up.
 
 Classes are the connected components of the verified links, with exact copies
 (the same words in the same order) attached through one representative.
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import saved, table
@@ -45,8 +45,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: 20 bands of 5 components: a pair at 0.8 shares no band with probability 4e-4.
 BANDS, ROWS = 20, 5
-#: Remainders of a bucket up to this size are compared pair by pair.
-PAIRWISE = 16
+#: Documents of a bucket that meet the rest of it in one round.
+ROUND = 16
 #: Shingles whose points are drawn together.
 BLOCK = 1_000_000
 
@@ -227,40 +227,64 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def unshared(bags: DataFrame) -> DataFrame:
+    """(doc, u): how many elements of a document's bag no other bag holds; at least one."""
+    held = bags.select("doc_id", F.explode("bag").alias("element")).groupBy("element").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc"))
+    return held.where("c = 1").groupBy("doc").agg(F.count("*").alias("u"))
+
+
+def ceiling(n: str, u: str, n2: str, u2: str) -> Column:
+    """The largest similarity that the sizes and unshared elements of two bags allow."""
+    common = F.least(F.col(n) - F.col(u), F.col(n2) - F.col(u2)).cast("double")
+    return common / F.greatest(F.col(n) + F.col(n2) - common, common + F.col(u) + F.col(u2))
+
+
 def verified_links(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) found in the buckets of ``rows`` (bucket, doc, n), by rounds of pivots."""
-    found, apart = None, 1.0 - threshold
+    """Links (a, b) found in the buckets of ``rows`` (bucket, doc, n).
+
+    First every bucket is compared with its pivot, the document with the smallest unshared
+    part.  Then, round by round, up to ``ROUND`` of those that didn't link meet the rest of
+    the bucket, until none is left.  Comparisons that the sizes, the
+    unshared elements or the distances to the pivot rule out aren't made.
+    """
+    apart = 1.0 - threshold
+    rows = rows.join(unshared(bags), "doc", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    rows = rows.where((F.col("n") - F.col("u")) >= threshold * F.col("n") - 1e-9)
+    top = rows.groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("part"), "doc", "n", "u")).alias("p"), F.min("n").alias("least"), F.count("*").alias("k")).where("k > 1")
+    top = top.select("bucket", "least", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu"))
+    rows = saved(rows.join(top, "bucket").where("doc <> pivot"), "rows")
+    fits = ceiling("n", "u", "pn", "pu") >= threshold - 1e-9
+    judged = _judge(rows.where(fits).select(F.col("pivot").alias("a"), F.col("doc").alias("b")), bags)
+    found = judged.where(F.col("d") <= apart + 1e-12).select("a", "b")
+
+    # distance to the pivot: verified, or else at least what the ceiling leaves
+    known = judged.groupBy(F.col("a").alias("pivot"), F.col("b").alias("doc")).agg(F.min("d").alias("d"))
+    rows = rows.join(known, ["pivot", "doc"], "left")
+    rows = rows.withColumn("linked", F.coalesce(F.col("d") <= apart + 1e-12, F.lit(False)))
+    # a document that didn't link may still link to another one if its shared part can make up the threshold
+    shared = F.col("n") - F.col("u")
+    hope = shared / (F.greatest("least", shared) + F.col("n") - shared) >= threshold - 1e-9
+    rows = saved(rows.where(F.col("linked") | hope).select("bucket", "doc", "n", "u", "d", "linked"), "open")
     while True:
-        buckets = rows.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count("*").alias("k")).where("k > 1")
-        if buckets.isEmpty():
-            return found if found is not None else rows.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
-        rows = rows.join(buckets.select("bucket", "k", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "bucket")
-        if found is None:
-            rows = saved(rows, "rows")
-            few = rows.limit(0)
-        else:
-            rows = saved(rows, "rows")
-            few, rows = rows.where(F.col("k") <= PAIRWISE), rows.where(F.col("k") > PAIRWISE)
-        bound = 1.0 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-        pairs = rows.where("pivot <> doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "n", "pivot_n").where(bound <= apart)
-        other = few.withColumnsRenamed({"doc": "doc2", "n": "n2", "linked": "linked2"}) if found is not None else None
-        if other is not None:
-            near = few.join(other.select("bucket", "doc2", "n2", "linked2"), "bucket").where("doc < doc2 AND NOT (linked AND linked2)")
-            near = near.where(1.0 - F.least("n", "n2") / F.greatest("n", "n2") <= apart)
-            pairs = pairs.select("a", "b").union(near.select(F.col("doc").alias("a"), F.col("doc2").alias("b")))
-        pairs = pairs.select("a", "b").distinct()
-        left, right = bags.withColumnsRenamed({"doc_id": "a", "bag": "bag_a"}), bags.withColumnsRenamed({"doc_id": "b", "bag": "bag_b"})
-        judged = saved(pairs.join(right, "b").join(left, "a").select("a", "b", (1.0 - similarity(F.col("bag_a"), F.col("bag_b"))).alias("d")), "judged")
-        links = judged.where(F.col("d") <= apart + 1e-12).select("a", "b")
-        found = links if found is None else found.union(links)
-        # what the pivot leaves open: rows that didn't link, and linked rows that may link to those
-        known = judged.groupBy(F.col("a").alias("pivot"), F.col("b").alias("doc")).agg(F.min("d").alias("d"))
-        rows = rows.where("pivot <> doc").drop("linked").join(known, ["pivot", "doc"], "left")
-        rows = rows.withColumn("d", F.coalesce("d", bound)).withColumn("linked", F.col("d") <= apart + 1e-12)
-        rows = saved(rows, "open")
-        nearest = rows.where("NOT linked").groupBy("bucket").agg(F.min("d").alias("nearest"))
-        rows = rows.join(nearest, "bucket").where((~F.col("linked")) | (F.col("d") >= F.col("nearest") - apart - 1e-9))
-        rows = rows.select("bucket", "doc", "n", "linked")
+        order = Window.partitionBy("bucket").orderBy(F.col("u") / F.col("n"), "doc")
+        chosen = rows.where("NOT linked").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= ROUND).drop("turn", "linked")
+        chosen = saved(chosen, "chosen")
+        if chosen.isEmpty():
+            return found
+        one = chosen.withColumnsRenamed({"doc": "a", "n": "na", "u": "ua", "d": "da"})
+        near = rows.join(one, "bucket").where("doc <> a").where(ceiling("n", "u", "na", "ua") >= threshold - 1e-9)
+        near = near.where(F.coalesce(F.abs(F.col("d") - F.col("da")) <= apart + 1e-9, F.lit(True)))
+        judged = _judge(near.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")), bags)
+        found = found.union(judged.where(F.col("d") <= apart + 1e-12).select("a", "b"))
+        rows = rows.join(chosen.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
+        rows = saved(rows.join(rows.where("NOT linked").select("bucket").distinct(), "bucket", "left_semi"), "open")
+
+
+def _judge(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """(a, b, d): the distance of each distinct pair."""
+    left, right = bags.withColumnsRenamed({"doc_id": "a", "bag": "bag_a"}), bags.withColumnsRenamed({"doc_id": "b", "bag": "bag_b"})
+    met = pairs.distinct().join(right, "b").join(left, "a")
+    return saved(met.select("a", "b", (1.0 - similarity(F.col("bag_a"), F.col("bag_b"))).alias("d")), "judged")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
