@@ -10,12 +10,11 @@ weight coordinate lies below w, and generation stops at the signature's largest
 value, so a shingle costs little more than its first point.
 
 Signatures are cut into bands; documents that share a band are candidates and
-are verified on the exact overlap of their bags.  Within a band's bucket all are
-compared with a pivot; then those that didn't link to it meet the rest, a bounded number
-each round.  Comparisons are left out only where they can't succeed: the sizes of two
-bags and their elements that no other bag holds limit their similarity, weighted
-Jaccard distance is a metric, so two distances to the pivot limit it too, and documents that
-both link to the pivot are in one class anyway.  No bucket is capped and no link is given up.
+are verified on the exact overlap of their bags.  Within a band's bucket pivots meet
+the rest, a bounded number each round.  Comparisons are left out only where they
+can't succeed or don't matter: the sizes of two bags, the elements of theirs that
+documents of other classes hold, and the overlap of their hashed counts limit their similarity; two documents that verified
+links join already are in one class.  No bucket is capped and no link is given up.
 
 Classes are the connected components of the verified links, with exact copies
 (the same words in the same order) attached through one representative.
@@ -47,6 +46,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 #: Documents of a bucket that meet the rest of it in one round.
 ROUND = 16
+#: Cells of a profile, which counts a bag's elements by hash.
+PROFILE = 128
 #: Shingles whose points are drawn together.
 BLOCK = 1_000_000
 
@@ -189,7 +190,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bags.append(tagged_bag(words_of(batch.column("text")[at].as_py())))
                 held += len(bags[-1])
                 at += 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, at - begin), pa.array(bags, pa.list_(pa.int64()))], names=["doc_id", "bag"])
+            profiles = [np.bincount(b.view(np.uint64) % np.uint64(PROFILE), minlength=PROFILE).astype(np.int32) for b in bags]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, at - begin), pa.array(bags, pa.list_(pa.int64())), pa.array(profiles, pa.list_(pa.int32()))], names=["doc_id", "bag", "profile"])
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -227,62 +229,82 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def unshared(bags: DataFrame) -> DataFrame:
-    """(doc, u): how many elements of a document's bag no other bag holds; at least one."""
-    held = bags.select("doc_id", F.explode("bag").alias("element")).groupBy("element").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc"))
-    return held.where("c = 1").groupBy("doc").agg(F.count("*").alias("u"))
+def unshared(bags: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """(doc, shared): how many elements of a document's bag some document of another class holds too."""
+    held = bags.select(F.col("doc_id").alias("doc"), F.explode("bag").alias("element"))
+    own = F.col("doc")
+    if classes is not None:
+        held, own = held.join(classes, "doc", "left"), F.coalesce("class", "doc")
+    common = held.groupBy("element").agg(F.min(own).alias("one"), F.max(own).alias("other")).where("one <> other").select("element")
+    return held.join(common, "element", "left_semi").groupBy("doc").agg(F.count("*").alias("shared"))
 
 
-def ceiling(n: str, u: str, n2: str, u2: str) -> Column:
-    """The largest similarity that the sizes and unshared elements of two bags allow."""
-    common = F.least(F.col(n) - F.col(u), F.col(n2) - F.col(u2)).cast("double")
-    return common / F.greatest(F.col(n) + F.col(n2) - common, common + F.col(u) + F.col(u2))
+def ceiling(n: str, s: str, n2: str, s2: str, overlap: Column | None = None) -> Column:
+    """The largest similarity that two bags with so many elements and shared elements can have."""
+    common = (F.least(s, s2) if overlap is None else F.least(s, s2, overlap)).cast("double")
+    alone = F.col(n) - F.col(s) + F.col(n2) - F.col(s2)
+    return common / F.greatest(F.col(n) + F.col(n2) - common, common + alone)
 
 
 def verified_links(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) found in the buckets of ``rows`` (bucket, doc, n).
 
-    First every bucket is compared with its pivot, the document with the smallest unshared
-    part.  Then, round by round, up to ``ROUND`` of those that didn't link meet the rest of
-    the bucket, until none is left.  Comparisons that the sizes, the
-    unshared elements or the distances to the pivot rule out aren't made.
+    Every round, pivots of a bucket meet the rest of it that is in another class so far, and leave
+    the bucket.  The first round is for buckets of up to ``ROUND`` documents, all of them pivots.  Larger ones
+    start with one pivot, the document with the largest shared part, and go on with up
+    to ``ROUND`` of those outside the bucket's largest class.  Rows that can't link to another class go, as do
+    buckets with one class, until none is left.
     """
-    apart = 1.0 - threshold
-    rows = rows.join(unshared(bags), "doc", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    rows = rows.where((F.col("n") - F.col("u")) >= threshold * F.col("n") - 1e-9)
-    top = rows.groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("part"), "doc", "n", "u")).alias("p"), F.min("n").alias("least"), F.count("*").alias("k")).where("k > 1")
-    top = top.select("bucket", "least", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu"))
-    rows = saved(rows.join(top, "bucket").where("doc <> pivot"), "rows")
-    fits = ceiling("n", "u", "pn", "pu") >= threshold - 1e-9
-    judged = _judge(rows.where(fits).select(F.col("pivot").alias("a"), F.col("doc").alias("b")), bags)
-    found = judged.where(F.col("d") <= apart + 1e-12).select("a", "b")
-
-    # distance to the pivot: verified, or else at least what the ceiling leaves
-    known = judged.groupBy(F.col("a").alias("pivot"), F.col("b").alias("doc")).agg(F.min("d").alias("d"))
-    rows = rows.join(known, ["pivot", "doc"], "left")
-    rows = rows.withColumn("linked", F.coalesce(F.col("d") <= apart + 1e-12, F.lit(False)))
-    # a document that didn't link may still link to another one if its shared part can make up the threshold
-    shared = F.col("n") - F.col("u")
-    hope = shared / (F.greatest("least", shared) + F.col("n") - shared) >= threshold - 1e-9
-    rows = saved(rows.where(F.col("linked") | hope).select("bucket", "doc", "n", "u", "d", "linked"), "open")
+    large = rows.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > ROUND).select("bucket")
+    rest, rows, every = rows.join(large, "bucket"), rows.join(large, "bucket", "left_anti"), bags
+    found, classes, number = None, None, 0
     while True:
-        order = Window.partitionBy("bucket").orderBy(F.col("u") / F.col("n"), "doc")
-        chosen = rows.where("NOT linked").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= ROUND).drop("turn", "linked")
-        chosen = saved(chosen, "chosen")
-        if chosen.isEmpty():
+        facts = unshared(bags, classes)
+        if number:  # in large buckets a profile's overlap limits a pair's, too
+            facts = facts.join(bags.select(F.col("doc_id").alias("doc"), "profile"), "doc")
+        else:
+            facts = facts.withColumn("profile", F.lit(None).cast("array<int>"))
+        if classes is not None:
+            rows = rows.join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+        else:
+            rows = rows.withColumn("class", F.col("doc"))
+        rows = rows.join(facts, "doc").where(F.col("shared") >= threshold * F.col("n") - 1e-9)
+        ends = rows.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.min("n").alias("least"), F.min(F.col("n") - F.col("shared")).alias("alone"), F.mode("class").alias("main")).where("one <> other")
+        rows = rows.join(ends.select("bucket", "least", "alone", "main"), "bucket")
+        # the best that a partner of the bucket's least size and least unshared part would allow
+        size = F.greatest("least", "shared") + F.col("n") - F.col("shared")
+        part = F.col("n") + F.col("alone")
+        rows = saved(rows.where(F.col("shared") / F.greatest(size, part) >= threshold - 1e-9).select("bucket", "doc", "n", "shared", "class", "main", "profile"), "open")
+        order = Window.partitionBy("bucket").orderBy((F.col("shared") / F.col("n")).desc(), "doc")
+        if number == 1:
+            best = rows.groupBy("bucket").agg(F.min(F.struct((-F.col("shared") / F.col("n")).alias("part"), "doc")).alias("p"))
+            chosen = rows.join(best.select("bucket", F.col("p.doc").alias("doc")), ["bucket", "doc"])
+        else:
+            chosen = rows.where("class <> main" if number else "true").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= ROUND)
+        chosen = saved(chosen.select("bucket", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("class").alias("ca"), F.col("profile").alias("pa")), "chosen")
+        if number and chosen.isEmpty():
             return found
-        one = chosen.withColumnsRenamed({"doc": "a", "n": "na", "u": "ua", "d": "da"})
-        near = rows.join(one, "bucket").where("doc <> a").where(ceiling("n", "u", "na", "ua") >= threshold - 1e-9)
-        near = near.where(F.coalesce(F.abs(F.col("d") - F.col("da")) <= apart + 1e-9, F.lit(True)))
+        near = rows.join(chosen, "bucket").where(F.col("class") != F.col("ca")).where(ceiling("n", "shared", "na", "sa") >= threshold - 1e-9)
+        if number:
+            overlap = F.aggregate(F.zip_with("profile", "pa", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+            near = near.where(ceiling("n", "shared", "na", "sa", overlap) >= threshold - 1e-9)
         judged = _judge(near.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")), bags)
-        found = found.union(judged.where(F.col("d") <= apart + 1e-12).select("a", "b"))
-        rows = rows.join(chosen.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
-        rows = saved(rows.join(rows.where("NOT linked").select("bucket").distinct(), "bucket", "left_semi"), "open")
+        links = judged.where(F.col("d") <= 1.0 - threshold + 1e-12).select("a", "b")
+        found = links if found is None else found.union(links)
+        if classes is None or not links.isEmpty():
+            classes = saved(components(found).withColumnsRenamed({"node": "doc", "root": "class"}), "classes")
+        if number:
+            rest = rows.join(chosen.select("bucket", F.col("a").alias("doc")), ["bucket", "doc"], "left_anti").select("bucket", "doc", "n")
+        several = rest.join(classes, "doc", "left").groupBy("bucket").agg(F.min(F.coalesce("class", "doc")).alias("one"), F.max(F.coalesce("class", "doc")).alias("other")).where("one <> other").select("bucket")
+        rows = saved(rest.join(several, "bucket"), "rest")
+        bags = every.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        number += 1
 
 
 def _judge(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """(a, b, d): the distance of each distinct pair."""
-    left, right = bags.withColumnsRenamed({"doc_id": "a", "bag": "bag_a"}), bags.withColumnsRenamed({"doc_id": "b", "bag": "bag_b"})
+    side = lambda name: bags.select(F.col("doc_id").alias(name), F.col("bag").alias(f"bag_{name}"))
+    left, right = side("a"), side("b")
     met = pairs.distinct().join(right, "b").join(left, "a")
     return saved(met.select("a", "b", (1.0 - similarity(F.col("bag_a"), F.col("bag_b"))).alias("d")), "judged")
 
@@ -301,7 +323,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = rows.groupBy("bucket").agg(F.min("doc").alias("one"), F.max("doc").alias("other")).where("one <> other")
     rows = saved(rows.join(shared.select("bucket"), "bucket"), "shared")
     wanted = rows.select(F.col("doc").alias("doc_id")).distinct()
-    bags = own.join(wanted, "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag array<long>")
+    bags = own.join(wanted, "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag array<long>, profile array<int>")
     links = verified_links(rows, saved(bags, "bags"), threshold)
     # an id whose rows have several texts ties their representatives together
     several = member.groupBy("doc_id").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("doc_id")
