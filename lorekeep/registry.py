@@ -346,9 +346,9 @@ def edges_by_type(spark, sf_dir):
 
 @query("""SELECT r.edge_id, r.source_id, r.target_id, r.relation_type, s.title AS source_title, t.title AS target_title, s.namespace AS source_namespace, t.namespace AS target_namespace, sd.degree AS source_degree, td.degree AS target_degree
  FROM relations r JOIN memories s ON s.id = source_id JOIN memories t ON t.id = target_id JOIN degree sd ON sd.id = source_id JOIN degree td ON td.id = target_id
- WHERE (s.namespace = 'src4' OR t.namespace = 'src4') AND relation_type <> 'supersedes'""")
+ WHERE (s.namespace = 'src5' OR t.namespace = 'src5') AND relation_type <> 'supersedes'""")
 def list_edges(spark, sf_dir):
-    return graph.list_edges(memories(spark, sf_dir), relations(spark, sf_dir), "src4").where("relation_type <> 'supersedes'")
+    return graph.list_edges(memories(spark, sf_dir), relations(spark, sf_dir), "src5").where("relation_type <> 'supersedes'")
 
 
 @query("SELECT id, other, relation_type, direction FROM ends")
@@ -574,14 +574,19 @@ _QUALITY = r"""
 
 
 def _questions(spark, sf_dir):
-    """The first eight words of each benchmark passage, and the documents that hold its start."""
+    """The first eight words of each benchmark passage, and the documents that hold its first 60 characters.
+
+    Documents and passages meet on runs of three words: the second to fourth word of a passage stand whole in
+    every text that holds its start.
+    """
     given = views.table(spark, sf_dir, "benchmark")
     questions = given.select(F.col("item_id").alias("question"), F.array_join(F.slice(tx.words(F.col("text")), 1, 8), " ").alias("query"))
-    starts = given.select(F.col("item_id").alias("question"), F.substring("text", 1, 60).alias("start"))
-    # candidates by the start's first 20 characters at a line's head or anywhere: an equi-join on fixed-size pieces
-    piece = F.substring("start", 1, 60)
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
-    relevant = docs.join(F.broadcast(starts), F.col("text").contains(piece)).select("question", F.col("doc_id").alias("id"))
+    run = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
+    starts = given.select(F.col("item_id").alias("question"), F.substring("text", 1, 60).alias("start"), tx.words(F.col("text")).alias("w")).where("size(w) >= 4")
+    starts = starts.select("question", "start", run(F.col("w"), F.lit(2)).alias("run"))
+    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", tx.words(F.col("text")).alias("w"))
+    runs = docs.where("size(w) >= 3").select("id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: run(F.col("w"), i)))).alias("run"))
+    relevant = runs.join(starts, "run").where(F.col("text").contains(F.col("start"))).select("question", "id").distinct()
     return questions, relevant
 
 
