@@ -80,18 +80,27 @@ def _cuts(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights, share: float, max_epochs: float, seed: int = 7, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``epochs`` and ``taken``.
+    """``docs`` with ``size``, ``source_size``, ``target``, ``epochs`` and ``taken``; other columns stay.
 
     ``weights`` gives each row of (source, source_size) a ``weight`` column; ``share`` is the words to draw as
     a part of all words.  ``epochs`` is how often the document is taken.
     """
-    names = ("size", "source_size", "target", "epochs", "taken")
-    bins = F.floor(unit_hash(F.col(key), seed=seed) * BINS).cast("int")
+    plan = _planned(docs, weights, share, max_epochs, seed, source, text, key)
+    kept = [F.col(f"_row.{c}") for c in docs.columns if c not in RESULT]
+    return plan.select(*kept, *RESULT)
+
+
+RESULT = ("size", "source_size", "target", "epochs", "taken")
+
+
+def _planned(docs: DataFrame, weights, share: float, max_epochs: float, seed: int, source: str, text: str, key: str) -> DataFrame:
+    """The rows of ``docs`` as ``_row``, with the columns of RESULT."""
+    bins = F.floor(unit_hash(F.col("_key"), seed=seed) * BINS).cast("int")
     level = F.floor(F.log2(F.greatest("size", F.lit(1)).cast("double"))).cast("int")
-    base = docs.drop(*names).withColumn("size", word_count(F.col(text)))
+    base = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     sized = base.withColumns({"_level": level, "_bin": bins})
     # source, size class and bin: all that the targets and the cuts need
-    hist = sized.groupBy(F.col(source).alias("source"), F.col("_level").alias("level"), F.col("_bin").alias("bin")).agg(F.sum("size").alias("words"))
+    hist = sized.groupBy("source", F.col("_level").alias("level"), F.col("_bin").alias("bin")).agg(F.sum("size").alias("words"))
     hist = hist.persist()
     sizes = hist.groupBy("source").agg(F.sum("words").alias("source_size"))
     everything = hist.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"]
@@ -103,11 +112,11 @@ def mix(docs: DataFrame, weights, share: float, max_epochs: float, seed: int = 7
     toss = unit_hash(F.coalesce("source", F.lit("")), F.col("level"), seed=seed + 1)
     rows = hist.join(small(open_), hist["source"].eqNullSafe(open_["source"])).drop(open_["source"]).withColumn("toss", toss)
     cuts = rows.groupBy("source").applyInPandas(_cuts, "source string, level int, cut int")
-    plan = _lookup(sized, small(targets), {source: "source"})
-    plan = _lookup(plan, small(cuts.persist()), {source: "source", "_level": "level"})
+    plan = _lookup(sized, small(targets), {"source": "source"})
+    plan = _lookup(plan, small(cuts.persist()), {"source": "source", "_level": "level"})
     epochs = F.col("whole") + F.when((F.col("size") > 0) & (F.col("_bin") < F.col("cut")), 1).otherwise(0)
     done = plan.withColumn("epochs", epochs.cast("long")).withColumn("taken", F.col("epochs") * F.col("size"))
-    return done.drop("_level", "_bin", "whole", "fraction", "cut")
+    return done.select("_row", *RESULT)
 
 
 def _lookup(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
@@ -141,6 +150,5 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every document as often as the mix takes it."""
-    columns = docs.columns
-    taken = mix(docs, **OP9).where("epochs > 0")
-    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias("_copy")).select(*columns)
+    taken = _planned(docs, **OP9, seed=7, source="source", text="text", key="doc_id").where("epochs > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias("_copy")).select("_row.*")
