@@ -72,7 +72,14 @@ def _cuts(group: pd.DataFrame) -> pd.DataFrame:
         want = min(max(part * ends[-1] + carry, 0.0), ends[-1]) if part > 0 else 0.0
         i = int((ends < want).sum())
         low, high = (ends[i - 1] if i else 0.0), (ends[i] if i < len(ends) else ends[-1])
-        up = high > low and float(rows["toss"].iloc[0]) < (want - low) / (high - low)
+        # either edge is drawn if the smaller classes can make up for it, else the one that they can
+        rest = float(group.loc[group["level"] < level, "words"].sum())
+        room, excess = want - low <= (1.0 - part) * rest, high - want <= part * rest
+        if room == excess:
+            up = float(rows["toss"].iloc[0]) < (want - low) / (high - low) if room and high > low else high - want < want - low
+        else:
+            up = excess
+        up = up and high > low
         cut = int(rows["bin"].iloc[i]) + 1 if up else (int(rows["bin"].iloc[i - 1]) + 1 if i else 0)
         carry += part * ends[-1] - (high if up else low)
         out.append((int(level), cut))

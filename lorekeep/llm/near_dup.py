@@ -13,7 +13,7 @@ Signatures are cut into bands; documents that share a band are candidates and
 are verified on the exact overlap of their bags.  Within a band's bucket pivots meet
 the rest, a bounded number each round.  Comparisons are left out only where they
 can't succeed or don't matter: the sizes of two bags, the elements of theirs that
-documents of other classes hold, and the overlap of their hashed counts limit their similarity; two documents that verified
+documents of other classes may hold, and the overlap of their hashed counts limit their similarity; two documents that verified
 links join already are in one class.  No bucket is capped and no link is given up.
 
 Classes are the connected components of the verified links, with exact copies
@@ -45,7 +45,7 @@ THRESHOLD = 0.8
 #: 20 bands of 5 components: a pair at 0.8 shares no band with probability 4e-4.
 BANDS, ROWS = 20, 5
 #: Documents of a bucket that meet the rest of it in one round.
-ROUND = 16
+ROUND = 64
 #: Cells of a profile, which counts a bag's elements by hash.
 PROFILE = 128
 #: Shingles whose points are drawn together.
@@ -230,13 +230,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def unshared(bags: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """(doc, shared): how many elements of a document's bag some document of another class holds too."""
-    held = bags.select(F.col("doc_id").alias("doc"), F.explode("bag").alias("element"))
-    own = F.col("doc")
+    """(doc, alone): how many elements of a document's bag are sure to be held by its own class only.
+
+    Those with up to three holders, all of one class, are counted; the holders follow from the
+    smallest, the largest and the sum of their ids, so elements needn't be joined back to documents.
+    """
+    held = bags.select(F.col("doc_id").alias("doc"), "bag")
     if classes is not None:
-        held, own = held.join(classes, "doc", "left"), F.coalesce("class", "doc")
-    common = held.groupBy("element").agg(F.min(own).alias("one"), F.max(own).alias("other")).where("one <> other").select("element")
-    return held.join(common, "element", "left_semi").groupBy("doc").agg(F.count("*").alias("shared"))
+        held = held.join(classes, "doc", "left")
+    own = F.col("doc") if classes is None else F.coalesce("class", "doc")
+    held = held.select("doc", own.alias("class"), F.explode("bag").alias("element"))
+    by = held.groupBy("element").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.count("*").alias("k"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum(F.col("doc").cast("decimal(38,0)")).alias("sum"))
+    few = by.where("one = other AND k <= 3")
+    third = (F.col("sum") - F.col("low") - F.col("high")).cast("long")
+    docs = F.when(F.col("k") == 1, F.array("low")).when(F.col("k") == 2, F.array_distinct(F.array("low", "high"))).otherwise(F.array_distinct(F.array("low", third, "high")))
+    return few.select(F.explode(docs).alias("doc")).groupBy("doc").agg(F.count("*").alias("alone"))
 
 
 def ceiling(n: str, s: str, n2: str, s2: str, overlap: Column | None = None) -> Column:
@@ -261,15 +269,16 @@ def verified_links(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFr
     while True:
         facts = unshared(bags, classes)
         if number:  # in large buckets a profile's overlap limits a pair's, too
-            facts = facts.join(bags.select(F.col("doc_id").alias("doc"), "profile"), "doc")
+            facts = bags.select(F.col("doc_id").alias("doc"), "profile").join(facts, "doc", "left")
         else:
             facts = facts.withColumn("profile", F.lit(None).cast("array<int>"))
         if classes is not None:
             rows = rows.join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
         else:
             rows = rows.withColumn("class", F.col("doc"))
-        rows = rows.join(facts, "doc").where(F.col("shared") >= threshold * F.col("n") - 1e-9)
-        ends = rows.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.min("n").alias("least"), F.min(F.col("n") - F.col("shared")).alias("alone"), F.mode("class").alias("main")).where("one <> other")
+        rows = rows.join(facts, "doc", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+        rows = rows.where(F.col("shared") >= threshold * F.col("n") - 1e-9).drop("alone")
+        ends = rows.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.min("n").alias("least"), F.min(F.col("n") - F.col("shared")).alias("alone"), F.mode("class", True).alias("main")).where("one <> other")
         rows = rows.join(ends.select("bucket", "least", "alone", "main"), "bucket")
         # the best that a partner of the bucket's least size and least unshared part would allow
         size = F.greatest("least", "shared") + F.col("n") - F.col("shared")

@@ -19,8 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_url_filter": url_filter.OP3_SQL,
-    "op4_quality": quality.op4_quality,
-    "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_formatting": chat_format.OP6_SQL,
     "op10_warc": warc.OP10_SQL,
 }
