@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import table
 
 END = "</w>"
-#: Words and fragments remembered by a Python worker before it forgets them all.
-REMEMBERED = 500_000
+#: Words and fragments remembered by a Python worker; those of the last as many stay when a new lot begins.
+REMEMBERED = 120_000
 #: Characters of output that a worker gathers before it hands them on.
 HELD_CHARS = 4_000_000
 #: Longer fragments are merged with a heap.
@@ -92,8 +92,11 @@ class Codec:
             if bare != token and ids:
                 ids[-1] = vocab[bare[-1] + END]
             self.joined.update(a << 32 | b for a, b in zip(ids, ids[1:], strict=False))
-        self.known_words: dict[str, list[int]] = {}
-        self.known_fragments: dict[tuple[int, ...], list[int]] = {}
+        self.shared = list(range(1 + max(self.strings)))  # one object for each id
+        self.words_now: dict[str, tuple[int, ...]] = {}
+        self.words_before: dict[str, tuple[int, ...]] = {}
+        self.fragments_now: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.fragments_before: dict[tuple[int, ...], tuple[int, ...]] = {}
 
     def fragments(self, word: str) -> Iterator[tuple[int, ...]]:
         """The symbols of a word, cut at every pair that no token holds."""
@@ -143,21 +146,29 @@ class Codec:
                     heapq.heappush(heap, (more, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> list[int]:
-        out: list[int] = []
-        for fragment in self.fragments(word):
-            ids = self.known_fragments.get(fragment)
-            if ids is None:
-                if len(self.known_fragments) >= REMEMBERED:
-                    self.known_fragments.clear()
-                ids = self.known_fragments[fragment] = self.merge(list(fragment))
-            out += ids
+    def word(self, word: str) -> tuple[int, ...]:
+        """The ids of a word that isn't among the latest."""
+        out = self.words_before.get(word)
+        if out is None:
+            out = tuple(map(self.shared.__getitem__, chain.from_iterable(map(self.fragment, self.fragments(word)))))
         if len(word) <= 100:
-            if len(self.known_words) >= REMEMBERED:
-                self.known_words.clear()
-            self.known_words[word] = out
+            if len(self.words_now) >= REMEMBERED:
+                self.words_before, self.words_now = self.words_now, {}
+            self.words_now[word] = out
         return out
 
+    def fragment(self, fragment: tuple[int, ...]) -> tuple[int, ...]:
+        ids = self.fragments_now.get(fragment)
+        if ids is None:
+            ids = self.fragments_before.get(fragment)
+            if ids is None:
+                ids = tuple(map(self.shared.__getitem__, self.merge(list(fragment))))
+            if len(self.fragments_now) >= REMEMBERED // 2:
+                self.fragments_before, self.fragments_now = self.fragments_now, {}
+            if len(fragment) <= 100:
+                self.fragments_now[fragment] = ids
+        return ids
+
     @staticmethod
     def normalise(text: str) -> str:
         """NFC, then lower case character by character."""
@@ -174,9 +185,15 @@ class Codec:
         return list(chain.from_iterable([self.special[p]] if p in self.special else self._plain(p) for p in pieces if p))
 
     def _plain(self, text: str) -> list[int]:
-        known, word = self.known_words.get, self.word
+        word = self.word
         words = self.words if text.isascii() or not self.newer.search(text) else self.words_older
-        return list(chain.from_iterable([known(w) or word(w) for w in words.findall(self.normalise(text))]))
+        out: list[int] = []
+        found, at = words.findall(self.normalise(text)), 0
+        while at < len(found):  # the latest words may be exchanged meanwhile
+            known = self.words_now.get
+            out += chain.from_iterable([known(w) or word(w) for w in found[at : at + 1000]])
+            at += 1000
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))

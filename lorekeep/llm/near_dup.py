@@ -49,7 +49,7 @@ ROUND = 64
 #: Cells of a profile, which counts a bag's elements by hash.
 PROFILE = 128
 #: Shingles whose points are drawn together.
-BLOCK = 1_000_000
+BLOCK = 300_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)

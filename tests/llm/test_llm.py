@@ -339,7 +339,7 @@ def test_cuts_do_not_change_the_result():
         word = "".join(rng.choice("abéñüzxqjkthe") for _ in range(rng.randrange(1, 30)))
         whole = [c.inner[b] for b in word.encode()]
         whole[-1] = c.last[word.encode()[-1]]
-        assert c.word(word) == c.merge(list(whole)) == c._merge_long(list(whole))
+        assert list(c.word(word)) == c.merge(list(whole)) == c._merge_long(list(whole))
 
 
 def test_bpe_frame(spark):
