@@ -34,7 +34,7 @@ from lorekeep.llm.common import table
 
 END = "</w>"
 #: Words and fragments remembered by a Python worker; those of the last as many stay when a new lot begins.
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 #: Characters of output that a worker gathers before it hands them on.
 HELD_CHARS = 4_000_000
 #: Longer fragments are merged with a heap.
