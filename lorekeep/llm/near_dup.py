@@ -204,15 +204,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): contraction to hashed minima.
 
     Each round every node joins the neighbour (or itself) that comes first in a
-    hashed order, so chains shrink by a constant factor and stars at once; the edges
+    hashed order, so chains shrink by a constant factor and stars end in two rounds; the edges
     between the joined nodes go on.  Minima are partly aggregated, so a hub is no hot task.
     """
     roots = None
     edges = saved(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    number = 0
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        place = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("h"), c.alias("id"))  # noqa: B023, E731
+        place = lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("id"))
         joined = both.groupBy(F.col("a").alias("node")).agg(F.min(place(F.col("b"))).alias("first"))
         own = place(F.col("node"))
         joined = saved(joined.select("node", F.when(own < F.col("first"), F.col("node")).otherwise(F.col("first.id")).alias("to")), "joined")
@@ -223,7 +222,6 @@ def components(edges: DataFrame) -> DataFrame:
             roots = saved(roots.join(step, roots["root"] == step["_n"], "left").select("node", F.coalesce("_to", "root").alias("root")), "roots")
         left, right = joined.withColumnsRenamed({"node": "a", "to": "a2"}), joined.withColumnsRenamed({"node": "b", "to": "b2"})
         edges = saved(edges.join(left, "a").join(right, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct(), "edges")
-        number += 1
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots
@@ -236,10 +234,8 @@ def unshared(bags: DataFrame, classes: DataFrame | None) -> DataFrame:
     smallest, the largest and the sum of their ids, so elements needn't be joined back to documents.
     """
     held = bags.select(F.col("doc_id").alias("doc"), "bag")
-    if classes is not None:
-        held = held.join(classes, "doc", "left")
-    own = F.col("doc") if classes is None else F.coalesce("class", "doc")
-    held = held.select("doc", own.alias("class"), F.explode("bag").alias("element"))
+    held = held.withColumn("class", F.col("doc")) if classes is None else held.join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+    held = held.select("doc", "class", F.explode("bag").alias("element"))
     by = held.groupBy("element").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.count("*").alias("k"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum(F.col("doc").cast("decimal(38,0)")).alias("sum"))
     few = by.where("one = other AND k <= 3")
     third = (F.col("sum") - F.col("low") - F.col("high")).cast("long")
@@ -254,8 +250,8 @@ def ceiling(n: str, s: str, n2: str, s2: str, overlap: Column | None = None) ->
     return common / F.greatest(F.col(n) + F.col(n2) - common, common + alone)
 
 
-def verified_links(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) found in the buckets of ``rows`` (bucket, doc, n).
+def linked_classes(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(doc, class) for all with a verified link in the buckets of ``rows`` (bucket, doc, n).
 
     Every round, pivots of a bucket meet the rest of it that is in another class so far, and leave
     the bucket.  The first round is for buckets of up to ``ROUND`` documents, all of them pivots.  Larger ones
@@ -267,11 +263,10 @@ def verified_links(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFr
     rest, rows, every = rows.join(large, "bucket"), rows.join(large, "bucket", "left_anti"), bags
     found, classes, number = None, None, 0
     while True:
-        facts = unshared(bags, classes)
-        if number:  # in large buckets a profile's overlap limits a pair's, too
-            facts = bags.select(F.col("doc_id").alias("doc"), "profile").join(facts, "doc", "left")
-        else:
-            facts = facts.withColumn("profile", F.lit(None).cast("array<int>"))
+        if number == 0:
+            facts = unshared(bags, classes).withColumn("profile", F.lit(None).cast("array<int>"))
+        elif number == 1:  # in large buckets a profile's overlap limits a pair's, too; later counts could only be larger
+            facts = saved(bags.select(F.col("doc_id").alias("doc"), "profile").join(unshared(bags, classes), "doc", "left"), "facts")
         if classes is not None:
             rows = rows.join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
         else:
@@ -292,7 +287,7 @@ def verified_links(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFr
             chosen = rows.where("class <> main" if number else "true").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= ROUND)
         chosen = saved(chosen.select("bucket", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("class").alias("ca"), F.col("profile").alias("pa")), "chosen")
         if number and chosen.isEmpty():
-            return found
+            return classes
         near = rows.join(chosen, "bucket").where(F.col("class") != F.col("ca")).where(ceiling("n", "shared", "na", "sa") >= threshold - 1e-9)
         if number:
             overlap = F.aggregate(F.zip_with("profile", "pa", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
@@ -333,11 +328,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = saved(rows.join(shared.select("bucket"), "bucket"), "shared")
     wanted = rows.select(F.col("doc").alias("doc_id")).distinct()
     bags = own.join(wanted, "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag array<long>, profile array<int>")
-    links = verified_links(rows, saved(bags, "bags"), threshold)
+    classes = linked_classes(rows, saved(bags, "bags"), threshold)
     # an id whose rows have several texts ties their representatives together
     several = member.groupBy("doc_id").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("doc_id")
     ties = member.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = components(links.union(ties))
+    roots = classes.withColumnsRenamed({"doc": "node", "class": "root"})
+    ties = saved(ties, "ties")
+    if not ties.isEmpty():
+        roots = components(classes.select(F.col("doc").alias("a"), F.col("class").alias("b")).union(ties))
     names = roots.groupBy("root").agg(F.min("node").alias("class_id"))
     classes = roots.join(names, "root").select(F.col("node").alias("rep"), "class_id")
     done = member.join(classes, "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
