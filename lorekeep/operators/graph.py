@@ -100,18 +100,37 @@ def induced(relations: DataFrame, ids: DataFrame) -> DataFrame:
     return relations.join(own, relations["source_id"] == own["id"], "left_semi").join(own, relations["target_id"] == own["id"], "left_semi")
 
 
+def tag_classes(memories: DataFrame) -> DataFrame:
+    """(id, class, members, tags) for every memory: its class has the same set of tags and the name of its smallest id."""
+    own = memories.select("id", F.sort_array(F.array_distinct("tags")).alias("tags"))
+    named = own.groupBy(F.col("tags").alias("set")).agg(F.min("id").alias("class"), F.count("*").alias("members"))
+    return own.join(named, F.col("tags").eqNullSafe(F.col("set"))).select("id", "class", "members", "tags")
+
+
+def class_links(classes: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, shared, pairs): classes whose memories share at least ``least`` tags, and how many pairs of memories that links.
+
+    A class of several memories is linked to itself.  Joined on pairs of tags, not on single ones, and one row
+    stands for a class: no memories meet.
+    """
+    keyed = classes.where("id = class").select("class", "members", "tags")
+    pairs = F.flatten(F.transform("tags", lambda x, i: F.transform(F.slice("tags", i + 2, F.size("tags")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    by = keyed.select("class", "members", "tags", F.explode(pairs if least >= 2 else F.col("tags")).alias("key"))
+    left, right = (by.select(F.col("class").alias(c), F.col("members").alias("n" + c), F.col("tags").alias("t" + c), "key") for c in "ab")
+    met = left.join(right, "key").where("a < b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("shared"), (F.col("na") * F.col("nb")).alias("pairs")).distinct()
+    own = keyed.where("members > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.size("tags").alias("shared"), F.expr("members * (members - 1) div 2").alias("pairs"))
+    return met.union(own).where(F.col("shared") >= least)
+
+
 def shared_tag_links(memories: DataFrame, least: int = 2) -> DataFrame:
     """(a, b, shared): pairs of memories that share at least ``least`` tags.
 
-    Joined on pairs of tags, not on single ones: a tag that most memories have makes no bucket by itself.
+    The pairs themselves, written out from the links of classes; their number grows with the square of a class.
     """
-    tags = F.sort_array(F.array_distinct("tags"))
-    keyed = memories.select("id", tags.alias("tags"))
-    pairs = F.flatten(F.transform("tags", lambda x, i: F.transform(F.slice("tags", i + 2, F.size("tags")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    by = (keyed.select("id", "tags", F.explode(pairs).alias("key")) if least >= 2 else keyed.select("id", "tags", F.explode("tags").alias("key")))
-    left, right = by.withColumnsRenamed({"id": "a", "tags": "ta"}), by.withColumnsRenamed({"id": "b", "tags": "tb"})
-    met = left.join(right, "key").where("a < b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("shared")).distinct()
-    return met.where(F.col("shared") >= least)
+    classes = tag_classes(memories)
+    left, right = (classes.select(F.col("class").alias(c), F.col("id").alias("i" + c)) for c in "ab")
+    met = class_links(classes, least).join(left, "a").join(right, "b").where("a <> b OR ia < ib")
+    return met.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "shared")
 
 
 def adjacency(relations: DataFrame) -> DataFrame:

@@ -387,10 +387,22 @@ def spread_from_search(spark, sf_dir):
 
 @query("SELECT a, b, shared FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.tags, y.tags)) AS shared FROM (SELECT id, tags FROM memories WHERE tags[1] <> 'en' AND tags[3] = 'short') x JOIN (SELECT id, tags FROM memories WHERE tags[1] <> 'en' AND tags[3] = 'short') y ON x.id < y.id) z WHERE shared >= 2")
 def shared_tag_links(spark, sf_dir):
+    """The pairs among the few rows that the SQL names; ``shared_tag_classes`` covers all rows."""
     few = memories(spark, sf_dir).where("tags[0] <> 'en' AND tags[2] = 'short'")
     return graph.shared_tag_links(few).withColumn("shared", F.col("shared").cast("long"))
 
 
+@query("""SELECT 'link' AS kind, least(x.class, y.class) AS a, greatest(x.class, y.class) AS b, len(list_intersect(x.tags, y.tags)) AS shared, count(*) AS pairs
+ FROM (SELECT id, tags, min(id) OVER (PARTITION BY list_sort(tags)) AS class FROM memories) x JOIN (SELECT id, tags, min(id) OVER (PARTITION BY list_sort(tags)) AS class FROM memories) y ON x.id < y.id
+ WHERE len(list_intersect(x.tags, y.tags)) >= 2 GROUP BY ALL
+ UNION ALL SELECT 'member', min(id) OVER (PARTITION BY list_sort(tags)), id, len(tags), 0 FROM memories""")
+def shared_tag_classes(spark, sf_dir):
+    """The shared-tag links of all memories: each memory's class of equal tags (a: class, b: memory), and the links between classes."""
+    classes = graph.tag_classes(memories(spark, sf_dir))
+    links = graph.class_links(classes).select(F.lit("link").alias("kind"), "a", "b", F.col("shared").cast("long").alias("shared"), "pairs")
+    return links.union(classes.select(F.lit("member"), "class", "id", F.size("tags").cast("long"), F.lit(0).cast("long")))
+
+
 @query("SELECT edge_id, source_id, target_id FROM relations SEMI JOIN (SELECT id FROM memories WHERE confidence = 'verified') x ON x.id = source_id SEMI JOIN (SELECT id FROM memories WHERE confidence = 'verified') y ON y.id = target_id")
 def induced_subgraph(spark, sf_dir):
     return graph.induced(relations(spark, sf_dir), memories(spark, sf_dir).where("confidence = 'verified'")).select("edge_id", "source_id", "target_id")

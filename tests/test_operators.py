@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep import registry
 from lorekeep import schema as S
 from lorekeep.functions import scoring, text
 from lorekeep.operators import claims, cluster, context, filters, graph, promote, review, search, state, stats
@@ -114,6 +115,19 @@ def test_shared_tags(spark):
     assert got == {(1, 2): 2, (1, 4): 3, (2, 4): 2}
 
 
+def test_shared_tags_of_all_rows(spark, sf):
+    df = frame(spark, memory(1, tags=["a", "b"]), memory(2, tags=["b", "a", "a"]), memory(3, tags=["b", "a"]), memory(4, tags=["a", "b", "c"]), memory(5, tags=["c"]), memory(6), memory(7, tags=["b", "c", "d"]))
+    classes = graph.tag_classes(df)
+    assert {r["id"]: r["class"] for r in classes.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
+    links = {(r["a"], r["b"]): (r["shared"], r["pairs"]) for r in graph.class_links(classes).collect()}
+    assert links == {(1, 1): (2, 3), (1, 4): (2, 3), (4, 7): (2, 1)}
+    every = {(r["a"], r["b"]): r["shared"] for r in graph.shared_tag_links(df).collect()}
+    assert every == {(1, 2): 2, (1, 3): 2, (2, 3): 2, (1, 4): 2, (2, 4): 2, (3, 4): 2, (4, 7): 2}
+    assert {(r["a"], r["b"]) for r in graph.shared_tag_links(df, 1).collect()} == set(every) | {(1, 7), (2, 7), (3, 7), (4, 5), (5, 7)}
+    found = registry.QUERIES["shared_tag_classes"](spark, sf)
+    assert found.where("kind = 'member'").count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_clusters(spark, tmp_path):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.98, 0.2]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, [1.0])], "id long, vector array<double>")
     pairs = cluster.similar_pairs(v, 0.85)
