@@ -4,7 +4,7 @@ Grey images (width, height, one byte for each pixel) get corners on two scales.
 that of its patch's intensity centroid; 192 binary tests, turned by it, make a
 descriptor.  Four 48-bit pieces of a descriptor are the keys of Hamming tables: two
 descriptors that differ in at most three bits share a key for certain, others often do.  Images
-that share keys are compared through geometric consensus: each matched
+that share a key are compared once, through geometric consensus over all keys that both have: each matched
 pair of corners votes for a rotation, a scale and a shift, and at least
 ``VOTES`` corners must agree.  Cropped, brightened, partly covered or turned copies keep enough of them.
 
@@ -150,30 +150,42 @@ def consensus(matches: DataFrame) -> DataFrame:
     return agreed.where((F.col("n") >= VOTES) & (F.col("m") >= VOTES)).select("a", "b").distinct()
 
 
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) that agree, over all buckets that both images hold."""
+    side = lambda image, corners: held.select(F.col("image").alias(image), F.col("held").alias(corners))
+    same = lambda x: F.transform(F.filter("hb", lambda y: y["bucket"] == x["bucket"]), lambda y: F.struct(x["corner"].alias("ca"), y["corner"].alias("cb")))
+    met = pairs.join(side("b", "hb"), "b").join(side("a", "ha"), "a").select("a", "b", F.flatten(F.transform("ha", same)).alias("matches"))
+    # fewer matches than votes can't agree
+    matches = met.where(F.size("matches") >= VOTES).select("a", "b", F.explode("matches").alias("m"))
+    return saved(consensus(matches.select("a", "b", F.col("m.ca").alias("ca"), F.col("m.cb").alias("cb"))), "links")
+
+
 def copy_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between images of ``rows`` (bucket, image, area, corner).
+    """Links (a, b), a < b, between images of ``rows`` (bucket, image, area, corner).
 
-    A bucket's largest image meets all others; then, round by round, up to ``ROUND``
-    of the images that didn't link to it meet the rest, until none is left.
+    Buckets only nominate pairs: a bucket's largest image with all others; then, round by round, up to ``ROUND``
+    of the images that don't link to it with the rest, until none is left.  A pair is verified once, with
+    its corners of all buckets, so its link doesn't depend on the other images there.
     """
+    held = saved(rows.groupBy("image").agg(F.collect_list(F.struct("bucket", "corner")).alias("held")), "held")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    rows = rows.select("bucket", "image", "area").distinct()
     top = rows.groupBy("bucket").agg(F.max(F.struct("area", (-F.col("image")).alias("minus"))).alias("top"), F.count("*").alias("k")).where("k > 1")
-    rows = saved(rows.join(top.select("bucket", (-F.col("top.minus")).alias("pivot")), "bucket"), "buckets")
-    side = lambda df, image, corner: df.select("bucket", F.col("image").alias(image), F.col("corner").alias(corner))
-    first = side(rows.where("image = pivot"), "a", "ca").join(side(rows.where("image <> pivot"), "b", "cb"), "bucket")
-    found = saved(consensus(first.select("a", "b", "ca", "cb")), "links")
-    known = found.select(F.col("a").alias("pivot"), F.col("b").alias("image"), F.lit(True).alias("linked"))
-    rows = rows.where("image <> pivot").join(known, ["pivot", "image"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    rows = saved(rows.drop("pivot"), "open")
+    rows = saved(rows.join(top.select("bucket", (-F.col("top.minus")).alias("pivot")), "bucket").where("image <> pivot"), "buckets")
+    tried = saved(rows.select(*pair("pivot", "image")).distinct(), "pairs")
+    found = verified(tried, held)
+    known = found.select("a", "b", F.lit(True).alias("linked"))
+    rows = rows.select("bucket", "image", "area", *pair("pivot", "image")).join(known, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    rows = saved(rows.drop("a", "b"), "open")
     while True:
         order = Window.partitionBy("bucket").orderBy(F.desc("area"), "image")
         chosen = saved(rows.where("NOT linked").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= ROUND), "chosen")
         if chosen.isEmpty():
             return found
-        near = side(chosen, "a", "ca").join(side(rows, "b", "cb"), "bucket").where("a <> b")
-        swap = F.col("a") > F.col("b")
-        pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))  # noqa: B023, E731
-        near = near.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("ca", "cb").alias("ca"), pick("cb", "ca").alias("cb")).distinct()
-        found = found.union(saved(consensus(near), "links"))
+        near = chosen.select("bucket", F.col("image").alias("x")).join(rows.select("bucket", F.col("image").alias("y")), "bucket").where("x <> y")
+        fresh = saved(near.select(*pair("x", "y")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(fresh)
+        found = found.union(verified(fresh, held))
         rows = rows.join(chosen.select("bucket", "image"), ["bucket", "image"], "left_anti")
         rows = saved(rows.join(rows.where("NOT linked").select("bucket").distinct(), "bucket", "left_semi"), "open")
 

@@ -302,6 +302,16 @@ def test_image_edge_cases(spark, monkeypatch):
     assert media.image_copies(df.limit(0)).count() == 0
 
 
+def test_image_votes_add_up_over_buckets(spark):
+    spots = [(5.0, 9.0), (20.0, 31.0), (44.0, 12.0), (60.0, 55.0), (33.0, 70.0), (71.0, 8.0)]
+    mine = [(k, i, 100, (x, y, 0, 0)) for i in (1, 2) for k, (x, y) in enumerate(spots)]
+    other = [(k, 9, 400, (300.0 * k, 90.0 * k * k, 5 * k, 0)) for k in (3, 4, 5)]
+    rows = lambda data: spark.createDataFrame(data, "bucket long, image long, area long, corner struct<x:double,y:double,turn:int,level:int>")
+    links = lambda data: {(r["a"], r["b"]) for r in media.copy_links(rows(data)).collect()}
+    assert links(mine) == links(mine + other) == {(1, 2)}
+    assert links([r for r in mine if r[0] < 3]) == set()
+
+
 # 8: tokens
 
 
