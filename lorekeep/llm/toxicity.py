@@ -1,28 +1,39 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-A text is cut into clauses.  Tokens are read as classes: insult, threat, target,
-negator, report verb, quotation mark, other.  Three transducers mark what they read - whether it
-is negated, whether it is reported speech, whether the clause has a target - and
-are composed into one machine, which runs over each clause that holds an insult
-or a threat.  A clause's score sums its marked insults and threats with the weights of their marks; a threat counts
-only at a target.  Isolated words thus weigh less than matched clauses, and quoted or negated ones little.
-
-The insult lexicon is learned: words, and word beginnings of four to seven letters, that
+A text is read as lines of tokens; sentence marks cut a line into clauses.  Five
+transducers read the same tokens and are composed, state by state as needed, into one machine:
+
+* insult: marks the end of an insult, a learned or built-in word or a phrase of several words;
+* threat: marks a threat, a violent verb that an intention precedes and a person follows
+  (``i will ... hurt ... you``), that asks a person to harm themselves, or a phrase;
+* target: says at a clause's end whom it is about: a person addressed or named by a pronoun,
+  a noun or other content word that the insult stands with, or nobody;
+* negation: marks what follows a negator within three tokens;
+* reported speech: marks what follows a report verb in its clause, and what stands between
+  quotation marks, which stay open over the clauses of a line.
+
+A clause is matched if it holds a marked insult or threat that is neither negated nor reported, and,
+for an insult, a target.  Isolated words, negated and reported clauses have no accepting path and score nothing.
+A clause's score is the sum of its matched insults' weights, by kind of target, and of its threats.
+
+The insult words are learned: words, and word beginnings of four to seven letters, that
 labelled toxic documents hold far more often than chance allows (Chernoff bound, corrected
 for the number of candidates).  Near copies among the toxic examples are counted
-once.  A small logistic model over a document's clause scores gives the probability.
+once.  What each kind of matched clause counts for is learned, too: a small logistic
+model over a document's sums by kind gives the probability.
 
 Defined results: a null or empty text has no clause and gets the model's base score.
+A text that ends within a clause ends the clause; a clause has no largest length.
 Without labels of both classes a fixed model over the built-in words is used.  Rows
-are scored one by one, so repeated rows have equal scores.
+are scored one by one, so repeated rows have equal scores; a score equal to the cut is toxic.  A doc_id with several texts
+is learned from by the smallest.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,86 +46,189 @@ from lorekeep.llm.labelled import SAMPLE, held_out, training_rows
 from lorekeep.llm.near_dup import _sign
 
 CUT = 0.5
-TOKEN = re.compile(r"[^\W_]+|[.!?;:\n\"“”„«»]")
+TOKEN = re.compile(r"[^\W_]+|[.!?;\n\"“”„«»]")
 #: Lengths of the word beginnings that may be learned.
 BEGINNINGS = (4, 5, 6, 7)
-#: Candidates that the lexicon is chosen from, by number of toxic examples.
-CANDIDATES = 50_000
-#: Distinct tokens whose class a worker remembers.
-REMEMBERED = 300_000
+#: Distinct tokens whose symbol a worker remembers, and names that it counts before it hands them on.
+REMEMBERED, COUNTED = 300_000, 100_000
 
 # The words of the built-in classes.
 INSULTS = "idiot moron stupid dumb loser scum trash worthless pathetic disgusting clown jerk bastard imbecile".split()
 THREATS = "kill hurt destroy murder beat burn shoot stab strangle crush".split()
-TARGETS = "you your yours yourself u ur they them he she him her tu toi vous usted du dich dir sie".split()
+INTENTIONS = "i we will gonna going want hope ll must should".split()
+SELVES = "yourself yourselves".split()
+TARGETS = "you your yours u ur they them he him she her tu toi vous usted du dich dir sie".split()
 NEGATORS = "not no never isn aren wasn weren don doesn didn without nicht kein keine pas jamais nunca".split()
 REPORTS = "said says say wrote writes claimed claims called calls reported reports quoted sagte dijo".split()
+FUNCTION = "the and but for nor with from into was were are has had have that this these those what how who such very der die das und ein eine les des une est los las una que".split()
 QUOTES = "\" “ ” „ « »".split()
-BOUNDARIES = ". ! ? ; : \n".split()
-
-OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORT, QUOTE = range(7)
+BOUNDARIES = ". ! ? ; \n".split()
+INSULT_PHRASES = ("piece of trash", "piece of garbage", "waste of space", "waste of air", "son of a bitch")
+THREAT_PHRASES = ("drop dead", "watch your back", "you are dead", "you re dead")
+
+KINDS = SMALL, WORD, INSULT, THREAT, INTENTION, SELF, TARGET, NEGATOR, REPORT, QUOTE, END = range(11)
+#: What a mark says of the token it is on.
+IS_INSULT, IS_THREAT, IS_NEGATED, IS_REPORTED = 1, 2, 4, 8
+#: Whom a clause is about.
+NOBODY, NAMED, ADDRESSED = range(3)
 BUILT_IN_WEIGHT = 3.0
-#: Weights of marks: negated, reported, in a clause with a target.
-NEGATED, REPORTED, TARGETED = 0.3, 0.4, 1.25
+#: Coefficients without labels, and what fitted ones are drawn to: constant, sums by kind (addressed, named, threats; logs), density (log).
+PRIOR = (-3.0, 3.0, 2.5, 3.5, 0.0)
 
 
 @dataclass(frozen=True)
-class Transducer:
-    """States 0..n-1, start 0; ``arcs[state][class]`` is (next state, mark)."""
-
-    arcs: tuple[tuple[tuple[int, int], ...], ...]
-
-    def then(self, other: Transducer) -> Transducer:
-        """Both run side by side on the same classes; marks are combined bit by bit."""
-        n = len(other.arcs)
-        return Transducer(
-            tuple(
-                tuple((a[0] * n + b[0], a[1] | b[1]) for a, b in zip(self.arcs[i], other.arcs[j], strict=True))
-                for i, j in itertools.product(range(len(self.arcs)), range(n))
-            )
-        )
-
-
-def _negation(reach: int = 3) -> Transducer:
-    """Marks (1) what follows a negator within ``reach`` tokens."""
-    rows = []
-    for state in range(reach + 1):  # tokens of the negator's reach that are left
-        step = (max(state - 1, 0), 1 if state else 0)
-        rows.append(tuple((reach, 0) if c == NEGATOR else step for c in range(7)))
-    return Transducer(tuple(rows))
-
-
-def _reported() -> Transducer:
-    """Marks (2) what follows a report verb or stands between quotation marks."""
-    plain = tuple((1, 0) if c == REPORT else (2, 0) if c == QUOTE else (0, 0) for c in range(7))
-    after = tuple((2, 2) if c == QUOTE else (1, 2) for c in range(7))
-    quoted = tuple((0, 2) if c == QUOTE else (2, 2) for c in range(7))
-    return Transducer((plain, after, quoted))
-
-
-def _target() -> Transducer:
-    """Marks (4) everything after the clause's first target."""
-    before = tuple((1, 4) if c == TARGET else (0, 0) for c in range(7))
-    after = tuple((1, 4) for _ in range(7))
-    return Transducer((before, after))
-
-
-GRAMMAR = _negation().then(_reported()).then(_target())
-
-
-def clause_score(clause: list[tuple[int, float]]) -> float:
-    """The score of one clause of (class, weight) tokens."""
-    state, total, threat, aimed = 0, 0.0, 0.0, False
-    for kind, weight in clause:
-        state, mark = GRAMMAR.arcs[state][kind]
-        aimed = aimed or bool(mark & 4)
-        if kind in (INSULT, THREAT):
-            found = weight * (NEGATED if mark & 1 else 1.0) * (REPORTED if mark & 2 else 1.0)
-            if kind == INSULT:
-                total += found
-            else:
-                threat += found
-    return (total + threat) * TARGETED if aimed else total
+class Symbol:
+    """What the machines read: a kind, the phrase word if the token is one, the insult's weight."""
+
+    kind: int
+    word: str = ""
+    weight: float = 0.0
+
+
+#: A state, what is read -> the next state and the marks of the token.
+Step = Callable[[object, Symbol], tuple[object, int]]
+
+
+def phrases(entries: tuple[str, ...], mark: int, single: int | None = None) -> Step:
+    """Marks the last word of any of ``entries``; ``single``: a kind that is an entry by itself.
+
+    A state is the longest beginning of an entry that was just read.
+    """
+    whole = {tuple(e.split()) for e in entries}
+    begun = {e[:n] for e in whole for n in range(len(e))}
+
+    def step(state: object, read: Symbol) -> tuple[object, int]:
+        if read.kind == END:
+            return (), 0
+        run = (*state, read.word) if read.word else ()
+        found = mark if read.kind == single else 0
+        while run:
+            if run in whole:
+                found = mark
+            if run in begun:
+                break
+            run = run[1:]
+        return run, found
+
+    return step
+
+
+def threat(reach: int = 4) -> Step:
+    """Marks the person that a violent verb is aimed at.
+
+    A state is (tokens of an intention's reach left, tokens of the verb's reach left, is the verb intended).
+    """
+
+    def step(state: object, read: Symbol) -> tuple[object, int]:
+        intent, verb, meant = state or (0, 0, False)
+        if read.kind == END:
+            return None, 0
+        if read.kind in (TARGET, SELF) and verb and (meant or read.kind == SELF):
+            return None, IS_THREAT
+        if read.kind == THREAT:
+            return (max(intent - 1, 0), reach, intent > 0), 0
+        return (reach if read.kind == INTENTION else max(intent - 1, 0), max(verb - 1, 0), meant), 0
+
+    return step
+
+
+def either(one: Step, other: Step) -> Step:
+    """Both side by side, with the marks of both."""
+
+    def step(state: object, read: Symbol) -> tuple[object, int]:
+        a, b = state or (None, None)
+        (a, m), (b, n) = one(a or (), read), other(b, read)
+        return (a, b), m | n
+
+    return step
+
+
+def target(state: object, read: Symbol) -> tuple[object, int]:
+    """The state says whom the clause is about so far; an address outdoes a name."""
+    if read.kind == END:
+        return NOBODY, 0
+    found = ADDRESSED if read.kind in (TARGET, SELF) else NAMED if read.kind == WORD and not read.word else NOBODY
+    return max(state or NOBODY, found), 0
+
+
+def negation(reach: int = 3) -> Step:
+    """Marks what follows a negator within ``reach`` tokens; a state is what is left of the reach."""
+
+    def step(state: object, read: Symbol) -> tuple[object, int]:
+        left = state or 0
+        if read.kind == END:
+            return 0, 0
+        if read.kind == NEGATOR:
+            return reach, 0
+        return max(left - 1, 0), IS_NEGATED if left else 0
+
+    return step
+
+
+def reported(state: object, read: Symbol) -> tuple[object, int]:
+    """Marks what follows a report verb up to the clause's end, and what quotation marks enclose on a line."""
+    quoted, told = state or (False, False)
+    if read.kind == END:
+        return (quoted and read.word != "\n", False), 0
+    if read.kind == QUOTE:
+        return (not quoted, told), 0
+    return (quoted, told or read.kind == REPORT), IS_REPORTED if quoted or told else 0
+
+
+MACHINES: tuple[Step, ...] = (
+    phrases(INSULT_PHRASES, IS_INSULT, single=INSULT),
+    either(phrases(THREAT_PHRASES, IS_THREAT), threat()),
+    target,
+    negation(),
+    reported,
+)
+PHRASE_WORDS = frozenset(w for e in (*INSULT_PHRASES, *THREAT_PHRASES) for w in e.split())
+
+
+class Grammar:
+    """The machines composed: they run side by side on one token, and its marks are united.
+
+    A composed state is numbered when it is first reached, and its arcs are kept.
+    """
+
+    def __init__(self, machines: tuple[Step, ...] = MACHINES) -> None:
+        self.machines = machines
+        self.states: list[tuple] = [((), None, None, None, None)]
+        self.numbers = {self.states[0]: 0}
+        self.arcs: dict[tuple[int, int, str], tuple[int, int]] = {}
+
+    def step(self, state: int, read: Symbol) -> tuple[int, int]:
+        key = (state, read.kind, read.word)
+        if (arc := self.arcs.get(key)) is None:
+            moves = [machine(own, read) for machine, own in zip(self.machines, self.states[state], strict=True)]
+            to = tuple(m[0] for m in moves)
+            if to not in self.numbers:
+                self.numbers[to] = len(self.states)
+                self.states.append(to)
+            marks = 0
+            for _, m in moves:
+                marks |= m
+            arc = self.arcs[key] = (self.numbers[to], marks)
+        return arc
+
+    def about(self, state: int) -> int:
+        """Whom the clause is about, in a composed state."""
+        return self.states[state][2] or NOBODY
+
+    def matched(self, line: list[Symbol]) -> list[tuple[int, float, float]]:
+        """(target, insults, threats) of the clauses of a line that have an accepting path."""
+        out, state, insults, threats = [], 0, 0.0, 0.0
+        for read in [*line, Symbol(END)]:
+            about = self.about(state) if read.kind == END else NOBODY
+            state, marks = self.step(state, read)
+            if marks and not marks & (IS_NEGATED | IS_REPORTED):
+                insults += (read.weight or BUILT_IN_WEIGHT) if marks & IS_INSULT else 0.0
+                threats += BUILT_IN_WEIGHT if marks & IS_THREAT else 0.0
+            if read.kind == END:
+                if threats or insults and about:
+                    out.append((about, insults if about else 0.0, threats))
+                insults = threats = 0.0
+        return out
 
 
 @dataclass
@@ -123,52 +237,55 @@ class Model:
 
     words: dict[str, float] = field(default_factory=lambda: {w: BUILT_IN_WEIGHT for w in INSULTS})
     beginnings: dict[str, float] = field(default_factory=dict)
-    logistic: tuple[float, ...] = (-4.0, 2.0, 1.0, 0.0)
+    logistic: tuple[float, ...] = PRIOR
 
     def __post_init__(self) -> None:
-        self.known: dict[str, tuple[int, float] | None] = {}
-        fixed = ((THREATS, THREAT), (TARGETS, TARGET), (NEGATORS, NEGATOR), (REPORTS, REPORT), (QUOTES, QUOTE))
-        self.fixed = {w: (kind, BUILT_IN_WEIGHT if kind == THREAT else 0.0) for words, kind in fixed for w in words}
+        self.known: dict[str, Symbol] = {}
+        self.grammar = Grammar()
+        fixed = ((FUNCTION, SMALL), (THREATS, THREAT), (INTENTIONS, INTENTION), (SELVES, SELF), (TARGETS, TARGET), (NEGATORS, NEGATOR), (REPORTS, REPORT), (QUOTES, QUOTE), (BOUNDARIES, END))
+        self.fixed = {w: kind for words, kind in fixed for w in words}
 
-    def classify(self, token: str) -> tuple[int, float] | None:
-        """The class and weight of a token, None for others."""
+    def symbol(self, token: str) -> Symbol:
+        """What the machines read for a token."""
         weight = max([self.words.get(token, 0.0), *(self.beginnings.get(token[:n], 0.0) for n in BEGINNINGS if len(token) > n)])
-        out = (INSULT, weight) if weight > 0 else self.fixed.get(token)
+        kind = INSULT if weight > 0 else self.fixed.get(token, WORD if len(token) > 2 else SMALL)
+        out = Symbol(kind, token if token in PHRASE_WORDS or kind == END else "", weight)
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         self.known[token] = out
         return out
 
-    def clauses(self, text: str | None) -> list[float]:
-        """The scores of the clauses of a text that have one."""
-        tokens = TOKEN.findall(text.lower()) if text else []
-        known, classify = self.known, self.classify
-        kinds = [known[t] if t in known else classify(t) for t in tokens]
-        hits = [i for i, k in enumerate(kinds) if k is not None and k[0] in (INSULT, THREAT)]
-        out, end = [], -1
-        for i in hits:
-            if i < end:
-                continue
-            begin = i
-            while begin > 0 and tokens[begin - 1] not in _ENDS:
-                begin -= 1
-            end = i + 1
-            while end < len(tokens) and tokens[end] not in _ENDS:
-                end += 1
-            out.append(clause_score([k or (OTHER, 0.0) for k in kinds[begin:end]]))
-        return [x for x in out if x > 0]
+    def clauses(self, text: str | None) -> list[tuple[int, float, float]]:
+        """(target, insults, threats) of the matched clauses of a text.
+
+        Only lines with an insult, a violent verb or a phrase's last word can match.
+        """
+        out, line, hit, known = [], [], False, self.known
+        for token in TOKEN.findall(text.lower()) if text else ():
+            read = known.get(token) or self.symbol(token)
+            if token == "\n":
+                if hit:
+                    out += self.grammar.matched(line)
+                line, hit = [], False
+            else:
+                line.append(read)
+                hit = hit or read.kind in (INSULT, THREAT) or token in _LAST
+        return out + self.grammar.matched(line) if hit else out
 
     def features(self, text: str | None) -> list[float]:
-        """1, the clauses' sum (log), their largest, and their sum for each hundred characters (log)."""
-        found = self.clauses(text)
-        total = sum(found)
-        return [1.0, float(np.log1p(total)), max(found, default=0.0), float(np.log1p(100.0 * total / (len(text) + 100.0))) if text else 0.0]
+        """1, the sums of addressed insults, of named ones and of threats, all for each hundred characters; in logs."""
+        sums = [0.0, 0.0, 0.0]
+        for about, insults, threats in self.clauses(text):
+            sums[0 if about == ADDRESSED else 1] += insults
+            sums[2] += threats
+        dense = 100.0 * sum(sums) / (len(text) + 100.0) if text else 0.0
+        return [1.0, *np.log1p([*sums, dense]).tolist()]
 
     def probabilities(self, features: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(features @ np.array(self.logistic), -500.0, 500.0)))
 
 
-_ENDS = frozenset(BOUNDARIES)
+_LAST = frozenset(e.split()[-1] for e in (*INSULT_PHRASES, *THREAT_PHRASES))
 
 
 def _candidates(text: str | None) -> set[str]:
@@ -195,37 +312,62 @@ def _one_of_each(ids: list[int], bands: list[list[int] | None]) -> set[int]:
     return {ids[i] for i in range(len(ids)) if root(i) == i}
 
 
-def _lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int, tried: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights of the candidates (toxic, clean examples that hold them) that chance can't explain."""
-    words, beginnings, base = {}, {}, toxic / (toxic + clean)
-    most: Counter = Counter()  # examples of the commonest word that starts so
-    for name, (k, _) in counts.items():
-        if not name.endswith("*"):
-            for n in BEGINNINGS:
-                most[name[:n]] = max(most[name[:n]], k)
-    for name, (k, n) in counts.items():
-        share = k / (k + n)
-        if share <= max(0.8, base):
-            continue
-        gain = share * np.log(share / base) + (0.0 if n == 0 else (1.0 - share) * np.log((1.0 - share) / (1.0 - base)))
-        if (k + n) * gain < np.log(20.0 * tried):
-            continue
-        weight = float(np.log((k + 0.5) / (toxic + 1.0)) - np.log((n + 0.5) / (clean + 1.0)))
+def _tally(rows: DataFrame, kept: set[int]) -> DataFrame:
+    """(name, toxic, clean): how many examples of either label hold each candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (Counter(), Counter())
+
+        def counts() -> pa.RecordBatch:
+            names = list(found[0].keys() | found[1].keys())
+            columns = [pa.array(names, pa.string()), *(pa.array([found[i][x] for x in names], pa.int64()) for i in (1, 0))]
+            return pa.RecordBatch.from_arrays(columns, names=["name", "toxic", "clean"])
+
+        for batch in batches:
+            for doc_id, text, label in zip(*(batch.column(c) for c in ("doc_id", "text", "label")), strict=True):
+                if label.as_py() == 0 or doc_id.as_py() in kept:
+                    found[label.as_py()].update(_candidates(text.as_py()))
+                if len(found[0]) + len(found[1]) > COUNTED:
+                    yield counts()
+                    found[0].clear(), found[1].clear()
+        yield counts()
+
+    return rows.mapInArrow(run, "name string, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def lexicon(counts: DataFrame, toxic: int, clean: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of the words and beginnings that chance can't explain.
+
+    All names that three toxic examples hold are tried.  A beginning goes if one word makes up most of it.
+    """
+    base = toxic / (toxic + clean)
+    tried = saved(counts.where("toxic >= 3"), "tried")
+    number = max(tried.count(), 1)
+    k, n = F.col("toxic"), F.col("clean")
+    share = k / (k + n)
+    gain = share * F.log(share / base) + F.when(n > 0, (1.0 - share) * F.log((1.0 - share) / (1.0 - base))).otherwise(0.0)
+    sure = tried.where((share > max(0.8, base)) & ((k + n) * gain >= float(np.log(20.0 * number))))
+    word = ~F.endswith("name", F.lit("*"))
+    begins = F.explode(F.array(*[F.when(F.length("name") > b, F.concat(F.substring("name", 1, b), F.lit("*"))) for b in BEGINNINGS]))
+    most = tried.where(word).select(begins.alias("name"), k.alias("one")).groupBy("name").agg(F.max("one").alias("one"))
+    sure = sure.join(most, "name", "left").where(word | (F.coalesce("one", F.lit(0)) <= 0.8 * k))
+    weight = F.log((k + 0.5) / (toxic + 1.0)) - F.log((n + 0.5) / (clean + 1.0))
+    words, beginnings = {}, {}
+    for name, value in sure.select("name", weight.alias("weight")).toPandas().itertuples(index=False):
         if name.endswith("*"):
-            if most[name[:-1]] > 0.8 * k:
-                continue  # it says no more than that word
-            beginnings[name[:-1]] = weight
+            beginnings[name[:-1]] = float(value)
         else:
-            words[name] = weight
+            words[name] = float(value)
     return words, beginnings
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
-    """Newton steps for a ridge-regularised logistic regression; the first column is the constant."""
-    beta, penalty = np.zeros(x.shape[1]), np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
+def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[float, ...]:
+    """Newton steps for a logistic regression whose coefficients are drawn to the prior ones, the constant hardly."""
+    prior, penalty = np.array(PRIOR), np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
+    beta = prior.copy()
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -50, 50)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ beta)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ (beta - prior))
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
@@ -236,7 +378,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn the lexicon and the logistic model on at most about ``sample`` labelled rows.
 
     What reaches the driver is bounded by the sample: signatures of its toxic examples,
-    counts of ``CANDIDATES`` words and beginnings, four numbers for each example.
+    the words and beginnings that chance can't explain, five numbers for each example.
     """
     rows = saved(training_rows(docs, labels, "toxic", sample).select("doc_id", "text", "label"), "toxic")
     toxic = rows.where("label = 1").select("doc_id", "text").mapInArrow(_sign, "doc_id long, digest binary, n int, bands array<long>").select("doc_id", "bands").toPandas().sort_values("doc_id")
@@ -245,30 +387,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model = Model()
     if not kept or not clean:
         return model
-
-    def tally(wanted: frozenset[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = {0: Counter(), 1: Counter()}
-                for doc_id, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True):
-                    if label == 0 or doc_id in kept:
-                        own = _candidates(text)
-                        found[label].update(own if wanted is None else own & wanted)
-                names = sorted(set(found[0]) | set(found[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([found[1][x] for x in names], pa.int64()), pa.array([found[0][x] for x in names], pa.int64())], names=["name", "toxic", "clean"])
-
-        return lambda df: df.mapInArrow(run, "name string, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-    often = tally(None)(rows.where("label = 1")).where("toxic >= 3").orderBy(F.desc("toxic"), "name").limit(CANDIDATES).select("name").toPandas()
-    wanted = frozenset(often["name"])
-    counted = tally(wanted)(rows).toPandas()
-    counts = {n: (int(k), int(c)) for n, k, c in zip(counted["name"], counted["toxic"], counted["clean"], strict=True) if k > 0}
-    words, beginnings = _lexicon(counts, len(kept), clean, max(len(wanted), 1))
+    words, beginnings = lexicon(_tally(rows, kept), len(kept), clean)
     model = Model({w: BUILT_IN_WEIGHT for w in INSULTS} | words, beginnings)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(model.words, model.beginnings)
         for batch in batches:
-            x = [model.features(t.as_py()) for t in batch.column("text")]
+            x = [own.features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     got = rows.mapInArrow(measure, "doc_id long, label int, x array<double>").toPandas().sort_values(["doc_id", "label"])

@@ -245,16 +245,6 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
         assert [r["score"] for r in a] == [r["score"] for r in b]
 
 
-def test_grammar():
-    m = toxicity.Model()
-    plain, aimed = m.clauses("an idiot walked by"), m.clauses("you are an idiot")
-    negated, reported = m.clauses("you are not an idiot"), m.clauses('he said "you idiot"')
-    assert aimed[0] > plain[0] > 0 and negated[0] < plain[0] and reported[0] < aimed[0]
-    assert m.clauses("they kill time") != [] and m.clauses("kill the lights") == [] and m.clauses("i will kill you")[0] > 0
-    assert m.clauses("") == m.clauses(None) == []
-    assert len(m.clauses("idiot. moron! fine, clown")) == 3
-
-
 # 6: chats
 
 
