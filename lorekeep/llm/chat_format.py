@@ -23,7 +23,7 @@ conversations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
@@ -68,42 +68,49 @@ def part_tokens(part: Column) -> Column:
 def format_chats(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row for each conversation of ``messages`` (conv_id, turn, role, parts).
 
-    ``formatted``: the rendered text.  ``loss_spans``: (start, length) in code
-    points of every loss role's text within it.  ``attachments``: (index, turn_no,
+    ``formatted``: the rendered text.  ``loss_spans``: (start, length) in code points of every loss role's
+    text within it, with the same in UTF-8 bytes (at, bytes).  ``attachments``: (index, turn_no,
     kind, ref, tokens) in order.  ``placeholder_tokens``: their sum.
+
+    The parts of a conversation are laid out in order once; running sums over them number the
+    attachments and place the spans, so time grows with the parts and not with their square.  All
+    steps share the one exchange by conversation.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(PARTS)).alias("parts"))
     chats = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    # every part of the conversation in order, then the attachments among them
-    flat = F.flatten(F.transform("rows", lambda r, i: F.transform(r["parts"], lambda p, j: F.struct(i.alias("turn_no"), j.alias("part_no"), p.alias("part")))))
-    held = F.filter(flat, lambda x: _kind(x["part"]) != "text")
-    chats = chats.withColumn("held", held)
-    record = lambda x, i: F.struct(i.alias("index"), x["turn_no"].alias("turn_no"), _kind(x["part"]).alias("kind"), x["part"]["ref"].alias("ref"), part_tokens(x["part"]).alias("tokens"))
-    # a turn's first attachment has as many before it as the earlier turns hold
-    sizes = F.transform("rows", lambda r: F.size(F.filter(r["parts"], lambda p: _kind(p) != "text")))
-    chats = chats.withColumn("sizes", sizes)
-
-    def place(r: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(F.col("sizes"), F.lit(1), i), F.lit(0), lambda a, x: a + x)
-        start = F.struct(F.lit("").alias("text"), before.alias("n"))
-        visit = lambda a, p: F.when(_kind(p) == "text", F.struct(F.concat(a["text"], escape(p["text"])).alias("text"), a["n"].alias("n"))).otherwise(F.struct(F.concat(a["text"], F.lit("<|"), escape(_kind(p)), F.lit(":"), a["n"].cast("string"), F.lit("|>")).alias("text"), (a["n"] + 1).alias("n")))
-        return F.struct(F.concat(F.lit(OPEN), escape(r["role"], role=True), F.lit("\n")).alias("head"), F.aggregate(r["parts"], start, visit, lambda a: a["text"]).alias("body"), r["role"].alias("role"))
-
-    chats = chats.withColumn("turns", F.transform("rows", place))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def span(a: Column, t: Column) -> Column:
-        start, length = a["at"] + F.length(t["head"]), F.length(t["body"])
-        mine = F.array(F.struct(start.alias("start"), length.alias("length")))
-        return F.struct((start + length + len(CLOSE)).alias("at"), F.when(t["role"] == loss_role, F.concat(a["spans"], mine)).otherwise(a["spans"]).alias("spans"))
-
-    attachments = F.transform("held", record)
-    return chats.select(
+    turns = chats.select("conv_id", F.posexplode("rows").alias("turn_no", "row")).select("conv_id", "turn_no", "row.role", F.size("row.parts").alias("n_parts"), "row.parts")
+    parts = turns.select("conv_id", "turn_no", "role", "n_parts", F.posexplode_outer("parts").alias("part_no", "part"))
+    parts = parts.withColumn("part_no", F.coalesce("part_no", F.lit(0)))
+    here = Window.partitionBy("conv_id").orderBy("turn_no", "part_no")
+    earlier, turn = here.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("conv_id", "turn_no")
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0).cast("long"))
+    is_text = F.col("part").isNull() | (_kind(F.col("part")) == "text")
+    parts = parts.withColumn("index", total((~is_text).cast("long"), earlier))
+    body = F.when(is_text, escape(F.col("part.text"))).otherwise(F.concat(F.lit("<|"), escape(_kind(F.col("part"))), F.lit(":"), F.col("index").cast("string"), F.lit("|>")))
+    head = F.when(F.col("part_no") == 0, F.concat(F.lit(OPEN), escape(F.col("role"), role=True), F.lit("\n"))).otherwise("")
+    close = F.when(F.col("part_no") >= F.col("n_parts") - 1, F.lit(CLOSE)).otherwise("")
+    parts = parts.withColumns({"body": body, "head": head, "close": close})
+    units = {"chars": F.length, "bytes": F.octet_length}
+    parts = parts.withColumns({f"{u}_whole": size("head") + size("body") + size("close") for u, size in units.items()} | {f"{u}_body": size("body") for u, size in units.items()})
+    parts = parts.withColumns({f"{u}_at": total(f"{u}_whole", earlier) + size("head") for u, size in units.items()} | {f"{u}_n": total(f"{u}_body", turn) for u in units})
+    span = F.struct(F.col("chars_at").alias("start"), F.col("chars_n").alias("length"), F.col("bytes_at").alias("at"), F.col("bytes_n").alias("bytes"))
+    record = F.struct("index", "turn_no", _kind(F.col("part")).alias("kind"), F.col("part.ref").alias("ref"), part_tokens(F.col("part")).alias("tokens"))
+    pieces = parts.select(
+        "conv_id",
+        F.struct(
+            "turn_no", "part_no", F.concat("head", "body", "close").alias("text"),
+            F.when((F.col("part_no") == 0) & (F.col("role") == loss_role), span).alias("span"),
+            F.when(~is_text, record).alias("attachment"),
+        ).alias("piece"),
+    )
+    done = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list("piece")).alias("pieces"), F.sum(F.coalesce("piece.attachment.tokens", F.lit(0).cast("long"))).alias("placeholder_tokens"))
+    present = lambda name: F.filter(F.col(f"pieces.{name}"), lambda x: x.isNotNull())
+    return done.select(
         "conv_id",
-        F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("formatted"),
-        F.aggregate("turns", begin, span, lambda a: a["spans"]).alias("loss_spans"),
-        attachments.alias("attachments"),
-        F.aggregate(attachments, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("placeholder_tokens"),
+        F.array_join("pieces.text", "").alias("formatted"),
+        present("span").alias("loss_spans"),
+        present("attachment").alias("attachments"),
+        "placeholder_tokens",
     )
 
 
@@ -121,8 +128,12 @@ def read_chat(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped, in order.
+
+    The spans are cut out of the text's bytes, which are made once, as a code point can only be found by counting.
+    """
+    cut = lambda raw: F.array_join(F.transform(spans, lambda s: unescape(F.substring(raw, (s["at"] + 1).cast("int"), s["bytes"].cast("int")).cast("string"))), "")
+    return F.element_at(F.transform(F.array(formatted.cast("binary")), cut), 1)
 
 
 def op6_chat_formatting(spark, sf_dir: str) -> DataFrame:

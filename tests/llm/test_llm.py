@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -265,6 +266,22 @@ def test_chats(spark):
     assert [(t["role"], t["text"]) for t in got[2]["back"]] == [("", ""), ("assistant", ""), ("a\nb<", "x")]
     assert got[3]["loss"] == "" and got[None]["back"][0]["text"] == "ééé"
     assert chat_format.format_chats(df.limit(0)).count() == 0
+    again = chat_format.format_chats(df.union(df).repartition(3)).collect()
+    assert {r["conv_id"]: len(r["attachments"]) for r in again} == {1: 6, 2: 0, 3: 0, None: 0}
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    image = "named_struct('kind', 'image', 'text', string(null), 'ref', 'r', 'width', 28, 'height', 28, 'seconds', double(null), 'pages', int(null))"
+    text = "named_struct('kind', 'text', 'text', concat('é<', id), 'ref', string(null), 'width', int(null), 'height', int(null), 'seconds', double(null), 'pages', int(null))"
+    turns = spark.range(32_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", f"array({text}, {image}) AS parts")
+    wide = spark.range(32_000).groupBy().agg(F.sort_array(F.collect_list(F.expr(text))).alias("t")).selectExpr("2L AS conv_id", "0L AS turn", "'assistant' AS role", "t AS parts")
+    began = time.time()
+    chats = chat_format.format_chats(turns.union(wide))
+    got = {r["conv_id"]: r for r in chats.select("conv_id", F.size(chat_format.read_chat(F.col("formatted"))).alias("turns"), F.sha2(chat_format.loss_text(F.col("formatted"), F.col("loss_spans")), 256).alias("loss"), F.get("attachments", F.lit(31_999))["index"].alias("last"), "placeholder_tokens", F.size("loss_spans").alias("spans")).collect()}
+    assert time.time() - began < 60
+    said = "".join(f"é<{i}<|image:{i}|>" for i in range(1, 32_000, 2))
+    assert tuple(got[1])[1:] == (32_000, hashlib.sha256(said.encode()).hexdigest(), 31_999, 32_000, 16_000)
+    assert (got[2]["turns"], got[2]["last"], got[2]["spans"]) == (1, None, 1)
 
 
 # 7: images
