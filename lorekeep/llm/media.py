@@ -1,206 +1,320 @@
 """Copies among images by local descriptors.
 
-Grey images (width, height, one byte for each pixel) get corners on two scales.  A corner's orientation is
-that of its patch's intensity centroid; 192 binary tests, turned by it, make a
-descriptor.  Four 48-bit pieces of a descriptor are the keys of Hamming tables: two
-descriptors that differ in at most three bits share a key for certain, others often do.  Images
-that share a key are compared once, through geometric consensus over all keys that both have: each matched
-pair of corners votes for a rotation, a scale and a shift, and at least
-``VOTES`` corners must agree.  Cropped, brightened, partly covered or turned copies keep enough of them.
+Grey images (width, height, one byte for each pixel) get corners on every level of a pyramid whose levels
+are ``RATIO`` apart, as many as there are: their number grows with the area.  A corner is placed between pixels, its orientation is
+that of its patch's intensity centroid; 168 binary tests on the detail around it (differences of two
+local means), turned by the orientation, make a descriptor.  The tests are chosen among random ones, by a fixed rule, to be even and little
+correlated on textured noise.  Three 56-bit pieces of a descriptor are the keys of Hamming tables; they don't tell levels apart, so a corner meets its
+counterpart in a resized copy.
+
+Images that share a key are nominated, and each nominated pair is verified once, by all corners of both: every corner meets the other image's nearest
+descriptor, at most ``BITS`` bits away, and votes for a rotation, a scale and a shift; at least
+``VOTES`` corners at different places must agree, and at least ``VOTING`` of the corners of the image that has fewer.  Cropped, resized, brightened, partly covered or turned copies keep enough of them.
 
 Images with equal pixels are one class at once and go on as one.  In a bucket of the
-tables all images meet the largest one, then those that don't link to it meet the
-rest, a bounded number each round; no bucket is capped.
+tables all images meet the largest one, then those outside the bucket's main class meet the
+rest that is in another class, a bounded number each round; no bucket is capped.  Buckets are salted, so that one may hold any share of the images.
 
 Defined results: the class is named by its smallest image_id.  An image whose data
 are null or don't fit its width and height has no corners and a class of its own, as has one that is
-too small or flat.  A corner key that an image repeats counts once.  Rows with one image_id count as one image.
-A row with a null image_id gets a null class.  An empty table gives no rows.
+too small or flat.  A corner key that an image repeats counts once.  Rows with one image_id count as one image with all their corners.
+A row with a null image_id gets a null class.  An empty table gives no rows.  An image is described whole, in about 100 bytes a pixel.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import saved, table
+from lorekeep.llm.buckets import first_rows, salted, to_bucket
+from lorekeep.llm.common import saved, small, table
 from lorekeep.llm.near_dup import components
 
-#: Corners kept at full and at half size, strongest first.
-CORNERS = (12, 6)
-#: Reach of a patch in pixels, directions that orientations are rounded to, binary tests.
-REACH, TURNS, TESTS = 9, 32, 192
-#: Pieces that a descriptor is cut into.
-TABLES = 4
-#: Corners that must agree on a transformation, and the cell of a shift in pixels.
-VOTES, SHIFT = 4, 8
+#: Sizes of neighbouring levels, reach of a patch and width of an image's unused border in pixels, distance of neighbouring corners.
+RATIO, REACH, BORDER, APART = 1.15, 6, 8, 3
+#: Reach of the wider mean that detail is told from.
+AROUND = 5
+#: Tables, and bits of a key: a descriptor has all of them.
+TABLES, KEY_BITS = 3, 56
+TESTS = TABLES * KEY_BITS
+#: Bits in which two descriptors of one corner may differ.
+BITS = TESTS * 36 // 224
+#: Directions that orientations are rounded to for the vote.
+TURNS = 32
+#: Corners that must agree on a transformation, also as a part of the corners of the image with fewer; the cell of a shift in pixels, or as a part of the image's side.
+VOTES, VOTING, SHIFT, PART = 4, 0.01, 8.0, 0.2
 #: Images of a bucket that meet the rest of it in one round.
 ROUND = 16
 SIZE = 80
-CORNER = "struct<keys:array<bigint>,x:double,y:double,turn:int,level:int>"
+CORNERS = "keys array<bigint>, x array<float>, y array<float>, turn array<int>, level array<int>"
 
 
 def box(a: np.ndarray, r: int) -> np.ndarray:
-    """Sums over (2r+1)-squares, edges repeated."""
-    p = np.pad(a, r + 1, mode="edge").cumsum(axis=0).cumsum(axis=1)
+    """Sums over (2r+1)-squares of the last two axes, edges repeated."""
     n = 2 * r + 1
-    return (p[n:, n:] - p[:-n, n:] - p[n:, :-n] + p[:-n, :-n])[: a.shape[0], : a.shape[1]]
+    rows, cols = (np.clip(np.arange(-r - 1, k + r), 0, k - 1) for k in a.shape[-2:])
+    a = a[..., rows, :].cumsum(axis=-2)
+    a = (a[..., n:, :] - a[..., :-n, :])[..., cols].cumsum(axis=-1)
+    return a[..., n:] - a[..., :-n]
+
+
+def resized(image: np.ndarray, factor: float) -> np.ndarray:
+    """The image smaller by ``factor``: each new pixel is the mean of the area it covers."""
+
+    def rows(a: np.ndarray) -> np.ndarray:
+        edges = np.arange(int(len(a) / factor) + 1) * factor
+        at = np.minimum(edges.astype(int), len(a) - 1)
+        total = np.concatenate([np.zeros((1, a.shape[1])), a.cumsum(axis=0)])
+        part = (edges - at)[:, None]
+        return np.diff(total[at] * (1 - part) + total[at + 1] * part, axis=0) / factor
+
+    return rows(rows(image).T).T
 
 
-def corner_points(image: np.ndarray, most: int) -> np.ndarray:
-    """(row, column) of the strongest corners (smaller eigenvalue of the structure tensor)."""
+def sampled(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values between pixels."""
+    row, col = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx = y - row, x - col
+    at = row * image.shape[1] + col
+    flat, width = image.ravel(), image.shape[1]
+    return (flat[at] * (1 - fx) + flat[at + 1] * fx) * (1 - fy) + (flat[at + width] * (1 - fx) + flat[at + width + 1] * fx) * fy
+
+
+def corner_points(image: np.ndarray) -> np.ndarray:
+    """(row, column), between pixels, of the local maxima of the structure tensor's smaller eigenvalue."""
     h, w = image.shape
-    margin = REACH + 3
-    if h <= 2 * margin or w <= 2 * margin:
-        return np.empty((0, 2), int)
     gy, gx = np.zeros((h, w)), np.zeros((h, w))
     gy[1:-1], gx[:, 1:-1] = image[2:] - image[:-2], image[:, 2:] - image[:, :-2]
-    a, b, c = box(gx * gx, 2), box(gy * gy, 2), box(gx * gy, 2)
+    a, b, c = box(box(np.stack([gx * gx, gy * gy, gx * gy]), 2), 1)
     strength = (a + b) / 2 - np.sqrt(np.square((a - b) / 2) + c * c)
-    inner = strength[margin - 2 : h - margin + 2, margin - 2 : w - margin + 2]
-    rows = np.max([inner[i : len(inner) - 4 + i] for i in range(5)], axis=0)
-    peak = np.max([rows[:, i : rows.shape[1] - 4 + i] for i in range(5)], axis=0)
-    mid = inner[2:-2, 2:-2]
-    y, x = np.nonzero((mid == peak) & (mid > max(1.0, 0.01 * mid.max())))
-    order = np.lexsort((x, y, -np.round(mid[y, x], 6)))[:most]
-    return np.stack([y[order] + margin, x[order] + margin], axis=1)
+    inner = strength[BORDER - APART : h - BORDER + APART, BORDER - APART : w - BORDER + APART]
+    n = 2 * APART
+    rows = np.max([inner[i : len(inner) - n + i] for i in range(n + 1)], axis=0)
+    peak = np.max([rows[:, i : rows.shape[1] - n + i] for i in range(n + 1)], axis=0)
+    own = inner[APART:-APART, APART:-APART]
+    y, x = np.nonzero((own == peak) & (own > max(1.0, 0.01 * own.max())))
+    y, x = y + BORDER, x + BORDER
 
+    def between(before: np.ndarray, here: np.ndarray, after: np.ndarray) -> np.ndarray:
+        bend = before - 2 * here + after
+        return np.where(bend < 0, np.clip((before - after) / 2 / np.where(bend < 0, bend, -1.0), -0.5, 0.5), 0.0)
 
-@cache
-def patterns() -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of the round patch, and the binary tests' offsets for every direction."""
+    here = strength[y, x]
+    return np.stack([y + between(strength[y - 1, x], here, strength[y + 1, x]), x + between(strength[y, x - 1], here, strength[y, x + 1])], axis=1)
+
+
+def disc() -> np.ndarray:
+    """Offsets (row, column) of the round patch."""
     span = np.arange(-REACH, REACH + 1)
     dy, dx = np.meshgrid(span, span, indexing="ij")
-    disc = np.stack([dy, dx], axis=-1)[dy * dy + dx * dx <= REACH * REACH]
-    rng = np.random.default_rng(3)
-    radius, bearing = REACH * np.sqrt(rng.uniform(0, 1, (TESTS, 2))), rng.uniform(0, 2 * np.pi, (TESTS, 2))
-    spots = np.stack([radius * np.sin(bearing), radius * np.cos(bearing)], axis=-1)
-    angle = 2 * np.pi * np.arange(TURNS) / TURNS
-    cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-    y, x = spots[None, ..., 0], spots[None, ..., 1]
-    turned = np.stack([x * sin + y * cos, x * cos - y * sin], axis=-1)
-    return disc, np.rint(turned).astype(int)
-
-
-def describe(image: np.ndarray) -> list[dict]:
+    return np.stack([dy, dx], axis=-1)[dy * dy + dx * dx <= REACH * REACH]
+
+
+def contrasts(image: np.ndarray, tests: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size of the level's pixels, corners, orientations, differences of the tests' ends) for every level."""
+    patch, level, number = disc(), image.astype(float), 0
+    while min(level.shape) > 2 * BORDER + 2:
+        local = box(level, 1)
+        points = corner_points(local)
+        if len(points):
+            y, x = points[:, 0], points[:, 1]
+            around = sampled(local, y[:, None] + patch[None, :, 0], x[:, None] + patch[None, :, 1])
+            angle = np.arctan2(around @ patch[:, 0], around @ patch[:, 1])
+            cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+            detail = local / 9 - box(level, AROUND) / (2 * AROUND + 1) ** 2
+            ends = sampled(detail, y[:, None, None] + tests[..., 1] * sin + tests[..., 0] * cos, x[:, None, None] + tests[..., 1] * cos - tests[..., 0] * sin)
+            yield RATIO**number, points, angle, ends[..., 0] - ends[..., 1]
+        number += 1
+        if min(image.shape) / RATIO**number <= 2 * BORDER + 2:
+            return
+        level = resized(image.astype(float), RATIO**number)
+
+
+@cache
+def chosen_tests(tried: int = 1200, seed: int = 3) -> np.ndarray:
+    """``TESTS`` pairs of (row, column) offsets, the most even and least correlated of random ones on textured noise."""
+    rng = np.random.default_rng(seed)
+    radius, bearing = REACH * np.sqrt(rng.uniform(0, 1, (tried, 2))), rng.uniform(0, 2 * np.pi, (tried, 2))
+    tests = np.stack([radius * np.sin(bearing), radius * np.cos(bearing)], axis=-1)
+    tests = tests[np.hypot(*(tests[:, 0] - tests[:, 1]).T) >= 0.3 * REACH]
+    seen = []
+    for _ in range(16):
+        noise = sum((z := box(box(rng.normal(size=(96, 96)), k), k)) / z.std() * k**0.7 for k in (1, 2, 4, 8))
+        for y, x, h, w in rng.integers(0, 96, (10, 4)):
+            noise[y : y + h // 3 + 6, x : x + w // 3 + 6] += 3 * rng.normal()
+        seen += [d for *_, d in contrasts(np.clip(128 + 25 * noise, 0, 255), tests)]
+    bits = (np.concatenate(seen) < 0).astype(float)
+    apart = bits - bits.mean(axis=0)
+    unit = apart / (np.sqrt(np.square(apart).sum(axis=0)) + 1e-9)
+    alike, order = np.abs(unit.T @ unit), np.argsort(np.abs(bits.mean(axis=0) - 0.5), kind="stable")
+    taken, most, free = [], 0.25, np.ones(len(order), bool)
+    worst = np.zeros(len(order))
+    while len(taken) < TESTS:
+        for i in order:
+            if free[i] and worst[i] < most and len(taken) < TESTS:
+                taken.append(i)
+                free[i] = False
+                worst = np.maximum(worst, alike[i])
+        most += 0.05
+    return tests[taken]
+
+
+def describe(image: np.ndarray) -> dict[str, np.ndarray]:
     """The corners of an image with their table keys, in full-size coordinates."""
-    out, level = [], image.astype(np.int64)
-    disc, tests = patterns()
-    for scale, most in enumerate(CORNERS):
-        if scale:
-            h, w = (n // 2 * 2 for n in level.shape)
-            level = (level[:h:2, :w:2] + level[1:h:2, :w:2] + level[:h:2, 1:w:2] + level[1:h:2, 1:w:2]) // 4
-        smooth = box(level, 1)
-        points = corner_points(smooth.astype(float), most)
-        if not len(points):
-            continue
-        patch = smooth[points[:, None, 0] + disc[None, :, 0], points[:, None, 1] + disc[None, :, 1]]
-        angle = np.arctan2(patch @ disc[:, 0], patch @ disc[:, 1])
+    tests, parts = chosen_tests(), []
+    for size, points, angle, difference in contrasts(image, tests):
+        bits = (difference < 0).reshape(len(points), TABLES, KEY_BITS).astype(np.int64)
+        keys = (np.arange(TABLES) << KEY_BITS) + (bits << np.arange(KEY_BITS)).sum(axis=2)
         turn = np.rint(angle * TURNS / (2 * np.pi)).astype(int) % TURNS
-        at = points[:, None, None, :] + tests[turn]
-        value = smooth[at[..., 0], at[..., 1]]
-        bits = (value[..., 0] < value[..., 1]).reshape(len(points), TABLES, -1).astype(np.int64)
-        pieces = (bits << np.arange(TESTS // TABLES)).sum(axis=2)
-        keys = (np.arange(TABLES)[None, :] << 58 | scale << 56) + pieces
-        grow = 1 << scale
-        for p, t, k in zip(points, turn, keys, strict=True):
-            out.append({"keys": k.tolist(), "x": float(p[1] * grow + (grow - 1) / 2), "y": float(p[0] * grow + (grow - 1) / 2), "turn": int(t), "level": scale})
-    return out
+        level = np.full(len(points), round(np.log(size) / np.log(RATIO)))
+        parts.append((keys, (points[:, 1] + 0.5) * size - 0.5, (points[:, 0] + 0.5) * size - 0.5, turn, level))
+    if not parts:
+        return {"keys": np.empty((0, TABLES), np.int64), "x": np.empty(0), "y": np.empty(0), "turn": np.empty(0, int), "level": np.empty(0, int)}
+    return dict(zip(("keys", "x", "y", "turn", "level"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
 
 
 def described(images: DataFrame) -> DataFrame:
-    """(image_id, digest, area, corners) of ``images`` (image_id, width, height, pixels)."""
+    """(image_id, digest, area, keys, x, y, turn, level) of ``images`` (image_id, width, height, pixels)."""
+    kinds = {"keys": pa.int64(), "x": pa.float32(), "y": pa.float32(), "turn": pa.int32(), "level": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, areas, corners = [], [], []
-            for w, h, data in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "pixels")), strict=True):
-                fits = data is not None and w and h and w > 0 and h > 0 and len(data) == w * h
-                digests.append(hashlib.sha256(b"%d,%d," % (w, h) + data).digest() if fits else None)
-                areas.append(w * h if fits else 0)
-                corners.append(describe(np.frombuffer(data, np.uint8).reshape(h, w)) if fits else [])
-            kind = pa.list_(pa.struct([("keys", pa.list_(pa.int64())), ("x", pa.float64()), ("y", pa.float64()), ("turn", pa.int32()), ("level", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(digests, pa.binary()), pa.array(areas, pa.int64()), pa.array(corners, kind)], names=["image_id", "digest", "area", "corners"])
+            for begin in range(0, len(batch), 256):
+                part = batch.slice(begin, 256)
+                digests, areas, corners = [], [], []
+                for w, h, data in zip(*(part.column(c) for c in ("width", "height", "pixels")), strict=True):
+                    w, h, data = w.as_py(), h.as_py(), data.as_py()
+                    fits = data is not None and w and h and w > 0 and h > 0 and len(data) == w * h
+                    digests.append(hashlib.sha256(b"%d,%d," % (w, h) + data).digest() if fits else None)
+                    areas.append(w * h if fits else 0)
+                    corners.append(describe(np.frombuffer(data, np.uint8).reshape(h, w) if fits else np.empty((0, 0))))
+                lists = [pa.array([c[name].ravel() for c in corners], pa.list_(kind)) for name, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays([part.column("image_id"), pa.array(digests, pa.binary()), pa.array(areas, pa.int64()), *lists], names=["image_id", "digest", "area", *kinds])
+
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, f"image_id long, digest binary, area long, {CORNERS}")
+
+
+def nearest_corners(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): the nearest descriptor in ``b`` to every one in ``a`` that has one within ``BITS`` bits."""
+    near, bits = np.zeros(len(a), int), np.full(len(a), TESTS + 1)
+    step = max(1, 2_000_000 // max(len(b), 1))
+    for at in range(0, len(a) if len(b) else 0, step):
+        apart = sum(np.bitwise_count(a[at : at + step, None, t] ^ b[None, :, t]).astype(np.int16) for t in range(TABLES))
+        near[at : at + step], bits[at : at + step] = apart.argmin(axis=1), apart.min(axis=1)
+    i = np.flatnonzero(bits <= BITS)
+    return i, near[i]
+
+
+def agreeing(a: dict[str, np.ndarray], b: dict[str, np.ndarray], side: float) -> int:
+    """The most matched corners, at different places of both images, that agree on one transformation.
+
+    Rotations and scales fall into pairs of neighbouring steps, shifts into cells; all of them on two grids
+    half a bin apart, so agreeing corners share a bin of some grid.  ``side``: the second image's.
+    """
+    i, j = nearest_corners(a["keys"], b["keys"])
+    if len(i) < VOTES:
+        return 0
+    turn, level = (b["turn"][j] - a["turn"][i]) % TURNS, b["level"][j] - a["level"][i]
+    ax, ay, bx, by = a["x"][i], a["y"][i], b["x"][j], b["y"][j]
+    place = [np.rint(x // 3).astype(np.int64) << 32 | np.rint(y // 3).astype(np.int64) for x, y in ((ax, ay), (bx, by))]
+    cell, most = max(SHIFT, PART * side), 0
+    for g_turn, g_level in itertools.product((0, 1), (0, 1)):
+        turns, levels = (turn + g_turn) // 2 % (TURNS // 2), (level + g_level) // 2
+        angle = 2 * np.pi * (2 * turns + 0.5 - g_turn) / TURNS
+        scale = RATIO ** (2 * levels + 0.5 - g_level)
+        tx = bx - scale * (np.cos(angle) * ax - np.sin(angle) * ay)
+        ty = by - scale * (np.sin(angle) * ax + np.cos(angle) * ay)
+        for gx, gy in itertools.product((0.0, 0.5), (0.0, 0.5)):
+            bins = np.stack([turns, levels, np.floor(tx / cell + gx).astype(int), np.floor(ty / cell + gy).astype(int)], axis=1)
+            _, bin_no = np.unique(bins, axis=0, return_inverse=True)
+            counts = [np.bincount(np.unique(np.stack([bin_no.ravel(), p], axis=1), axis=0)[:, 0]) for p in place]
+            most = max(most, int(np.minimum(*counts).max()))
+    return most
+
+
+def are_copies(a: dict[str, np.ndarray], b: dict[str, np.ndarray], side: float) -> bool:
+    """Whether enough corners agree."""
+    return agreeing(a, b, side) >= max(VOTES, VOTING * min(len(a["keys"]), len(b["keys"])))
+
+
+def verified(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b), a < b, whose corners agree."""
+    names = ["keys", "x", "y", "turn", "level"]
+    wanted = pairs.select(F.col("a").alias("image_id")).union(pairs.select(F.col("b").alias("image_id"))).distinct()
+    held = facts.join(wanted, "image_id", "left_semi").groupBy("image_id", "digest").agg(F.first(F.struct("area", *names)).alias("c"))
+    held = held.groupBy("image_id").agg(F.max("c.area").alias("area"), *[F.flatten(F.collect_list(f"c.{n}")).alias(n) for n in names])
+    held = saved(held, "held")
+    side = lambda which: held.select(F.col("image_id").alias(which), F.struct("area", *names).alias(f"{which}_corners"))
+
+    def corners(column: pa.StructArray, row: int) -> dict[str, np.ndarray]:
+        out = {n: column.field(n)[row].values.to_numpy(zero_copy_only=False) for n in names}
+        return out | {"keys": out["keys"].reshape(-1, TABLES), "side": float(np.sqrt(column.field("area")[row].as_py()))}
 
-    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, f"image_id long, digest binary, area long, corners array<{CORNER}>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = batch.column("a_corners"), batch.column("b_corners")
+            fine = []
+            for row in range(len(batch)):
+                a, b = corners(one, row), corners(other, row)
+                fine.append(are_copies(a, b, b["side"]))
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
+    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_corners", "b_corners")
+    return saved(met.mapInArrow(run, "a long, b long"), "links")
 
-def consensus(matches: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose matched corners agree on one transformation.
 
-    ``matches`` has (a, b, ca, cb).  Shifts fall into cells on two grids half a cell
-    apart in each direction, so agreeing shifts share a cell of some grid.
-    """
-    turn = F.pmod(F.col("cb.turn") - F.col("ca.turn"), F.lit(TURNS))
-    angle = turn * (2 * np.pi / TURNS)
-    scale = F.pow(F.lit(2.0), F.col("cb.level") - F.col("ca.level"))
-    tx = F.col("cb.x") - scale * (F.cos(angle) * F.col("ca.x") - F.sin(angle) * F.col("ca.y"))
-    ty = F.col("cb.y") - scale * (F.sin(angle) * F.col("ca.x") + F.cos(angle) * F.col("ca.y"))
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("gx"), F.lit(j).alias("gy")) for i in (0, 1) for j in (0, 1)])).alias("g")
-    votes = matches.select("a", "b", turn.alias("turn"), scale.alias("scale"), tx.alias("tx"), ty.alias("ty"), F.struct("ca.x", "ca.y").alias("p"), F.struct("cb.x", "cb.y").alias("q"), grid)
-    cell = lambda t, g: F.floor((F.col(t) + F.col(g) * (SHIFT / 2)) / SHIFT)
-    by = votes.groupBy("a", "b", "turn", "scale", "g", cell("tx", "g.gx").alias("cx"), cell("ty", "g.gy").alias("cy"))
-    agreed = by.agg(F.size(F.collect_set("p")).alias("n"), F.size(F.collect_set("q")).alias("m"))
-    return agreed.where((F.col("n") >= VOTES) & (F.col("m") >= VOTES)).select("a", "b").distinct()
-
-
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) that agree, over all buckets that both images hold."""
-    side = lambda image, corners: held.select(F.col("image").alias(image), F.col("held").alias(corners))
-    same = lambda x: F.transform(F.filter("hb", lambda y: y["bucket"] == x["bucket"]), lambda y: F.struct(x["corner"].alias("ca"), y["corner"].alias("cb")))
-    met = pairs.join(side("b", "hb"), "b").join(side("a", "ha"), "a").select("a", "b", F.flatten(F.transform("ha", same)).alias("matches"))
-    # fewer matches than votes can't agree
-    matches = met.where(F.size("matches") >= VOTES).select("a", "b", F.explode("matches").alias("m"))
-    return saved(consensus(matches.select("a", "b", F.col("m.ca").alias("ca"), F.col("m.cb").alias("cb"))), "links")
-
-
-def copy_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, between images of ``rows`` (bucket, image, area, corner).
+def copy_links(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, that join the images of ``rows`` (bucket, image, area) into classes.
 
     Buckets only nominate pairs: a bucket's largest image with all others; then, round by round, up to ``ROUND``
-    of the images that don't link to it with the rest, until none is left.  A pair is verified once, with
-    its corners of all buckets, so its link doesn't depend on the other images there.
+    of the images outside the bucket's main class with those of other classes, until none is left.  A pair is verified once, with
+    all corners of both, so its link doesn't depend on the other images there.
     """
-    held = saved(rows.groupBy("image").agg(F.collect_list(F.struct("bucket", "corner")).alias("held")), "held")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    rows = rows.select("bucket", "image", "area").distinct()
-    top = rows.groupBy("bucket").agg(F.max(F.struct("area", (-F.col("image")).alias("minus"))).alias("top"), F.count("*").alias("k")).where("k > 1")
-    rows = saved(rows.join(top.select("bucket", (-F.col("top.minus")).alias("pivot")), "bucket").where("image <> pivot"), "buckets")
-    tried = saved(rows.select(*pair("pivot", "image")).distinct(), "pairs")
-    found = verified(tried, held)
-    known = found.select("a", "b", F.lit(True).alias("linked"))
-    rows = rows.select("bucket", "image", "area", *pair("pivot", "image")).join(known, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    rows = saved(rows.drop("a", "b"), "open")
+    rows, sizes = salted(rows, "image")
+    rows = saved(rows, "buckets")
+    top = rows.groupBy("bucket").agg(F.max(F.struct("area", (-F.col("image")).alias("minus"))).alias("top"))
+    met = to_bucket(rows, top.select("bucket", (-F.col("top.minus")).alias("pivot")), sizes).where("image <> pivot")
+    tried = saved(met.select(*pair("pivot", "image")).distinct(), "pairs")
+    found = verified(tried, facts)
     while True:
-        order = Window.partitionBy("bucket").orderBy(F.desc("area"), "image")
-        chosen = saved(rows.where("NOT linked").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= ROUND), "chosen")
+        classes = components(found).withColumnsRenamed({"node": "image", "root": "class"})
+        rows = rows.drop("class").join(classes, "image", "left").withColumn("class", F.coalesce("class", "image"))
+        counts = rows.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+        main = counts.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
+        rows = saved(to_bucket(rows, main.select("bucket", F.col("main.class").alias("main")), sizes), "open")
+        chosen = first_rows(rows.where("class <> main AND NOT done"), [F.desc("area"), F.col("image")], ROUND)
+        chosen = saved(chosen.select("bucket", F.col("image").alias("x"), F.col("class").alias("cx")), "chosen")
         if chosen.isEmpty():
             return found
-        near = chosen.select("bucket", F.col("image").alias("x")).join(rows.select("bucket", F.col("image").alias("y")), "bucket").where("x <> y")
-        fresh = saved(near.select(*pair("x", "y")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(fresh)
-        found = found.union(verified(fresh, held))
-        rows = rows.join(chosen.select("bucket", "image"), ["bucket", "image"], "left_anti")
-        rows = saved(rows.join(rows.where("NOT linked").select("bucket").distinct(), "bucket", "left_semi"), "open")
+        near = to_bucket(rows, chosen, sizes).where("class <> cx").select(*pair("x", "image")).distinct()
+        fresh = saved(near.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried, found = tried.union(fresh), found.union(verified(fresh, facts))
+        went = chosen.select("bucket", F.col("x").alias("image"), F.lit(True).alias("went"))
+        rows = rows.drop("main").join(went, ["bucket", "image"], "left").withColumn("done", F.col("done") | F.coalesce("went", F.lit(False))).drop("went")
 
 
 def image_copies(images: DataFrame) -> DataFrame:
-    """(image_id, class_id, corners) for each row of ``images``."""
+    """(image_id, class_id, n_corners) for each row of ``images``."""
     facts = saved(described(images), "described")
     equal = facts.where("digest IS NOT NULL").groupBy("digest").agg(F.min("image_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    member = saved(facts.join(equal.select("digest", "first"), "digest", "left").select("image_id", F.coalesce("first", "image_id").alias("rep"), "area", "corners"), "member")
-    reps = member.where("image_id = rep").select(F.col("image_id").alias("image"), "area", "corners")
-    rows = reps.select("image", F.posexplode("corners.keys").alias("no", "keys")).select("image", "no", F.explode("keys").alias("bucket"))
+    equal = small(saved(equal.select("digest", "first"), "equal"))
+    rep = F.coalesce("first", "image_id")
+    corners = F.size("level").cast("long").alias("n_corners")
+    member = saved(facts.select("image_id", "digest", "area", corners).join(equal, "digest", "left").select("image_id", rep.alias("rep"), "area", "n_corners"), "member")
+    reps = facts.join(equal, "digest", "left").where(F.col("image_id") == rep).select(F.col("image_id").alias("image"), "keys")
+    rows = reps.select("image", F.explode("keys").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("image").alias("one"), F.max("image").alias("other")).where("one <> other").select("bucket")
-    rows = rows.join(shared, "bucket").groupBy("bucket", "image").agg(F.min("no").alias("no"))
-    corner = F.element_at("corners", F.col("no") + 1).dropFields("keys").alias("corner")
-    links = copy_links(saved(rows.join(reps, "image").select("bucket", "image", "area", corner), "corners"))
+    rows = rows.join(shared, "bucket").distinct()
+    rows = rows.join(member.where("image_id = rep").groupBy(F.col("image_id").alias("image")).agg(F.max("area").alias("area")), "image")
+    links = copy_links(saved(rows.select("bucket", "image", "area", F.lit(False).alias("done")), "shared"), facts)
     several = member.groupBy("image_id").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("image_id")
     ties = member.join(several, "image_id").select(F.col("image_id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.union(ties))
@@ -208,7 +322,7 @@ def image_copies(images: DataFrame) -> DataFrame:
     classes = roots.join(names, "root").select(F.col("node").alias("rep"), "class_id")
     done = member.join(classes, "rep", "left")
     class_id = F.when(F.col("image_id").isNotNull(), F.coalesce("class_id", "rep"))
-    return done.select("image_id", class_id.alias("class_id"), F.size("corners").cast("long").alias("n_corners"))
+    return done.select("image_id", class_id.alias("class_id"), "n_corners")
 
 
 def render(vector: list[float], size: int = SIZE) -> np.ndarray:
@@ -230,9 +344,14 @@ def render(vector: list[float], size: int = SIZE) -> np.ndarray:
 
 
 def edit(image: np.ndarray, kind: int, seed: int) -> np.ndarray:
-    """A crop, a brighter and partly covered copy, or a quarter turn."""
+    """A crop, a brighter and partly covered copy, a quarter turn, a crop to half of each side, or a copy of two thirds the size."""
     rng = np.random.default_rng(seed)
     n = len(image)
+    if kind == 3:
+        y, x = rng.integers(0, n - n // 2, 2)
+        return np.ascontiguousarray(image[y : y + n // 2, x : x + n // 2])
+    if kind == 4:
+        return np.clip(np.rint(resized(image.astype(float), 1.5)), 0, 255).astype(np.uint8)
     if kind == 0:
         y, x = rng.integers(0, n // 5, 2)
         return np.ascontiguousarray(image[y : y + n * 4 // 5, x : x + n * 4 // 5])
@@ -260,7 +379,7 @@ def pictures(embeddings: DataFrame) -> DataFrame:
                 part = batch.slice(begin, 1000)
                 shape, data = [], []
                 for i, own, before in zip(*(part.column(c).to_pylist() for c in ("image_id", "embedding", "before")), strict=True):
-                    image = edit(render(before), i // 10 % 3, i) if before is not None else render(own) if own is not None else None
+                    image = edit(render(before), i // 10 % 5, i) if before is not None else render(own) if own is not None else None
                     shape.append(image.shape if image is not None else (None, None))
                     data.append(image.tobytes() if image is not None else None)
                 yield pa.RecordBatch.from_arrays([part.column("image_id"), pa.array([s[1] for s in shape], pa.int32()), pa.array([s[0] for s in shape], pa.int32()), pa.array(data, pa.binary())], names=["image_id", "width", "height", "pixels"])

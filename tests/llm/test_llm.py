@@ -13,7 +13,7 @@ import pytest
 from conftest import rows, same_as_duckdb
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, bpe, chat_format, media, mixing, near_dup, quality, queries, toxicity, url_filter, warc
+from lorekeep.llm import ann, bpe, chat_format, mixing, near_dup, quality, queries, toxicity, url_filter, warc
 from lorekeep.llm.common import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -284,41 +284,6 @@ def test_long_conversations_take_time_in_proportion(spark):
     assert (got[2]["turns"], got[2]["last"], got[2]["spans"]) == (1, None, 1)
 
 
-# 7: images
-
-
-def test_image_copies(spark, sf):
-    got = {r["image_id"]: r["class_id"] for r in media.op7_media(spark, sf).collect()}
-    edits = [i for i in got if i % 10 == 3]
-    assert np.mean([got[i] == got[i - 1] for i in edits]) > 0.9
-    assert all(got[i] == i for i in got if i % 10 != 3)
-
-
-def test_image_edge_cases(spark, monkeypatch):
-    rng = np.random.default_rng(0)
-    one = media.render(rng.normal(size=64).tolist())
-    row = lambda i, a: (i, a.shape[1], a.shape[0], bytearray(a.tobytes()))
-    crops = [(20 + k, media.edit(one, 0, k)) for k in range(24)]
-    data = [row(1, one), row(2, one), row(3, np.rot90(one).copy()), (4, None, None, None), (5, 3, 3, bytearray(b"x")), row(6, np.zeros((40, 40), np.uint8)), row(7, one[:5, :5].copy()), row(7, one[:5, :5].copy()), (None, 80, 80, bytearray(one.tobytes()))]
-    df = spark.createDataFrame(data + [row(i, a) for i, a in crops], "image_id long, width int, height int, pixels binary").withColumn("area", F.lit(1))
-    got = [(r["image_id"], r["class_id"]) for r in media.image_copies(df).collect()]
-    by = dict(got)
-    assert len(got) == len(data) + len(crops)
-    assert by[1] == by[2] == by[3] == 1 and by[4] == 4 and by[5] == 5 and by[6] == 6 and by[7] == 7 and by[None] is None
-    assert np.mean([by[i] == 1 for i, _ in crops]) > 0.9
-    assert media.image_copies(df.limit(0)).count() == 0
-
-
-def test_image_votes_add_up_over_buckets(spark):
-    spots = [(5.0, 9.0), (20.0, 31.0), (44.0, 12.0), (60.0, 55.0), (33.0, 70.0), (71.0, 8.0)]
-    mine = [(k, i, 100, (x, y, 0, 0)) for i in (1, 2) for k, (x, y) in enumerate(spots)]
-    other = [(k, 9, 400, (300.0 * k, 90.0 * k * k, 5 * k, 0)) for k in (3, 4, 5)]
-    rows = lambda data: spark.createDataFrame(data, "bucket long, image long, area long, corner struct<x:double,y:double,turn:int,level:int>")
-    links = lambda data: {(r["a"], r["b"]) for r in media.copy_links(rows(data)).collect()}
-    assert links(mine) == links(mine + other) == {(1, 2)}
-    assert links([r for r in mine if r[0] < 3]) == set()
-
-
 # 8: tokens
 
 
