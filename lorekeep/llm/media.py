@@ -8,7 +8,7 @@ correlated on textured noise.  Three 56-bit pieces of a descriptor are the keys
 counterpart in a resized copy.
 
 Images that share a key are nominated, and each nominated pair is verified once, by all corners of both: every corner meets the other image's nearest
-descriptor, at most ``BITS`` bits away, and votes for a rotation, a scale and a shift; at least
+one, whose mark (63 bits of the descriptor) is at most ``BITS`` bits away, and votes for a rotation, a scale and a shift; at least
 ``VOTES`` corners at different places must agree, and at least ``VOTING`` of the corners of the image that has fewer.  Cropped, resized, brightened, partly covered or turned copies keep enough of them.
 
 Images with equal pixels are one class at once and go on as one.  In a bucket of the
@@ -30,7 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.buckets import first_rows, salted, to_bucket
@@ -44,8 +44,8 @@ AROUND = 5
 #: Tables, and bits of a key: a descriptor has all of them.
 TABLES, KEY_BITS = 3, 56
 TESTS = TABLES * KEY_BITS
-#: Bits in which two descriptors of one corner may differ.
-BITS = TESTS * 36 // 224
+#: Bits in which two marks of one corner may differ.
+BITS = 9
 #: Directions that orientations are rounded to for the vote.
 TURNS = 32
 #: Corners that must agree on a transformation, also as a part of the corners of the image with fewer; the cell of a shift in pixels, or as a part of the image's side.
@@ -53,7 +53,9 @@ VOTES, VOTING, SHIFT, PART = 4, 0.01, 8.0, 0.2
 #: Images of a bucket that meet the rest of it in one round.
 ROUND = 16
 SIZE = 80
-CORNERS = "keys array<bigint>, x array<float>, y array<float>, turn array<int>, level array<int>"
+#: Low bits of each key that make up a corner's mark, by which corners are compared.
+MARK_BITS = 21
+CORNERS = "keys array<bigint>, spots array<bigint>"
 
 
 def box(a: np.ndarray, r: int) -> np.ndarray:
@@ -166,23 +168,26 @@ def chosen_tests(tried: int = 1200, seed: int = 3) -> np.ndarray:
     return tests[taken]
 
 
-def describe(image: np.ndarray) -> dict[str, np.ndarray]:
-    """The corners of an image with their table keys, in full-size coordinates."""
-    tests, parts = chosen_tests(), []
+def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table keys (corners x tables) and spots of an image's corners."""
+    tests, keys, spots = chosen_tests(), [np.empty((0, TABLES), np.int64)], [np.empty(0, np.int64)]
     for size, points, angle, difference in contrasts(image, tests):
         bits = (difference < 0).reshape(len(points), TABLES, KEY_BITS).astype(np.int64)
-        keys = (np.arange(TABLES) << KEY_BITS) + (bits << np.arange(KEY_BITS)).sum(axis=2)
-        turn = np.rint(angle * TURNS / (2 * np.pi)).astype(int) % TURNS
-        level = np.full(len(points), round(np.log(size) / np.log(RATIO)))
-        parts.append((keys, (points[:, 1] + 0.5) * size - 0.5, (points[:, 0] + 0.5) * size - 0.5, turn, level))
-    if not parts:
-        return {"keys": np.empty((0, TABLES), np.int64), "x": np.empty(0), "y": np.empty(0), "turn": np.empty(0, int), "level": np.empty(0, int)}
-    return dict(zip(("keys", "x", "y", "turn", "level"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
+        keys.append((np.arange(TABLES) << KEY_BITS) + (bits << np.arange(KEY_BITS)).sum(axis=2))
+        turn = np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
+        y, x = np.rint(8 * np.maximum((points.T + 0.5) * size - 0.5, 0)).astype(np.int64)
+        spots.append(x << 40 | y << 16 | turn << 8 | round(np.log(size) / np.log(RATIO)))
+    return np.concatenate(keys), np.concatenate(spots)
+
+
+def marked(keys: np.ndarray) -> np.ndarray:
+    """The marks of corners with these keys."""
+    low = keys & ((1 << MARK_BITS) - 1)
+    return low[:, 0] | low[:, 1] << MARK_BITS | low[:, 2] << 2 * MARK_BITS
 
 
 def described(images: DataFrame) -> DataFrame:
-    """(image_id, digest, area, keys, x, y, turn, level) of ``images`` (image_id, width, height, pixels)."""
-    kinds = {"keys": pa.int64(), "x": pa.float32(), "y": pa.float32(), "turn": pa.int32(), "level": pa.int32()}
+    """(image_id, digest, area, keys, spots) of ``images`` (image_id, width, height, pixels); keys are those of one corner after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,35 +200,37 @@ def described(images: DataFrame) -> DataFrame:
                     digests.append(hashlib.sha256(b"%d,%d," % (w, h) + data).digest() if fits else None)
                     areas.append(w * h if fits else 0)
                     corners.append(describe(np.frombuffer(data, np.uint8).reshape(h, w) if fits else np.empty((0, 0))))
-                lists = [pa.array([c[name].ravel() for c in corners], pa.list_(kind)) for name, kind in kinds.items()]
-                yield pa.RecordBatch.from_arrays([part.column("image_id"), pa.array(digests, pa.binary()), pa.array(areas, pa.int64()), *lists], names=["image_id", "digest", "area", *kinds])
+                lists = [pa.array([c[i].ravel() for c in corners], pa.list_(pa.int64())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("image_id"), pa.array(digests, pa.binary()), pa.array(areas, pa.int64()), *lists], names=["image_id", "digest", "area", "keys", "spots"])
 
     return images.select("image_id", "width", "height", "pixels").mapInArrow(run, f"image_id long, digest binary, area long, {CORNERS}")
 
 
 def nearest_corners(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): the nearest descriptor in ``b`` to every one in ``a`` that has one within ``BITS`` bits."""
-    near, bits = np.zeros(len(a), int), np.full(len(a), TESTS + 1)
+    """(i, j): the nearest mark in ``b`` to every one in ``a`` that has one within ``BITS`` bits."""
+    near, bits = np.zeros(len(a), int), np.full(len(a), BITS + 1)
     step = max(1, 2_000_000 // max(len(b), 1))
     for at in range(0, len(a) if len(b) else 0, step):
-        apart = sum(np.bitwise_count(a[at : at + step, None, t] ^ b[None, :, t]).astype(np.int16) for t in range(TABLES))
+        apart = np.bitwise_count(a[at : at + step, None] ^ b[None, :])
         near[at : at + step], bits[at : at + step] = apart.argmin(axis=1), apart.min(axis=1)
     i = np.flatnonzero(bits <= BITS)
     return i, near[i]
 
 
-def agreeing(a: dict[str, np.ndarray], b: dict[str, np.ndarray], side: float) -> int:
+def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], side: float) -> int:
     """The most matched corners, at different places of both images, that agree on one transformation.
 
     Rotations and scales fall into pairs of neighbouring steps, shifts into cells; all of them on two grids
-    half a bin apart, so agreeing corners share a bin of some grid.  ``side``: the second image's.
+    half a bin apart, so agreeing corners share a bin of some grid.  Images are (marks, spots); ``side``: the second one's.
     """
-    i, j = nearest_corners(a["keys"], b["keys"])
+    i, j = nearest_corners(a[0], b[0])
     if len(i) < VOTES:
         return 0
-    turn, level = (b["turn"][j] - a["turn"][i]) % TURNS, b["level"][j] - a["level"][i]
-    ax, ay, bx, by = a["x"][i], a["y"][i], b["x"][j], b["y"][j]
-    place = [np.rint(x // 3).astype(np.int64) << 32 | np.rint(y // 3).astype(np.int64) for x, y in ((ax, ay), (bx, by))]
+    p, q = a[1][i], b[1][j]
+    turn, level = ((q >> 8 & 255) - (p >> 8 & 255)) % TURNS, (q & 255) - (p & 255)
+    (ax, ay), (bx, by) = ((s >> 40, s >> 16 & (1 << 24) - 1) for s in (p, q))
+    place = [x // 24 << 32 | y // 24 for x, y in ((ax, ay), (bx, by))]  # eighths of pixels
+    ax, ay, bx, by = (c / 8 for c in (ax, ay, bx, by))
     cell, most = max(SHIFT, PART * side), 0
     for g_turn, g_level in itertools.product((0, 1), (0, 1)):
         turns, levels = (turn + g_turn) // 2 % (TURNS // 2), (level + g_level) // 2
@@ -239,51 +246,55 @@ def agreeing(a: dict[str, np.ndarray], b: dict[str, np.ndarray], side: float) ->
     return most
 
 
-def are_copies(a: dict[str, np.ndarray], b: dict[str, np.ndarray], side: float) -> bool:
+def are_copies(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], side: float) -> bool:
     """Whether enough corners agree."""
-    return agreeing(a, b, side) >= max(VOTES, VOTING * min(len(a["keys"]), len(b["keys"])))
+    return agreeing(a, b, side) >= max(VOTES, VOTING * min(len(a[0]), len(b[0])))
+
+
+def compared(facts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(image, area, marks, spots): what images are verified by; those with ``repeated`` (image_id) ids have the corners of all their pictures."""
+    low = lambda i, t: F.shiftleft(F.col("keys")[i * TABLES + t].bitwiseAND(F.lit((1 << MARK_BITS) - 1)), t * MARK_BITS)
+    marks = F.transform("spots", lambda _, i: low(i, 0).bitwiseOR(low(i, 1)).bitwiseOR(low(i, 2)))
+    own = facts.where("size(spots) > 0").select(F.col("image_id").alias("image"), "digest", "area", marks.alias("marks"), "spots")
+    repeated = small(repeated.withColumnRenamed("image_id", "image"))
+    pictures = own.join(repeated, "image", "left_semi").groupBy("image", "digest").agg(F.first(F.struct("area", "marks", "spots")).alias("p"))
+    pictures = pictures.groupBy("image").agg(F.max("p.area").alias("area"), *[F.flatten(F.collect_list(f"p.{n}")).alias(n) for n in ("marks", "spots")])
+    return own.join(repeated, "image", "left_anti").select(pictures.columns).union(pictures)
 
 
-def verified(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b), a < b, whose corners agree."""
-    names = ["keys", "x", "y", "turn", "level"]
-    wanted = pairs.select(F.col("a").alias("image_id")).union(pairs.select(F.col("b").alias("image_id"))).distinct()
-    held = facts.join(wanted, "image_id", "left_semi").groupBy("image_id", "digest").agg(F.first(F.struct("area", *names)).alias("c"))
-    held = held.groupBy("image_id").agg(F.max("c.area").alias("area"), *[F.flatten(F.collect_list(f"c.{n}")).alias(n) for n in names])
-    held = saved(held, "held")
-    side = lambda which: held.select(F.col("image_id").alias(which), F.struct("area", *names).alias(f"{which}_corners"))
+    side = lambda which: held.select(F.col("image").alias(which), F.struct("area", "marks", "spots").alias(f"{which}_corners"))
 
-    def corners(column: pa.StructArray, row: int) -> dict[str, np.ndarray]:
-        out = {n: column.field(n)[row].values.to_numpy(zero_copy_only=False) for n in names}
-        return out | {"keys": out["keys"].reshape(-1, TABLES), "side": float(np.sqrt(column.field("area")[row].as_py()))}
+    def corners(column: pa.StructArray, row: int) -> tuple[np.ndarray, np.ndarray]:
+        marks, spots = (column.field(n)[row].values.to_numpy(zero_copy_only=False) for n in ("marks", "spots"))
+        return marks, spots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, other = batch.column("a_corners"), batch.column("b_corners")
-            fine = []
-            for row in range(len(batch)):
-                a, b = corners(one, row), corners(other, row)
-                fine.append(are_copies(a, b, b["side"]))
+            sides = np.sqrt(other.field("area").to_numpy())
+            fine = [are_copies(corners(one, row), corners(other, row), float(sides[row])) for row in range(len(batch))]
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_corners", "b_corners")
     return saved(met.mapInArrow(run, "a long, b long"), "links")
 
 
-def copy_links(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, that join the images of ``rows`` (bucket, image, area) into classes.
+def copy_links(rows: DataFrame, pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, that join the images of ``rows`` (bucket, image, area) and of buckets of two, ``pairs``, into classes.
 
     Buckets only nominate pairs: a bucket's largest image with all others; then, round by round, up to ``ROUND``
     of the images outside the bucket's main class with those of other classes, until none is left.  A pair is verified once, with
     all corners of both, so its link doesn't depend on the other images there.
     """
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    rows, sizes = salted(rows, "image")
+    rows, sizes = salted(rows.withColumn("done", F.lit(False)), "image")
     rows = saved(rows, "buckets")
     top = rows.groupBy("bucket").agg(F.max(F.struct("area", (-F.col("image")).alias("minus"))).alias("top"))
     met = to_bucket(rows, top.select("bucket", (-F.col("top.minus")).alias("pivot")), sizes).where("image <> pivot")
-    tried = saved(met.select(*pair("pivot", "image")).distinct(), "pairs")
-    found = verified(tried, facts)
+    tried = saved(met.select(*pair("pivot", "image")).union(pairs).distinct(), "pairs")
+    found = verified(tried, held)
     while True:
         classes = components(found).withColumnsRenamed({"node": "image", "root": "class"})
         rows = rows.drop("class").join(classes, "image", "left").withColumn("class", F.coalesce("class", "image"))
@@ -296,7 +307,7 @@ def copy_links(rows: DataFrame, facts: DataFrame) -> DataFrame:
             return found
         near = to_bucket(rows, chosen, sizes).where("class <> cx").select(*pair("x", "image")).distinct()
         fresh = saved(near.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried, found = tried.union(fresh), found.union(verified(fresh, facts))
+        tried, found = tried.union(fresh), found.union(verified(fresh, held))
         went = chosen.select("bucket", F.col("x").alias("image"), F.lit(True).alias("went"))
         rows = rows.drop("main").join(went, ["bucket", "image"], "left").withColumn("done", F.col("done") | F.coalesce("went", F.lit(False))).drop("went")
 
@@ -307,14 +318,19 @@ def image_copies(images: DataFrame) -> DataFrame:
     equal = facts.where("digest IS NOT NULL").groupBy("digest").agg(F.min("image_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     equal = small(saved(equal.select("digest", "first"), "equal"))
     rep = F.coalesce("first", "image_id")
-    corners = F.size("level").cast("long").alias("n_corners")
+    corners = F.size("spots").cast("long").alias("n_corners")
     member = saved(facts.select("image_id", "digest", "area", corners).join(equal, "digest", "left").select("image_id", rep.alias("rep"), "area", "n_corners"), "member")
+    repeated = saved(member.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").select("image_id"), "repeated")
     reps = facts.join(equal, "digest", "left").where(F.col("image_id") == rep).select(F.col("image_id").alias("image"), "keys")
+    # a bucket of one image goes, one of two is a pair, others go on; all from one exchange
+    here = Window.partitionBy("bucket")
     rows = reps.select("image", F.explode("keys").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("image").alias("one"), F.max("image").alias("other")).where("one <> other").select("bucket")
-    rows = rows.join(shared, "bucket").distinct()
-    rows = rows.join(member.where("image_id = rep").groupBy(F.col("image_id").alias("image")).agg(F.max("area").alias("area")), "image")
-    links = copy_links(saved(rows.select("bucket", "image", "area", F.lit(False).alias("done")), "shared"), facts)
+    rows = rows.withColumns({"one": F.min("image").over(here), "other": F.max("image").over(here), "n": F.count("*").over(here)}).where("one <> other")
+    rows = saved(rows, "shared")
+    pairs = rows.where("n = 2 AND image = one").select(F.col("one").alias("a"), F.col("other").alias("b"))
+    area = member.where("image_id = rep").groupBy(F.col("image_id").alias("image")).agg(F.max("area").alias("area"))
+    crowds = rows.where("n > 2").select("bucket", "image").distinct().join(area, "image")
+    links = copy_links(crowds, pairs, compared(facts, repeated))
     several = member.groupBy("image_id").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("image_id")
     ties = member.join(several, "image_id").select(F.col("image_id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.union(ties))

@@ -64,10 +64,13 @@ def test_like_all_pairs(spark):
         images[10 * i] = image
         for k in range(i % 4):
             images[10 * i + k + 1] = media.edit(image, int(rng.integers(5)), int(rng.integers(1e6)))
-    told = {i: media.describe(a) | {"side": float(np.sqrt(a.size))} for i, a in images.items()}
+    told = {}
+    for i, a in images.items():
+        keys, spots = media.describe(a)
+        told[i] = (media.marked(keys), spots)
     group = {i: i for i in images}
     for a, b in itertools.combinations(sorted(images), 2):
-        if media.are_copies(told[a], told[b], told[b]["side"]):
+        if media.are_copies(told[a], told[b], float(np.sqrt(images[b].size))):
             group = {i: min(group[a], group[b]) if g in (group[a], group[b]) else g for i, g in group.items()}
     got = {r["image_id"]: r["class_id"] for r in media.image_copies(spark.createDataFrame([row(i, a) for i, a in images.items()], IMAGES)).collect()}
     assert np.mean([got[i] == group[i] for i in images]) >= 0.95
@@ -82,7 +85,7 @@ def test_image_edge_cases(spark, monkeypatch):
     data = [row(1, one), row(2, one), row(3, np.rot90(one).copy()), (4, None, None, None), (5, 3, 3, bytearray(b"x")), row(6, np.zeros((40, 40), np.uint8)), row(7, one[:5, :5].copy()), row(7, one[:5, :5].copy()), (None, 80, 80, bytearray(one.tobytes()))]
     other = picture(rng)
     data += [row(8, other), row(8, media.edit(one, 0, 5)), row(9, media.edit(other, 2, 0))]  # an id with two pictures ties their classes
-    df = spark.createDataFrame(data + [row(i, a) for i, a in crops], IMAGES).withColumns({n: F.lit(1) for n in ("area", "digest", "keys", "level", "bucket", "salt")})
+    df = spark.createDataFrame(data + [row(i, a) for i, a in crops], IMAGES).withColumns({n: F.lit(1) for n in ("area", "digest", "keys", "spots", "bucket", "salt")})
     got = [(r["image_id"], r["class_id"]) for r in media.image_copies(df).collect()]
     by = dict(got)
     assert len(got) == len(data) + len(crops)
