@@ -34,9 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.buckets import first_rows, salted, to_bucket
 from lorekeep.llm.common import saved, table
 
 WORD = re.compile(r"\w+")
@@ -257,10 +258,11 @@ def linked_classes(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFr
     the bucket.  The first round is for buckets of up to ``ROUND`` documents, all of them pivots.  Larger ones
     start with one pivot, the document with the largest shared part, and go on with up
     to ``ROUND`` of those outside the bucket's largest class.  Rows that can't link to another class go, as do
-    buckets with one class, until none is left.
+    buckets with one class, until none is left.  Large buckets are dealt over several tasks; their pivots and facts are sent to each.
     """
-    large = rows.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > ROUND).select("bucket")
-    rest, rows, every = rows.join(large, "bucket"), rows.join(large, "bucket", "left_anti"), bags
+    rows, sizes = salted(rows, "doc")
+    rows = to_bucket(rows, rows.groupBy("bucket").agg(F.count("*").alias("k")), sizes)
+    rest, rows, every = rows.where(F.col("k") > ROUND).drop("k"), rows.where(F.col("k") <= ROUND).drop("k"), bags
     found, classes, number = None, None, 0
     while True:
         if number == 0:
@@ -273,22 +275,23 @@ def linked_classes(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFr
             rows = rows.withColumn("class", F.col("doc"))
         rows = rows.join(facts, "doc", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
         rows = rows.where(F.col("shared") >= threshold * F.col("n") - 1e-9).drop("alone")
-        ends = rows.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.min("n").alias("least"), F.min(F.col("n") - F.col("shared")).alias("alone"), F.mode("class", True).alias("main")).where("one <> other")
-        rows = rows.join(ends.select("bucket", "least", "alone", "main"), "bucket")
+        held = rows.groupBy("bucket", "class").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.min(F.col("n") - F.col("shared")).alias("alone"))
+        ends = held.groupBy("bucket").agg(F.count("*").alias("classes"), F.min("least").alias("least"), F.min("alone").alias("alone"), F.max(F.struct("k", (-F.col("class")).alias("minus"))).alias("main"))
+        ends = ends.where("classes > 1").select("bucket", "least", "alone", (-F.col("main.minus")).alias("main"))
+        rows = to_bucket(rows, ends, sizes)
         # the best that a partner of the bucket's least size and least unshared part would allow
         size = F.greatest("least", "shared") + F.col("n") - F.col("shared")
         part = F.col("n") + F.col("alone")
-        rows = saved(rows.where(F.col("shared") / F.greatest(size, part) >= threshold - 1e-9).select("bucket", "doc", "n", "shared", "class", "main", "profile"), "open")
-        order = Window.partitionBy("bucket").orderBy((F.col("shared") / F.col("n")).desc(), "doc")
+        rows = saved(rows.where(F.col("shared") / F.greatest(size, part) >= threshold - 1e-9).select("bucket", "salt", "doc", "n", "shared", "class", "main", "profile"), "open")
         if number == 1:
             best = rows.groupBy("bucket").agg(F.min(F.struct((-F.col("shared") / F.col("n")).alias("part"), "doc")).alias("p"))
             chosen = rows.join(best.select("bucket", F.col("p.doc").alias("doc")), ["bucket", "doc"])
         else:
-            chosen = rows.where("class <> main" if number else "true").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= ROUND)
+            chosen = first_rows(rows.where("class <> main" if number else "true"), [(F.col("shared") / F.col("n")).desc(), F.col("doc")], ROUND)
         chosen = saved(chosen.select("bucket", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("class").alias("ca"), F.col("profile").alias("pa")), "chosen")
         if number and chosen.isEmpty():
             return classes
-        near = rows.join(chosen, "bucket").where(F.col("class") != F.col("ca")).where(ceiling("n", "shared", "na", "sa") >= threshold - 1e-9)
+        near = to_bucket(rows, chosen, sizes).where(F.col("class") != F.col("ca")).where(ceiling("n", "shared", "na", "sa") >= threshold - 1e-9)
         if number:
             overlap = F.aggregate(F.zip_with("profile", "pa", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
             near = near.where(ceiling("n", "shared", "na", "sa", overlap) >= threshold - 1e-9)
@@ -298,9 +301,9 @@ def linked_classes(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFr
         if classes is None or not links.isEmpty():
             classes = saved(components(found).withColumnsRenamed({"node": "doc", "root": "class"}), "classes")
         if number:
-            rest = rows.join(chosen.select("bucket", F.col("a").alias("doc")), ["bucket", "doc"], "left_anti").select("bucket", "doc", "n")
+            rest = rows.join(chosen.select("bucket", F.col("a").alias("doc")), ["bucket", "doc"], "left_anti").select("bucket", "salt", "doc", "n")
         several = rest.join(classes, "doc", "left").groupBy("bucket").agg(F.min(F.coalesce("class", "doc")).alias("one"), F.max(F.coalesce("class", "doc")).alias("other")).where("one <> other").select("bucket")
-        rows = saved(rest.join(several, "bucket"), "rest")
+        rows = saved(to_bucket(rest, several, sizes), "rest")
         bags = every.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
         number += 1
 

@@ -13,7 +13,7 @@ import pytest
 from conftest import rows, same_as_duckdb
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, bpe, chat_format, mixing, near_dup, quality, queries, toxicity, url_filter, warc
+from lorekeep.llm import ann, bpe, buckets, chat_format, mixing, near_dup, quality, queries, toxicity, url_filter, warc
 from lorekeep.llm.common import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -137,7 +137,9 @@ def near_copies(rng):
     return texts
 
 
-def test_near_duplicates_like_brute_force(spark):
+@pytest.mark.parametrize("part", [7, 512])
+def test_near_duplicates_like_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(buckets, "PART", part)
     rng = random.Random(4)
     texts = near_copies(rng)
     hot = words(rng, 120).split()
@@ -160,6 +162,9 @@ def test_near_duplicate_edge_cases(spark):
     got = sorted((r["doc_id"] or -1, r["class_id"]) for r in near_dup.near_duplicates(df).collect())
     assert got == [(-1, None), (1, 1), (1, 1), (2, 1), (3, 1), (9, 9)]
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
+    long = [words(random.Random(k), 100_000) for k in (1, 2)]
+    df = spark.createDataFrame([(1, long[0]), (2, long[0] + " one more"), (3, long[1]), (4, " ".join(long[0].split()[:80_500])), (5, " ".join(long[0].split()[:79_000]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 1}
 
 
 def test_components(spark):
