@@ -2,53 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.sources.tables import new_path, saved, shared_dir, table
+
+__all__ = ["BROADCAST_ROWS", "new_path", "saved", "shared_dir", "small", "table", "unit_hash"]
+
 #: A side is only marked for broadcast when it has been counted and holds at
 #: most this many short rows; beyond it the planner uses a shuffled join.
 BROADCAST_ROWS = 50_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset,
-    as in local tests, a temporary folder of this machine takes its place.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("lorekeep.local.checkpoint.dir", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-            spark.conf.set("lorekeep.local.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage, so a lost executor costs a re-read and not a recomputation.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` was counted to hold few rows, else leave it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -387,7 +387,8 @@ def pictures(embeddings: DataFrame) -> DataFrame:
     """
     given = embeddings.select(F.col("vec_id").alias("image_id"), "embedding")
     before = given.where("image_id % 10 = 2").groupBy((F.col("image_id") + 1).alias("image_id")).agg(F.min("embedding").alias("before"))
-    rows = given.join(before, "image_id", "left")
+    # drawing takes longer than reading: a part for each shuffle partition, however few bytes they are
+    rows = given.join(before, "image_id", "left").repartition(int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

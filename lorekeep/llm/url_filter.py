@@ -111,7 +111,8 @@ OP3_RULES = [
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
     """Judge every url of ``pages`` by OP3_RULES."""
-    rules = spark.createDataFrame(OP3_RULES, "host string, path string, verdict string")
+    rule = lambda r: F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), r, strict=True)])
+    rules = spark.range(1).select(F.inline(F.array(*map(rule, OP3_RULES))))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
