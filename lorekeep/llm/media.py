@@ -234,14 +234,19 @@ def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     cell, most = max(SHIFT, PART * side), 0
     for g_turn, g_level in itertools.product((0, 1), (0, 1)):
         turns, levels = (turn + g_turn) // 2 % (TURNS // 2), (level + g_level) // 2
-        angle = 2 * np.pi * (2 * turns + 0.5 - g_turn) / TURNS
-        scale = RATIO ** (2 * levels + 0.5 - g_level)
-        tx = bx - scale * (np.cos(angle) * ax - np.sin(angle) * ay)
-        ty = by - scale * (np.sin(angle) * ax + np.cos(angle) * ay)
+        alike = turns * 512 + levels + 256  # rotation and scale; few bins have enough corners for the shifts to matter
+        crowded = np.bincount(alike)[alike] >= max(VOTES, most + 1)
+        if not crowded.any():
+            continue
+        bins, x, y, u, v, p, q = (c[crowded] for c in (alike, ax, ay, bx, by, *place))
+        angle = 2 * np.pi * (2 * turns[crowded] + 0.5 - g_turn) / TURNS
+        scale = RATIO ** (2 * levels[crowded] + 0.5 - g_level)
+        tx = u - scale * (np.cos(angle) * x - np.sin(angle) * y)
+        ty = v - scale * (np.sin(angle) * x + np.cos(angle) * y)
         for gx, gy in itertools.product((0.0, 0.5), (0.0, 0.5)):
-            bins = np.stack([turns, levels, np.floor(tx / cell + gx).astype(int), np.floor(ty / cell + gy).astype(int)], axis=1)
-            _, bin_no = np.unique(bins, axis=0, return_inverse=True)
-            counts = [np.bincount(np.unique(np.stack([bin_no.ravel(), p], axis=1), axis=0)[:, 0]) for p in place]
+            shifted = np.stack([bins, np.floor(tx / cell + gx).astype(int), np.floor(ty / cell + gy).astype(int)], axis=1)
+            _, bin_no = np.unique(shifted, axis=0, return_inverse=True)
+            counts = [np.bincount(np.unique(np.stack([bin_no.ravel(), spot], axis=1), axis=0)[:, 0]) for spot in (p, q)]
             most = max(most, int(np.minimum(*counts).max()))
     return most
 
