@@ -6,6 +6,7 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -147,7 +148,24 @@ def porter(word: str) -> str:
     return word
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(column: pd.Series) -> pd.Series:
-    """The Porter stems of arrays of words."""
-    return column.map(lambda ws: [porter(w) for w in ws] if ws is not None else None)
+@F.pandas_udf(T.StringType())
+def stem(column: pd.Series) -> pd.Series:
+    """The Porter stems of words; meant for a distinct vocabulary."""
+    return column.map(lambda w: porter(w) if w is not None else None)
+
+
+def summary(now_score: Column) -> Column:
+    """A memory's full summary as one struct, its score to four places."""
+    return F.struct("id", "namespace", "type", "title", "content", "confidence", "created_at", "updated_at", "last_accessed", "last_confirmed", "access_count", "pinned", F.sort_array("tags").alias("tags"), F.round(now_score, 4).alias("score"))
+
+
+@F.pandas_udf(T.BinaryType())
+def packed_vector(column: pd.Series) -> pd.Series:
+    """Vectors as little-endian 32-bit floats."""
+    return column.map(lambda v: np.asarray(v, "<f4").tobytes() if v is not None else None)
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def unpacked_vector(column: pd.Series) -> pd.Series:
+    """The floats of packed vectors; null where the length isn't that of whole floats."""
+    return column.map(lambda b: np.frombuffer(b, "<f4").tolist() if b is not None and len(b) % 4 == 0 else None)

@@ -13,26 +13,28 @@ CLAIM = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("ki
 
 # The patterns that claims are recognised by, and the reach around a reference.
 URL = re.compile(r"https?://(?:www\.)?(?:github|gitlab)\.com/([\w.-]+(?:/[\w.-]+)*?)/(?:pull|-/merge_requests|merge_requests)/(\d+)", re.I)
-REFERENCE = re.compile(r"(?:(?P<repo>[A-Za-z][\w.-]{2,30})\s+)?\b(?P<kind>PR|MR|pull request|merge request)\s*[#!]?(?P<num>\d+)")
+REFERENCE = re.compile(r"\b(?P<kind>PR|MR|pull request|merge request)\s*[#!]?(?P<num>\d+)")
+REPO_BEFORE = re.compile(r"(?<![\w.-])([A-Za-z][\w.-]{2,30})\s+$")
 RESOLVED = re.compile(r"(?<!not )(?<!not yet )(?<!never )(?<!isn't )(?<!wasn't )\b(?:merged|landed|released|closed|abandoned|deleted)\b", re.I)
 OPEN = re.compile(r"\b(?:open|opened|awaiting|pending|unmerged|(?:not\s+(?:yet\s+)?|never\s+)merged|held|in\s+review|needs\s+(?:review|merge)|still\s+open)\b", re.I)
 WIKI_LINK = re.compile(r"\[\[.*?\]\]", re.S)
-BEFORE, AFTER, EVIDENCE = 20, 90, 200
+BEFORE, AFTER, EVIDENCE, REPO_REACH = 20, 90, 200, 48
 STATE_RANK = {"unverified": 0, "open": 1, "resolved": 2}
 
 
 def claims_in(text: str, default_repo: str | None, aliases: dict[str, str]) -> list[dict]:
     """One claim for each (kind, repo#number) of a text: its strongest state and the words around it."""
-    text = WIKI_LINK.sub(lambda link: re.sub(r"[^\n]", " ", link[0]), text)
-    by_url = {}
-    for url in URL.finditer(text):
+    text = WIKI_LINK.sub(lambda link: re.sub(r"[^\n]", " ", link[0]), text) if "[[" in text else text
+    by_url: dict[str, str] = {}
+    for url in URL.finditer(text) if "://" in text else ():
         by_url.setdefault(url[2], url[1].rsplit("/", 1)[-1])
     known = {a.lower(): r for a, r in aliases.items()} | ({default_repo.lower(): default_repo} if default_repo else {})
     found: dict[tuple[str, str], dict] = {}
     for ref in REFERENCE.finditer(text):
-        word = (ref["repo"] or "").rstrip(":,.").lower()
+        before = REPO_BEFORE.search(text, max(0, ref.start() - REPO_REACH), ref.start())
+        word = before[1].rstrip(":,.").lower() if before else ""
         repo = by_url.get(ref["num"]) or known.get(word, default_repo)
-        line = text[: ref.start()].rpartition("\n")[2]
+        line = text[text.rfind("\n", 0, ref.start()) + 1 : ref.start()]
         if repo is None or line.count('"') % 2 or line.count("`") % 2:
             continue
         around = text[max(0, ref.start() - BEFORE) : ref.end() + AFTER]
@@ -65,6 +67,17 @@ def default_repo(namespace: Column, given: Column) -> Column:
     return F.when(given.isNull(), namespace).otherwise(F.nullif(given, F.lit("")))
 
 
+def in_mode(memories: DataFrame, claims: DataFrame, mode: str) -> DataFrame:
+    """The ``memories`` with an open, an unverified or a contradicted claim (``mode``)."""
+    if mode not in ("open", "unverified", "contradicted"):
+        raise ValueError(f"unknown claims mode: {mode}")
+    if mode == "contradicted":
+        found = contradicted(claims, memories.where("confidence <> 'deprecated'").select("id"))
+    else:
+        found = claims.where(F.col("state") == mode)
+    return memories.join(found.select(F.col("memory_id").alias("id")), "id", "left_semi")
+
+
 def unresolved(claims: DataFrame) -> DataFrame:
     return claims.where("state <> 'resolved'")
 

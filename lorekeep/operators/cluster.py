@@ -14,6 +14,7 @@ from lorekeep.operators.search import cosine
 
 #: Vectors of a block; a task compares two blocks at a time.
 BLOCK = 1024
+STRATEGIES = ("merge", "summarize", "deduplicate")
 
 
 def similar_pairs(embeddings: DataFrame, threshold: float) -> DataFrame:
@@ -90,6 +91,31 @@ def title_clusters(memories: DataFrame) -> DataFrame:
     return memories.groupBy("namespace", "title").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids")).where("n > 1")
 
 
+def clusters_or_titles(memories: DataFrame, embeddings: DataFrame, checkpoint: str, threshold: float = S.CLUSTER_SIMILARITY) -> tuple[str, DataFrame]:
+    """Near-duplicate clusters of the embedded memories; those of equal titles where no memory is embedded, or none are alike and some aren't embedded."""
+    own = embeddings.join(memories.select("id"), "id", "left_semi")
+    pairs = similar_pairs(own, threshold)
+    if own.isEmpty() or pairs.isEmpty() and not memories.join(own.select("id"), "id", "left_anti").isEmpty():
+        return "titles", title_clusters(memories)
+    return "vectors", duplicate_clusters(pairs, checkpoint)
+
+
+def for_consolidation(memories: DataFrame, ids: list, strategy: str) -> DataFrame:
+    """The memories to consolidate: at least two known ids of one namespace, and a known strategy."""
+    wanted = list(dict.fromkeys(ids))
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
+    if len(wanted) < 2:
+        raise ValueError("at least two memories are needed")
+    found = memories.where(F.col("id").isin(wanted))
+    held = found.agg(F.collect_set("id").alias("ids"), F.count_distinct("namespace").alias("namespaces")).first()  # no more than were asked for
+    if missing := [i for i in wanted if i not in held["ids"]]:
+        raise ValueError(f"unknown memories: {missing}")
+    if held["namespaces"] > 1:
+        raise ValueError("the memories are of several namespaces")
+    return found
+
+
 def similar_to(memories: DataFrame, embeddings: DataFrame | None, text: str, vector: list[float] | None, gate: tuple[float, float] = (S.DEDUPE_COSINE, S.DEDUPE_JACCARD), limit: int = 3) -> DataFrame:
     """Candidates past a gate, most similar first: by cosine where the query has a vector, else by word overlap."""
     if vector is not None and embeddings is not None:
@@ -108,7 +134,7 @@ def consolidated(memories: DataFrame, cluster: Column | str, strategy: str = "me
     merge: all contents under their titles; summarize: a line for each; deduplicate: the best memory itself, by
     confidence, then update.  Type is the commonest (ties: first seen), confidence the highest, tags the union.
     """
-    if strategy not in ("merge", "summarize", "deduplicate"):
+    if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
     df = memories.withColumn("cluster", F.col(cluster) if isinstance(cluster, str) else cluster)
     df = df.withColumn("_rank", confidence_rank())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import schema as S
 from lorekeep.functions.scoring import composite
+from lorekeep.sources.tables import saved
 
 
 def pinned_bucket(df: DataFrame, most: int = S.PIN_CAP) -> DataFrame:
@@ -50,7 +51,7 @@ def selected(df: DataFrame, namespace: str, now: Column, task: DataFrame | None
     quota = {"recent": max(1, math.ceil(S.RECENT_SHARE * limit)), "task": max(1, math.ceil(S.TASK_SHARE * limit)), "cross": S.CROSS_QUOTA}
     turn = F.when(F.col("bucket") == "recent", 0).when(F.col("bucket") == "task", 1).otherwise(2)
     best = F.max("score").over(Window.partitionBy("id"))
-    rows = rows.withColumns({"turn": turn, "best": best}).persist()  # some tens of rows
+    rows = saved(rows.withColumns({"turn": turn, "best": best}), "context")  # some tens of rows
     chosen = None
     for i, name in enumerate(("recent", "task", "cross")):
         left = rows.where(F.col("turn") == i)

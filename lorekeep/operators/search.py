@@ -1,8 +1,8 @@
 """Hybrid retrieval: BM25 and vector rankings fused by reciprocal rank.
 
-BM25 needs no postings shuffle here: document length and the query terms' frequencies
-are columns of each document, the corpus statistics one partial aggregate, and
-both rankings end in a top-k.  Query terms and the query vector are literals.
+One question on a corpus without an index takes one scan: the length and the query terms' frequencies of
+each document are written as narrow rows, from which both the statistics and the scores follow.  For many
+questions ``postings`` has an index.  Query terms and the query vector are literals.
 """
 
 from __future__ import annotations
@@ -14,37 +14,49 @@ from pyspark.sql import functions as F
 
 from lorekeep import schema as S
 from lorekeep.functions.scoring import composite
-from lorekeep.functions.text import porter, query_terms, stems, words
+from lorekeep.functions.text import porter, query_terms, stem, words
+from lorekeep.operators import listing
+from lorekeep.sources.tables import saved
 
 
-def term_columns(corpus: DataFrame, query: str, stemmed: bool = False) -> tuple[DataFrame, list[str]]:
-    """``corpus`` with ``dl`` and the frequency ``tf`` of each query term (repeats kept)."""
-    terms = query_terms(query)
-    terms = [porter(t) for t in terms] if stemmed else terms
-    text = words(F.concat_ws(" ", "title", "content"))
-    held = corpus.withColumn("_words", stems(text) if stemmed else text)
-    distinct = list(dict.fromkeys(terms))
-    count = lambda t: F.size(F.filter("_words", lambda w: w == F.lit(t)))
-    tf = F.array(*map(count, distinct)) if distinct else F.array().cast("array<int>")
-    return held.withColumns({"dl": F.size("_words"), "tf": tf}).drop("_words"), terms
+def terms_of(query: str, stemmed: bool = False) -> list[str]:
+    """The words of a query, or their stems, repeats kept."""
+    return [porter(t) if stemmed else t for t in query_terms(query)]
+
+
+def document_words(corpus: DataFrame) -> DataFrame:
+    """(id, w): the words of title and content."""
+    return corpus.select("id", words(F.concat_ws(" ", "title", "content")).alias("w"))
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(term, stem) of the distinct words of ``docs`` (id, w): each is stemmed once."""
+    return docs.select(F.explode("w").alias("term")).distinct().withColumn("stem", stem("term"))
+
+
+def idf(n, df) -> Column:
+    return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
 def bm25(corpus: DataFrame, query: str, stemmed: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``corpus`` rows that hold a query term, with ``bm25``; statistics are those of the whole corpus."""
-    held, terms = term_columns(corpus, query, stemmed)
+    """(id, bm25) of the rows that hold a query term; statistics are those of the whole corpus."""
+    terms = terms_of(query, stemmed)
+    distinct, docs = list(dict.fromkeys(terms)), document_words(corpus)
     if not terms:
-        return held.drop("dl", "tf").withColumn("bm25", F.lit(0.0)).limit(0)
-    distinct = list(dict.fromkeys(terms))
-    stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(distinct))]).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    norm = F.lit(k1) * (1.0 - b + b * F.col("dl") / F.lit(float(avgdl)))
+        return docs.select("id", F.lit(0.0).alias("bm25")).limit(0)
+    forms = {t: [t] for t in distinct}
+    if stemmed:  # the words that the corpus has of a stem
+        held = vocabulary(docs).where(F.col("stem").isin(distinct)).collect()
+        forms = {t: [r["term"] for r in held if r["stem"] == t] for t in distinct}
+    count = lambda t: F.size(F.filter("w", lambda w: w.isin(forms[t]) if forms[t] else F.lit(False)))
+    counted = saved(docs.select("id", F.size("w").alias("dl"), F.array(*map(count, distinct)).alias("tf")), "terms")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(distinct))]).first()
+    norm = F.lit(k1) * (1.0 - b + b * F.col("dl") / F.lit(float(stats["avgdl"] or 1.0)))
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
-        df = stats[f"df{i}"]
-        idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
         tf = F.col("tf")[i].cast("double")
-        score = score + float(terms.count(t)) * idf * tf * (k1 + 1.0) / (tf + norm)
-    return held.withColumn("bm25", score).where(F.exists("tf", lambda x: x > 0)).drop("dl", "tf")
+        score = score + float(terms.count(t)) * idf(stats["n"], stats[f"df{i}"]) * tf * (k1 + 1.0) / (tf + norm)
+    return counted.where(F.exists("tf", lambda x: x > 0)).select("id", score.alias("bm25"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -74,14 +86,14 @@ def fused(corpus: DataFrame, kept: DataFrame, embeddings: DataFrame | None, quer
     the cohort has no semantic rank.  At most a few hundred rows pass the windows.
     """
     order = [F.desc("bm25"), F.col("id")]
-    hits = bm25(corpus.select("id", "title", "content"), query, stemmed).select("id", "bm25").join(kept.select("id"), "id", "left_semi")
+    hits = bm25(corpus, query, stemmed).join(kept.select("id"), "id", "left_semi")
     pool = ranked(hits.orderBy(*order).limit(max(S.COHORT, limit)), order, "bm25_rank")
     if vector is None or embeddings is None:
         return pool.select("id", ((S.RRF_K + 1.0) / (S.RRF_K + F.col("bm25_rank"))).alias("relevance"))
     q = F.array(*[F.lit(float(x)) for x in vector])
     near = embeddings.where(F.size("vector") == len(vector)).join(kept.select("id"), "id", "left_semi").select("id", cosine(F.col("vector"), q).alias("similarity"))
-    pool = pool.persist()
-    small = F.broadcast(pool.select("id", "bm25_rank"))
+    pool = saved(pool, "pool")  # max(COHORT, limit) rows
+    small = F.broadcast(pool.select("id", "bm25_rank")) if limit <= S.BROADCAST_ROWS else pool.select("id", "bm25_rank")
     cohort = near.join(small.where(F.col("bm25_rank") <= S.COHORT), "id").select("id", "similarity")
     fresh = near.join(small, "id", "left_anti").where(F.col("similarity") >= floor).orderBy(F.desc("similarity"), "id").limit(S.ENTRANTS)
     semantic = ranked(cohort.union(fresh.select("id", "similarity")), [F.desc("similarity"), F.col("id")], "semantic_rank").select("id", "semantic_rank")
@@ -99,27 +111,40 @@ def hybrid(corpus: DataFrame, kept: DataFrame, embeddings: DataFrame | None, que
     ``weights`` the score is the fused relevance.
     """
     found = fused(corpus, kept, embeddings, query, vector, limit, floor, stemmed)
-    full = kept.join(F.broadcast(found), "id")
+    full = kept.join(F.broadcast(found) if limit <= S.BROADCAST_ROWS else found, "id")
     score = composite(F.col("relevance"), now, weights) if weights is not None else F.col("relevance")
     return full.withColumn("score", score).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def matches_by(corpus: DataFrame, kept: DataFrame, query: str, column: str, limit: int) -> DataFrame:
     """Rows that match any query term, the latest by ``column`` first."""
-    hits = bm25(corpus.select("id", "title", "content"), query).select("id")
+    hits = bm25(corpus, query).select("id")
     return kept.join(hits, "id", "left_semi").orderBy(F.col(column).desc(), "id").limit(limit)
 
 
+def dispatched(corpus: DataFrame, kept: DataFrame, now: Column, query: str | None = None, sort_by: str = "relevance", limit: int = 10, embeddings: DataFrame | None = None, vector: Sequence[float] | None = None, weights: dict | None = None, floor: float = S.ENTRY_FLOOR) -> DataFrame:
+    """The search or listing that a query and an order ask for.
+
+    With a query: by time, all that match it, latest first; else hybrid search.  Without one: by time, or by score.
+    A query of white space alone is none.
+    """
+    if sort_by not in ("relevance", "decay_score", *listing.ORDERS):
+        raise ValueError(f"unknown order: {sort_by}")
+    asked = bool(query and query.strip())
+    if sort_by in listing.ORDERS:
+        return matches_by(corpus, kept, query, listing.ORDERS[sort_by], limit) if asked else listing.by_column(kept, sort_by, limit, now)
+    return hybrid(corpus, kept, embeddings, query, vector, now, limit, weights, floor) if asked else listing.by_score(kept, limit, now, weights)
+
+
 def batch_bm25(corpus: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(question, rank, id, bm25) for many questions (question, query) at once, by an inverted join on terms."""
     asked = questions.select("question", F.explode(words(F.col("query"))).alias("term"))
-    docs = corpus.select("id", words(F.concat_ws(" ", "title", "content")).alias("w"))
+    docs = document_words(corpus)
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
     wanted = asked.select("term").distinct()
     postings = docs.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1.0 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / float(stats["avgdl"] or 1.0)))
-    scores = postings.join(df, "term").join(asked, "term").groupBy("question", "id").agg(F.sum(part).alias("bm25"))
+    part = idf(stats["n"], F.col("df")) * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / float(stats["avgdl"] or 1.0)))
+    scores = postings.join(df, "term").join(asked, "term").groupBy("question", "id").agg(F.round(F.sum(part), 9).alias("bm25"))
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("bm25"), "id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import normalised_tag
+from lorekeep.functions.text import embedding_input, normalised_tag
 
 
 def created(memories: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
@@ -96,3 +99,18 @@ def unembedded(memories: DataFrame, embeddings: DataFrame, dim: int, limit: int)
     """Memories without a vector of the wanted length, a batch at most."""
     have = embeddings.where(F.size("vector") == dim).select("id")
     return memories.join(have, "id", "left_anti").orderBy("id").limit(limit)
+
+
+def embedded(memories: DataFrame, embeddings: DataFrame, encode: Callable[[list[str]], list], dim: int, limit: int) -> DataFrame:
+    """``embeddings`` with vectors of one batch of memories that have none; texts that ``encode`` fails on are left out."""
+    batch = unembedded(memories, embeddings, dim, limit).select("id", embedding_input(F.col("title"), F.col("content")).alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            vectors = [v if v is not None and len(v) == dim else None for v in encode(frame["text"].tolist())]
+            yield pd.DataFrame({"id": frame["id"], "vector": vectors}).dropna(subset=["vector"])
+
+    kind = memories.schema["id"].dataType.simpleString()
+    fresh = batch.mapInPandas(run, f"id {kind}, vector array<double>")
+    old = embeddings.join(batch.select("id"), "id", "left_anti").select("id", "vector")
+    return old.union(fresh)

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep import schema as S
 from lorekeep.functions.scoring import days_between, deprecation_suggested, dormant, health
 
 
-def counts(memories: DataFrame, now: Column) -> DataFrame:
+def counts(memories: DataFrame, now: Column, dormant_days: int = S.DORMANT_DAYS, deprecate_days: int = S.DEPRECATE_DAYS) -> DataFrame:
     """One row: all, active, dormant, deprecation suggested, pinned."""
     active = F.col("confidence") != "deprecated"
     return memories.agg(
         F.count("*").alias("total"),
         F.count_if(active).alias("active"),
-        F.count_if(active & dormant(now, 20)).alias("dormant_20d"),
-        F.count_if(active & dormant(now)).alias("dormant"),
-        F.count_if(active & deprecation_suggested(now, 30)).alias("suggested_30d"),
+        F.count_if(active & dormant(now, dormant_days)).alias("dormant"),
+        F.count_if(active & deprecation_suggested(now, deprecate_days)).alias("suggested"),
         F.count_if(F.col("pinned") & active).alias("pinned"),
     )
 
 
+def outcomes(repaired: DataFrame) -> DataFrame:
+    """How often each outcome of a repair occurred."""
+    return repaired.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 def by(memories: DataFrame, *columns: str) -> DataFrame:
     return memories.groupBy(*columns).agg(F.count("*").alias("n"))
 
@@ -89,13 +93,13 @@ def span(memories: DataFrame) -> DataFrame:
     return one.select(F.date_format("a", "yyyy-MM-dd").alias("first_day"), F.date_format("b", "yyyy-MM-dd").alias("last_day"), days.alias("days"), F.round(F.col("n") / days, 2).alias("per_day"))
 
 
-def health_summary(memories: DataFrame, now: Column) -> DataFrame:
+def health_summary(memories: DataFrame, now: Column, dormant_days: int = S.DORMANT_DAYS) -> DataFrame:
     h = health(now)
     return memories.agg(
         F.count_if(h >= 0.7).alias("healthy"),
         F.count_if((h >= 0.4) & (h < 0.7)).alias("fading"),
         F.count_if(h < 0.4).alias("stale"),
-        F.count_if(dormant(now, 20)).alias("dormant"),
+        F.count_if(dormant(now, dormant_days)).alias("dormant"),
     )
 
 
@@ -109,3 +113,9 @@ def cards(memories: DataFrame, relations: DataFrame) -> DataFrame:
 def node_sizes(memories: DataFrame) -> DataFrame:
     size = F.greatest(F.lit(3), F.least(F.lit(12), 2 * F.size("tags") + F.col("access_count") + 3))
     return memories.select("id", size.cast("long").alias("size"))
+
+
+def grouped_by_decay(memories: DataFrame, now: Column, by: str = "health", group: str = "namespace") -> DataFrame:
+    """``memories`` with their place in their group: least healthy, longest idle, least used or latest made first."""
+    order = {"health": health(now).asc(), "days": days_between("last_accessed", now).desc(), "access": F.col("access_count").asc(), "created": F.col("created_at").desc()}[by]
+    return memories.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order, "id")))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lorekeep import schema as S
 from lorekeep.functions import scoring as sc
 from lorekeep.functions import text as tx
-from lorekeep.operators import claims, cluster, context, filters, graph, listing, promote, review, search, state, stats
+from lorekeep.operators import claims, cluster, context, filters, graph, hints, listing, namespaces, postings, promote, review, search, state, stats
 from lorekeep.plans import evaluate
 from lorekeep.sources import portability, views
+from lorekeep.sources.tables import new_path, saved
 from lorekeep.sources.views import SQL, memories, now, relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,12 +203,11 @@ def hybrid_composite(spark, sf_dir):
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (confidence <> 'deprecated') AS active,
- count(*) FILTER (confidence <> 'deprecated' AND epoch_us(TIMESTAMP '2024-02-15') - epoch_us(last_accessed) >= 20 * 86400000000) AS dormant_20d,
- count(*) FILTER (confidence <> 'deprecated' AND epoch_us(TIMESTAMP '2024-02-15') - epoch_us(last_accessed) >= 90 * 86400000000) AS dormant,
- count(*) FILTER (confidence <> 'deprecated' AND epoch_us(TIMESTAMP '2024-02-15') - epoch_us(last_confirmed) >= 30 * 86400000000) AS suggested_30d,
+ count(*) FILTER (confidence <> 'deprecated' AND epoch_us(TIMESTAMP '2024-02-15') - epoch_us(last_accessed) >= 20 * 86400000000) AS dormant,
+ count(*) FILTER (confidence <> 'deprecated' AND epoch_us(TIMESTAMP '2024-02-15') - epoch_us(last_confirmed) >= 30 * 86400000000) AS suggested,
  count(*) FILTER (pinned AND confidence <> 'deprecated') AS pinned FROM memories""")
 def stats_counts(spark, sf_dir):
-    return stats.counts(memories(spark, sf_dir), now())
+    return stats.counts(memories(spark, sf_dir), now(), 20, 30)
 
 
 @query("SELECT type, count(*) AS n FROM memories GROUP BY type")
@@ -291,7 +291,7 @@ def corpus_span(spark, sf_dir):
  count(*) FILTER (epoch_us(TIMESTAMP '2024-02-15') - epoch_us(last_accessed) >= 20 * 86400000000) AS dormant
  FROM (SELECT *, (0.1 * (0.35 + 0.65 * exp(-0.01 * greatest(0, epoch_us(TIMESTAMP '2024-02-15') - epoch_us(coalesce(last_confirmed, updated_at, created_at))) / 86400000000.0)) + 0.1 * access + 0.35 * trust) / 0.55 AS h FROM scored) x""")
 def health_summary(spark, sf_dir):
-    return stats.health_summary(memories(spark, sf_dir), now())
+    return stats.health_summary(memories(spark, sf_dir), now(), 20)
 
 
 @query("SELECT (SELECT count(*) FROM memories) AS memories, (SELECT count(*) FROM memories WHERE confidence = 'verified') AS verified, (SELECT count(DISTINCT namespace) FROM memories) AS namespaces, (SELECT count(DISTINCT t) FROM (SELECT unnest(tags) AS t FROM memories) x) AS tags, (SELECT count(*) FROM relations) AS relations")
@@ -385,11 +385,13 @@ def spread_from_search(spark, sf_dir):
     return listing.by_ids(spark, df, found)[0].select("id", "position", "title", "confidence")
 
 
-@query("SELECT a, b, shared FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.tags, y.tags)) AS shared FROM (SELECT id, tags FROM memories WHERE tags[1] <> 'en' AND tags[3] = 'short') x JOIN (SELECT id, tags FROM memories WHERE tags[1] <> 'en' AND tags[3] = 'short') y ON x.id < y.id) z WHERE shared >= 2")
+@query("""SELECT least(x.class, y.class) AS a, greatest(x.class, y.class) AS b, len(list_intersect(x.tags, y.tags)) AS shared, count(*) AS pairs
+ FROM (SELECT id, tags, min(id) OVER (PARTITION BY list_sort(tags)) AS class FROM memories) x JOIN (SELECT id, tags, min(id) OVER (PARTITION BY list_sort(tags)) AS class FROM memories) y ON x.id < y.id
+ WHERE len(list_intersect(x.tags, y.tags)) >= 2 GROUP BY ALL""")
 def shared_tag_links(spark, sf_dir):
-    """The pairs among the few rows that the SQL names; ``shared_tag_classes`` covers all rows."""
-    few = memories(spark, sf_dir).where("tags[0] <> 'en' AND tags[2] = 'short'")
-    return graph.shared_tag_links(few).withColumn("shared", F.col("shared").cast("long"))
+    """The shared-tag links of all memories, between classes of equal tags; ``shared_tag_classes`` has the members, too."""
+    links = graph.class_links(graph.tag_classes(memories(spark, sf_dir)))
+    return links.select("a", "b", F.col("shared").cast("long").alias("shared"), "pairs")
 
 
 @query("""SELECT 'link' AS kind, least(x.class, y.class) AS a, greatest(x.class, y.class) AS b, len(list_intersect(x.tags, y.tags)) AS shared, count(*) AS pairs
@@ -421,19 +423,10 @@ def near_dup_pairs(spark, sf_dir):
     return cluster.similar_pairs(views.embeddings(spark, sf_dir), 0.35).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-def _scratch(spark) -> str:
-    """A new folder below the shared checkpoint folder; a local one only where none is set."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-    return f"{base.rstrip('/')}/clusters-{uuid.uuid4().hex}"
-
-
 @query("""SELECT id, cluster FROM (WITH RECURSIVE p AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.id <> b.id WHERE list_cosine_similarity(a.vector, b.vector) >= 0.42),
  r(id, root) AS (SELECT DISTINCT a, a FROM p UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id) SELECT id, min(root) AS cluster FROM r GROUP BY id) x""")
 def near_dup_clusters(spark, sf_dir):
-    return cluster.connected(cluster.similar_pairs(views.embeddings(spark, sf_dir), 0.42), _scratch(spark))
+    return cluster.connected(cluster.similar_pairs(views.embeddings(spark, sf_dir), 0.42), new_path(spark, "clusters"))
 
 
 _TOKENS = r"""list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 3))"""
@@ -460,11 +453,15 @@ def _titled(df):
     return df.withColumn("cluster", F.concat_ws("|", "namespace", "title"))
 
 
-@query("""SELECT namespace || '|' || title AS cluster, count(*) AS n, '[merge] ' || arg_min(title, id) AS title, md5(string_agg('## ' || title || chr(10) || content, chr(10) || chr(10) ORDER BY id)) AS content_md5,
- arg_max(confidence, crank) AS confidence FROM scored GROUP BY 1 HAVING count(*) > 1""".replace("arg_min(title, id)", "arg_min(scored.title, id)").replace("namespace || '|' || title AS", "scored.namespace || '|' || scored.title AS").replace("'## ' || title || chr(10) || content", "'## ' || scored.title || chr(10) || scored.content"))
+_CLUSTERED = ", c AS (SELECT *, namespace || '|' || title AS cluster  FROM scored) "
+_KIND = ", k AS (SELECT cluster, arg_max(type, (k, -f)) AS type FROM (SELECT cluster, type, count(*) AS k, min(id) AS f FROM c GROUP BY ALL) x GROUP BY cluster) "
+
+
+@query(_CLUSTERED + _KIND + """SELECT cluster, count(*) AS n, '[merge] ' || arg_min(title, id) AS title, md5(string_agg('## ' || title || chr(10) || content, chr(10) || chr(10) ORDER BY id)) AS content_md5,
+ arg_max(confidence, crank) AS confidence, any_value(k.type) AS type, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags FROM c JOIN k USING (cluster) GROUP BY cluster HAVING count(*) > 1""")
 def consolidate_merge(spark, sf_dir):
     df = cluster.consolidated(_titled(memories(spark, sf_dir)), "cluster", "merge")
-    return df.select("cluster", "n", "title", F.md5("content").alias("content_md5"), "confidence")
+    return df.select("cluster", "n", "title", F.md5("content").alias("content_md5"), "confidence", "type", F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
 @query("SELECT namespace || '|' || title AS cluster, count(*) AS n, arg_max(id, (crank, updated_at, -id)) AS kept FROM scored GROUP BY 1 HAVING count(*) > 1")
@@ -472,7 +469,8 @@ def consolidate_dedupe(spark, sf_dir):
     return cluster.consolidated(_titled(memories(spark, sf_dir)), "cluster", "deduplicate").select("cluster", "n", "kept")
 
 
-@query()
+@query(_CLUSTERED + _KIND + """SELECT cluster, count(*) AS n, '[summarize] ' || arg_min(title, id) AS title, 'Summary of ' || count(*) || ' memories:' || chr(10) || string_agg('- ' || title || ': ' || replace(substr(content, 1, 160), chr(10), ' ') || CASE WHEN length(content) > 160 THEN '…' ELSE '' END, chr(10) ORDER BY id) AS content,
+ any_value(k.type) AS type FROM c JOIN k USING (cluster) GROUP BY cluster HAVING count(*) > 1""")
 def consolidate_summarize(spark, sf_dir):
     return cluster.consolidated(_titled(memories(spark, sf_dir)), "cluster", "summarize").select("cluster", "n", "title", "content", "type")
 
@@ -499,12 +497,12 @@ def _task(spark, sf_dir, df, namespace):
 @query()
 def context_selected(spark, sf_dir):
     df = memories(spark, sf_dir)
-    return context.selected(df, "src0", now(), _task(spark, sf_dir, df, "src0"))
+    return context.selected(saved(df.drop("content"), "memories"), "src0", now(), _task(spark, sf_dir, df, "src0"))
 
 
 @query()
 def context_merged(spark, sf_dir):
-    df = memories(spark, sf_dir)
+    df = saved(memories(spark, sf_dir).drop("content"), "memories")
     return context.merged([(n, context.selected(df, n, now())) for n in ("src0", "src1")])
 
 
@@ -575,31 +573,30 @@ _QUALITY = r"""
   SELECT id, list_filter(regexp_split_to_array(lower(title || ' ' || content), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM memories
 ), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks)
 , questions AS (
-  SELECT item_id AS question, list_slice(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> ''), 1, 8) AS q FROM benchmark
+  SELECT item_id AS question, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS q FROM benchmark
 ), asked AS (SELECT question, unnest(q) AS term FROM questions)
 , post AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM toks) x WHERE term IN (SELECT term FROM asked) GROUP BY ALL)
 , df AS (SELECT term, count(*) AS df FROM post GROUP BY term)
-, sc AS (SELECT question, id, sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM post JOIN df USING (term) JOIN asked USING (term), st GROUP BY ALL)
+, sc AS (SELECT question, id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS bm25 FROM post JOIN df USING (term) JOIN asked USING (term), st GROUP BY ALL)
 , ranking AS (SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY bm25 DESC, id) AS rank FROM sc QUALIFY rank <= 10)
-, relevant AS (SELECT b.item_id AS question, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))
+, relevant AS (SELECT b.item_id AS question, d.doc_id AS id FROM benchmark b JOIN questions q ON q.question = b.item_id AND len(q.q) >= 5 JOIN documents d ON contains(d.text, b.text))
 """
 
 
 def _questions(spark, sf_dir):
-    """The first eight words of each benchmark passage, and the documents that hold its first 60 characters.
+    """The benchmark passages as questions, and the documents that hold one whole; passages of fewer than five words have none.
 
     Documents and passages meet on runs of three words: the second to fourth word of a passage stand whole in
-    every text that holds its start.
+    every text that holds it.  Texts are fetched for the documents that share one.
     """
-    given = views.table(spark, sf_dir, "benchmark")
-    questions = given.select(F.col("item_id").alias("question"), F.array_join(F.slice(tx.words(F.col("text")), 1, 8), " ").alias("query"))
+    given = views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("query"), tx.words(F.col("text")).alias("w"))
     run = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
-    starts = given.select(F.col("item_id").alias("question"), F.substring("text", 1, 60).alias("start"), tx.words(F.col("text")).alias("w")).where("size(w) >= 4")
-    starts = starts.select("question", "start", run(F.col("w"), F.lit(2)).alias("run"))
-    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", tx.words(F.col("text")).alias("w"))
-    runs = docs.where("size(w) >= 3").select("id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: run(F.col("w"), i)))).alias("run"))
-    relevant = runs.join(starts, "run").where(F.col("text").contains(F.col("start"))).select("question", "id").distinct()
-    return questions, relevant
+    starts = given.where("size(w) >= 5").select("question", run(F.col("w"), F.lit(2)).alias("run"))
+    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    words = docs.select("id", tx.words(F.col("text")).alias("w")).where("size(w) >= 3")
+    runs = words.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: run(F.col("w"), i)))).alias("run"))
+    met = runs.join(starts, "run").select("question", "id").distinct().join(docs, "id").join(given, "question")
+    return given.select("question", "query"), met.where(F.col("text").contains(F.col("query"))).select("question", "id").distinct()
 
 
 @query(_QUALITY + """SELECT count(*) AS questions, round(avg(h1 / wanted), 6) AS recall_1, round(avg(h5 / wanted), 6) AS recall_5, round(avg(h10 / wanted), 6) AS recall_10,
@@ -638,7 +635,7 @@ def export_import_roundtrip(spark, sf_dir):
     df, edges = memories(spark, sf_dir), relations(spark, sf_dir)
     both = df.where("namespace IN ('src0', 'src1')")
     own, inner = portability.export_rows(both, edges)
-    path = _scratch(spark)
+    path = new_path(spark, "export")
     portability.export_lines(own, inner, path)
     m, r = portability.read_lines(spark, path, own.schema, inner.schema)
     there, old = portability.export_rows(df, edges, "src0")
@@ -653,3 +650,147 @@ def access_windows(spark, sf_dir):
 
     df = windowed_accesses(views.access_log(spark, sf_dir))
     return df.select(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("start").cast("timestamp_ntz")).alias("start"), "context", "n")
+
+
+# index, dispatch, hints, namespaces, repairs
+
+
+@query(_WORDS + "SELECT id, round(bm25, 6) AS bm25 FROM bm ORDER BY round(bm25, 9) DESC, id LIMIT 25")
+def bm25_indexed(spark, sf_dir):
+    path = new_path(spark, "postings")
+    postings.write(memories(spark, sf_dir), path)
+    df = postings.bm25(spark, path, QUERY)
+    return df.orderBy(F.round("bm25", 9).desc(), "id").limit(25).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(
+    _FUSED
+    + """, h AS (SELECT id, row_number() OVER (ORDER BY 0.45*relevance + 0.10*fresh + 0.10*access + 0.35*trust DESC, id) AS place FROM fused JOIN scored USING (id) QUALIFY place <= 10),
+ m AS (SELECT id, row_number() OVER (ORDER BY last_accessed DESC, id) AS place FROM bm JOIN memories USING (id) WHERE confidence <> 'deprecated' QUALIFY place <= 10),
+ l AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM memories WHERE confidence <> 'deprecated' QUALIFY place <= 10),
+ s AS (SELECT id, row_number() OVER (ORDER BY 0.45*0.5 + 0.10*fresh + 0.10*access + 0.35*trust DESC, id) AS place FROM scored WHERE confidence <> 'deprecated' QUALIFY place <= 10)
+ SELECT 'query relevance' AS asked, id FROM h UNION ALL SELECT 'query accessed', id FROM m UNION ALL SELECT 'created', id FROM l UNION ALL SELECT 'decay_score', id FROM s"""
+)
+def search_dispatch(spark, sf_dir):
+    """One search for each strategy: a query by relevance and by time, none by time and by score."""
+    df = memories(spark, sf_dir)
+    kept = filters.select_memories(df)
+    cases = {"query relevance": (QUERY, "relevance"), "query accessed": (QUERY, "accessed"), "created": (None, "created"), "decay_score": (" ", "decay_score")}
+    found = None
+    for name, (text, order) in cases.items():
+        one = search.dispatched(df, kept, now(), text, order, 10, views.embeddings(spark, sf_dir), vector(spark, sf_dir), S.WEIGHTS, FLOOR).select(F.lit(name).alias("asked"), "id")
+        found = one if found is None else found.union(one)
+    return found
+
+
+@query(_CLAIMS + """SELECT 'open' AS mode, memory_id AS id FROM c WHERE state = 'open' UNION ALL SELECT 'unverified', memory_id FROM c WHERE state = 'unverified'
+ UNION ALL SELECT 'contradicted', a.memory_id FROM c a WHERE a.state = 'open' AND a.confidence <> 'deprecated' AND EXISTS (SELECT 1 FROM c b WHERE b.namespace = a.namespace AND b.ref = a.ref AND b.state = 'resolved' AND b.confidence <> 'deprecated' AND b.memory_id <> a.memory_id)""")
+def claims_mode(spark, sf_dir):
+    df = views.claim_texts(spark, sf_dir)
+    found = saved(claims.extract(df, F.col("namespace")), "claims")
+    own = saved(df.select("id", "confidence"), "memories")
+    modes = [claims.in_mode(own, found, mode).select(F.lit(mode).alias("mode"), "id") for mode in ("open", "unverified", "contradicted")]
+    return modes[0].union(modes[1]).union(modes[2])
+
+
+_SIMILAR = f"""
+, q AS (SELECT list_distinct(['the','thand','ertion','reanon']) AS t), hint AS (
+  SELECT id, round(bm25, 9) AS b FROM bm JOIN memories USING (id) WHERE namespace = 'src3' AND confidence <> 'deprecated'
+), gate AS (
+  SELECT m.id, len(list_intersect({_TOKENS.format("m.title || ' ' || m.content")}, q.t)) / len(list_distinct(list_concat({_TOKENS.format("m.title || ' ' || m.content")}, q.t))) AS s FROM memories m, q
+)
+"""
+
+
+@query(_WORDS + _SIMILAR + "SELECT id, round(s, 4) AS similarity FROM (SELECT id FROM hint ORDER BY b DESC, id LIMIT 6) x JOIN gate USING (id) WHERE s >= 0.15 ORDER BY round(s, 4) DESC, id LIMIT 3")
+def find_similar(spark, sf_dir):
+    return hints.find_similar(memories(spark, sf_dir), "src3", QUERY, now()).select("id", "similarity")
+
+
+@query(_WORDS + _SIMILAR + """, skip AS (SELECT 10 AS id UNION SELECT other FROM ends WHERE id = 10)
+ SELECT id, round(s, 4) AS similarity FROM (SELECT id, row_number() OVER (ORDER BY b DESC, id) AS place FROM hint) x JOIN gate USING (id) ANTI JOIN skip USING (id)
+ WHERE place <= 6 + (SELECT count(*) FROM skip) AND s >= 0.10 ORDER BY round(s, 4) DESC, id LIMIT 3""")
+def suggest_relations(spark, sf_dir):
+    return hints.suggest_relations(memories(spark, sf_dir), relations(spark, sf_dir), "src3", QUERY, now(), 10).select("id", "similarity")
+
+
+@query("SELECT id AS memory_id, CASE namespace WHEN 'src1' THEN 'other' ELSE namespace END || '#' || (id % 50) AS ref, namespace = 'src1' AS rederived FROM memories")
+def namespace_update(spark, sf_dir):
+    """A new default repo for one namespace: its claims are derived again."""
+    given = _namespaces(spark, sf_dir).withColumn("default_repo", F.lit(None).cast("string"))
+    patch = spark.range(1).select(F.lit("src1").alias("name"), F.lit("other").alias("default_repo"))
+    new, moved = namespaces.updated(given, patch)
+    df = views.claim_texts(spark, sf_dir).join(new.select(F.col("name").alias("namespace"), "default_repo"), "namespace")
+    found = claims.extract(df, claims.default_repo(F.col("namespace"), F.col("default_repo")))
+    changed = moved.select(F.col("name").alias("namespace"), F.lit(True).alias("moved"))
+    return found.join(changed, "namespace", "left").select("memory_id", "ref", F.coalesce("moved", F.lit(False)).alias("rederived"))
+
+
+@query(_NAMES + """, held AS (SELECT name, count(m.id) AS n FROM names LEFT JOIN memories m ON m.namespace = name GROUP BY name)
+ SELECT a.name, CAST(coalesce(n, 0) AS BIGINT) AS n, CASE WHEN held.name IS NULL THEN 'not_found' WHEN n > 0 THEN 'not_empty' ELSE 'deleted' END AS outcome FROM (VALUES ('src1'), ('src2-old'), ('nowhere')) a(name) LEFT JOIN held ON held.name = a.name""")
+def namespace_delete(spark, sf_dir):
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in ("src1", "src2-old", "nowhere")])).alias("name"))
+    return namespaces.outcome_of(_namespaces(spark, sf_dir), memories(spark, sf_dir), names)
+
+
+@query("SELECT namespace, count(*) AS n FROM memories WHERE namespace <> 'src1' GROUP BY namespace")
+def namespace_cascade(spark, sf_dir):
+    names = spark.range(1).select(F.lit("src1").alias("name"))
+    left = namespaces.deleted(_namespaces(spark, sf_dir), memories(spark, sf_dir), names, cascade=True)[1]
+    return stats.by(left, "namespace")
+
+
+@query("""SELECT edge_id, source_id, target_id, relation_type FROM relations r WHERE NOT EXISTS (SELECT 1 FROM relations g WHERE g.source_id % 11 = 0 AND g.source_id = r.source_id AND g.target_id = r.target_id)
+ AND NOT (source_id % 7 = 0 AND relation_type = 'related_to')""")
+def edges_deleted(spark, sf_dir):
+    """Edges deleted one by one by their type, and all types between two memories."""
+    edges = relations(spark, sf_dir)
+    one = edges.where("source_id % 7 = 0 AND relation_type = 'related_to'").select("source_id", "target_id", "relation_type")
+    every = edges.where("source_id % 11 = 0").select("source_id", "target_id", F.lit(None).cast("string").alias("relation_type"))
+    return graph.without_edges(edges, one.union(every)).select("edge_id", "source_id", "target_id", "relation_type")
+
+
+@query("""SELECT op, outcome, count(*) AS n FROM (
+ SELECT op, CASE WHEN op = 'delete' THEN CASE WHEN source_id < 0 THEN 'not_found' ELSE 'deleted' END WHEN ts = source_id AND td = target_id AND tt = relation_type THEN 'unchanged' WHEN there OR row_number() OVER (PARTITION BY ts, td, tt, op <> 'delete' AND NOT there ORDER BY edge_id) > 1 THEN 'merged' WHEN op = 'retype' THEN 'retyped' ELSE 'reversed' END AS outcome
+ FROM (SELECT a.*, EXISTS (SELECT 1 FROM relations r WHERE r.source_id = ts AND r.target_id = td AND r.relation_type = tt) AS there FROM (
+  SELECT op, source_id, target_id, relation_type, edge_id, CASE WHEN op = 'reverse' THEN target_id ELSE source_id END AS ts, CASE WHEN op = 'reverse' THEN source_id ELSE target_id END AS td, CASE WHEN op = 'retype' THEN 'caused_by' ELSE relation_type END AS tt
+  FROM (SELECT CASE source_id % 10 WHEN 3 THEN 'retype' WHEN 1 THEN 'reverse' ELSE 'delete' END AS op, source_id, target_id, relation_type, min(edge_id) AS edge_id FROM relations WHERE source_id % 10 IN (1, 3, 7) GROUP BY ALL
+   UNION ALL SELECT 'delete', -1, -2, 'related_to', NULL) o) a) b) c GROUP BY ALL""")
+def edge_batch_repair(spark, sf_dir):
+    """Retyped, reversed and deleted edges in one batch: the histogram of outcomes, as a dry run would tell."""
+    edges = relations(spark, sf_dir)
+    op = F.expr("CASE source_id % 10 WHEN 3 THEN 'retype' WHEN 1 THEN 'reverse' ELSE 'delete' END")
+    ops = edges.where("source_id % 10 IN (1, 3, 7)").select(op.alias("op"), "source_id", "target_id", "relation_type", F.when(op == "retype", "caused_by").alias("new_type")).distinct()
+    ops = ops.union(spark.range(1).selectExpr("'delete'", "-1L", "-2L", "'related_to'", "string(null)"))
+    return graph.repaired(edges, ops)[1].groupBy("op", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT namespace, title, count(*) AS n FROM memories GROUP BY namespace, title HAVING count(*) > 1")
+def consolidate_fallback(spark, sf_dir):
+    """The wanted model has vectors of 384 numbers and no memory has one, so the clusters are those of equal titles."""
+    wanted = views.embeddings(spark, sf_dir).where("size(vector) = 384")
+    return cluster.clusters_or_titles(memories(spark, sf_dir), wanted, new_path(spark, "clusters"))[1].select("namespace", "title", "n")
+
+
+@query("SELECT id, namespace, round(0.45*0.5 + 0.10*fresh + 0.10*access + 0.35*trust, 4) AS score, array_to_string(list_sort(tags), ',') AS tags FROM scored")
+def full_summaries(spark, sf_dir):
+    df = memories(spark, sf_dir).select(tx.summary(sc.composite(F.lit(0.5), now())).alias("s")).select("s.*")
+    return df.select("id", "namespace", "score", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT id, 4 * len(vector) AS bytes, round(vector[1], 6) AS first FROM vectors")
+def packed_vectors(spark, sf_dir):
+    df = views.embeddings(spark, sf_dir).withColumn("packed", tx.packed_vector("vector"))
+    return df.select("id", F.octet_length("packed").cast("long").alias("bytes"), F.round(tx.unpacked_vector("packed")[0].cast("double"), 6).alias("first"))
+
+
+@query("SELECT id, namespace, row_number() OVER (PARTITION BY namespace ORDER BY last_accessed, id) AS place FROM memories")
+def decay_groups(spark, sf_dir):
+    return stats.grouped_by_decay(memories(spark, sf_dir), now(), "days").select("id", "namespace", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT DISTINCT t AS tag FROM (SELECT unnest(tags) AS t FROM memories) x")
+def tag_table(spark, sf_dir):
+    """The tags in use; a known one that no memory has goes."""
+    known = spark.range(1).select(F.explode(F.array(F.lit("en"), F.lit("nobody-has-this"))).alias("tag"))
+    return namespaces.tag_table(known, namespaces.tags_of(memories(spark, sf_dir)))

@@ -26,6 +26,9 @@ SPREAD_PER_SEED, SPREAD_TOTAL, OVER_CAP = 3, 10, 3
 PIN_CAP, CONTEXT_LIMIT, TASK_SHARE, RECENT_SHARE, CROSS_QUOTA, TYPE_BOOST = 20, 10, 0.5, 0.3, 3, 0.1
 DEDUPE_COSINE, DEDUPE_JACCARD, RELATE_COSINE, RELATE_JACCARD = 0.80, 0.15, 0.72, 0.10
 CLUSTER_SIMILARITY, CLUSTER_LIMIT = 0.90, 10
+HINTS, HINT_POOL = 3, 2
+#: Rows that a side may hold to be marked for broadcast.
+BROADCAST_ROWS = 50_000
 
 MEMORIES = T.StructType(
     [

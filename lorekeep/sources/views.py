@@ -11,14 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep import schema as S
+from lorekeep.sources.tables import table
 
 NOW = "2024-02-15 00:00:00"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def now():
     """The literal that stands for the present."""
     return F.lit(NOW).cast("timestamp_ntz")
@@ -37,13 +34,14 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, events = (table(spark, sf_dir, t) for t in ("documents", "labels", "events"))
     log = access_log(spark, sf_dir).groupBy(F.col("memory_id").alias("doc_id")).agg(F.count("*").alias("n"), F.max("accessed_at").alias("last"))
-    made = events.select(F.col("event_id").alias("doc_id"), "ts")
+    made = events.select(F.col("event_id").alias("doc_id"), F.col("ts").alias("given"))
+    no_event = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("doc_id") % 30).cast("int"))
     kind = F.element_at(F.array(*[F.lit(t) for t in S.MEMORY_TYPES]), (F.col("doc_id") % 8 + 1).cast("int"))
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     confidence = F.when(good, "verified").when(F.col("quality") == 1, "stale").when(F.col("quality") == 0, "deprecated").otherwise("inferred")
     days = lambda c, m: c + F.make_dt_interval(days=(F.col("doc_id") % m).cast("int"))
     size = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 2000, "medium").otherwise("long")
-    joined = docs.join(labels, "doc_id", "left").join(made, "doc_id").join(log, "doc_id", "left")
+    joined = docs.join(labels, "doc_id", "left").join(made, "doc_id", "left").join(log, "doc_id", "left").withColumn("ts", F.coalesce("given", no_event))
     return joined.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("namespace"),
@@ -88,6 +86,8 @@ WITH access_log AS (
   SELECT event_id AS log_id, event_id * event_id % (SELECT count(*) FROM documents) AS memory_id, ts AS accessed_at, event_type AS context FROM events
 ), acc AS (
   SELECT memory_id, count(*) AS n, max(accessed_at) AS last FROM access_log GROUP BY memory_id
+), made AS (
+  SELECT doc_id, coalesce(ts, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 30 AS INT))) AS ts FROM (SELECT DISTINCT doc_id FROM documents) x LEFT JOIN events ON event_id = doc_id
 ), memories AS (
   SELECT d.doc_id AS id, d.source AS namespace,
          (['fact','decision','pattern','bug','architecture','preference','workflow','context'])[d.doc_id % 8 + 1] AS type,
@@ -97,7 +97,7 @@ WITH access_log AS (
          CASE WHEN l.quality = 1 AND l.toxic = 0 THEN e.ts + to_days(CAST(d.doc_id % 10 AS INT)) END AS last_confirmed,
          CAST(coalesce(acc.n, 0) AS BIGINT) AS access_count, d.doc_id % 37 = 0 AS pinned,
          [d.lang, d.source, CASE WHEN d.n_chars < 500 THEN 'short' WHEN d.n_chars < 2000 THEN 'medium' ELSE 'long' END] AS tags
-  FROM documents d LEFT JOIN labels l USING (doc_id) JOIN events e ON e.event_id = d.doc_id LEFT JOIN acc ON acc.memory_id = d.doc_id
+  FROM documents d LEFT JOIN labels l USING (doc_id) JOIN made e ON e.doc_id = d.doc_id LEFT JOIN acc ON acc.memory_id = d.doc_id
 ), scored AS (
   SELECT *, greatest(last_confirmed, updated_at, created_at) AS anchor,
          greatest(0, epoch_us(TIMESTAMP '2024-02-15') - epoch_us(greatest(last_confirmed, updated_at, created_at))) / 86400000000.0 AS age_days,
