@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.buckets import first_rows, salted, to_bucket
-from lorekeep.llm.common import saved, table
+from lorekeep.llm.common import saved, small, table
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -321,8 +321,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = docs.select("doc_id", "text")
     signed = saved(own.mapInArrow(_sign, "doc_id long, digest binary, n int, bands array<long>"), "signed")
     copies = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    copies = small(saved(copies.select("digest", "first"), "copies"))
     member = saved(
-        signed.join(copies.select("digest", "first"), "digest", "left").select("doc_id", F.coalesce("first", "doc_id").alias("rep"), "n", F.when(F.coalesce("first", "doc_id") == F.col("doc_id"), F.col("bands")).alias("bands")),
+        signed.join(copies, "digest", "left").select("doc_id", F.coalesce("first", "doc_id").alias("rep"), "n", F.when(F.coalesce("first", "doc_id") == F.col("doc_id"), F.col("bands")).alias("bands")),
         "member",
     )
     reps = member.where("doc_id IS NOT NULL AND bands IS NOT NULL").select(F.col("doc_id").alias("doc"), "n", "bands")
