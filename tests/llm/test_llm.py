@@ -88,6 +88,42 @@ def test_ann_over_many_blocks(spark, monkeypatch):
     assert got[1000] == want[1000]
 
 
+def test_ann_with_a_repeated_id_and_many_copies_of_blocks(spark, monkeypatch):
+    """A third of the rows have one id, half of them one vector; blocks are sent again for every seven queries."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 128)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    rng = np.random.default_rng(2)
+    given = [(i, v) for i, v in enumerate(rng.normal(size=(1000, 16)))]
+    given += [(1001, v) for v in rng.normal(size=(250, 16))] + [(1001, np.full(16, 0.5))] * 250
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in given], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 10).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    recall = []
+    for q in range(0, 1000, 20):
+        best = {}
+        for i, v in given:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.dot(v, given[q][1])))
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:10]
+        assert all(abs(best[i] - s) < 1e-9 for i, s in got[q]) and len({i for i, _ in got[q]}) == 10
+        recall.append(len({i for i, _ in want} & {i for i, _ in got[q]}) / 10)
+    assert np.mean(recall) >= 0.9
+
+
+def test_runs_are_cut_and_repeats_left_out():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"a": [1, 1, 2, 2], "b": [0, 1, 1, 1], "v": [5, 6, 7, 8]})
+    assert [(k, r.column("v").to_pylist()) for k, r in ann.runs(batch, ["a", "b"])] == [([1, 0], [5]), ([1, 1], [6]), ([2, 1], [7, 8])]
+    assert list(ann.runs(batch.slice(0, 0), ["a", "b"])) == []
+    ids, x = np.array([1, 1, 1, 2]), np.array([[1.0], [1.0], [2.0], [2.0]])
+    first = ann.unlike_previous(ids, x, [])
+    assert first[0].tolist() == [1, 1, 2] and first[1].ravel().tolist() == [1.0, 2.0, 2.0]
+    assert ann.unlike_previous(ids[3:], x[3:], [first])[0].tolist() == []
+
+
 # 2: near duplicates
 
 
