@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +58,16 @@ MARK_BITS = 21
 CORNERS = "keys array<bigint>, spots array<bigint>"
 
 
+@lru_cache(maxsize=1024)
+def repeated_edges(k: int, r: int) -> np.ndarray:
+    """Places of an axis of length ``k`` with its edges repeated for sums over 2r+1."""
+    return np.clip(np.arange(-r - 1, k + r), 0, k - 1)
+
+
 def box(a: np.ndarray, r: int) -> np.ndarray:
     """Sums over (2r+1)-squares of the last two axes, edges repeated."""
     n = 2 * r + 1
-    rows, cols = (np.clip(np.arange(-r - 1, k + r), 0, k - 1) for k in a.shape[-2:])
+    rows, cols = (repeated_edges(k, r) for k in a.shape[-2:])
     a = a[..., rows, :].cumsum(axis=-2)
     a = (a[..., n:, :] - a[..., :-n, :])[..., cols].cumsum(axis=-1)
     return a[..., n:] - a[..., :-n]
