@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,41 +58,64 @@ MARK_BITS = 21
 CORNERS = "keys array<bigint>, spots array<bigint>"
 
 
-@lru_cache(maxsize=1024)
-def repeated_edges(k: int, r: int) -> np.ndarray:
-    """Places of an axis of length ``k`` with its edges repeated for sums over 2r+1."""
-    return np.clip(np.arange(-r - 1, k + r), 0, k - 1)
+def windows(a: np.ndarray, n: int, axis: int, join: np.ufunc) -> np.ndarray:
+    """``join`` (a sum, a maximum) of every ``n`` neighbours along one of the last two axes, from windows of doubled widths."""
+
+    def part(of: np.ndarray, begin: int, length: int) -> np.ndarray:
+        return of[..., begin : begin + length, :] if axis == -2 else of[..., begin : begin + length]
+
+    length, joined, done, width, total = a.shape[axis] - n + 1, a, 0, 1, None
+    while True:
+        if n & width:
+            piece = part(joined, done, length)
+            total = piece if total is None else join(total, piece)
+            done += width
+        if 2 * width > n:
+            return total
+        left = joined.shape[axis] - width
+        joined, width = join(part(joined, 0, left), part(joined, width, left)), 2 * width
 
 
 def box(a: np.ndarray, r: int) -> np.ndarray:
     """Sums over (2r+1)-squares of the last two axes, edges repeated."""
-    n = 2 * r + 1
-    rows, cols = (repeated_edges(k, r) for k in a.shape[-2:])
-    a = a[..., rows, :].cumsum(axis=-2)
-    a = (a[..., n:, :] - a[..., :-n, :])[..., cols].cumsum(axis=-1)
-    return a[..., n:] - a[..., :-n]
+    h, w = a.shape[-2:]
+    wide = np.empty((*a.shape[:-2], h + 2 * r, w + 2 * r))
+    wide[..., r : r + h, r : r + w] = a
+    wide[..., :r, r : r + w], wide[..., r + h :, r : r + w] = a[..., :1, :], a[..., -1:, :]
+    wide[..., :r], wide[..., r + w :] = wide[..., r : r + 1], wide[..., r + w - 1 : r + w]
+    return windows(windows(wide, 2 * r + 1, -2, np.add), 2 * r + 1, -1, np.add)
+
+
+def summed(image: np.ndarray) -> np.ndarray:
+    """Sums of the pixels above and left of every place between pixels."""
+    sums = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
+    image.astype(float).cumsum(axis=0).cumsum(axis=1, out=sums[1:, 1:])
+    return sums
 
 
-def resized(image: np.ndarray, factor: float) -> np.ndarray:
-    """The image smaller by ``factor``: each new pixel is the mean of the area it covers."""
+def resized(sums: np.ndarray, factor: float) -> np.ndarray:
+    """The image with these ``summed`` pixels, smaller by ``factor``: each new pixel is the mean of the area it covers."""
 
     def rows(a: np.ndarray) -> np.ndarray:
-        edges = np.arange(int(len(a) / factor) + 1) * factor
-        at = np.minimum(edges.astype(int), len(a) - 1)
-        total = np.concatenate([np.zeros((1, a.shape[1])), a.cumsum(axis=0)])
-        part = (edges - at)[:, None]
-        return np.diff(total[at] * (1 - part) + total[at + 1] * part, axis=0) / factor
+        edges = np.arange(int((len(a) - 1) / factor) + 1) * factor
+        at = np.minimum(edges.astype(int), len(a) - 2)
+        part = ((edges - at) / factor)[:, None]
+        reached = a[at] * (1 / factor - part) + a[at + 1] * part
+        return reached[1:] - reached[:-1]
 
-    return rows(rows(image).T).T
+    return rows(rows(sums).T).T
 
 
 def sampled(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Values between pixels."""
-    row, col = np.floor(y).astype(int), np.floor(x).astype(int)
+    row, col = y.astype(int), x.astype(int)
     fy, fx = y - row, x - col
-    at = row * image.shape[1] + col
     flat, width = image.ravel(), image.shape[1]
-    return (flat[at] * (1 - fx) + flat[at + 1] * fx) * (1 - fy) + (flat[at + width] * (1 - fx) + flat[at + width + 1] * fx) * fy
+    at = row * width + col
+    above, below = flat.take(at), flat.take(at + width)
+    above += (flat.take(at + 1) - above) * fx
+    below += (flat.take(at + width + 1) - below) * fx
+    return above + (below - above) * fy
 
 
 def corner_points(image: np.ndarray) -> np.ndarray:
@@ -103,9 +126,7 @@ def corner_points(image: np.ndarray) -> np.ndarray:
     a, b, c = box(box(np.stack([gx * gx, gy * gy, gx * gy]), 2), 1)
     strength = (a + b) / 2 - np.sqrt(np.square((a - b) / 2) + c * c)
     inner = strength[BORDER - APART : h - BORDER + APART, BORDER - APART : w - BORDER + APART]
-    n = 2 * APART
-    rows = np.max([inner[i : len(inner) - n + i] for i in range(n + 1)], axis=0)
-    peak = np.max([rows[:, i : rows.shape[1] - n + i] for i in range(n + 1)], axis=0)
+    peak = windows(windows(inner, 2 * APART + 1, -2, np.maximum), 2 * APART + 1, -1, np.maximum)
     own = inner[APART:-APART, APART:-APART]
     y, x = np.nonzero((own == peak) & (own > max(1.0, 0.01 * own.max())))
     y, x = y + BORDER, x + BORDER
@@ -127,7 +148,8 @@ def disc() -> np.ndarray:
 
 def contrasts(image: np.ndarray, tests: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
     """(size of the level's pixels, corners, orientations, differences of the tests' ends) for every level."""
-    patch, level, number = disc(), image.astype(float), 0
+    patch, sums, level, number = disc(), summed(image), image, 0
+    down, right = tests[..., 0].ravel(), tests[..., 1].ravel()
     while min(level.shape) > 2 * BORDER + 2:
         local = box(level, 1)
         points = corner_points(local)
@@ -135,14 +157,14 @@ def contrasts(image: np.ndarray, tests: np.ndarray) -> Iterator[tuple[float, np.
             y, x = points[:, 0], points[:, 1]
             around = sampled(local, y[:, None] + patch[None, :, 0], x[:, None] + patch[None, :, 1])
             angle = np.arctan2(around @ patch[:, 0], around @ patch[:, 1])
-            cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+            cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
             detail = local / 9 - box(level, AROUND) / (2 * AROUND + 1) ** 2
-            ends = sampled(detail, y[:, None, None] + tests[..., 1] * sin + tests[..., 0] * cos, x[:, None, None] + tests[..., 1] * cos - tests[..., 0] * sin)
+            ends = sampled(detail, y[:, None] + right * sin + down * cos, x[:, None] + right * cos - down * sin).reshape(-1, *tests.shape[:2])
             yield RATIO**number, points, angle, ends[..., 0] - ends[..., 1]
         number += 1
         if min(image.shape) / RATIO**number <= 2 * BORDER + 2:
             return
-        level = resized(image.astype(float), RATIO**number)
+        level = resized(sums, RATIO**number)
 
 
 @cache
@@ -178,8 +200,9 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The table keys (corners x tables) and spots of an image's corners."""
     tests, keys, spots = chosen_tests(), [np.empty((0, TABLES), np.int64)], [np.empty(0, np.int64)]
     for size, points, angle, difference in contrasts(image, tests):
-        bits = (difference < 0).reshape(len(points), TABLES, KEY_BITS).astype(np.int64)
-        keys.append((np.arange(TABLES) << KEY_BITS) + (bits << np.arange(KEY_BITS)).sum(axis=2))
+        pieces = np.zeros((len(points), TABLES, 8), np.uint8)
+        pieces[..., : KEY_BITS // 8] = np.packbits((difference < 0).reshape(len(points), TABLES, KEY_BITS), axis=2, bitorder="little")
+        keys.append((np.arange(TABLES) << KEY_BITS) + pieces.view("<i8")[..., 0])
         turn = np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
         y, x = np.rint(8 * np.maximum((points.T + 0.5) * size - 0.5, 0)).astype(np.int64)
         spots.append(x << 40 | y << 16 | turn << 8 | round(np.log(size) / np.log(RATIO)))
@@ -378,7 +401,7 @@ def edit(image: np.ndarray, kind: int, seed: int) -> np.ndarray:
         y, x = rng.integers(0, n - n // 2, 2)
         return np.ascontiguousarray(image[y : y + n // 2, x : x + n // 2])
     if kind == 4:
-        return np.clip(np.rint(resized(image.astype(float), 1.5)), 0, 255).astype(np.uint8)
+        return np.clip(np.rint(resized(summed(image), 1.5)), 0, 255).astype(np.uint8)
     if kind == 0:
         y, x = rng.integers(0, n // 5, 2)
         return np.ascontiguousarray(image[y : y + n * 4 // 5, x : x + n * 4 // 5])
