@@ -7,12 +7,12 @@ local means), turned by the orientation, make a descriptor.  The tests are chose
 correlated on textured noise.  Three 56-bit pieces of a descriptor are the keys of Hamming tables; they don't tell levels apart, so a corner meets its
 counterpart in a resized copy.
 
-Images that share a key are nominated, and each nominated pair is verified once, by all corners of both: every corner meets the other image's nearest
+Images with corners that share a key and are near each other are nominated, and each nominated pair is verified once, by all corners of both: every corner meets the other image's nearest
 one, whose mark (63 bits of the descriptor) is at most ``BITS`` bits away, and votes for a rotation, a scale and a shift; at least
 ``VOTES`` corners at different places must agree, and at least ``VOTING`` of the corners of the image that has fewer.  Cropped, resized, brightened, partly covered or turned copies keep enough of them.
 
 Images with equal pixels are one class at once and go on as one.  In a bucket of the
-tables all images meet the largest one, then those outside the bucket's main class meet the
+tables all corners meet one of the largest image, then those outside the bucket's main class meet the
 rest that is in another class, a bounded number each round; no bucket is capped.  Buckets are salted, so that one may hold any share of the images.
 
 Defined results: the class is named by its smallest image_id.  An image whose data
@@ -30,7 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.buckets import first_rows, salted, to_bucket
@@ -285,10 +285,20 @@ def are_copies(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return agreeing(a, b, side) >= max(VOTES, VOTING * min(len(a[0]), len(b[0])))
 
 
+def corner_mark(i: Column) -> Column:
+    """The mark of corner ``i`` of a row with ``keys``."""
+    low = [F.shiftleft(F.col("keys")[i * TABLES + t].bitwiseAND(F.lit((1 << MARK_BITS) - 1)), t * MARK_BITS) for t in range(TABLES)]
+    return low[0].bitwiseOR(low[1]).bitwiseOR(low[2])
+
+
+def near(one: str, other: str) -> Column:
+    """Whether two corners' marks are near enough for a vote."""
+    return F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= BITS
+
+
 def compared(facts: DataFrame, repeated: DataFrame) -> DataFrame:
     """(image, area, marks, spots): what images are verified by; those with ``repeated`` (image_id) ids have the corners of all their pictures."""
-    low = lambda i, t: F.shiftleft(F.col("keys")[i * TABLES + t].bitwiseAND(F.lit((1 << MARK_BITS) - 1)), t * MARK_BITS)
-    marks = F.transform("spots", lambda _, i: low(i, 0).bitwiseOR(low(i, 1)).bitwiseOR(low(i, 2)))
+    marks = F.transform("spots", lambda _, i: corner_mark(i))
     own = facts.where("size(spots) > 0").select(F.col("image_id").alias("image"), "digest", "area", marks.alias("marks"), "spots")
     repeated = small(repeated.withColumnRenamed("image_id", "image"))
     pictures = own.join(repeated, "image", "left_semi").groupBy("image", "digest").agg(F.first(F.struct("area", "marks", "spots")).alias("p"))
@@ -316,17 +326,18 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def copy_links(rows: DataFrame, pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, that join the images of ``rows`` (bucket, image, area) and of buckets of two, ``pairs``, into classes.
+    """Links (a, b), a < b, that join the images of ``rows`` (bucket, image, mark, area), distinct corners, and of buckets of two, ``pairs``, into classes.
 
-    Buckets only nominate pairs: a bucket's largest image with all others; then, round by round, up to ``ROUND``
-    of the images outside the bucket's main class with those of other classes, until none is left.  A pair is verified once, with
-    all corners of both, so its link doesn't depend on the other images there.
+    Buckets only nominate pairs of images with corners near each other: a corner of a bucket's largest image meets all others;
+    then, round by round, up to ``ROUND`` of the corners outside the bucket's main class those of other classes, until none is left.
+    A pair is verified once, with all corners of both, so its link doesn't depend on the other images there.
     """
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     rows, sizes = salted(rows.withColumn("done", F.lit(False)), "image")
     rows = saved(rows, "buckets")
-    top = rows.groupBy("bucket").agg(F.max(F.struct("area", (-F.col("image")).alias("minus"))).alias("top"))
-    met = to_bucket(rows, top.select("bucket", (-F.col("top.minus")).alias("pivot")), sizes).where("image <> pivot")
+    top = rows.groupBy("bucket").agg(F.max(F.struct("area", (-F.col("image")).alias("minus"), "mark")).alias("top"))
+    top = top.select("bucket", (-F.col("top.minus")).alias("pivot"), F.col("top.mark").alias("its"))
+    met = to_bucket(rows, top, sizes).where((F.col("image") != F.col("pivot")) & near("mark", "its"))
     tried = saved(met.select(*pair("pivot", "image")).union(pairs).distinct(), "pairs")
     found = verified(tried, held)
     while True:
@@ -335,15 +346,15 @@ def copy_links(rows: DataFrame, pairs: DataFrame, held: DataFrame) -> DataFrame:
         counts = rows.groupBy("bucket", "class").agg(F.count("*").alias("n"))
         main = counts.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
         rows = saved(to_bucket(rows, main.select("bucket", F.col("main.class").alias("main")), sizes), "open")
-        chosen = first_rows(rows.where("class <> main AND NOT done"), [F.desc("area"), F.col("image")], ROUND)
-        chosen = saved(chosen.select("bucket", F.col("image").alias("x"), F.col("class").alias("cx")), "chosen")
+        chosen = first_rows(rows.where("class <> main AND NOT done"), [F.desc("area"), F.col("image"), F.col("mark")], ROUND)
+        chosen = saved(chosen.select("bucket", F.col("image").alias("x"), F.col("mark").alias("its"), F.col("class").alias("cx")), "chosen")
         if chosen.isEmpty():
             return found
-        near = to_bucket(rows, chosen, sizes).where("class <> cx").select(*pair("x", "image")).distinct()
-        fresh = saved(near.join(tried, ["a", "b"], "left_anti"), "pairs")
+        met = to_bucket(rows, chosen, sizes).where((F.col("class") != F.col("cx")) & near("mark", "its")).select(*pair("x", "image")).distinct()
+        fresh = saved(met.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried, found = tried.union(fresh), found.union(verified(fresh, held))
-        went = chosen.select("bucket", F.col("x").alias("image"), F.lit(True).alias("went"))
-        rows = rows.drop("main").join(went, ["bucket", "image"], "left").withColumn("done", F.col("done") | F.coalesce("went", F.lit(False))).drop("went")
+        went = chosen.select("bucket", F.col("x").alias("image"), F.col("its").alias("mark"), F.lit(True).alias("went"))
+        rows = rows.drop("main").join(went, ["bucket", "image", "mark"], "left").withColumn("done", F.col("done") | F.coalesce("went", F.lit(False))).drop("went")
 
 
 def image_copies(images: DataFrame) -> DataFrame:
@@ -358,12 +369,15 @@ def image_copies(images: DataFrame) -> DataFrame:
     reps = facts.join(equal, "digest", "left").where(F.col("image_id") == rep).select(F.col("image_id").alias("image"), "keys")
     # a bucket of one image goes, one of two is a pair, others go on; all from one exchange
     here = Window.partitionBy("bucket")
-    rows = reps.select("image", F.explode("keys").alias("bucket"))
-    rows = rows.withColumns({"one": F.min("image").over(here), "other": F.max("image").over(here), "n": F.count("*").over(here)}).where("one <> other")
+    rows = reps.select("image", "keys", F.posexplode("keys").alias("at", "bucket"))
+    rows = rows.select("image", corner_mark((F.col("at") / TABLES).cast("int")).alias("mark"), "bucket")
+    corner = F.struct("image", "mark")
+    rows = rows.withColumns({"one": F.min(corner).over(here), "other": F.max(corner).over(here), "n": F.count("*").over(here)}).where("one.image <> other.image")
     rows = saved(rows, "shared")
-    pairs = rows.where("n = 2 AND image = one").select(F.col("one").alias("a"), F.col("other").alias("b"))
+    pairs = rows.where((F.col("n") == 2) & (F.col("image") == F.col("one.image")) & near("one.mark", "other.mark"))
+    pairs = pairs.select(F.col("one.image").alias("a"), F.col("other.image").alias("b"))
     area = member.where("image_id = rep").groupBy(F.col("image_id").alias("image")).agg(F.max("area").alias("area"))
-    crowds = rows.where("n > 2").select("bucket", "image").distinct().join(area, "image")
+    crowds = rows.where("n > 2").select("bucket", "image", "mark").distinct().join(area, "image")
     links = copy_links(crowds, pairs, compared(facts, repeated))
     several = member.groupBy("image_id").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("image_id")
     ties = member.join(several, "image_id").select(F.col("image_id").alias("a"), F.col("rep").alias("b"))
