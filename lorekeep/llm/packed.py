@@ -53,17 +53,15 @@ def shard_of(mixed_keys: np.ndarray, bits: int) -> np.ndarray:
     return (mixed_keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(mixed_keys), np.int64)
 
 
-def pack(values: np.ndarray, sorted_keys: bool = False) -> bytes:
-    """Whole numbers as planes of bytes, so that small ones compress; sorted keys as differences."""
-    x = values.astype("<u8")
-    if sorted_keys and len(x):
-        x = np.concatenate([x[:1], np.diff(x)])
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+def pack(values: np.ndarray, ascending: bool = False, width: int = 8) -> bytes:
+    """Whole numbers as planes of bytes, so that small ones compress; ascending ones as differences."""
+    x = np.diff(values, prepend=values.dtype.type(0)) if ascending else values
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def unpack(data: bytes, sorted_keys: bool = False) -> np.ndarray:
-    x = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(x, dtype=np.uint64) if sorted_keys else x
+def unpack(data: bytes, ascending: bool = False, width: int = 8) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+    return np.cumsum(x, dtype=np.uint64) if ascending else x
 
 
 CHUNKS = "shard int, kind int, keys binary, counts binary"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import ann, bpe, chat_format, media, mixing, near_dup, quality, toxicity, url_filter, warc
+from lorekeep.llm import align, ann, bpe, chat_format, lexical, lm, media, mixing, near_dup, quality, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
+    "op11_lm_scoring": lm.op11_lm_scoring,
+    "op12_cross_tokenizer": align.op12_cross_tokenizer,
+    "op13_lexical": lexical.op13_lexical,
 }
 
 ORACLE_SQL = {
