@@ -1,41 +1,237 @@
-"""An inverted index in files: postings by bucket of their term, and the corpus statistics.
+"""A keyword index in files: segments of postings in blocks, ranked retrieval that skips blocks, and upkeep.
 
-Written once; a question reads the buckets of its terms alone.
+Layout below the index's path, all Parquet:
+
+    postings/segment=N/bucket=B    (term, block, n, most, least, ids, tfs, lengths): a term's postings in one block of documents
+    removed/segment=N/bucket=B     (term, n): how many documents with the term segment N takes away from earlier ones
+    dead/segment=N                 (id): the documents that it takes away
+    statistics/segment=N           one row, written last: a segment without it isn't there
+
+A block is a set of about ``DOCUMENTS`` documents of like length, the same for all terms.  ``most`` (term frequency) and ``least``
+(length) bound what the term adds to the score of any document there, whatever the corpus statistics become, so a
+block whose bounds sum to less than the score of the k-th best document is never read.
+
+An index is changed by adding segments: ``changed`` takes the rows that leave, as they were indexed, and those that come.  Document frequencies and
+lengths are sums over the segments, less what was removed, so scores equal those of a fresh index.  ``compacted`` writes all
+that is alive as one new segment, before which earlier ones no longer count.  One writer at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.functions.scoring import mapped
-from lorekeep.operators.search import document_words, idf, terms_of, vocabulary
+from lorekeep.operators.search import document_words, terms_of, vocabulary, weighted
+from lorekeep.sources.tables import saved
 
 #: Buckets that terms are dealt to, and parts of a bucket, so that a common term is no single file.
 BUCKETS, PARTS = 64, 8
+#: Documents of a block, about.
+DOCUMENTS = 256
+#: Blocks that are scored for the threshold.
+FIRST = 16
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def write(corpus: DataFrame, path: str, stemmed: bool = False) -> None:
-    """The index of ``corpus`` (id, title, content) below ``path``."""
+def term_rows(corpus: DataFrame, stemmed: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, term, length, tf) of ``corpus`` (id, title, content), and (id, w) of its documents."""
     docs = document_words(corpus)
-    terms = docs.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    terms = docs.select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
     if stemmed:
         terms = terms.join(vocabulary(docs), "term").withColumn("term", F.col("stem"))
-    rows = terms.groupBy("id", "term", "dl").agg(F.count("*").cast("int").alias("tf"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PARTS))).sortWithinPartitions("bucket", "term", "id")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).write.parquet(f"{path}/statistics")
+    return terms.groupBy("id", "term", "length").agg(F.count("*").cast("int").alias("tf")), docs
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """(bucket, term, block, n, most, least, ids, tfs, lengths) of term rows.
+
+    Blocks hold documents of like length, so their bounds are close; the number of blocks of a class of lengths follows
+    from its documents (some sixty classes at most).
+    """
+    kind = F.floor(F.log2(F.col("length") + 1.0) * 2).cast("int")
+    sizes = rows.select("id", kind.alias("kind")).distinct().groupBy("kind").agg(F.ceil(F.count("*") / DOCUMENTS).alias("parts"))
+    dealt = rows.withColumn("kind", kind).join(F.broadcast(sizes), "kind")
+    dealt = dealt.withColumn("block", F.col("kind").cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), F.col("parts")))
+    held = F.array_sort(F.collect_list(F.struct("id", "tf", "length")))
+    out = dealt.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), held.alias("h"))
+    return out.select(bucket_of(F.col("term")).alias("bucket"), "term", "block", "n", "most", "least", F.col("h.id").alias("ids"), F.col("h.tf").alias("tfs"), F.col("h.length").alias("lengths"))
+
+
+def put_postings(rows: DataFrame, path: str, segment: int) -> None:
+    blocks = in_blocks(rows).repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(PARTS))).sortWithinPartitions("bucket", "term", "block")
+    blocks.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+
+
+def put_statistics(spark: SparkSession, path: str, segment: int, kind: str, id_type: str, stemmed: bool, n: int, length: int) -> None:
+    row = spark.createDataFrame([(kind, id_type, stemmed, n, length)], "kind string, id_type string, stemmed boolean, n long, length long")
+    row.coalesce(1).write.parquet(f"{path}/statistics/segment={segment}")
+
+
+def totals(docs: DataFrame) -> tuple[int, int]:
+    """Documents and words of (id, w)."""
+    r = docs.agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("length")).first()
+    return r["n"], r["length"] or 0
+
+
+@dataclass
+class Index:
+    """The segments that count, and the corpus statistics over them."""
+
+    spark: SparkSession
+    path: str
+    id_type: str
+    stemmed: bool
+    segments: list[int]
+    n: int
+    length: int
+    changes: bool  # whether any segment takes documents away
+
+    @property
+    def average(self) -> float:
+        return self.length / self.n if self.n else 1.0
+
+    def postings(self, terms: Sequence[str] | None = None) -> DataFrame:
+        """The blocks of ``terms`` (of all, if none are given); only their buckets are read."""
+        schema = f"term string, block long, n long, most int, least int, ids array<{self.id_type}>, tfs array<int>, lengths array<int>, segment int, bucket int"
+        held = self.spark.read.schema(schema).parquet(f"{self.path}/postings").where(F.col("segment").isin(self.segments))
+        return held if terms is None else self._of_terms(held, terms)
+
+    def _of_terms(self, held: DataFrame, terms: Sequence[str]) -> DataFrame:
+        asked = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+        buckets = self.spark.range(1).select(F.transform(asked, bucket_of).alias("b")).first()["b"]
+        return held.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+
+    def dead(self) -> DataFrame:
+        """(id, gone): the last segment that takes an id away."""
+        held = self.spark.read.schema(f"id {self.id_type}, segment int").parquet(f"{self.path}/dead").where(F.col("segment").isin(self.segments))
+        return held.groupBy("id").agg(F.max("segment").alias("gone"))
+
+    def alive(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (id, segment, ...) of documents that no later segment takes away."""
+        if not self.changes:
+            return rows
+        return rows.join(self.dead(), "id", "left").where(F.col("gone").isNull() | (F.col("segment") >= F.col("gone"))).drop("gone")
+
+    def frequencies(self, terms: Sequence[str]) -> dict[str, int]:
+        """The documents that hold each term: a row for each term of a query reaches the driver."""
+        found = self.postings(terms).groupBy("term").agg(F.sum("n").alias("n"))
+        if self.changes:
+            gone = self.spark.read.schema("term string, n long, segment int, bucket int").parquet(f"{self.path}/removed").where(F.col("segment").isin(self.segments))
+            found = found.union(self._of_terms(gone, terms).select("term", (-F.col("n")).alias("n"))).groupBy("term").agg(F.sum("n").alias("n"))
+        held = {r["term"]: r["n"] for r in found.collect()}
+        return {t: held.get(t, 0) for t in terms}
+
+    def _score(self, blocks: DataFrame, terms: list[str], df: dict[str, int], k1: float, b: float) -> DataFrame:
+        """(id, bm25) of the live documents in blocks of postings, in the order of sums that a scan has."""
+        distinct = list(dict.fromkeys(terms))
+        rows = blocks.select("segment", "term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("x")).select("segment", "term", F.col("x.ids").alias("id"), F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("dl"))
+        tf = [F.max(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(distinct)]
+        met = self.alive(rows.groupBy("segment", "id").agg(F.first("dl").alias("dl"), *tf))
+        score = weighted(terms, [F.col(f"tf{i}") for i in range(len(distinct))], F.col("dl"), self.n, self.average, [df[t] for t in distinct], k1, b)
+        return met.select("id", score.alias("bm25"))
+
+    def bm25(self, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(id, bm25) of every document that holds a query term."""
+        terms = terms_of(query, self.stemmed)
+        distinct = list(dict.fromkeys(terms))
+        return self._score(self.postings(distinct), terms, self.frequencies(distinct), k1, b)
+
+    def bounds(self, terms: list[str], df: dict[str, int], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(segment, block, bound): no document of the block scores more.  Reads no postings, only what is said of them."""
+        distinct = list(dict.fromkeys(terms))
+        part = F.lit(0.0)
+        for t in distinct:
+            most = weighted([t] * terms.count(t), [F.col("most")], F.col("least"), self.n, self.average, [df[t]], k1, b)
+            part = F.when(F.col("term") == t, most).otherwise(part)
+        return self.postings(distinct).select("segment", "block", part.alias("part")).groupBy("segment", "block").agg(F.sum("part").alias("bound"))
+
+    def top(self, query: str, k: int, kept: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(id, bm25): the ``k`` best documents, of those in ``kept`` (id) if given; ties by id.
+
+        The blocks of the highest bounds are scored first; the k-th best score there is the threshold for all others.
+        """
+        return self._found(query, k, kept, k1, b)[0]
+
+    def pruning(self, query: str, k: int, kept: DataFrame | None = None) -> tuple[int, int]:
+        """How many blocks hold a term of the query, and how many of them a search reads."""
+        every, read = self._found(query, k, kept)[1:]
+        return every.count(), read.count()
+
+    def _found(self, query: str, k: int, kept: DataFrame | None, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame, DataFrame]:
+        terms = terms_of(query, self.stemmed)
+        distinct = list(dict.fromkeys(terms))
+        df = self.frequencies(distinct)
+        every = saved(self.bounds(terms, df, k1, b), "bounds")  # a row for each block
+        order = [F.desc("bm25"), F.col("id")]
+
+        def best(blocks: DataFrame, hint: bool) -> DataFrame:
+            wanted = blocks.select("segment", "block")
+            found = self._score(self.postings(distinct).join(F.broadcast(wanted) if hint else wanted, ["segment", "block"], "left_semi"), terms, df, k1, b)
+            found = found if kept is None else found.join(kept.select("id"), "id", "left_semi")
+            return found.orderBy(*order).limit(k)
+
+        first = best(every.orderBy(F.desc("bound"), "segment", "block").limit(FIRST), True)
+        told = first.agg(F.count("*").alias("n"), F.min("bm25").alias("least")).first()
+        # bounds are sums in another order than scores
+        read = every.where(F.col("bound") >= told["least"] * (1 - 1e-9)) if told["n"] >= k else every
+        return best(read, False), every, read
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    """The index below ``path``: its last full segment and what came after it."""
+    held = sorted(spark.read.parquet(f"{path}/statistics").collect(), key=lambda r: r["segment"])  # a row for each segment
+    begin = max(i for i, r in enumerate(held) if r["kind"] == "full")
+    rows = held[begin:]
+    return Index(spark, path, rows[0]["id_type"], rows[0]["stemmed"], [r["segment"] for r in rows], sum(r["n"] for r in rows), sum(r["length"] for r in rows), len(rows) > 1)
+
+
+def write(corpus: DataFrame, path: str, stemmed: bool = False) -> Index:
+    """The index of ``corpus`` (id, title, content) below ``path``, as its first segment."""
+    spark = corpus.sparkSession
+    rows, docs = term_rows(corpus, stemmed)
+    put_postings(rows, path, 0)
+    put_statistics(spark, path, 0, "full", corpus.schema["id"].dataType.simpleString(), stemmed, *totals(docs))
+    return opened(spark, path)
+
+
+def changed(spark: SparkSession, path: str, removed: DataFrame, added: DataFrame) -> Index:
+    """The index after ``removed`` (rows as they were indexed) left and ``added`` came; an updated row is in both.
+
+    Only these rows are read; ids are unique among either.
+    """
+    old = opened(spark, path)
+    segment = old.segments[-1] + 1
+    came, docs = term_rows(added, old.stemmed)
+    went, gone = term_rows(removed, old.stemmed)
+    put_postings(came, path, segment)
+    less = went.groupBy("term").agg(F.count("*").alias("n")).select(bucket_of(F.col("term")).alias("bucket"), "term", "n")
+    less.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/removed/segment={segment}")
+    removed.select("id").distinct().write.parquet(f"{path}/dead/segment={segment}")
+    (n, length), (minus, words) = totals(docs), totals(gone)
+    put_statistics(spark, path, segment, "delta", old.id_type, old.stemmed, n - minus, length - words)
+    return opened(spark, path)
+
+
+def compacted(spark: SparkSession, path: str) -> Index:
+    """The index with all that is alive in one new segment; the files of earlier ones stay until they are deleted."""
+    old = opened(spark, path)
+    rows = old.postings().select("segment", "term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("x"))
+    rows = old.alive(rows.select("segment", "term", F.col("x.ids").alias("id"), F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("length")))
+    segment = old.segments[-1] + 1
+    put_postings(rows.select("id", "term", "length", "tf"), path, segment)
+    put_statistics(spark, path, segment, "full", old.id_type, old.stemmed, old.n, old.length)
+    return opened(spark, path)
 
 
 def bm25(spark: SparkSession, path: str, query: str, stemmed: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, bm25) of the documents that hold a query term; ``stemmed`` as the index was written."""
-    terms = terms_of(query, stemmed)
-    distinct = list(dict.fromkeys(terms))
-    stats = spark.read.parquet(f"{path}/statistics").first()
-    bucket = spark.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)).cast("int") for t in distinct]).cast("array<int>").alias("b")).first()["b"]
-    held = spark.read.schema("id long, term string, dl int, tf int, bucket int").parquet(f"{path}/postings").where(F.col("bucket").isin(bucket) & F.col("term").isin(distinct))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
-    weight = mapped("term", {t: float(terms.count(t)) for t in distinct}, 0.0)
-    part = weight * idf(stats["n"], F.col("df")) * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / float(stats["avgdl"] or 1.0)))
-    return held.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("bm25"))
+    index = opened(spark, path)
+    if index.stemmed != stemmed:
+        raise ValueError("the index was written " + ("with" if index.stemmed else "without") + " stems")
+    return index.bm25(query, k1, b)

@@ -663,7 +663,40 @@ def bm25_indexed(spark, sf_dir):
     return df.orderBy(F.round("bm25", 9).desc(), "id").limit(25).select("id", F.round("bm25", 6).alias("bm25"))
 
 
-@query(
+@query(_FUSED + "SELECT id, round(0.45*relevance + 0.10*fresh + 0.10*access + 0.35*trust, 6) AS score FROM fused JOIN scored USING (id) ORDER BY 0.45*relevance + 0.10*fresh + 0.10*access + 0.35*trust DESC, id LIMIT 10")
+def hybrid_indexed(spark, sf_dir):
+    """Hybrid search whose keyword pool comes from the index; no text is read for it."""
+    df = memories(spark, sf_dir)
+    index = postings.write(df, new_path(spark, "postings"))
+    bare = df.drop("content")
+    found = search.hybrid(bare, filters.select_memories(bare), views.embeddings(spark, sf_dir), QUERY, vector(spark, sf_dir), now(), 10, S.WEIGHTS, FLOOR, index=index)
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+_CHANGED = """
+, changed AS (
+  SELECT id, title, CASE WHEN id % 10 = 3 THEN content || ' the thand reanon' ELSE content END AS content FROM memories WHERE id % 10 <> 4
+)""" + _WORDS.replace("FROM memories", "FROM changed")
+
+
+@query(_CHANGED + """, best AS (SELECT id, round(bm25, 6) AS bm25, round(bm25, 9) AS b FROM bm)
+ SELECT 'delta' AS state, id, bm25 FROM (SELECT * FROM best ORDER BY b DESC, id LIMIT 50) x
+ UNION ALL SELECT 'compacted', id, bm25 FROM (SELECT * FROM best ORDER BY b DESC, id LIMIT 50) x
+ UNION ALL SELECT 'all', id, bm25 FROM best""")
+def index_upkeep(spark, sf_dir):
+    """The index after updates and deletions in two further segments, and after compaction, gives the scores of the changed corpus."""
+    df = saved(memories(spark, sf_dir).select("id", "title", "content"), "memories")
+    path = new_path(spark, "postings")
+    postings.write(df, path)
+    old, gone = df.where("id % 10 = 3"), df.where("id % 10 = 4")
+    postings.changed(spark, path, old, old.withColumn("content", F.concat("content", F.lit(" the thand reanon"))))
+    index = postings.changed(spark, path, gone, df.limit(0))
+    top = lambda name, index: saved(index.top(QUERY, 50).select(F.lit(name).alias("state"), "id", F.round("bm25", 6).alias("bm25")), "top")
+    delta, every = top("delta", index), saved(index.bm25(QUERY).select(F.lit("all").alias("state"), "id", F.round("bm25", 6).alias("bm25")), "all")
+    return delta.union(top("compacted", postings.compacted(spark, path))).union(every)
+
+
+_DISPATCHED = (
     _FUSED
     + """, h AS (SELECT id, row_number() OVER (ORDER BY 0.45*relevance + 0.10*fresh + 0.10*access + 0.35*trust DESC, id) AS place FROM fused JOIN scored USING (id) QUALIFY place <= 10),
  m AS (SELECT id, row_number() OVER (ORDER BY last_accessed DESC, id) AS place FROM bm JOIN memories USING (id) WHERE confidence <> 'deprecated' QUALIFY place <= 10),
@@ -671,14 +704,28 @@ def bm25_indexed(spark, sf_dir):
  s AS (SELECT id, row_number() OVER (ORDER BY 0.45*0.5 + 0.10*fresh + 0.10*access + 0.35*trust DESC, id) AS place FROM scored WHERE confidence <> 'deprecated' QUALIFY place <= 10)
  SELECT 'query relevance' AS asked, id FROM h UNION ALL SELECT 'query accessed', id FROM m UNION ALL SELECT 'created', id FROM l UNION ALL SELECT 'decay_score', id FROM s"""
 )
+
+
+@query(_DISPATCHED)
 def search_dispatch(spark, sf_dir):
     """One search for each strategy: a query by relevance and by time, none by time and by score."""
+    return _each_strategy(spark, sf_dir, memories(spark, sf_dir))
+
+
+@query(_DISPATCHED)
+def search_dispatch_indexed(spark, sf_dir):
+    """The same strategies with the keyword index instead of the texts."""
     df = memories(spark, sf_dir)
+    index = postings.write(df, new_path(spark, "postings"))
+    return _each_strategy(spark, sf_dir, df.drop("content"), index)
+
+
+def _each_strategy(spark, sf_dir, df, index=None):
     kept = filters.select_memories(df)
     cases = {"query relevance": (QUERY, "relevance"), "query accessed": (QUERY, "accessed"), "created": (None, "created"), "decay_score": (" ", "decay_score")}
     found = None
     for name, (text, order) in cases.items():
-        one = search.dispatched(df, kept, now(), text, order, 10, views.embeddings(spark, sf_dir), vector(spark, sf_dir), S.WEIGHTS, FLOOR).select(F.lit(name).alias("asked"), "id")
+        one = search.dispatched(df, kept, now(), text, order, 10, views.embeddings(spark, sf_dir), vector(spark, sf_dir), S.WEIGHTS, FLOOR, index).select(F.lit(name).alias("asked"), "id")
         found = one if found is None else found.union(one)
     return found
 
