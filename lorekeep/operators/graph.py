@@ -78,10 +78,6 @@ def one_seed_neighbours(memories: DataFrame, relations: DataFrame, per_seed: int
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_seed).select("seed", "place", "id")
 
 
-#: The operations of a batch repair.
-REPAIRS = ("delete", "retype", "reverse")
-
-
 def without_edges(relations: DataFrame, gone: DataFrame) -> DataFrame:
     """``relations`` without those that ``gone`` (source_id, target_id, relation_type) names; a null type stands for all types in that direction."""
     key = ["source_id", "target_id"]
@@ -89,40 +85,6 @@ def without_edges(relations: DataFrame, gone: DataFrame) -> DataFrame:
     return relations.join(every, key, "left_anti").join(one, [*key, "relation_type"], "left_anti")
 
 
-def repaired(relations: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The relations after a batch of repairs, and the ops with their outcome.
-
-    ``ops`` has (op, source_id, target_id, relation_type, new_type): delete, retype or reverse (with a new type, if
-    given).  All ops see the edges as they are given.  Outcomes: not_found; unchanged, if nothing would change;
-    merged, where the new edge is there already or an earlier edge moves there; else deleted, retyped, reversed.  Ops on one edge: the first by (op, new_type) counts, others are
-    duplicate.  The outcomes alone are a dry run.
-    """
-    key = ["source_id", "target_id", "relation_type"]
-    turned = F.col("op") == "reverse"
-    aim = ops.withColumns({
-        "to_source": F.when(turned, F.col("target_id")).otherwise(F.col("source_id")),
-        "to_target": F.when(turned, F.col("source_id")).otherwise(F.col("target_id")),
-        "to_type": F.coalesce("new_type", "relation_type"),
-        "nth": F.row_number().over(Window.partitionBy(*key).orderBy("op", "new_type")),
-    })
-    edges = relations.groupBy(*key).agg(F.min("edge_id").alias("edge_id"))
-    there = edges.select(*[F.col(k).alias(t) for k, t in zip(key, ("to_source", "to_target", "to_type"), strict=True)], F.lit(True).alias("there"))
-    met = aim.join(edges, key, "left").join(there, ["to_source", "to_target", "to_type"], "left")
-    moves = F.col("edge_id").isNotNull() & (F.col("nth") == 1) & (F.col("op") != "delete") & F.col("there").isNull()
-    met = met.withColumn("moves", moves)
-    met = met.withColumn("arrival", F.when(F.col("moves"), F.row_number().over(Window.partitionBy("to_source", "to_target", "to_type", "moves").orderBy("edge_id"))))
-    stays = (F.col("to_source") == F.col("source_id")) & (F.col("to_target") == F.col("target_id")) & (F.col("to_type") == F.col("relation_type"))
-    outcome = (
-        F.when(F.col("edge_id").isNull(), "not_found").when(F.col("nth") > 1, "duplicate").when(F.col("op") == "delete", "deleted").when(stays, "unchanged")
-        .when(F.col("there") | (F.col("arrival") > 1), "merged").otherwise(F.when(F.col("op") == "retype", "retyped").otherwise("reversed"))
-    )
-    told = met.select("op", *key, "new_type", "to_source", "to_target", "to_type", outcome.alias("outcome"))
-    effect = told.where("outcome IN ('deleted', 'merged', 'retyped', 'reversed')").select(*key, "to_source", "to_target", "to_type", "outcome")
-    both = relations.join(effect, key, "left").where("outcome IS NULL OR outcome IN ('retyped', 'reversed')")
-    new = {k: F.coalesce(t, k).alias(k) for k, t in zip(key, ("to_source", "to_target", "to_type"), strict=True)}
-    return both.select(*[new.get(c, F.col(c)) for c in relations.columns]), told.select("op", *key, "new_type", "outcome")
-
-
 def retyped(relations: DataFrame, old: str, new: str) -> DataFrame:
     """Edges with (outcome): ``old`` becomes ``new`` where that edge isn't there yet, else it is merged into it."""
     there = relations.where(F.col("relation_type") == new).select("source_id", "target_id", F.lit(True).alias("there")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep import schema as S
 from lorekeep.functions import scoring as sc
 from lorekeep.functions import text as tx
-from lorekeep.operators import claims, cluster, context, filters, graph, hints, listing, namespaces, postings, promote, review, search, state, stats
+from lorekeep.operators import claims, cluster, context, filters, graph, hints, listing, namespaces, postings, promote, repair, review, search, state, stats
 from lorekeep.plans import evaluate
 from lorekeep.sources import portability, views
 from lorekeep.sources.tables import new_path, saved
@@ -797,19 +797,59 @@ def edges_deleted(spark, sf_dir):
     return graph.without_edges(edges, one.union(every)).select("edge_id", "source_id", "target_id", "relation_type")
 
 
-@query("""SELECT op, outcome, count(*) AS n FROM (
- SELECT op, CASE WHEN op = 'delete' THEN CASE WHEN source_id < 0 THEN 'not_found' ELSE 'deleted' END WHEN ts = source_id AND td = target_id AND tt = relation_type THEN 'unchanged' WHEN there OR row_number() OVER (PARTITION BY ts, td, tt, op <> 'delete' AND NOT there ORDER BY edge_id) > 1 THEN 'merged' WHEN op = 'retype' THEN 'retyped' ELSE 'reversed' END AS outcome
- FROM (SELECT a.*, EXISTS (SELECT 1 FROM relations r WHERE r.source_id = ts AND r.target_id = td AND r.relation_type = tt) AS there FROM (
-  SELECT op, source_id, target_id, relation_type, edge_id, CASE WHEN op = 'reverse' THEN target_id ELSE source_id END AS ts, CASE WHEN op = 'reverse' THEN source_id ELSE target_id END AS td, CASE WHEN op = 'retype' THEN 'caused_by' ELSE relation_type END AS tt
-  FROM (SELECT CASE source_id % 10 WHEN 3 THEN 'retype' WHEN 1 THEN 'reverse' ELSE 'delete' END AS op, source_id, target_id, relation_type, min(edge_id) AS edge_id FROM relations WHERE source_id % 10 IN (1, 3, 7) GROUP BY ALL
-   UNION ALL SELECT 'delete', -1, -2, 'related_to', NULL) o) a) b) c GROUP BY ALL""")
+# Three rounds of repairs: retype, then reverse what was retyped, then delete all types of a direction.
+_REPAIRED = """
+, e0 AS (
+  SELECT min(edge_id) AS edge_id, source_id AS s, target_id AS t, relation_type AS k FROM relations GROUP BY ALL
+), r1 AS (
+  SELECT *, CASE WHEN EXISTS (SELECT 1 FROM e0 x WHERE x.s = e0.s AND x.t = e0.t AND x.k = 'related_to') THEN 'merged' ELSE 'retyped' END AS outcome
+  FROM e0 WHERE s % 10 IN (1, 3) AND k = 'caused_by'
+), e1 AS (
+  SELECT edge_id, s, t, k FROM e0 ANTI JOIN r1 USING (edge_id) UNION ALL SELECT edge_id, s, t, 'related_to' FROM r1 WHERE outcome = 'retyped'
+), o2 AS (
+  SELECT edge_id AS place, s, t FROM e0 WHERE s % 10 IN (1, 3, 5) AND k IN ('caused_by', 'related_to')
+), o2a AS (
+  SELECT min(place) AS place, s, t FROM o2 GROUP BY s, t
+), r2 AS (
+  SELECT o.place, e.edge_id, o.s, o.t, CASE WHEN e.edge_id IS NULL THEN 'not_found'
+   WHEN x.edge_id IS NOT NULL AND (y.place IS NULL OR y.place > o.place) THEN 'merged' ELSE 'reversed' END AS outcome
+  FROM o2a o LEFT JOIN e1 e ON e.s = o.s AND e.t = o.t AND e.k = 'related_to' LEFT JOIN e1 x ON x.s = o.t AND x.t = o.s AND x.k = 'related_to' LEFT JOIN o2a y ON y.s = o.t AND y.t = o.s
+), e2 AS (
+  SELECT edge_id, s, t, k FROM e1 ANTI JOIN r2 ON r2.edge_id = e1.edge_id UNION ALL SELECT edge_id, t, s, 'related_to' FROM r2 WHERE outcome = 'reversed'
+), o3 AS (
+  SELECT DISTINCT s, t FROM e0 WHERE s % 10 IN (7, 0)
+), r3 AS (
+  SELECT o.s, o.t, count(e.edge_id) AS n FROM o3 o LEFT JOIN e2 e ON e.s = o.s AND e.t = o.t GROUP BY ALL
+), e3 AS (
+  SELECT * FROM e2 ANTI JOIN o3 ON o3.s = e2.s AND o3.t = e2.t
+)
+"""
+
+
+def _repairs(spark, sf_dir):
+    """The distinct edges, and three rounds of ops on them: the second on edges that the first made."""
+    edges = saved(relations(spark, sf_dir).groupBy("source_id", "target_id", "relation_type").agg(F.min("edge_id").alias("edge_id")), "edges")
+    op = lambda df, round_, name, old, new: df.select((F.col("place") + round_ * 1_000_000_000_000).alias("place"), F.lit(name).alias("op"), "source_id", "target_id", F.lit(old).cast("string").alias("relation_type"), F.lit(new).cast("string").alias("new_type"))
+    by = lambda df: df.groupBy("source_id", "target_id").agg(F.min("edge_id").alias("place"))
+    one = op(edges.where("source_id % 10 IN (1, 3) AND relation_type = 'caused_by'").withColumn("place", F.col("edge_id")), 1, "retype", "caused_by", "related_to")
+    two = op(by(edges.where("source_id % 10 IN (1, 3, 5) AND relation_type IN ('caused_by', 'related_to')")), 2, "reverse", "related_to", None)
+    return edges, one.union(two).union(op(by(edges.where("source_id % 10 IN (7, 0)")), 3, "delete", None, None))
+
+
+@query(_REPAIRED + "SELECT edge_id, s AS source_id, t AS target_id, k AS relation_type FROM e3")
+def edges_repaired(spark, sf_dir):
+    """The edges that are left after the repairs in order, an edge turned into another type and round in one batch."""
+    edges, ops = _repairs(spark, sf_dir)
+    return repair.repaired(edges, repair.validated(ops, most=None))[0].select("edge_id", "source_id", "target_id", "relation_type")
+
+
+@query(_REPAIRED + """SELECT 'retype' AS op, s AS source_id, t AS target_id, outcome, CAST(NULL AS BIGINT) AS removed FROM r1 UNION ALL SELECT 'reverse', s, t, outcome, NULL FROM r2
+ UNION ALL SELECT 'delete', s, t, CASE WHEN n > 0 THEN 'deleted' ELSE 'not_found' END, n FROM r3""")
 def edge_batch_repair(spark, sf_dir):
-    """Retyped, reversed and deleted edges in one batch: the histogram of outcomes, as a dry run would tell."""
-    edges = relations(spark, sf_dir)
-    op = F.expr("CASE source_id % 10 WHEN 3 THEN 'retype' WHEN 1 THEN 'reverse' ELSE 'delete' END")
-    ops = edges.where("source_id % 10 IN (1, 3, 7)").select(op.alias("op"), "source_id", "target_id", "relation_type", F.when(op == "retype", "caused_by").alias("new_type")).distinct()
-    ops = ops.union(spark.range(1).selectExpr("'delete'", "-1L", "-2L", "'related_to'", "string(null)"))
-    return graph.repaired(edges, ops)[1].groupBy("op", "outcome").agg(F.count("*").alias("n"))
+    """The outcome of every op of the batch."""
+    edges, ops = _repairs(spark, sf_dir)
+    told = repair.repaired(edges, ops)[1]
+    return told.select("op", "source_id", "target_id", "outcome", F.when(F.col("removed_types").isNotNull(), F.size("removed_types")).cast("long").alias("removed"))
 
 
 @query("SELECT namespace, title, count(*) AS n FROM memories GROUP BY namespace, title HAVING count(*) > 1")

@@ -39,14 +39,6 @@ def test_namespaces(spark):
     assert ids(left) == [2] and sorted(r["name"] for r in spaces.collect()) == ["b", "default"]
 
 
-def test_batch_repair(spark):
-    edges = spark.createDataFrame([(1, 1, 2, "related_to"), (2, 2, 1, "related_to"), (3, 1, 3, "related_to"), (4, 1, 3, "caused_by"), (5, 4, 5, "parent_of"), (6, 6, 7, "caused_by"), (7, 7, 8, "parent_of")], EDGES)
-    ops = [("reverse", 1, 2, "related_to", None), ("retype", 1, 3, "related_to", "caused_by"), ("retype", 4, 5, "parent_of", "parent_of"), ("reverse", 4, 5, "parent_of", "child_of"), ("delete", 6, 7, "caused_by", None), ("reverse", 7, 8, "parent_of", "child_of"), ("delete", 9, 9, "caused_by", None)]
-    left, told = graph.repaired(edges, spark.createDataFrame(ops, "op string, source_id long, target_id long, relation_type string, new_type string"))
-    assert [(r["op"], r["source_id"], r["outcome"]) for r in told.orderBy("source_id", "target_id", "op").collect()] == [("reverse", 1, "merged"), ("retype", 1, "merged"), ("retype", 4, "unchanged"), ("reverse", 4, "duplicate"), ("delete", 6, "deleted"), ("reverse", 7, "reversed"), ("delete", 9, "not_found")]
-    assert {tuple(r) for r in left.collect()} == {(2, 2, 1, "related_to"), (4, 1, 3, "caused_by"), (5, 4, 5, "parent_of"), (7, 8, 7, "child_of")}
-
-
 def test_hints(spark):
     words = "alpha beta gamma delta epsilon"
     df = frame(spark, *[memory(i, words, words + f" w{i}", namespace="a") for i in range(1, 6)], memory(9, "other", "nothing alike", namespace="a"), memory(8, words, words, namespace="b"))
