@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,43 +12,140 @@ from lorekeep import schema as S
 from lorekeep.functions.scoring import confidence_rank
 from lorekeep.functions.text import jaccard, tokens
 from lorekeep.operators.search import cosine
+from lorekeep.sources.tables import saved
 
 #: Vectors of a block; a task compares two blocks at a time.
 BLOCK = 1024
+#: Pivots at most, the sample that they are chosen from, and bins of the angle to the nearest one.
+PIVOTS, SAMPLE, BINS = 48, 4096, 2048
 STRATEGIES = ("merge", "summarize", "deduplicate")
 
 
+def commonest_length(embeddings: DataFrame) -> tuple[int, int]:
+    """The commonest length of vectors and how many have it; 0 and 0 if there are none."""
+    r = embeddings.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    return (r["dim"], r["n"]) if r else (0, 0)
+
+
+def chosen_pivots(own: DataFrame, most: int) -> np.ndarray:
+    """Up to ``most`` unit vectors far from one another, out of a sample of bounded size."""
+    rows = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
+    v = np.array([r["vector"] for r in rows], float)
+    v = v[np.isfinite(v).all(axis=1)]
+    norm = np.sqrt(np.square(v).sum(axis=1))
+    v = v[norm > 0] / norm[norm > 0][:, None]
+    picked, near = [], np.full(len(v), -np.inf)
+    while len(picked) < min(most, len(v)):
+        picked.append(int(np.argmin(near)) if picked else 0)
+        near = np.maximum(near, v @ v[picked[-1]])
+        if near.min() > 1 - 1e-12:
+            break
+    return v[picked]
+
+
+def in_cells(embeddings: DataFrame, dim: int, pivots: np.ndarray) -> DataFrame:
+    """(id, vector, cell, bin, angles): unit vectors with their angles to all pivots, the nearest of which is the cell; zero vectors go."""
+    own = embeddings.where(F.size("vector") == dim).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    id_type = own.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            norm = np.sqrt(np.square(v).sum(axis=1))
+            ok = np.isfinite(norm) & (norm > 0)
+            v = v[ok] / norm[ok][:, None]
+            if not len(v):
+                continue
+            angles = np.arccos(np.clip(v @ pivots.T, -1.0, 1.0))
+            cell = angles.argmin(axis=1)
+            bins = np.minimum(BINS - 1, angles[np.arange(len(v)), cell] / np.pi * BINS).astype(np.int32)
+            lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (v, angles)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(ok)), lists[0], pa.array(cell.astype(np.int32)), pa.array(bins), lists[1]], names=["id", "vector", "cell", "bin", "angles"])
+
+    return own.mapInArrow(run, f"id {id_type}, vector array<double>, cell int, bin int, angles array<double>")
+
+
+def in_blocks(cells: DataFrame) -> DataFrame:
+    """``cells`` with ``block``: vectors of a cell at like angles from its pivot, about BLOCK of them; a bin of more is dealt by a hash of the id."""
+    counts = {(r["cell"], r["bin"]): r["n"] for r in cells.groupBy("cell", "bin").agg(F.count("*").alias("n")).toLocalIterator()}  # pivots times bins at most
+    rows, block, held, last = [], -1, BLOCK, None
+    for (cell, at), n in sorted(counts.items()):
+        if cell != last or held + n > BLOCK:
+            block, held, last = block + 1, 0, cell
+        rows.append((cell, at, block, parts := max(1, -(-n // BLOCK))))
+        block, held = block + parts - 1, held + n
+    dealt = cells.sparkSession.createDataFrame(rows, "cell int, bin int, first int, parts int")
+    return cells.join(F.broadcast(dealt), ["cell", "bin"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("bin", "first", "parts")
+
+
+def block_pairs(blocks: DataFrame, pivots: int, threshold: float) -> DataFrame:
+    """(x, y): the pairs of blocks, x <= y, that may hold vectors of cosine ``threshold`` or more.
+
+    Angles obey the triangle inequality: if all of one block lies so far from a pivot and all of the other so near that the
+    difference exceeds the angle of the threshold, no pair of theirs is near enough.  Cells are tested first, then blocks of cells that passed.
+    """
+    far = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-7
+    ends = [f(F.col("angles")[i]).alias(f"{n}{i}") for i in range(pivots) for n, f in (("lo", F.min), ("hi", F.max))]
+    held = saved(blocks.groupBy("cell", "block").agg(*ends), "blocks")  # a row for each block
+    pack = lambda n: F.array(*[F.col(f"{n}{i}") for i in range(pivots)]).alias(n)
+    apart = lambda a, b: F.array_max(F.zip_with(f"{a}_lo", f"{b}_hi", lambda x, y: x - y)) > far
+
+    def met(rows: DataFrame, key: str, on: DataFrame | None) -> DataFrame:
+        side = lambda s: rows.select(F.col("cell").alias(f"{s}_cell"), F.col(key).alias(f"{s}_key"), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi"))
+        left, right = side("x"), side("y")
+        both = left.join(F.broadcast(on), "x_cell").join(right, "y_cell") if on is not None else left.join(F.broadcast(right), F.col("x_key") <= F.col("y_key"))
+        return both.where("x_key <= y_key").where(~apart("x", "y") & ~apart("y", "x"))
+
+    cells = held.groupBy("cell").agg(*[f(f"{n}{i}").alias(f"{n}{i}") for i in range(pivots) for n, f in (("lo", F.min), ("hi", F.max))]).select("cell", pack("lo"), pack("hi"))
+    # a row for each pivot at most meets as many, none of them a vector
+    near = met(cells, "cell", None).select("x_cell", "y_cell")
+    rows = held.select("cell", "block", pack("lo"), pack("hi"))
+    return met(rows, "block", near).select(F.col("x_key").alias("x"), F.col("y_key").alias("y"))
+
+
 def similar_pairs(embeddings: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of all pairs with cosine at or above ``threshold``; a < b.
 
-    Vectors are dealt to blocks and each pair of blocks is one bounded group, compared by one matrix
-    product.  Only vectors of the commonest length count; zero vectors never match.
+    Exact.  Vectors lie in blocks by their angles to a few pivots; pairs of blocks that can't reach the threshold are left out before anything
+    is sent, and each of the others is one bounded group, compared by one matrix product.  Only vectors of
+    the commonest length count; zero vectors never match.  ``compared_blocks`` tells how many pairs of blocks are left.
     """
-    size = embeddings.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
-    if size is None:
-        return embeddings.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    blocks = max(1, -(-size["n"] // BLOCK))
-    own = embeddings.where(F.size("vector") == size["dim"]).select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    pair = F.transform(every, lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    dealt = own.select("id", "vector", "block", F.explode(pair).alias("p")).select("p.x", "p.y", "id", "vector", "block")
+    return _compared(embeddings, threshold)[0]
+
+
+def compared_blocks(embeddings: DataFrame, threshold: float) -> tuple[int, int]:
+    """How many pairs of blocks are compared, and how many there are."""
+    pairs, blocks = _compared(embeddings, threshold)[1:]
+    n = blocks.select("block").distinct().count() if blocks is not None else 0
+    return (pairs.count() if pairs is not None else 0), n * (n + 1) // 2
+
+
+def _compared(embeddings: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    kind = embeddings.schema["id"].dataType.simpleString()
+    schema = f"a {kind}, b {kind}, similarity double"
+    dim, n = commonest_length(embeddings)
+    pivots = chosen_pivots(embeddings.where(F.size("vector") == dim), min(PIVOTS, 1 + int(np.sqrt(n / BLOCK)))) if dim else np.empty((0, 0))
+    if not len(pivots):
+        return embeddings.sparkSession.createDataFrame([], schema), None, None
+    blocks = saved(in_blocks(saved(in_cells(embeddings, dim, pivots), "cells")), "vectors")
+    pairs = saved(block_pairs(blocks, len(pivots), threshold), "pairs")
+    own = blocks.select("id", "vector", "block")
+    left, right = own.join(pairs, own["block"] == pairs["x"]), own.join(pairs.where("x < y"), own["block"] == pairs["y"])
+    dealt = left.unionByName(right).select("x", "y", "id", "vector", "block")
 
     def compare(rows: pa.Table) -> pa.Table:
-        v = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
-        norm = np.sqrt(np.square(v).sum(axis=1))
-        ok = norm > 0
-        v, ids, block = v[ok] / norm[ok][:, None], rows["id"].to_numpy()[ok], rows["block"].to_numpy()[ok]
-        x, y = rows["x"][0].as_py(), rows["y"][0].as_py()
-        left, right = block == x, block == y
+        v = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        block, x, y = rows["block"].to_numpy(), rows["x"][0].as_py(), rows["y"][0].as_py()
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         s = v[left] @ v[right].T
         i, j = np.nonzero(s >= threshold - 1e-9)
-        a, b, score = ids[left][i], ids[right][j], s[i, j]
-        keep = (a < b) if x == y else np.ones(len(a), bool)
-        a, b = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-        return pa.table({"a": a, "b": b, "similarity": score[keep]})
+        found = pa.table({"a": rows["id"].take(pa.array(left[i])), "b": rows["id"].take(pa.array(right[j])), "similarity": s[i, j]})
+        first = pc.less(found["a"], found["b"])
+        if x == y:
+            return found.filter(first)
+        return pa.table({"a": pc.if_else(first, found["a"], found["b"]), "b": pc.if_else(first, found["b"], found["a"]), "similarity": found["similarity"]})
 
-    kind = embeddings.schema["id"].dataType.simpleString()
-    return dealt.groupBy("x", "y").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= threshold)
+    return dealt.groupBy("x", "y").applyInArrow(compare, schema).where(F.col("similarity") >= threshold), pairs, blocks
 
 
 def connected(edges: DataFrame, checkpoint: str) -> DataFrame:
@@ -139,11 +237,13 @@ def consolidated(memories: DataFrame, cluster: Column | str, strategy: str = "me
     df = memories.withColumn("cluster", F.col(cluster) if isinstance(cluster, str) else cluster)
     df = df.withColumn("_rank", confidence_rank())
     tag_union = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "tags"))), lambda x: x["tags"])))
-    best = F.max_by(F.struct("id", "title", "content", "type", "confidence"), F.struct("_rank", "updated_at", (-F.col("id")).alias("minus")))
-    rows = F.array_sort(F.collect_list(F.struct("id", "title", "content", "type", "confidence", "_rank")))
-    grouped = df.groupBy("cluster").agg(F.count("*").alias("n"), best.alias("best"), tag_union.alias("tags"), rows.alias("rows"))
+    rows = F.array_sort(F.collect_list(F.struct("id", "title", "content", "type", "confidence", "_rank", "updated_at")))
+    top = F.max(F.struct("_rank", "updated_at"))  # of its rows the one with the smallest id, whatever the type of ids
+    grouped = df.groupBy("cluster").agg(F.count("*").alias("n"), top.alias("top"), tag_union.alias("tags"), rows.alias("rows"))
+    at_top = F.filter("rows", lambda r: (r["_rank"] == F.col("top._rank")) & r["updated_at"].eqNullSafe(F.col("top.updated_at")))
+    grouped = grouped.withColumn("best", F.get(at_top, F.lit(0)))
     kinds = df.groupBy("cluster", "type").agg(F.count("*").alias("k"), F.min("id").alias("first"))
-    kind = kinds.groupBy("cluster").agg(F.max_by("type", F.struct("k", (-F.col("first")).alias("minus"))).alias("kind"))
+    kind = kinds.groupBy("cluster").agg(F.min_by("type", F.struct((-F.col("k")).alias("minus"), "first")).alias("kind"))
     grouped = grouped.where("n > 1").join(kind, "cluster")
     if strategy == "deduplicate":
         return grouped.select("cluster", "n", F.col("best.id").alias("kept"), F.col("best.title").alias("title"), F.col("best.content").alias("content"), F.col("best.type").alias("type"), F.col("best.confidence").alias("confidence"), "tags")

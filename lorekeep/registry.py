@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep import schema as S
 from lorekeep.functions import scoring as sc
 from lorekeep.functions import text as tx
-from lorekeep.operators import claims, cluster, context, filters, graph, hints, listing, namespaces, postings, promote, repair, review, search, state, stats
+from lorekeep.operators import claims, cluster, context, filters, graph, hints, listing, namespaces, postings, promote, repair, review, search, setjoin, state, stats
 from lorekeep.plans import evaluate
 from lorekeep.sources import portability, views
 from lorekeep.sources.tables import new_path, saved
@@ -448,6 +448,42 @@ def relation_gate(spark, sf_dir):
     return found.select("id", "similarity")
 
 
+@query(f"""
+, ws AS (
+  SELECT id, list_sort({_TOKENS.format("title || ' ' || content")}) AS w FROM memories
+), cl AS (
+  SELECT id, w, min(id) OVER (PARTITION BY w) AS class FROM ws WHERE len(w) > 0
+), tk AS (
+  SELECT id, len(w) AS n, unnest(w) AS t FROM cl WHERE id = class
+), ov AS (
+  SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS o FROM tk a JOIN tk b ON a.t = b.t AND a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY ALL
+)
+SELECT 'link' AS kind, a, b, round(o / (na + nb - o), 6) AS similarity FROM ov WHERE o / (na + nb - o) >= 0.8
+UNION ALL SELECT 'member', class, id, 1.0 FROM cl""")
+def jaccard_join(spark, sf_dir):
+    """All memories of similar sets of words: links between classes of equal sets, and each memory's class (a: class, b: memory)."""
+    links, classes = setjoin.jaccard_links(memories(spark, sf_dir), 0.8)
+    return links.select(F.lit("link").alias("kind"), "a", "b", F.round("similarity", 6).alias("similarity")).union(classes.select(F.lit("member"), "class", "id", F.lit(1.0)))
+
+
+@query(f"""
+, ws AS (
+  SELECT id, {_TOKENS.format("title || ' ' || content")} AS w FROM memories
+)
+SELECT 'cosine' AS measure, source_id AS a, target_id AS b, round(list_cosine_similarity(x.vector, y.vector), 6) AS similarity FROM (SELECT DISTINCT source_id, target_id FROM relations) r JOIN vectors x ON x.id = source_id JOIN vectors y ON y.id = target_id
+UNION ALL SELECT 'lexical', source_id, target_id, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) FROM (SELECT DISTINCT source_id, target_id FROM relations) r JOIN ws x ON x.id = source_id JOIN ws y ON y.id = target_id""")
+def pair_similarity(spark, sf_dir):
+    """How alike the ends of every edge are, by vectors and by words."""
+    df = memories(spark, sf_dir)
+    pairs = saved(relations(spark, sf_dir).select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "pairs")
+    out = None
+    for vectors in (views.embeddings(spark, sf_dir), None):
+        found, measure = setjoin.pair_similarity(pairs, df, vectors)
+        found = found.select(F.lit(measure).alias("measure"), "a", "b", F.round("similarity", 6).alias("similarity"))
+        out = found if out is None else out.union(found)
+    return out
+
+
 def _titled(df):
     """Clusters by namespace and title."""
     return df.withColumn("cluster", F.concat_ws("|", "namespace", "title"))
