@@ -48,6 +48,8 @@ BEGIN, END = xxhash.xxh3_64_intdigest(b""), xxhash.xxh3_64_intdigest(b" ")
 REMEMBERED = 200_000
 #: Tokens of a first word for each shard that its bigrams are dealt to.
 HOT = 200_000
+#: Bytes of text that a worker handles at a time.
+AT_ONCE = 4_000_000
 SUMMARY = "shard int, n long, tokens long, n1 long, n2 long, n3 long, n4 long"
 
 
@@ -214,7 +216,7 @@ def train(texts: DataFrame) -> Model:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        for _, own in portions(batches):
+        for _, own in portions(batches, most=AT_ONCE):
             distinct, n = np.unique(tokens(own, known)[0], return_counts=True)
             yield from chunks(shard_of(distinct, model.bits), distinct, n)
 
@@ -234,7 +236,7 @@ def train(texts: DataFrame) -> Model:
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        for _, own in portions(batches):
+        for _, own in portions(batches, most=AT_ONCE):
             distinct, _, first, second, back = pairs(*tokens(own, known))
             held = model.words(distinct)
             a, b = held["number"][first], held["number"][second]
@@ -295,7 +297,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, m = Hashes(), sent.value
-        for rows, own in portions(batches):
+        for rows, own in portions(batches, most=AT_ONCE):
             hashes, starts = tokens(own, known)
             distinct, inverse, first, second, back = pairs(hashes, starts)
             held = m.words(distinct, followed=True)
