@@ -307,3 +307,26 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
 def op13_lexical(spark, sf_dir: str) -> DataFrame:
     """Rank all ``documents`` for every ``benchmark`` item."""
     return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), c AS (
+  SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL
+), d AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY doc_id
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d
+), q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) x GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM c GROUP BY term) x, s
+), r AS (
+  SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN c USING (term) JOIN d USING (doc_id), s GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 20
+"""

@@ -185,7 +185,9 @@ class Model:
 
 def runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, begin, end) of the runs of equal values."""
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else []
+    if not len(values):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     for a, b in zip(starts, [*starts[1:], len(values)], strict=True):
         yield int(values[a]), int(a), int(b)
 

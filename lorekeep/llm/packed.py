@@ -69,21 +69,21 @@ CHUNKS = "shard int, kind int, keys binary, counts binary"
 
 def chunks(shards: np.ndarray, keys: np.ndarray, *counts: np.ndarray, kind: int = 0) -> Iterator[pa.RecordBatch]:
     """Rows of CHUNKS for unique keys in any order; several counts for each key lie behind one another."""
+    if not len(keys):
+        return
     order = np.lexsort((keys, shards))
     shards, keys, counts = shards[order], keys[order], [c[order] for c in counts]
     starts = np.flatnonzero(np.diff(shards, prepend=-1))
-    ends = [*starts[1:], len(shards)]
-    parts = list(zip(starts, ends, strict=True))
-    if parts:
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(shards[starts].astype(np.int32)),
-                pa.array(np.full(len(parts), kind, np.int32)),
-                pa.array([pack(keys[a:b], True) for a, b in parts], pa.binary()),
-                pa.array([b"".join(pack(c[a:b]) for c in counts) for a, b in parts], pa.binary()),
-            ],
-            names=["shard", "kind", "keys", "counts"],
-        )
+    parts = list(zip(starts, [*starts[1:], len(shards)], strict=True))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(shards[starts].astype(np.int32)),
+            pa.array(np.full(len(parts), kind, np.int32)),
+            pa.array([pack(keys[a:b], True) for a, b in parts], pa.binary()),
+            pa.array([b"".join(pack(c[a:b]) for c in counts) for a, b in parts], pa.binary()),
+        ],
+        names=["shard", "kind", "keys", "counts"],
+    )
 
 
 def summed(table: pa.Table, width: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -24,4 +24,5 @@ ORACLE_SQL = {
     "op3_url_filter": url_filter.OP3_SQL,
     "op6_chat_formatting": chat_format.OP6_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op13_lexical": lexical.OP13_SQL,
 }
