@@ -104,6 +104,43 @@ def rederived(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*key, "state", "evidence", "resolved_state", change.alias("change"))
 
 
+def synchronised(old: DataFrame, moved_rows: DataFrame, moved: DataFrame, deleted: DataFrame, repo: Column, aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``old`` claims (with resolved_state) brought up to date with what changed since, and (memory_id, kind, ref, change) of what did.
+
+    ``moved_rows`` are the memories whose texts changed or are new, ``moved`` their ids and ``deleted`` those that are no more: only these are
+    derived again.  A claim that a text still makes keeps its resolution.
+    """
+    ids = lambda df: df.select(F.col("id").alias("memory_id")).distinct()
+    touched = ids(moved).union(ids(deleted)).distinct()
+    rest = old.join(touched, "memory_id", "left_anti")
+    before = old.join(ids(moved), "memory_id", "left_semi")
+    fresh = extract(moved_rows, repo, aliases)
+    told = rederived(before, fresh)
+    spaces = fresh.select("memory_id", "kind", "ref", "namespace")
+    new = told.where("change <> 'pruned'").join(spaces, ["memory_id", "kind", "ref"])
+    names = ["memory_id", "namespace", "kind", "ref", "state", "evidence", "resolved_state"]
+    return rest.select(names).unionByName(new.select(names)), told.select("memory_id", "kind", "ref", "change")
+
+
+def contradicted_after(before: DataFrame, claims: DataFrame, active: DataFrame, refs: DataFrame) -> DataFrame:
+    """The contradictions after a change, of which only those on the touched ``refs`` (namespace, kind, ref) are looked for.
+
+    ``before`` are the contradictions so far; ``refs`` must hold every reference of a claim that came, went or changed, and of a memory
+    that became active or ceased to be.
+    """
+    key = ["namespace", "kind", "ref"]
+    touched = refs.select(key).distinct()
+    again = contradicted(claims.join(touched, key, "left_semi"), active)
+    return before.join(touched, key, "left_anti").select("memory_id", *key).unionByName(again.select("memory_id", *key))
+
+
+def touched_refs(old: DataFrame, new: DataFrame, ids: DataFrame) -> DataFrame:
+    """(namespace, kind, ref) of all claims that the memories ``ids`` make or made."""
+    key = ["namespace", "kind", "ref"]
+    own = ids.select(F.col("id").alias("memory_id")).distinct()
+    return old.join(own, "memory_id", "left_semi").select(key).union(new.join(own, "memory_id", "left_semi").select(key)).distinct()
+
+
 def resolve(claims: DataFrame, refs: list[str] | str, state: str = "resolved") -> DataFrame:
     """Set ``resolved_state``: on all open claims, or on the named references in whatever state."""
     hit = F.col("state") == "open" if refs == "all" else F.col("ref").isin(list(refs))

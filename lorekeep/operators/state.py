@@ -95,13 +95,14 @@ def related(relations: DataFrame, fresh: DataFrame) -> DataFrame:
     return relations.unionByName(own, allowMissingColumns=True)
 
 
-def unembedded(memories: DataFrame, embeddings: DataFrame, dim: int, limit: int) -> DataFrame:
-    """Memories without a vector of the wanted length, a batch at most."""
+def unembedded(memories: DataFrame, embeddings: DataFrame, dim: int, limit: int | None) -> DataFrame:
+    """Memories without a vector of the wanted length, a batch at most; all of them without a limit."""
     have = embeddings.where(F.size("vector") == dim).select("id")
-    return memories.join(have, "id", "left_anti").orderBy("id").limit(limit)
+    left = memories.join(have, "id", "left_anti")
+    return left if limit is None else left.orderBy("id").limit(limit)
 
 
-def embedded(memories: DataFrame, embeddings: DataFrame, encode: Callable[[list[str]], list], dim: int, limit: int) -> DataFrame:
+def embedded(memories: DataFrame, embeddings: DataFrame, encode: Callable[[list[str]], list], dim: int, limit: int | None) -> DataFrame:
     """``embeddings`` with vectors of one batch of memories that have none; texts that ``encode`` fails on are left out."""
     batch = unembedded(memories, embeddings, dim, limit).select("id", embedding_input(F.col("title"), F.col("content")).alias("text"))
 

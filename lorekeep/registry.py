@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep import schema as S
 from lorekeep.functions import scoring as sc
 from lorekeep.functions import text as tx
-from lorekeep.operators import claims, cluster, context, filters, graph, hints, listing, namespaces, postings, promote, repair, review, search, setjoin, state, stats
+from lorekeep.operators import claims, cluster, context, filters, graph, hints, listing, namespaces, postings, promote, repair, replay, review, search, setjoin, state, stats
 from lorekeep.plans import evaluate
 from lorekeep.sources import portability, views
 from lorekeep.sources.tables import new_path, saved
@@ -917,3 +917,91 @@ def tag_table(spark, sf_dir):
     """The tags in use; a known one that no memory has goes."""
     known = spark.range(1).select(F.explode(F.array(F.lit("en"), F.lit("nobody-has-this"))).alias("tag"))
     return namespaces.tag_table(known, namespaces.tags_of(memories(spark, sf_dir)))
+
+
+# the change log
+
+
+def _log(spark, sf_dir):
+    """Events as operations on memories: by event_id, dealt over all of them."""
+    n = views.table(spark, sf_dir, "documents").count()
+    e, own = F.col("event_id"), F.floor(F.col("event_id") / 3) % 8
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    op = (
+        F.when(own == 0, "access").when((own == 3) & (e % 5 != 0), "touch").when(own == 3, "forget").when(own == 5, "tag")
+        .when((own == 6) & (e % 5 == 1), "delete").when(own == 6, "relate").when(own == 7, "store").otherwise("update")
+    )
+    return views.table(spark, sf_dir, "events").select(
+        e.alias("place"), F.col("ts").alias("at"), op.alias("op"), (e * e % n).alias("id"),
+        F.when(own == 7, "src0").alias("namespace"), F.when(own == 7, "fact").alias("type"), F.when(own == 7, "again").alias("title"),
+        F.when(own == 2, F.concat(F.lit("new text "), e.cast("string"))).when(own == 7, F.concat(F.lit("stored "), e.cast("string"))).alias("content"),
+        F.when(own == 1, F.when(e % 3 == 0, "verified").otherwise("stale")).when(own == 7, F.when(e % 2 == 0, "verified").otherwise("inferred")).alias("confidence"),
+        text(None).alias("source"), F.when(own == 4, F.when(e % 2 == 0, F.concat(F.lit('{"b": 1, "a": '), e.cast("string"), F.lit("}"))).otherwise("")).alias("metadata"),
+        F.lit(None).cast("boolean").alias("pinned"), F.when(own == 5, F.array(F.concat(F.lit(" T "), (e % 3).cast("string")))).alias("tags"),
+        ((e * e + 1) % n).alias("target_id"), F.when(own == 6, "caused_by").alias("relation_type"),
+    )
+
+
+_REPLAYED = """
+, ev AS (
+  SELECT event_id AS place, ts, event_id * event_id % (SELECT count(*) FROM documents) AS id, (event_id * event_id + 1) % (SELECT count(*) FROM documents) AS target, event_id // 3 % 8 AS k, event_id AS e FROM events
+), ld AS (
+  SELECT id, max(place) AS ld FROM ev WHERE k = 6 AND e % 5 = 1 GROUP BY id
+), s0 AS (
+  SELECT id, ld, min(place) FILTER (k = 7 AND place > ld) AS s0 FROM ld JOIN ev USING (id) GROUP BY ALL
+), eff AS (
+  SELECT ev.* FROM ev LEFT JOIN s0 USING (id) WHERE ld IS NULL OR place > s0
+), fin AS (
+  SELECT id, max_by('new text ' || e, place) FILTER (k = 2) AS content,
+   max_by(CASE WHEN k = 3 THEN 'deprecated' WHEN e % 3 = 0 THEN 'verified' ELSE 'stale' END, place) FILTER (k = 1 OR k = 3 AND e % 5 = 0) AS confidence,
+   max_by(CASE WHEN e % 2 = 0 THEN '{"a": ' || e || ', "b": 1}' ELSE '' END, place) FILTER (k = 4) AS metadata,
+   list(DISTINCT 't-' || e % 3) FILTER (k = 5) AS tags, count(*) FILTER (k = 0) AS n,
+   max(ts) FILTER (k IN (1, 2, 4) OR k = 3 AND e % 5 = 0) AS updated, max(ts) FILTER (k = 0 OR k = 3 AND e % 5 <> 0) AS accessed, max(ts) FILTER (k = 2 OR k = 1 AND e % 3 = 0) AS confirmed
+  FROM eff GROUP BY id
+), base AS (
+  SELECT id, title, content, confidence, tags, access_count, updated_at, last_accessed, last_confirmed FROM memories ANTI JOIN ld USING (id)
+  UNION ALL SELECT id, 'again', 'stored ' || e, CASE WHEN e % 2 = 0 THEN 'verified' ELSE 'inferred' END, [], 0, ts, ts, CASE WHEN e % 2 = 0 THEN ts END FROM s0 JOIN ev USING (id) WHERE place = s0
+), er AS (
+  SELECT id AS s, target AS t, 'caused_by' AS k, min(place) AS place FROM ev LEFT JOIN s0 a USING (id) LEFT JOIN s0 b ON b.id = target
+  WHERE k = 6 AND e % 5 <> 1 AND ev.id <> target AND (a.ld IS NULL OR place > a.s0) AND (b.ld IS NULL OR place > b.s0) GROUP BY ALL
+)
+"""
+
+
+@query(_REPLAYED + """SELECT b.id, b.title, md5(coalesce(f.content, b.content)) AS content_md5, coalesce(f.confidence, b.confidence) AS confidence, nullif(f.metadata, '') AS metadata,
+ array_to_string(list_sort(list_distinct(list_concat(b.tags, coalesce(f.tags, [])))), ',') AS tags, b.access_count + coalesce(n, 0) AS access_count,
+ epoch_us(coalesce(updated, b.updated_at)) AS updated, epoch_us(coalesce(accessed, b.last_accessed)) AS accessed, epoch_us(coalesce(confirmed, b.last_confirmed)) AS confirmed FROM base b LEFT JOIN fin f USING (id)""")
+def change_log_replay(spark, sf_dir):
+    """All memories after a log of stores, updates, deletions, accesses and tags in order."""
+    df = memories(spark, sf_dir).withColumn("metadata", F.lit(None).cast("string"))
+    done = replay.replayed(df, relations(spark, sf_dir), _log(spark, sf_dir))
+    us = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
+    return done.memories.select("id", "title", F.md5("content").alias("content_md5"), "confidence", "metadata", F.array_join(F.array_sort("tags"), ",").alias("tags"), "access_count", us("updated_at").alias("updated"), us("last_accessed").alias("accessed"), us("last_confirmed").alias("confirmed"))
+
+
+@query(_REPLAYED + """SELECT edge_id, source_id, target_id, relation_type FROM relations ANTI JOIN ld ON ld.id = source_id ANTI JOIN ld x ON x.id = target_id
+ UNION ALL SELECT place, s, t, k FROM er WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.source_id = s AND r.target_id = t AND r.relation_type = k AND NOT EXISTS (SELECT 1 FROM ld WHERE ld.id IN (s, t)))""")
+def change_log_edges(spark, sf_dir):
+    """All edges after the same log: related once, gone with their memories."""
+    df = memories(spark, sf_dir).withColumn("metadata", F.lit(None).cast("string"))
+    return replay.replayed(df, relations(spark, sf_dir), _log(spark, sf_dir)).relations.select("edge_id", "source_id", "target_id", "relation_type")
+
+
+_CLAIMS_CHANGED = ", c AS (SELECT id AS memory_id, namespace, confidence, namespace || '#' || (id % 50) AS ref, CASE (id + CASE WHEN id % 10 = 3 THEN 1 ELSE 0 END) % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'open' ELSE 'unverified' END AS state FROM memories WHERE id % 10 <> 4) "
+
+
+@query(_CLAIMS_CHANGED + """SELECT 'claim' AS kind, memory_id, namespace, ref, state FROM c
+ UNION ALL SELECT 'contradicted', a.memory_id, a.namespace, a.ref, 'open' FROM c a WHERE a.state = 'open' AND a.confidence <> 'deprecated' AND EXISTS (SELECT 1 FROM c b WHERE b.namespace = a.namespace AND b.ref = a.ref AND b.state = 'resolved' AND b.confidence <> 'deprecated' AND b.memory_id <> a.memory_id)""")
+def claims_incremental(spark, sf_dir):
+    """Claims and contradictions after a tenth of the texts changed and a tenth of the memories went, from what moved alone."""
+    df = views.claim_texts(spark, sf_dir)
+    repo, active = F.col("namespace"), F.col("confidence") != "deprecated"
+    old = saved(claims.extract(df, repo).withColumn("resolved_state", F.lit(None).cast("string")), "claims")
+    before = claims.contradicted(old, df.where(active).select("id"))
+    shifted = F.element_at(F.array(F.lit(" merged"), F.lit(" open"), F.lit("")), ((F.col("id") + 1) % 3 + 1).cast("int"))
+    moved_rows = memories(spark, sf_dir).where("id % 10 = 3").withColumn("content", F.concat("content", F.lit("\nPR #"), (F.col("id") % 50).cast("string"), shifted))
+    moved, gone = df.where("id % 10 = 3").select("id"), df.where("id % 10 = 4").select("id")
+    new = saved(claims.synchronised(old, moved_rows, moved, gone, repo)[0], "claims")
+    left = df.where(active & (F.col("id") % 10 != 4)).select("id")
+    after = claims.contradicted_after(before, new, left, claims.touched_refs(old, new, moved.union(gone)))
+    return new.select(F.lit("claim").alias("kind"), "memory_id", "namespace", "ref", "state").union(after.select(F.lit("contradicted"), "memory_id", "namespace", "ref", F.lit("open")))
