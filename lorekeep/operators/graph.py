@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep import schema as S
@@ -49,25 +49,41 @@ def list_edges(memories: DataFrame, relations: DataFrame, namespace: str | None
     return df
 
 
-def neighbours(memories: DataFrame, relations: DataFrame, seeds: Sequence, per_seed: int = S.SPREAD_PER_SEED, total: int = S.SPREAD_TOTAL) -> list:
-    """Ids of dampened neighbours: for each seed in order the best few not seen before, up to a total.
+def spread(memories: DataFrame, relations: DataFrame, seeds: DataFrame, per_seed: int = S.SPREAD_PER_SEED, total: int = S.SPREAD_TOTAL) -> DataFrame:
+    """(question, position, id): the dampened neighbours of many questions' seeds (question, place, id) at once.
 
-    Candidates are ranked by confidence, fewest edges, latest anchor and largest id.  For each seed only
-    as many as could still be taken after all earlier picks reach the driver.  Parallel edges count once.
+    Each seed in order of its place gives its best few neighbours not seen before, up to a total for the question; a question's seeds are seen from the start.
+    Neighbours are ranked by confidence, fewest edges, latest anchor and largest id; parallel edges count once.  A seed is ranked once,
+    whatever the number of questions, and no more of its neighbours go on than could still be taken after all earlier picks; the picks
+    are a fold over a question's seeds.  An id given twice is a seed at its first place.
     """
-    seeds = list(dict.fromkeys(seeds))
-    enough = len(seeds) + total + per_seed
-    ends = endpoints(relations).where(F.col("id").isin(seeds)).select(F.col("id").alias("seed"), F.col("other").alias("id")).distinct()
+    own = seeds.groupBy("question", "id").agg(F.min("place").alias("place"))
+    most = own.groupBy("question").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    asked = own.select(F.col("id").alias("seed")).distinct()
+    ends = endpoints(relations).select(F.col("id").alias("seed"), F.col("other").alias("id")).join(asked, "seed", "left_semi").distinct()
     near = ends.join(memories.select("id", confidence_rank().alias("rank"), reference_time().alias("anchor")), "id").join(degrees(relations), "id")
-    order = [F.desc("rank"), F.asc("degree"), F.desc("anchor"), F.desc("id")]
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).where(F.col("n") <= enough).collect()
-    seen, out = set(seeds), []
-    for seed in seeds:
-        mine = [r["id"] for r in sorted((r for r in best if r["seed"] == seed), key=lambda r: r["n"]) if r["id"] not in seen]
-        take = mine[: min(per_seed, total - len(out))]
-        out += take
-        seen |= set(take)
-    return out
+    order = Window.partitionBy("seed").orderBy(F.desc("rank"), F.asc("degree"), F.desc("anchor"), F.desc("id"))
+    best = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most + total + per_seed)
+    lists = best.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("l")).select("seed", F.col("l.id").alias("near"))
+    kind = memories.schema["id"].dataType.simpleString()
+    none = F.array().cast(f"array<{kind}>")
+    each = own.join(lists, F.col("id") == F.col("seed"), "left").select("question", "place", "id", F.coalesce("near", none).alias("near"))
+    held = each.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("place", "id", "near"))).alias("seeds"))
+
+    def take(state: Column, seed: Column) -> Column:
+        fresh = F.filter(seed["near"], lambda x: ~F.array_contains(state["seen"], x))
+        mine = F.slice(fresh, 1, F.least(F.lit(per_seed), F.lit(total) - F.size(state["out"])))
+        return F.struct(F.concat(state["seen"], mine).alias("seen"), F.concat(state["out"], mine).alias("out"))
+
+    start = F.struct(F.col("seeds.id").alias("seen"), none.alias("out"))
+    return held.select("question", F.posexplode(F.aggregate("seeds", start, take)["out"]).alias("position", "id"))
+
+
+def neighbours(memories: DataFrame, relations: DataFrame, seeds: Sequence, per_seed: int = S.SPREAD_PER_SEED, total: int = S.SPREAD_TOTAL) -> list:
+    """Ids of the dampened neighbours of one question's seeds, in order."""
+    kind = memories.schema["id"].dataType.simpleString()
+    given = memories.sparkSession.createDataFrame([(0, i, s) for i, s in enumerate(seeds)], f"question int, place int, id {kind}")
+    return [r["id"] for r in spread(memories, relations, given, per_seed, total).orderBy("position").collect()]
 
 
 def one_seed_neighbours(memories: DataFrame, relations: DataFrame, per_seed: int = S.SPREAD_PER_SEED) -> DataFrame:

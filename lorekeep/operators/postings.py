@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from lorekeep.operators.search import document_words, terms_of, vocabulary, weighted
 from lorekeep.sources.tables import saved
 
-#: Buckets that terms are dealt to, and parts of a bucket, so that a common term is no single file.
-BUCKETS, PARTS = 64, 8
+#: Buckets that terms are dealt to, and documents for each part of a bucket, so that a common term is no single file.
+BUCKETS, PART = 64, 500_000
 #: Documents of a block, about.
 DOCUMENTS = 256
 #: Blocks that are scored for the threshold.
@@ -63,8 +63,8 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return out.select(bucket_of(F.col("term")).alias("bucket"), "term", "block", "n", "most", "least", F.col("h.id").alias("ids"), F.col("h.tf").alias("tfs"), F.col("h.length").alias("lengths"))
 
 
-def put_postings(rows: DataFrame, path: str, segment: int) -> None:
-    blocks = in_blocks(rows).repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(PARTS))).sortWithinPartitions("bucket", "term", "block")
+def put_postings(rows: DataFrame, path: str, segment: int, documents: int) -> None:
+    blocks = in_blocks(rows).repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(1 + documents // PART))).sortWithinPartitions("bucket", "term", "block")
     blocks.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
 
 
@@ -195,8 +195,9 @@ def write(corpus: DataFrame, path: str, stemmed: bool = False) -> Index:
     """The index of ``corpus`` (id, title, content) below ``path``, as its first segment."""
     spark = corpus.sparkSession
     rows, docs = term_rows(corpus, stemmed)
-    put_postings(rows, path, 0)
-    put_statistics(spark, path, 0, "full", corpus.schema["id"].dataType.simpleString(), stemmed, *totals(docs))
+    n, length = totals(docs)
+    put_postings(rows, path, 0, n)
+    put_statistics(spark, path, 0, "full", corpus.schema["id"].dataType.simpleString(), stemmed, n, length)
     return opened(spark, path)
 
 
@@ -209,11 +210,11 @@ def changed(spark: SparkSession, path: str, removed: DataFrame, added: DataFrame
     segment = old.segments[-1] + 1
     came, docs = term_rows(added, old.stemmed)
     went, gone = term_rows(removed, old.stemmed)
-    put_postings(came, path, segment)
+    (n, length), (minus, words) = totals(docs), totals(gone)
+    put_postings(came, path, segment, n)
     less = went.groupBy("term").agg(F.count("*").alias("n")).select(bucket_of(F.col("term")).alias("bucket"), "term", "n")
     less.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/removed/segment={segment}")
     removed.select("id").distinct().write.parquet(f"{path}/dead/segment={segment}")
-    (n, length), (minus, words) = totals(docs), totals(gone)
     put_statistics(spark, path, segment, "delta", old.id_type, old.stemmed, n - minus, length - words)
     return opened(spark, path)
 
@@ -224,7 +225,7 @@ def compacted(spark: SparkSession, path: str) -> Index:
     rows = old.postings().select("segment", "term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("x"))
     rows = old.alive(rows.select("segment", "term", F.col("x.ids").alias("id"), F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("length")))
     segment = old.segments[-1] + 1
-    put_postings(rows.select("id", "term", "length", "tf"), path, segment)
+    put_postings(rows.select("id", "term", "length", "tf"), path, segment, old.n)
     put_statistics(spark, path, segment, "full", old.id_type, old.stemmed, old.n, old.length)
     return opened(spark, path)
 

@@ -375,14 +375,44 @@ def dampened_neighbours(spark, sf_dir):
     return graph.one_seed_neighbours(memories(spark, sf_dir), relations(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+# Picks for each question, one seed after the other.
+_SPREAD = """
+, near AS (
+  SELECT e.id AS seed, list(s.id ORDER BY crank DESC, d.degree, anchor DESC, s.id DESC) AS cands
+  FROM (SELECT DISTINCT id, other FROM ends) e JOIN scored s ON s.id = e.other JOIN degree d ON d.id = e.other GROUP BY e.id
+), own AS (
+  SELECT question, place, coalesce(cands, []) AS cands FROM seeds LEFT JOIN near ON seed = id
+), start AS (
+  SELECT question, list(id) AS seen FROM seeds GROUP BY question
+), picks AS (
+  WITH RECURSIVE r(question, i, seen, got) AS (
+    SELECT question, 0, seen, CAST([] AS BIGINT[]) FROM start
+    UNION ALL
+    SELECT question, i + 1, list_concat(seen, take), list_concat(got, take) FROM (
+      SELECT r.*, list_slice(list_filter(c.cands, lambda x: NOT list_contains(r.seen, x)), 1, least(3, 10 - len(r.got))) AS take FROM r JOIN own c ON c.question = r.question AND c.place = r.i + 1
+    ) x
+  ) SELECT question, got FROM r QUALIFY row_number() OVER (PARTITION BY question ORDER BY i DESC) = 1
+)
+"""
+
+
+@query(_FUSED + """, seeds AS (
+  SELECT 0 AS question, row_number() OVER (ORDER BY 0.45*relevance + 0.10*fresh + 0.10*access + 0.35*trust DESC, id) AS place, id FROM fused JOIN scored USING (id) QUALIFY place <= 10
+)""" + _SPREAD + "SELECT p.position, m.id, title, confidence FROM (SELECT unnest(got) AS id, CAST(unnest(range(len(got))) AS INTEGER) AS position FROM picks) p JOIN memories m USING (id)")
 def spread_from_search(spark, sf_dir):
     """The dampened neighbours of the ten best search results, in order."""
     df, edges = memories(spark, sf_dir), relations(spark, sf_dir)
     top = search.hybrid(df, filters.select_memories(df), views.embeddings(spark, sf_dir), QUERY, vector(spark, sf_dir), now(), 10, S.WEIGHTS, FLOOR)
-    seeds = [r["id"] for r in top.select("id").collect()]
-    found = graph.neighbours(df, edges, seeds)
-    return listing.by_ids(spark, df, found)[0].select("id", "position", "title", "confidence")
+    seeds = search.ranked(saved(top.select("id", "score"), "top"), [F.desc("score"), F.col("id")], "place").select(F.lit(0).alias("question"), "place", "id")
+    return graph.spread(df, edges, seeds).join(df.select("id", "title", "confidence"), "id").select("position", "id", "title", "confidence")
+
+
+@query(", seeds AS (SELECT id // 10 AS question, id % 10 + 1 AS place, id FROM memories)" + _SPREAD + "SELECT question, unnest(got) AS id, CAST(unnest(range(len(got))) AS INTEGER) AS position FROM picks")
+def spread_many(spark, sf_dir):
+    """The dampened neighbours of all memories in tens: as many questions as that makes, each with ten seeds in order."""
+    df = memories(spark, sf_dir)
+    seeds = df.select(F.floor(F.col("id") / 10).alias("question"), (F.col("id") % 10 + 1).alias("place"), "id")
+    return graph.spread(df, relations(spark, sf_dir), seeds)
 
 
 @query("""SELECT least(x.class, y.class) AS a, greatest(x.class, y.class) AS b, len(list_intersect(x.tags, y.tags)) AS shared, count(*) AS pairs
@@ -530,16 +560,68 @@ def _task(spark, sf_dir, df, namespace):
     return search.hybrid(df, own, views.embeddings(spark, sf_dir), QUERY, vector(spark, sf_dir), now(), 5, S.WEIGHTS, FLOOR).select("id", "score")
 
 
-@query()
+_CONTEXT = """
+, sc AS (
+  SELECT *, 0.45*0.5 + 0.10*fresh + 0.10*access + 0.35*trust + CASE WHEN type IN ('architecture', 'decision') THEN 0.1 ELSE 0 END AS base FROM scored WHERE confidence <> 'deprecated'
+), pins AS (
+  SELECT ns, id, row_number() OVER (PARTITION BY ns ORDER BY coalesce(last_confirmed, created_at) DESC, id) AS place FROM sess JOIN sc ON namespace = ns WHERE pinned QUALIFY place <= 20
+), recent AS (
+  SELECT ns, id, epoch_us(last_accessed) // 1000000 AS signal, base AS score FROM sess JOIN sc ON namespace = ns WHERE NOT pinned QUALIFY row_number() OVER (PARTITION BY ns ORDER BY last_accessed DESC, id) <= 10
+), cross_ AS (
+  SELECT ns, id, access_count AS signal, base AS score FROM sess JOIN sc ON namespace <> ns WHERE type IN ('pattern', 'preference') AND confidence = 'verified' QUALIFY row_number() OVER (PARTITION BY ns ORDER BY access_count DESC, id) <= 3
+), offers AS (
+  SELECT 0 AS turn, 'recent' AS bucket, * FROM recent UNION ALL SELECT 2, 'cross', * FROM cross_
+  UNION ALL SELECT 1, 'task', ns, id, t.score, t.score + CASE WHEN type IN ('architecture', 'decision') THEN 0.1 ELSE 0 END FROM task t JOIN sc USING (id) WHERE NOT pinned
+), b AS (
+  SELECT *, max(score) OVER (PARTITION BY ns, id) AS best FROM offers ANTI JOIN pins USING (ns, id)
+), p0 AS (
+  SELECT *, row_number() OVER (PARTITION BY ns ORDER BY signal DESC, best DESC, id DESC) AS place FROM b WHERE turn = 0 QUALIFY place <= 3
+), p1 AS (
+  SELECT *, row_number() OVER (PARTITION BY ns ORDER BY signal DESC, best DESC, id DESC) AS place FROM b ANTI JOIN p0 USING (ns, id) WHERE turn = 1 QUALIFY place <= 5
+), p2 AS (
+  SELECT *, row_number() OVER (PARTITION BY ns ORDER BY signal DESC, best DESC, id DESC) AS place FROM b ANTI JOIN (SELECT ns, id FROM p0 UNION SELECT ns, id FROM p1) x USING (ns, id) WHERE turn = 2 QUALIFY place <= 3
+), chosen AS (
+  SELECT *, row_number() OVER (PARTITION BY ns ORDER BY turn, place) AS n FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2) x QUALIFY n <= 10
+), rest AS (
+  SELECT ns, id, row_number() OVER (PARTITION BY ns ORDER BY max(best) DESC, id) AS place FROM b ANTI JOIN chosen USING (ns, id) GROUP BY ns, id
+), ctx AS (
+  SELECT ns, id, bucket, CAST(row_number() OVER (PARTITION BY ns ORDER BY shown, place, id) AS INTEGER) AS position FROM (
+    SELECT ns, id, 'pinned' AS bucket, 0 AS shown, place FROM pins
+    UNION ALL SELECT ns, id, bucket, CASE bucket WHEN 'task' THEN 1 WHEN 'recent' THEN 2 ELSE 3 END, place FROM chosen
+    UNION ALL SELECT r.ns, id, 'backfill', 4, place FROM rest r LEFT JOIN (SELECT ns, count(*) AS n FROM chosen GROUP BY ns) c ON c.ns = r.ns WHERE place <= 10 - coalesce(n, 0)
+  ) x
+)
+"""
+_NO_TASK = ", task AS (SELECT 'x' AS ns, 0 AS id, 0.0 AS score WHERE false)"
+
+
+@query(_FUSED.replace("confidence <> 'deprecated'", "confidence <> 'deprecated' AND namespace = 'src0'") + """, sess AS (SELECT 'src0' AS ns), task AS (
+  SELECT 'src0' AS ns, id, 0.45*relevance + 0.10*fresh + 0.10*access + 0.35*trust AS score FROM fused JOIN scored USING (id) ORDER BY score DESC, id LIMIT 5
+)""" + _CONTEXT + "SELECT id, bucket, position FROM ctx")
 def context_selected(spark, sf_dir):
     df = memories(spark, sf_dir)
-    return context.selected(saved(df.drop("content"), "memories"), "src0", now(), _task(spark, sf_dir, df, "src0"))
+    return context.selected(df.drop("content"), "src0", now(), _task(spark, sf_dir, df, "src0"))
 
 
-@query()
+@query(", sess AS (SELECT DISTINCT namespace AS ns FROM memories)" + _NO_TASK + _CONTEXT + "SELECT ns AS session, id, bucket, position FROM ctx")
+def context_all(spark, sf_dir):
+    """The contexts of all namespaces in one plan."""
+    df = memories(spark, sf_dir).drop("content")
+    return context.contexts(df, df.select(F.col("namespace").alias("session"), "namespace").distinct(), now())
+
+
+@query(", sess AS (SELECT DISTINCT namespace AS ns FROM memories)" + _NO_TASK + _CONTEXT + """, m AS (
+  SELECT CAST(substr(ns, 4) AS INT) // 2 AS grp, CAST(substr(ns, 4) AS INT) % 2 AS turn, *, CASE WHEN bucket = 'pinned' THEN 0 ELSE 1 END AS tail FROM ctx
+), f AS (
+  SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY grp, id ORDER BY tail, position, turn) = 1
+)
+SELECT grp AS "group", id, bucket, ns AS session, CAST(row_number() OVER (PARTITION BY grp ORDER BY tail, position, turn, id) AS INTEGER) AS place FROM f""")
 def context_merged(spark, sf_dir):
-    df = saved(memories(spark, sf_dir).drop("content"), "memories")
-    return context.merged([(n, context.selected(df, n, now())) for n in ("src0", "src1")])
+    """The contexts of the namespaces in pairs (src0 and src1, src2 and src3, ...), merged."""
+    df = memories(spark, sf_dir).drop("content")
+    every = context.contexts(df, df.select(F.col("namespace").alias("session"), "namespace").distinct(), now())
+    number = F.substring("session", 4, 9).cast("int")
+    return context.merged(every.withColumns({"group": F.floor(number / 2).cast("int"), "turn": number % 2}))
 
 
 # claims and review
