@@ -60,27 +60,32 @@ def canonical_rules(rules: DataFrame) -> DataFrame:
     """(rule, verdict): one row for each listed host and path prefix."""
     host = F.translate(F.col("host"), UPPER, UPPER.lower())
     kept = rules.select(host.alias("host"), "path", "verdict").dropna().where("path = '' OR path LIKE '/%'")
-    return kept.groupBy(F.concat("host", "path").alias("rule"), F.length("path").alias("path_len")).agg(F.max("verdict").alias("verdict"))
+    return kept.groupBy(F.concat("host", "path").alias("rule"), labels_of(F.col("host")).alias("labels"), F.length("path").alias("path_len")).agg(F.max("verdict").alias("verdict"))
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every entry that would list this host and path."""
-    labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
-    return F.array_distinct(F.flatten(F.transform(parents, lambda h: F.transform(sizes, lambda n: F.concat(h, F.substring(path, F.lit(1), n))))))
+def labels_of(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Every entry that would list this host and path, of those with listed numbers of labels and lengths of path (``shapes``).
+
+    Only such suffixes are made, so a host of very many labels costs no more than its length.
+    """
+    listed = F.array(*[F.struct(F.lit(c).alias("labels"), F.lit(n).alias("length")) for c, n in shapes])
+    fits = F.filter(listed, lambda s: (s["labels"] <= labels_of(host)) & (s["length"] <= F.length(path)))
+    return F.array_distinct(F.transform(fits, lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["labels"]), F.substring(path, F.lit(1), s["length"]))))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    ``rules`` has (host, path, verdict) rows.  The distinct path lengths of the
-    list are read to the driver (at most one number for each character a url may have),
-    and its size, from which the filter gets its blocks.
+    ``rules`` has (host, path, verdict) rows.  The distinct numbers of labels and path lengths of the
+    list are read to the driver (pairs of small numbers), and its size, from which the filter gets its blocks.
     """
     spark = pages.sparkSession
     own = canonical_rules(rules)
-    facts = own.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("path_len")).alias("lengths")).first()
+    facts = own.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.struct("labels", "path_len"))).alias("shapes")).first()
     clean = pages.drop("host", "path", "rule", "verdict")
     parts = clean.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     if not facts["n"]:
@@ -89,7 +94,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     bloom = build_filter(own, blocks)
 
     urls = pages.select(F.col(url).alias("_url")).dropna().distinct()
-    keys = urls.select("_url", F.explode(candidate_keys(host_of(F.col("_url")), path_of(F.col("_url")), facts["lengths"])).alias("rule"))
+    keys = urls.select("_url", F.explode(candidate_keys(host_of(F.col("_url")), path_of(F.col("_url")), [tuple(x) for x in facts["shapes"]])).alias("rule"))
     keys = keys.withColumns({"block": _block(F.col("rule"), blocks)} | {f"b{i}": b for i, b in enumerate(_bits(F.col("rule")))})
     possible = keys.join(small(bloom), "block").where(" AND ".join(f"(w{i} & b{i}) != 0" for i in range(WORDS))).select("_url", "rule")
     listed = possible.join(small(own), "rule")

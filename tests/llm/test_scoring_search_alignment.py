@@ -243,3 +243,20 @@ def test_bounds_are_upper_bounds_and_tell_documents_apart(spark, sf):
         assert (bound >= scores).all()
         left += int((bound >= np.sort(scores)[-20]).sum())
     assert left < 0.6 * 10 * len(docs)
+
+
+# urls
+
+
+def test_hosts_of_very_many_labels(spark):
+    import time
+
+    from lorekeep.llm import url_filter
+
+    long = "https://" + "a." * 100_000 + "example.org/es/x"
+    pages = spark.createDataFrame([(1, long), (2, "http://example.org/es/"), (3, "https://x.notexample.org/es/"), (4, "https://" + "." * 50_000 + "fr/"), (5, "https://b.a.example.org/en/1?q")], "page_id long, url string")
+    rules = spark.createDataFrame([*url_filter.OP3_RULES, ("a.example.org", "/en/1", "allow")], "host string, path string, verdict string")
+    began = time.time()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: ("example.org/es/", "block"), 3: ("org/", "allow"), 4: (None, "allow"), 5: ("a.example.org/en/1", "allow")}
+    assert time.time() - began < 60
