@@ -151,8 +151,8 @@ def dispatched(corpus: DataFrame, kept: DataFrame, now: Column, query: str | Non
     return hybrid(corpus, kept, embeddings, query, vector, now, limit, weights, floor, index=index) if asked else listing.by_score(kept, limit, now, weights)
 
 
-def batch_bm25(corpus: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(question, rank, id, bm25) for many questions (question, query) at once, by an inverted join on terms."""
+def batch_scores(corpus: DataFrame, questions: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(question, id, bm25) of all that holds a term of any of many questions (question, query), by an inverted join on terms."""
     asked = questions.select("question", F.explode(words(F.col("query"))).alias("term"))
     docs = document_words(corpus)
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
@@ -160,6 +160,10 @@ def batch_bm25(corpus: DataFrame, questions: DataFrame, k: int, k1: float = 1.2,
     postings = docs.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     part = idf(stats["n"], F.col("df")) * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / float(stats["avgdl"] or 1.0)))
-    scores = postings.join(df, "term").join(asked, "term").groupBy("question", "id").agg(F.round(F.sum(part), 9).alias("bm25"))
+    return postings.join(df, "term").join(asked, "term").groupBy("question", "id").agg(F.round(F.sum(part), 9).alias("bm25"))
+
+
+def batch_bm25(corpus: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(question, rank, id, bm25): the ``k`` best for each of many questions."""
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("bm25"), "id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    return batch_scores(corpus, questions, k1, b).withColumn("rank", rank).where(F.col("rank") <= k)

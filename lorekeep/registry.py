@@ -11,7 +11,7 @@ from lorekeep import schema as S
 from lorekeep.functions import scoring as sc
 from lorekeep.functions import text as tx
 from lorekeep.operators import claims, cluster, context, filters, graph, hints, listing, namespaces, postings, promote, repair, replay, review, search, setjoin, state, stats
-from lorekeep.plans import evaluate
+from lorekeep.plans import benchmark, evaluate
 from lorekeep.sources import portability, views
 from lorekeep.sources.tables import new_path, saved
 from lorekeep.sources.views import SQL, memories, now, relations
@@ -728,6 +728,48 @@ def retrieval_quality(spark, sf_dir):
     return means.select("questions", *[F.round(c, 6).alias(c) for c in means.columns if c != "questions"])
 
 
+_BENCHMARK = _QUALITY + """
+, asks AS (
+  SELECT question, 'abc'[question % 3 + 1] AS kind, CASE WHEN question % 2 = 1 THEN ['src0', 'src1', 'src2', 'src3', 'src5', 'src8'] ELSE [] END AS spaces, vector FROM questions LEFT JOIN vectors ON id = question
+), kept AS (
+  SELECT question, vector, m.* FROM asks, scored m WHERE confidence <> 'deprecated' AND (len(spaces) = 0 OR list_contains(spaces, namespace))
+), pool AS (
+  SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY bm25 DESC, id) AS br FROM sc JOIN kept USING (question, id) QUALIFY br <= 40
+), sim AS (
+  SELECT question, id, list_cosine_similarity(v.vector, k.vector) AS s FROM kept k JOIN vectors v USING (id) WHERE k.vector IS NOT NULL
+), sem AS (
+  SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY s DESC, id) AS sr FROM (
+    SELECT * FROM sim SEMI JOIN pool USING (question, id)
+    UNION ALL (SELECT * FROM sim ANTI JOIN pool USING (question, id) WHERE s >= 0.2 QUALIFY row_number() OVER (PARTITION BY question ORDER BY s DESC, id) <= 5)
+  ) x
+), rrf AS (
+  SELECT question, id, least(1.0, (coalesce(1.0 / (60 + br), 0) + coalesce(1.0 / (60 + sr), 0)) / (CASE WHEN max(sr) OVER (PARTITION BY question) IS NOT NULL THEN 2.0 ELSE 1.0 END / 61)) AS relevance
+  FROM pool FULL JOIN sem USING (question, id)
+), ranks AS (
+  SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY 0.45*relevance + 0.10*fresh + 0.10*access + 0.35*trust DESC, id) AS rank FROM rrf JOIN scored USING (id) QUALIFY rank <= 10
+), per AS (
+  SELECT r.question, count(*) AS wanted, count(k.rank) FILTER (k.rank <= 1) AS h1, count(k.rank) FILTER (k.rank <= 5) AS h5, count(k.rank) FILTER (k.rank <= 10) AS h10, coalesce(1.0 / min(k.rank), 0) AS rr
+  FROM relevant r LEFT JOIN ranks k ON k.question = r.question AND k.id = r.id GROUP BY r.question
+)
+SELECT coalesce(kind, 'overall') AS kind, count(*) AS questions, round(avg(h1 / wanted), 6) AS recall_1, round(avg(h5 / wanted), 6) AS recall_5, round(avg(h10 / wanted), 6) AS recall_10,
+ round(avg(h1 / 1), 6) AS precision_1, round(avg(h5 / 5), 6) AS precision_5, round(avg(h10 / 10), 6) AS precision_10, round(avg(rr), 6) AS reciprocal_rank
+FROM per JOIN asks USING (question) GROUP BY GROUPING SETS ((kind), ())
+"""
+
+
+@query(_BENCHMARK)
+def benchmark_hybrid(spark, sf_dir):
+    """All benchmark passages through hybrid search, odd ones within six namespaces, by kind and overall."""
+    questions, relevant = _questions(spark, sf_dir)
+    df = memories(spark, sf_dir)
+    vectors = views.embeddings(spark, sf_dir)
+    spaces = F.when(F.col("question") % 2 == 1, F.array(*[F.lit(f"src{i}") for i in (0, 1, 2, 3, 5, 8)])).otherwise(F.array().cast("array<string>"))
+    asked = questions.join(vectors.withColumnRenamed("id", "question"), "question", "left").withColumn("namespaces", spaces).withColumn("kind", F.substring(F.lit("abc"), (F.col("question") % 3 + 1).cast("int"), F.lit(1)))
+    found = benchmark.ranking(df, filters.select_memories(df), asked, vectors, now(), 10, S.WEIGHTS, FLOOR)
+    means = benchmark.by_kind(found, relevant, asked)
+    return means.select("kind", "questions", *[F.round(c, 6).alias(c) for c in means.columns if c not in ("kind", "questions")])
+
+
 @query("SELECT id, access_count + 1 AS access_count FROM memories WHERE id % 11 = 3 UNION ALL SELECT id, access_count FROM memories WHERE id % 11 <> 3")
 def record_access(spark, sf_dir):
     df = memories(spark, sf_dir)
