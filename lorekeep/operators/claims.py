@@ -67,14 +67,19 @@ def default_repo(namespace: Column, given: Column) -> Column:
     return F.when(given.isNull(), namespace).otherwise(F.nullif(given, F.lit("")))
 
 
+def pending(claims: DataFrame) -> DataFrame:
+    """``claims`` without those that were marked resolved."""
+    return claims.where("resolved_state IS NULL") if "resolved_state" in claims.columns else claims
+
+
 def in_mode(memories: DataFrame, claims: DataFrame, mode: str) -> DataFrame:
-    """The ``memories`` with an open, an unverified or a contradicted claim (``mode``)."""
+    """The ``memories`` with an open, an unverified or a contradicted claim (``mode``) that isn't marked resolved."""
     if mode not in ("open", "unverified", "contradicted"):
         raise ValueError(f"unknown claims mode: {mode}")
     if mode == "contradicted":
         found = contradicted(claims, memories.where("confidence <> 'deprecated'").select("id"))
     else:
-        found = claims.where(F.col("state") == mode)
+        found = pending(claims).where(F.col("state") == mode)
     return memories.join(found.select(F.col("memory_id").alias("id")), "id", "left_semi")
 
 
@@ -86,13 +91,29 @@ def contradicted(claims: DataFrame, active: DataFrame) -> DataFrame:
     """Open claims on a reference that another active memory of the namespace says is resolved."""
     live = claims.join(active.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
     done = live.where("state = 'resolved'").groupBy("namespace", "kind", "ref").agg(F.min("memory_id").alias("one"), F.max("memory_id").alias("other"))
-    return live.where("state = 'open'").join(done, ["namespace", "kind", "ref"]).where("one <> memory_id OR other <> memory_id").select("memory_id", "namespace", "kind", "ref", "evidence")
+    return pending(live).where("state = 'open'").join(done, ["namespace", "kind", "ref"]).where("one <> memory_id OR other <> memory_id").select("memory_id", "namespace", "kind", "ref", "evidence")
+
+
+def backlog(claims: DataFrame, memories: DataFrame) -> DataFrame:
+    """(id, title, ref, contradicted, created_at): the open claims of active memories that wait to be resolved."""
+    active = memories.where("confidence <> 'deprecated'")
+    own = pending(claims).where("state = 'open'").join(active.select(F.col("id").alias("memory_id"), "title", "created_at"), "memory_id")
+    key = ["memory_id", "kind", "ref"]
+    against = contradicted(claims, active.select("id")).select(*key, F.lit(True).alias("against")).distinct()
+    met = own.join(against, key, "left").withColumn("contradicted", F.coalesce("against", F.lit(False)))
+    return met.groupBy(F.col("memory_id").alias("id"), "title", "ref", "created_at").agg(F.max("contradicted").alias("contradicted"))
+
+
+def sample(claims: DataFrame, memories: DataFrame, limit: int = 5) -> DataFrame:
+    """The first of the backlog, contradicted ones before others, then the oldest; 1 to 100 of them."""
+    return backlog(claims, memories).orderBy(F.desc("contradicted"), "created_at", "id", "ref").limit(max(1, min(limit, 100)))
 
 
-def statistics(claims: DataFrame, active: DataFrame) -> DataFrame:
-    """One row: claims by state, and how many open ones are contradicted."""
-    states = claims.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("open", "resolved", "unverified")])
-    return states.join(F.broadcast(contradicted(claims, active).agg(F.count("*").alias("contradicted"))))
+def statistics(claims: DataFrame, memories: DataFrame) -> DataFrame:
+    """One row: claims by state that aren't marked resolved, the open ones of active memories, and how many of these are contradicted."""
+    states = pending(claims).agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("open", "resolved", "unverified")])
+    held = backlog(claims, memories).agg(F.count("*").alias("open_actionable"), F.count_if("contradicted").alias("contradicted"))
+    return states.join(F.broadcast(held))
 
 
 def rederived(old: DataFrame, new: DataFrame) -> DataFrame:

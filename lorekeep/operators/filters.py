@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import schema as S
 from lorekeep.functions.text import normalised_tag
+from lorekeep.operators.claims import contradicted, in_mode
 
 
 def with_all_tags(df: DataFrame, tags: Sequence[str]) -> DataFrame:
@@ -33,8 +34,14 @@ def select_memories(
     created_after: str | None = None,
     created_before: str | None = None,
     tags: Sequence[str] | None = None,
+    claims: tuple[DataFrame, str] | None = None,
+    orphans_of: DataFrame | None = None,
 ) -> DataFrame:
-    """All given conditions at once; date bounds are inclusive instants."""
+    """All given conditions at once; date bounds are inclusive instants.
+
+    ``claims`` are the corpus's claims and a mode of ``in_mode``; with the relations as ``orphans_of`` only memories without an edge stay.
+    """
+    every = df
     if namespaces:
         df = df.where(F.col("namespace").isin(list(namespaces)))
     if type:
@@ -47,7 +54,15 @@ def select_memories(
         df = df.where(F.col("created_at") >= F.lit(created_after).cast("timestamp_ntz"))
     if created_before:
         df = df.where(F.col("created_at") <= F.lit(created_before).cast("timestamp_ntz"))
-    return with_all_tags(df, tags or ())
+    df = with_all_tags(df, tags or ())
+    if claims is not None:
+        known, mode = claims
+        if mode == "contradicted":  # by any memory of its namespace, not only by those that pass the other conditions
+            against = contradicted(known, every.where("confidence <> 'deprecated'").select("id"))
+            df = df.join(against.select(F.col("memory_id").alias("id")), "id", "left_semi")
+        else:
+            df = in_mode(df, known, mode)
+    return df if orphans_of is None else orphans(df, orphans_of)
 
 
 def orphans(df: DataFrame, relations: DataFrame) -> DataFrame:

@@ -26,6 +26,11 @@ def paged(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Da
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> tuple[int, DataFrame]:
+    """How many rows there are, and those of one page."""
+    return df.count(), paged(df, order, offset, limit)
+
+
 def by_ids(spark: SparkSession, df: DataFrame, ids: Sequence) -> tuple[DataFrame, DataFrame]:
     """The rows with these ids in the order asked for, and the ids that are missing."""
     kind = df.schema["id"].dataType.simpleString()

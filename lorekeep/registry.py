@@ -644,10 +644,43 @@ def contradicted(spark, sf_dir):
     return claims.contradicted(found, df.where("confidence <> 'deprecated'").select("id")).select("memory_id", "namespace", "kind", "ref")
 
 
-@query(_CLAIMS + "SELECT count(*) FILTER (state = 'open') AS open, count(*) FILTER (state = 'resolved') AS resolved, count(*) FILTER (state = 'unverified') AS unverified, (SELECT count(*) FROM c a WHERE a.state = 'open' AND a.confidence <> 'deprecated' AND EXISTS (SELECT 1 FROM c b WHERE b.namespace = a.namespace AND b.ref = a.ref AND b.state = 'resolved' AND b.confidence <> 'deprecated' AND b.memory_id <> a.memory_id)) AS contradicted FROM c")
+@query(_CLAIMS + "SELECT count(*) FILTER (state = 'open') AS open, count(*) FILTER (state = 'open' AND confidence <> 'deprecated') AS open_actionable, count(*) FILTER (state = 'resolved') AS resolved, count(*) FILTER (state = 'unverified') AS unverified, (SELECT count(*) FROM c a WHERE a.state = 'open' AND a.confidence <> 'deprecated' AND EXISTS (SELECT 1 FROM c b WHERE b.namespace = a.namespace AND b.ref = a.ref AND b.state = 'resolved' AND b.confidence <> 'deprecated' AND b.memory_id <> a.memory_id)) AS contradicted FROM c")
 def claim_stats(spark, sf_dir):
     df = views.claim_texts(spark, sf_dir)
-    return claims.statistics(claims.extract(df, F.col("namespace")), df.where("confidence <> 'deprecated'").select("id"))
+    return claims.statistics(claims.extract(df, F.col("namespace")), df)
+
+
+_AGAINST = "EXISTS (SELECT 1 FROM c b WHERE b.namespace = a.namespace AND b.ref = a.ref AND b.state = 'resolved' AND b.confidence <> 'deprecated' AND b.memory_id <> a.memory_id)"
+
+
+@query(_CLAIMS + f"SELECT id, a.ref, {_AGAINST} AS contradicted FROM c a JOIN memories ON id = a.memory_id WHERE state = 'open' AND a.confidence <> 'deprecated' ORDER BY {_AGAINST} DESC, created_at, id LIMIT 40")
+def claims_sample(spark, sf_dir):
+    """The first forty of the backlog of open claims."""
+    df = views.claim_texts(spark, sf_dir)
+    return claims.sample(claims.extract(df, F.col("namespace")), df, 40).select("id", "ref", "contradicted")
+
+
+@query(_CLAIMS + f"""SELECT id, 'open' AS mode FROM c a JOIN memories m ON m.id = a.memory_id ANTI JOIN degree d ON d.id = m.id WHERE state = 'open' AND a.confidence <> 'deprecated' AND list_contains(tags, 'en')
+ UNION ALL SELECT id, 'contradicted' FROM c a JOIN memories m ON m.id = a.memory_id WHERE state = 'open' AND a.confidence = 'inferred' AND type = 'decision' AND {_AGAINST}""")
+def filter_claims_orphans(spark, sf_dir):
+    """The composed filter with claims and orphans: open claims of orphans with a tag, contradicted claims of one type and confidence."""
+    df = views.claim_texts(spark, sf_dir)
+    found = saved(claims.extract(df, F.col("namespace")), "claims")
+    one = filters.select_memories(df, tags=["en"], claims=(found, "open"), orphans_of=relations(spark, sf_dir)).select("id", F.lit("open").alias("mode"))
+    other = filters.select_memories(df, type="decision", claims=(found, "contradicted")).where("confidence = 'inferred'")
+    return one.union(other.select("id", F.lit("contradicted")))
+
+
+@query("""SELECT id AS memory_id, CASE WHEN id % 6 = 5 THEN 'mr' ELSE 'pr' END AS kind, CASE id % 6 WHEN 0 THEN 'tool' WHEN 1 THEN 'other-repo' ELSE namespace END || '#' || (id % 50) AS ref,
+ CASE WHEN id % 6 = 0 THEN 'resolved' ELSE 'open' END AS state FROM memories WHERE id % 6 IN (0, 1, 5)""")
+def claims_forms(spark, sf_dir):
+    """Claims by a url, by an alias and of merge requests; none in wiki links, quotes and code."""
+    number = (F.col("id") % 50).cast("string")
+    put = lambda *parts: F.concat("content", F.lit("\n"), *[number if p is None else F.lit(p) for p in parts])
+    forms = [put("see https://github.com/acme/tool/pull/", None, " and PR #", None, " merged"), put("other PR #", None, " open"), put("[[PR #", None, " merged]]"), put('it said "PR #', None, ' merged" then'), put("`PR #", None, " merged`"), put("MR !", None, " is held")]
+    text = F.element_at(F.array(*forms), (F.col("id") % 6 + 1).cast("int"))
+    found = claims.extract(memories(spark, sf_dir).withColumn("content", text), F.col("namespace"), {"other": "other-repo"})
+    return found.select("memory_id", "kind", "ref", "state")
 
 
 _DATED = "CASE id % 4 WHEN 0 THEN ' expires 2024-01-10' WHEN 1 THEN ' as of 2024-01-05' WHEN 2 THEN ' expires 2025-01-01' ELSE ' waiting on Joe' END"
@@ -812,6 +845,22 @@ def access_windows(spark, sf_dir):
     return df.select(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("start").cast("timestamp_ntz")).alias("start"), "context", "n")
 
 
+@query("SELECT memory_id, count(*) AS n, epoch_us(max(accessed_at)) AS last FROM (SELECT *, date_trunc('day', accessed_at) + INTERVAL 31 DAY > TIMESTAMP '2024-02-15' AS kept FROM access_log) x GROUP BY memory_id HAVING count(*) FILTER (kept) > 0".replace("count(*) AS n", "count(*) FILTER (kept) AS n"))
+def access_retained(spark, sf_dir):
+    """The counts that the stateful stream keeps, run as a batch."""
+    from lorekeep.streaming.access import retained
+
+    df = retained(views.access_log(spark, sf_dir), 1_707_955_200_000, 30)
+    return df.select("memory_id", "n", F.unix_micros("last").alias("last"))
+
+
+@query("SELECT edge_id, (SELECT count(*) FROM relations WHERE relation_type = 'caused_by') AS total FROM relations WHERE relation_type = 'caused_by' ORDER BY source_id, edge_id LIMIT 25 OFFSET 10")
+def edges_page_total(spark, sf_dir):
+    """A page beside the total."""
+    total, rows = listing.page(relations(spark, sf_dir).where("relation_type = 'caused_by'"), [F.col("source_id"), F.col("edge_id")], 10, 25)
+    return rows.select("edge_id", F.lit(total).cast("long").alias("total"))
+
+
 # index, dispatch, hints, namespaces, repairs
 
 
@@ -914,6 +963,18 @@ def find_similar(spark, sf_dir):
     return hints.find_similar(memories(spark, sf_dir), "src3", QUERY, now()).select("id", "similarity")
 
 
+_NEAR_HINT = _FUSED.replace("confidence <> 'deprecated'", "confidence <> 'deprecated' AND namespace = 'src0'").replace("s >= 0.2", "s >= 0.55")
+
+
+@query(_NEAR_HINT + """, hint AS (SELECT id FROM fused ORDER BY relevance DESC, id LIMIT 6)
+ SELECT id, round(s, 4) AS similarity FROM hint JOIN sim USING (id) WHERE s >= 0.05 ORDER BY round(s, 4) DESC, id LIMIT 3""")
+def find_similar_vectors(spark, sf_dir):
+    """Hints by vectors; these are random, so the gate is lowered to where some pass."""
+    df = memories(spark, sf_dir)
+    pool = hints.candidates(df, "src0", QUERY, now(), 6, views.embeddings(spark, sf_dir), vector(spark, sf_dir))
+    return cluster.similar_to(pool, views.embeddings(spark, sf_dir), QUERY, vector(spark, sf_dir), (0.05, 0.0), 3).select("id", "similarity")
+
+
 @query(_WORDS + _SIMILAR + """, skip AS (SELECT 10 AS id UNION SELECT other FROM ends WHERE id = 10)
  SELECT id, round(s, 4) AS similarity FROM (SELECT id, row_number() OVER (ORDER BY b DESC, id) AS place FROM hint) x JOIN gate USING (id) ANTI JOIN skip USING (id)
  WHERE place <= 6 + (SELECT count(*) FROM skip) AND s >= 0.10 ORDER BY round(s, 4) DESC, id LIMIT 3""")

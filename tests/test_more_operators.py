@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_operators import COLUMNS, EDGES, ids, memory
 
 from lorekeep.functions import text
-from lorekeep.operators import claims, cluster, graph, hints, namespaces, postings, review, search, state
+from lorekeep.operators import claims, cluster, filters, graph, hints, listing, namespaces, postings, review, search, state
 from lorekeep.plans import evaluate
 
 NOW = "2024-06-01 12:00:00"
@@ -122,3 +122,19 @@ def test_golden_set(spark, tmp_path):
     path.write_text(json.dumps(data))
     with pytest.raises(ValueError):
         evaluate.golden_set(spark, str(path))
+
+
+def test_claim_backlog_and_composed_filter(spark):
+    df = frame(spark, memory(1, "a", "PR #1 open", created="2024-01-03"), memory(2, "b", "PR #1 merged"), memory(3, "c", "PR #3 open", created="2024-01-01"), memory(4, "d", "PR #4 open", confidence="deprecated"), memory(5, "e", "PR #5 open", created="2024-01-02"), memory(6, "f", "PR #6"))
+    found = claims.extract(df, F.col("namespace")).withColumn("resolved_state", F.when(F.col("memory_id") == 5, "resolved"))
+    assert claims.statistics(found, df).first().asDict() == {"open": 3, "resolved": 1, "unverified": 1, "open_actionable": 2, "contradicted": 1}
+    assert [(r["id"], r["contradicted"]) for r in claims.sample(found, df).collect()] == [(1, True), (3, False)]
+    assert [r["id"] for r in claims.sample(found, df, 0).collect()] == [1]
+    edges = spark.createDataFrame([(1, 1, 2, "related_to")], EDGES)
+    assert ids(filters.select_memories(df, claims=(found, "open"))) == [1, 3]
+    assert ids(filters.select_memories(df, claims=(found, "open"), orphans_of=edges)) == [3]
+    assert ids(filters.select_memories(df, include_deprecated=True, claims=(found, "open"), orphans_of=edges)) == [3, 4]
+    assert ids(filters.select_memories(df, claims=(found, "contradicted"))) == [1] and ids(filters.select_memories(df, claims=(found, "unverified"))) == [6]
+    total, rows = listing.page(df, [F.col("id")], 4, 10)
+    assert total == 6 and ids(rows) == [5, 6]
+    assert listing.page(df, [F.col("id")], 40, 10)[0] == 6
