@@ -28,7 +28,7 @@ def created(memories: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
 
 
 def updated(memories: DataFrame, patch: DataFrame, now: Column) -> DataFrame:
-    """Rows of ``patch`` (id and any columns) applied where not null.
+    """Rows of ``patch`` (id and any columns) applied where not null; an empty metadata clears it.
 
     The confirmation moves if confidence is set to verified or the title or content changes.
     """
@@ -42,14 +42,19 @@ def updated(memories: DataFrame, patch: DataFrame, now: Column) -> DataFrame:
     if "confidence" in fields:
         moved = moved | F.coalesce(F.col("_confidence") == "verified", F.lit(False))
     out = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in fields}
+    if "metadata" in out:
+        out["metadata"] = F.nullif(out["metadata"], F.lit(""))
     out |= {"updated_at": F.when(F.col("_hit"), now).otherwise(F.col("updated_at")), "last_confirmed": F.when(F.col("_hit") & moved, now).otherwise(F.col("last_confirmed"))}
     return both.select(*[out.get(c, F.col(c)).alias(c) for c in memories.columns])
 
 
-def forgotten(memories: DataFrame, ids: DataFrame) -> DataFrame:
-    """The ids' confidence becomes deprecated; nothing else moves."""
+def forgotten(memories: DataFrame, ids: DataFrame, now: Column | None = None) -> DataFrame:
+    """The ids' confidence becomes deprecated and, with ``now``, that is an update; nothing else moves."""
     hit = ids.select("id", F.lit(True).alias("_hit")).distinct()
-    return memories.join(hit, "id", "left").withColumn("confidence", F.when(F.col("_hit"), "deprecated").otherwise(F.col("confidence"))).select(*memories.columns)
+    new = {"confidence": F.when(F.col("_hit"), "deprecated").otherwise(F.col("confidence"))}
+    if now is not None:
+        new["updated_at"] = F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))
+    return memories.join(hit, "id", "left").withColumns(new).select(*memories.columns)
 
 
 def deleted(memories: DataFrame, relations: DataFrame, dependents: dict[str, DataFrame], ids: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:

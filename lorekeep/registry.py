@@ -1190,3 +1190,150 @@ def claims_incremental(spark, sf_dir):
     left = df.where(active & (F.col("id") % 10 != 4)).select("id")
     after = claims.contradicted_after(before, new, left, claims.touched_refs(old, new, moved.union(gone)))
     return new.select(F.lit("claim").alias("kind"), "memory_id", "namespace", "ref", "state").union(after.select(F.lit("contradicted"), "memory_id", "namespace", "ref", F.lit("open")))
+
+
+# texts, transitions and the rest of the store, over all memories
+
+
+def _us(c):
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
+
+
+@query(r"""SELECT id, CASE WHEN length(flat) <= 200 THEN flat ELSE coalesce(nullif(regexp_extract(substr(flat, 1, 200), '^(.*) [^ ]*$', 1), ''), substr(flat, 1, 200)) || ' …' END AS excerpt,
+ md5(title || chr(10) || chr(10) || content) AS input_md5, regexp_replace(lower(trim(title)), '\s+', '-', 'g') AS tag FROM (SELECT *, trim(regexp_replace(content, '\s+', ' ', 'g')) AS flat FROM memories) x""")
+def text_shapes(spark, sf_dir):
+    """Excerpts, what an encoder reads, and titles as tags."""
+    return memories(spark, sf_dir).select("id", tx.excerpt(F.col("content")).alias("excerpt"), F.md5(tx.embedding_input(F.col("title"), F.col("content"))).alias("input_md5"), tx.normalised_tag(F.col("title")).alias("tag"))
+
+
+@query("""SELECT id, CASE WHEN id % 4 = 0 THEN '{"a": "x", "b": ' || id || '}' END AS metadata FROM memories""")
+def metadata_normalised(spark, sf_dir):
+    given = F.element_at(F.array(F.concat(F.lit('{"b": '), F.col("id").cast("string"), F.lit(', "a": "x"}')), F.lit("[1]"), F.lit("bad{"), F.lit("")), (F.col("id") % 4 + 1).cast("int"))
+    return memories(spark, sf_dir).select("id", tx.sorted_metadata(given).alias("metadata"))
+
+
+@query("""SELECT id, confidence, access_count, pinned, last_confirmed IS NOT NULL AS confirmed, array_to_string(tags, ',') AS tags, epoch_us(created_at) AS created FROM memories
+ UNION ALL SELECT id + 1000000000, confidence, 0, false, confidence = 'verified', array_to_string(tags, ',') || ',new-one', epoch_us(TIMESTAMP '2024-02-15') FROM memories WHERE id % 10 = 0""")
+def create_memories(spark, sf_dir):
+    df = memories(spark, sf_dir)
+    fresh = df.where("id % 10 = 0").select((F.col("id") + 1_000_000_000).alias("id"), "namespace", "type", "title", "content", "confidence", F.concat("tags", F.array(F.lit(" New  One"), F.lit("new-one"))).alias("tags"))
+    return state.created(df, fresh, now()).select("id", "confidence", "access_count", "pinned", F.col("last_confirmed").isNotNull().alias("confirmed"), F.array_join("tags", ",").alias("tags"), _us("created_at").alias("created"))
+
+
+@query("SELECT id, CASE WHEN id % 6 = 1 THEN 'deprecated' ELSE confidence END AS confidence, epoch_us(CASE WHEN id % 6 = 1 THEN TIMESTAMP '2024-02-15' ELSE updated_at END) AS updated, epoch_us(last_accessed) AS accessed FROM memories")
+def forget_memories(spark, sf_dir):
+    df = memories(spark, sf_dir)
+    return state.forgotten(df, df.where("id % 6 = 1").select("id"), now()).select("id", "confidence", _us("updated_at").alias("updated"), _us("last_accessed").alias("accessed"))
+
+
+@query("""SELECT 'memory' AS kind, id FROM memories WHERE id % 9 <> 4 UNION ALL SELECT 'edge', edge_id FROM relations WHERE source_id % 9 <> 4 AND target_id % 9 <> 4
+ UNION ALL SELECT 'access', log_id FROM access_log WHERE memory_id % 9 <> 4""")
+def delete_memories(spark, sf_dir):
+    df = memories(spark, sf_dir)
+    left, edges, rest = state.deleted(df, relations(spark, sf_dir), {"log": views.access_log(spark, sf_dir)}, df.where("id % 9 = 4").select("id"))
+    return left.select(F.lit("memory").alias("kind"), "id").union(edges.select(F.lit("edge"), "edge_id")).union(rest["log"].select(F.lit("access"), "log_id"))
+
+
+@query("SELECT id, epoch_us(CASE WHEN id % 8 = 3 THEN TIMESTAMP '2024-02-15' ELSE last_accessed END) AS accessed, access_count FROM memories")
+def touch_memories(spark, sf_dir):
+    df = memories(spark, sf_dir)
+    return state.touched(df, df.where("id % 8 = 3").select("id"), now()).select("id", _us("last_accessed").alias("accessed"), "access_count")
+
+
+@query("""SELECT id, CASE WHEN id % 5 = 2 THEN array_to_string(list_concat(tags, ['new-tag']), ',') ELSE array_to_string(tags, ',') END AS added, CASE WHEN id % 5 = 2 THEN 'new-tag,' || tags[1] ELSE array_to_string(tags, ',') END AS replaced FROM memories""")
+def tag_memories(spark, sf_dir):
+    """Tags added to those there are, and put in their place."""
+    df = memories(spark, sf_dir)
+    tags = df.where("id % 5 = 2").select("id", F.array(F.lit(" New Tag"), F.get("tags", F.lit(0)), F.lit("new  tag")).alias("tags"))
+    one, other = (state.tagged(df, tags, r).select("id", F.array_join("tags", ",").alias(n)) for r, n in ((False, "added"), (True, "replaced")))
+    return one.join(other, "id")
+
+
+@query("""SELECT source_id, target_id, relation_type, count(*) AS n FROM relations GROUP BY ALL
+ UNION ALL SELECT DISTINCT target_id, source_id, 'related_to', 1 FROM relations r WHERE edge_id % 4 < 2 AND NOT EXISTS (SELECT 1 FROM relations o WHERE o.source_id = r.target_id AND o.target_id = r.source_id AND o.relation_type = 'related_to')""")
+def relate_memories(spark, sf_dir):
+    """New edges against the direction of old ones, self edges and some that are there already besides."""
+    edges = relations(spark, sf_dir)
+    own = edges.where("edge_id % 4 < 2")
+    fresh = own.select((F.col("edge_id") + 1_000_000_000).alias("edge_id"), F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.lit("related_to").alias("relation_type"))
+    fresh = fresh.union(own).union(own.select("edge_id", "source_id", "source_id", "relation_type"))
+    return stats.by(state.related(edges, fresh), "source_id", "target_id", "relation_type")
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 'stale' ELSE confidence END AS confidence FROM memories")
+def upsert_memories(spark, sf_dir):
+    """Newer versions of some rows, equal ones of the same, and older ones of others."""
+    df = memories(spark, sf_dir).select("id", "confidence", "updated_at")
+    days = lambda n: F.col("updated_at") + F.make_dt_interval(days=F.lit(n))
+    new = df.where("id % 7 = 0").select("id", F.lit("stale").alias("confidence"), F.when(F.col("id") % 2 == 0, days(1)).otherwise(F.col("updated_at")).alias("updated_at"))
+    return state.upserted(df, new.union(df.where("id % 7 = 1").select("id", F.lit("deprecated"), days(-1))), "id", "updated_at").select("id", "confidence")
+
+
+@query("""SELECT kept AS source_id, id AS target_id, 'supersedes' AS relation_type FROM (SELECT id, arg_max(id, (crank, updated_at, -id)) OVER (PARTITION BY namespace, title) AS kept FROM scored) x WHERE id <> kept""")
+def retire_originals(spark, sf_dir):
+    """Edges from what is kept of equal titles to what it replaces."""
+    df = _titled(memories(spark, sf_dir))
+    kept = cluster.consolidated(df, "cluster", "deduplicate").select("cluster", "kept")
+    return cluster.retired(df.select("id", "cluster").join(kept, "cluster"))
+
+
+@query(_CLAIMS + "SELECT memory_id, ref, CASE WHEN ref IN ('src1#5', 'src0#10', 'nowhere#1') THEN 'resolved' END AS named, CASE WHEN state = 'open' THEN 'resolved' END AS every FROM c")
+def claims_resolved(spark, sf_dir):
+    """Named references marked resolved in whatever state, and all open ones."""
+    found = claims.extract(views.claim_texts(spark, sf_dir), F.col("namespace")).withColumn("resolved_state", F.lit(None).cast("string"))
+    one = claims.resolve(found, ["src1#5", "src0#10", "nowhere#1"]).withColumnRenamed("resolved_state", "named")
+    return claims.resolve(one.withColumn("resolved_state", F.lit(None).cast("string")), "all").select("memory_id", "ref", "named", F.col("resolved_state").alias("every"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (s < 0) AS expired, count(*) FILTER (s >= 0 AND s <= 14 * 86400) AS expiring_soon
+ FROM (SELECT trunc((epoch_us(created_at + to_days(CAST(id % 60 AS INT))) - epoch_us(TIMESTAMP '2024-02-15')) / 1000000) AS s FROM memories) x""")
+def credential_expiry(spark, sf_dir):
+    services = memories(spark, sf_dir).select(F.col("title").alias("service"), (F.col("created_at") + F.make_dt_interval(days=(F.col("id") % 60).cast("int"))).alias("expires_at"))
+    return stats.expiry(services, now())
+
+
+@query(_REPAIRED + "SELECT outcome, count(*) AS n FROM (SELECT outcome FROM r1 UNION ALL SELECT outcome FROM r2 UNION ALL SELECT CASE WHEN n > 0 THEN 'deleted' ELSE 'not_found' END FROM r3) x GROUP BY outcome")
+def edge_outcomes(spark, sf_dir):
+    edges, ops = _repairs(spark, sf_dir)
+    return stats.outcomes(repair.repaired(edges, ops)[1])
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'gone-' ELSE '' END || namespace AS namespace FROM memories")
+def namespace_stamped(spark, sf_dir):
+    """Names for namespace ids; an id that no namespace has stands for itself."""
+    df = memories(spark, sf_dir).withColumn("namespace_id", F.concat(F.when(F.col("id") % 3 == 0, "gone-").otherwise("id-"), "namespace"))
+    names = views.table(spark, sf_dir, "documents").select(F.concat(F.lit("id-"), "source").alias("id"), F.col("source").alias("name")).distinct()
+    return namespaces.stamped(df, names).select("id", "namespace")
+
+
+@query("""SELECT id, vector[1] AS first FROM vectors WHERE id % 2 = 0
+ UNION ALL SELECT id, CAST(length(title) + 2 + length(content) AS DOUBLE) FROM (SELECT * FROM memories WHERE id NOT IN (SELECT id FROM vectors WHERE id % 2 = 0) ORDER BY id LIMIT 120) x""")
+def embed_backfill(spark, sf_dir):
+    """Vectors for the first memories that have none, by an encoder that tells a text's length."""
+    have = views.embeddings(spark, sf_dir).where("id % 2 = 0")
+    done = state.embedded(memories(spark, sf_dir), have, lambda texts: [[float(len(t))] + [0.0] * 63 for t in texts], 64, 120)
+    return done.select("id", F.col("vector")[0].alias("first"))
+
+
+@query("""SELECT 'memory' AS kind, id, CASE WHEN namespace IN ('src0', 'src1') THEN 'stale' ELSE confidence END AS of FROM memories
+ UNION ALL SELECT 'edge', edge_id, relation_type FROM relations JOIN memories s ON s.id = source_id JOIN memories t ON t.id = target_id
+ WHERE NOT (s.namespace IN ('src0', 'src1') OR t.namespace IN ('src0', 'src1'))
+ UNION ALL SELECT 'edge', min(edge_id), relation_type FROM relations JOIN memories s ON s.id = source_id JOIN memories t ON t.id = target_id
+ WHERE s.namespace IN ('src0', 'src1') AND t.namespace IN ('src0', 'src1') GROUP BY source_id, target_id, relation_type""")
+def import_replaced(spark, sf_dir):
+    """Two namespaces exported with another confidence and imported over those that are there: all rows afterwards."""
+    df, edges = memories(spark, sf_dir), relations(spark, sf_dir)
+    own, inner = portability.export_rows(df.where("namespace IN ('src0', 'src1')").withColumn("confidence", F.lit("stale")), edges)
+    inner = inner.groupBy("source_id", "target_id", "relation_type").agg(F.min("edge_id").alias("edge_id")).select(edges.columns)
+    path = new_path(spark, "export")
+    portability.export_lines(own, inner, path)
+    every, linked = portability.imported(df, edges, *portability.read_lines(spark, path, own.schema, inner.schema), "replace")
+    return every.select(F.lit("memory").alias("kind"), "id", F.col("confidence").alias("of")).union(linked.select(F.lit("edge"), "edge_id", "relation_type"))
+
+
+@query("""SELECT id, 'unmerged-branch' AS signals FROM scored WHERE id % 3 = 2 AND confidence <> 'deprecated' AND type NOT IN ('pattern', 'preference') AND age_days >= 14""")
+def review_quoted(spark, sf_dir):
+    """Dates within quotation marks and backticks give no signal."""
+    text = F.element_at(F.array(F.lit('he wrote "expires 2024-01-10" there'), F.lit("`as of 2024-01-05`"), F.lit("the branch x is still open")), (F.col("id") % 3 + 1).cast("int"))
+    df = memories(spark, sf_dir).withColumn("content", F.concat("content", F.lit("\n\n"), text))
+    return review.sweep(df, now()).select("id", F.array_join("signals", ",").alias("signals"))
