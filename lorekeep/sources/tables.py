@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL = "lorekeep.local.checkpoint.dir"
+#: Paths that each application has been given, for ``swept``.
+_GIVEN: dict[str, list[str]] = {}
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -38,7 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def swept(spark: SparkSession) -> int:
+    """Delete all that was written below paths of ``new_path`` so far, and say how many there were.
+
+    For when results have been read or written elsewhere: frames made before can't be read again.
+    """
+    conf, paths = spark.sparkContext._jsc.hadoopConfiguration(), _GIVEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
