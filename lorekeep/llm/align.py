@@ -41,7 +41,7 @@ BLOCK = 3_000_000
 #: Links of a group beyond which its distinct ids are paired instead of its tokens.
 WIDE = 4096
 #: Blocks of code points that both implementations of A's pattern were found to class alike.
-COMMON = re.compile("[\x00-ͷЀ-ԯ -⁯₠-₿℀-⅏←-⏳─-⛿✁-➿　-ヿ一-龥가-힣︀-️＀-ﾾ\U0001f300-\U0001f5ff]*")
+COMMON = re.compile("[\x00-\u0377\u0400-\u052f\u2000-\u206f\u20a0-\u20bf\u2100-\u214f\u2190-\u23f3\u2500-\u26ff\u2701-\u27bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\ufe00-\ufe0f\uff00-\uffbe\U0001f300-\U0001f5ff]*")
 # The byte-level word pattern of A.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")

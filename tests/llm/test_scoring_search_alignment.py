@@ -260,3 +260,11 @@ def test_hosts_of_very_many_labels(spark):
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules).collect()}
     assert got == {1: ("example.org/es/", "block"), 2: ("example.org/es/", "block"), 3: ("org/", "allow"), 4: (None, "allow"), 5: ("a.example.org/en/1", "allow")}
     assert time.time() - began < 60
+
+
+def test_common_code_points_are_split_alike():
+    a = align.TokenizerA(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and align.COMMON.fullmatch(chr(c))]
+    texts = [form.replace("{}", c) for c in points[:: len(points) // 3000] for form in ("a{} 1{} {}.  {}b", "{}'s{}")]
+    slow = [e.ids for e in a.slow.encode_batch(texts, add_special_tokens=False)]
+    assert [a.encode(t).tolist() for t in texts] == slow
