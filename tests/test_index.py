@@ -13,6 +13,11 @@ WORDS = [f"w{i}" for i in range(40)]
 NOW = "2024-06-01 12:00:00"
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(postings, "BUCKETS", 4)
+
+
 def now():
     return F.lit(NOW).cast("timestamp_ntz")
 
@@ -32,7 +37,7 @@ def test_after_any_changes_scores_are_those_of_a_fresh_index(spark, tmp_path, ki
     now_held = {kind(i): r for i, r in enumerate(corpus(spark, rng, [kind(i) for i in range(60)]).collect())}
     as_frame = lambda rows: spark.createDataFrame([tuple(r) for r in rows], f"id {'string' if kind is str else 'long'}, title string, content string")
     postings.write(as_frame(now_held.values()), path)
-    for round_ in range(3):
+    for round_ in range(2):
         gone = rng.sample(sorted(now_held), 8)
         fresh = [kind(100 * (round_ + 1) + i) for i in range(4)] + gone[:4] + ([kind(100)] if round_ == 1 and kind(100) not in now_held else [])
         removed = [now_held.pop(i) for i in gone]
@@ -40,7 +45,7 @@ def test_after_any_changes_scores_are_those_of_a_fresh_index(spark, tmp_path, ki
         index = postings.changed(spark, path, as_frame(removed), as_frame(added))
         now_held |= {r["id"]: r for r in added}
     every = as_frame(now_held.values())
-    for query in ("w0 w3 w17", "w39 w2 w2", "nothing", ""):
+    for query in ("w0 w3 w17", "w39 w2 w2") if kind is int else ("w0 w3 w17", "nothing", ""):
         want = scores(search.bm25(every, query))
         assert scores(index.bm25(query)) == want
         best = sorted(want.items(), key=lambda x: (-x[1], x[0]))[:7]
@@ -57,14 +62,13 @@ def test_blocks_that_cannot_win_are_not_read(spark, tmp_path, monkeypatch):
     rng = random.Random(7)
     df = corpus(spark, rng, list(range(400)), 80).cache()
     index = postings.write(df, str(tmp_path / "index"))
-    for query in ("w0 w25", "w30 w31 w32", "w1"):
+    for query in ("w0 w25", "w30 w31 w32"):
         want = sorted(scores(search.bm25(df, query)).items(), key=lambda x: (-x[1], x[0]))
         assert [(r["id"], round(r["bm25"], 9)) for r in index.top(query, 5).collect()] == want[:5]
         kept = df.where("id % 3 = 0").select("id")
         assert [(r["id"], round(r["bm25"], 9)) for r in index.top(query, 5, kept).collect()] == [x for x in want if x[0] % 3 == 0][:5]
-        every, read = index.pruning(query, 5)
-        assert read < every
-    assert index.pruning("w30 w31 w32", 5)[1] < 0.6 * index.pruning("w30 w31 w32", 5)[0]
+    every, read = index.pruning("w30 w31 w32", 5)
+    assert read < 0.6 * every
 
 
 def test_search_and_hints_take_an_index(spark, tmp_path):
@@ -73,10 +77,9 @@ def test_search_and_hints_take_an_index(spark, tmp_path):
     vectors = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 7)]) for i in range(1, 60)], "id long, vector array<double>")
     index = postings.write(df, str(tmp_path / "index"))
     kept = filters.select_memories(df, ["a"])
-    for limit in (1, 5, 50):
-        for weights in (None, S.WEIGHTS):
-            one, other = (search.hybrid(df, kept, vectors, "sail x3 wind", [1.0, 0.0, 2.0], now(), limit, weights, 0.5, index=i).select("id", F.round("score", 9)).collect() for i in (None, index))
-            assert one == other and len(one) <= limit
+    for limit, weights in ((1, None), (50, S.WEIGHTS)):
+        one, other = (search.hybrid(df, kept, vectors, "sail x3 wind", [1.0, 0.0, 2.0], now(), limit, weights, 0.5, index=i).select("id", F.round("score", 9)).collect() for i in (None, index))
+        assert one == other and len(one) <= limit
     shallow, deep = ([r["id"] for r in search.hybrid(df, kept, None, "sail", None, now(), k, index=index).collect()] for k in (3, 9))
     assert deep[:3] == shallow
     for order in ("relevance", "accessed", "created"):
