@@ -134,7 +134,7 @@ def replayed(memories: DataFrame, relations: DataFrame, log: DataFrame) -> Repla
     valid changes nothing.  A deletion takes the memory's edges with it; an id may be stored again.
     """
     id_type, columns = memories.schema["id"].dataType.simpleString(), memories.columns
-    own = log.select("place", "at", "op", F.col("id").cast(id_type).alias("id"), *FIELDS, F.col("target_id").cast(id_type).alias("target_id"), "relation_type")
+    own = saved(log.select("place", "at", "op", F.col("id").cast(id_type).alias("id"), *FIELDS, F.col("target_id").cast(id_type).alias("target_id"), "relation_type"), "log")
     sides = own.select("id", "place", F.lit("s").alias("side"), F.struct(own.columns).alias("o"))
     sides = sides.union(own.where("op = 'relate'").select(F.col("target_id").alias("id"), "place", F.lit("t"), F.struct(own.columns)))
     named = sides.select("id").distinct()
