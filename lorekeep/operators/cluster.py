@@ -127,7 +127,7 @@ def _compared(embeddings: DataFrame, threshold: float) -> tuple[DataFrame, DataF
     pivots = chosen_pivots(embeddings.where(F.size("vector") == dim), min(PIVOTS, 1 + int(np.sqrt(n / BLOCK)))) if dim else np.empty((0, 0))
     if not len(pivots):
         return embeddings.sparkSession.createDataFrame([], schema), None, None
-    blocks = saved(in_blocks(saved(in_cells(embeddings, dim, pivots), "cells")), "vectors")
+    blocks = in_blocks(saved(in_cells(embeddings, dim, pivots), "cells"))
     pairs = saved(block_pairs(blocks, len(pivots), threshold), "pairs")
     own = blocks.select("id", "vector", "block")
     left, right = own.join(pairs, own["block"] == pairs["x"]), own.join(pairs.where("x < y"), own["block"] == pairs["y"])
