@@ -4,20 +4,21 @@ Grey images (width, height, one byte for each pixel) get corners on every level
 are ``RATIO`` apart, as many as there are: their number grows with the area.  A corner is placed between pixels, its orientation is
 that of its patch's intensity centroid; 168 binary tests on the detail around it (differences of two
 local means), turned by the orientation, make a descriptor.  The tests are chosen among random ones, by a fixed rule, to be even and little
-correlated on textured noise.  Three 56-bit pieces of a descriptor are the keys of Hamming tables; they don't tell levels apart, so a corner meets its
-counterpart in a resized copy.
+correlated on textured noise.  The keys of the Hamming tables are made of two neighbouring corners of a level: equal pieces of both descriptors, how the second one lies to
+the first one's orientation, and their distance in steps.  One corner alone (that of a plain rectangle, say) looks alike in many pictures; two that also lie alike hardly do, so what
+shares a key by chance is little.  Keys don't tell levels apart, so corners meet their counterparts in a resized copy.
 
-Images with corners that share a key and are near each other are nominated, and each nominated pair is verified once, by all corners of both: every corner meets the other image's nearest
+Images that share a key are nominated, and each nominated pair is verified once, by all corners of both: every corner meets the other image's nearest
 one, whose mark (63 bits of the descriptor) is at most ``BITS`` bits away, and votes for a rotation, a scale and a shift; at least
 ``VOTES`` corners at different places must agree, and at least ``VOTING`` of the corners of the image that has fewer.  Cropped, resized, brightened, partly covered or turned copies keep enough of them.
 
-Images with equal pixels are one class at once and go on as one.  In a bucket of the
-tables all corners meet one of the largest image, then those outside the bucket's main class meet the
-rest that is in another class, a bounded number each round; no bucket is capped.  Buckets are salted, so that one may hold any share of the images.
+Images with equal pixels are one class at once and go on as one.  Buckets are counted by partial aggregates: one of two images is a pair.  In a larger one
+all images meet the largest, then those outside the bucket's main class meet the
+rest that is in another class, a bounded number each round; no bucket is capped.  Large buckets are salted, so that one may hold any share of the images.
 
 Defined results: the class is named by its smallest image_id.  An image whose data
 are null or don't fit its width and height has no corners and a class of its own, as has one that is
-too small or flat.  A corner key that an image repeats counts once.  Rows with one image_id count as one image with all their corners.
+too small or flat.  A key that an image repeats counts once.  Rows with one image_id count as one image with all their corners.
 A row with a null image_id gets a null class.  An empty table gives no rows.  An image is described whole, in about 100 bytes a pixel.
 """
 
@@ -30,7 +31,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.buckets import first_rows, salted, to_bucket
@@ -41,9 +42,12 @@ from lorekeep.llm.near_dup import components
 RATIO, REACH, BORDER, APART = 1.15, 6, 8, 3
 #: Reach of the wider mean that detail is told from.
 AROUND = 5
-#: Tables, and bits of a key: a descriptor has all of them.
-TABLES, KEY_BITS = 3, 56
-TESTS = TABLES * KEY_BITS
+#: Tests of a descriptor; tables, and tests of each corner that make up a table's key.
+TESTS, TABLES, PIECE = 168, 5, 22
+#: Neighbours that a corner is paired with, looked for in cells of so many pixels and those around them.
+NEIGHBOURS, CELL = 3, 16
+#: Steps of the angles between two corners, and of their distance.
+BEARINGS, LENGTHS = 12, 1.4
 #: Bits in which two marks of one corner may differ.
 BITS = 9
 #: Directions that orientations are rounded to for the vote.
@@ -53,9 +57,9 @@ VOTES, VOTING, SHIFT, PART = 4, 0.01, 8.0, 0.2
 #: Images of a bucket that meet the rest of it in one round.
 ROUND = 16
 SIZE = 80
-#: Low bits of each key that make up a corner's mark, by which corners are compared.
-MARK_BITS = 21
-CORNERS = "keys array<bigint>, spots array<bigint>"
+#: Tests that make up a corner's mark, by which corners are compared.
+MARKED = np.concatenate([np.arange(begin, begin + 21) for begin in (0, 56, 112)])
+CORNERS = "marks array<bigint>, spots array<bigint>, keys array<bigint>"
 
 
 def windows(a: np.ndarray, n: int, axis: int, join: np.ufunc) -> np.ndarray:
@@ -196,27 +200,58 @@ def chosen_tests(tried: int = 1200, seed: int = 3) -> np.ndarray:
     return tests[taken]
 
 
-def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The table keys (corners x tables) and spots of an image's corners."""
-    tests, keys, spots = chosen_tests(), [np.empty((0, TABLES), np.int64)], [np.empty(0, np.int64)]
+def neighbours(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): distinct pairs, i < j, of a corner and one of its ``NEIGHBOURS`` nearest in the cells around it."""
+    row, col = (points // CELL).astype(np.int64).T
+    stride = int(col.max()) + 3
+    cell = row * stride + col + 1
+    order, found = np.argsort(cell, kind="stable"), []
+    held = cell[order]
+    for begin in range(0, len(points), 1024):
+        own = np.arange(begin, min(begin + 1024, len(points)))
+        middle = cell[own, None] + np.array([-stride, 0, stride])  # three cells of a row are one run
+        first, last = np.searchsorted(held, middle - 1), np.searchsorted(held, middle + 1, side="right")
+        place = first[..., None] + np.arange((last - first).max())
+        other = order[np.minimum(place, len(points) - 1)]
+        apart = np.square(points[other] - points[own, None, None]).sum(axis=-1)
+        apart[(place >= last[..., None]) | (other == own[:, None, None])] = np.inf
+        apart, other = apart.reshape(len(own), -1), other.reshape(len(own), -1)
+        nearest = np.argsort(apart, axis=1, kind="stable")[:, :NEIGHBOURS]
+        near = np.isfinite(np.take_along_axis(apart, nearest, axis=1))
+        one, other = np.broadcast_to(own[:, None], near.shape)[near], np.take_along_axis(other, nearest, axis=1)[near]
+        found.append(np.minimum(one, other) * len(points) + np.maximum(one, other))
+    return np.divmod(np.unique(np.concatenate(found)), len(points))
+
+
+def pair_keys(points: np.ndarray, angle: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The table keys of a level's neighbouring corners; of a pair, the corner with the smaller piece comes first."""
+    i, j = neighbours(points)
+    pieces = bits[:, : TABLES * PIECE].reshape(len(points), TABLES, PIECE) @ (1 << np.arange(PIECE))
+    p, q = pieces[i], pieces[j]
+    one, other = np.where(p > q, j[:, None], i[:, None]), np.where(p > q, i[:, None], j[:, None])
+    away = points[other] - points[one]
+    step = lambda turn: np.floor(turn * BEARINGS / (2 * np.pi)).astype(np.int64) % BEARINGS
+    bearing, turn = step(np.arctan2(away[..., 0], away[..., 1]) - angle[one]), step(angle[other] - angle[one])
+    length = np.minimum(np.log(np.maximum(np.hypot(away[..., 0], away[..., 1]), 1.0)) / np.log(LENGTHS), 15).astype(np.int64)
+    return (((np.arange(TABLES) << 4 | bearing) << 4 | turn) << 4 | length) << 2 * PIECE | np.minimum(p, q) << PIECE | np.maximum(p, q)
+
+
+def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The marks and spots of an image's corners, and its distinct table keys."""
+    tests, none = chosen_tests(), np.empty(0, np.int64)
+    marks, spots, keys = [none], [none], [none]
     for size, points, angle, difference in contrasts(image, tests):
-        pieces = np.zeros((len(points), TABLES, 8), np.uint8)
-        pieces[..., : KEY_BITS // 8] = np.packbits((difference < 0).reshape(len(points), TABLES, KEY_BITS), axis=2, bitorder="little")
-        keys.append((np.arange(TABLES) << KEY_BITS) + pieces.view("<i8")[..., 0])
+        bits = (difference < 0).astype(np.int64)
+        marks.append(bits[:, MARKED] @ (1 << np.arange(len(MARKED))))
         turn = np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
         y, x = np.rint(8 * np.maximum((points.T + 0.5) * size - 0.5, 0)).astype(np.int64)
         spots.append(x << 40 | y << 16 | turn << 8 | round(np.log(size) / np.log(RATIO)))
-    return np.concatenate(keys), np.concatenate(spots)
-
-
-def marked(keys: np.ndarray) -> np.ndarray:
-    """The marks of corners with these keys."""
-    low = keys & ((1 << MARK_BITS) - 1)
-    return low[:, 0] | low[:, 1] << MARK_BITS | low[:, 2] << 2 * MARK_BITS
+        keys.append(pair_keys(points, angle, bits).ravel())
+    return np.concatenate(marks), np.concatenate(spots), np.unique(np.concatenate(keys))
 
 
 def described(images: DataFrame) -> DataFrame:
-    """(image_id, digest, area, keys, spots) of ``images`` (image_id, width, height, pixels); keys are those of one corner after another."""
+    """(image_id, digest, area, marks, spots, keys) of ``images`` (image_id, width, height, pixels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,8 +264,8 @@ def described(images: DataFrame) -> DataFrame:
                     digests.append(hashlib.sha256(b"%d,%d," % (w, h) + data).digest() if fits else None)
                     areas.append(w * h if fits else 0)
                     corners.append(describe(np.frombuffer(data, np.uint8).reshape(h, w) if fits else np.empty((0, 0))))
-                lists = [pa.array([c[i].ravel() for c in corners], pa.list_(pa.int64())) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column("image_id"), pa.array(digests, pa.binary()), pa.array(areas, pa.int64()), *lists], names=["image_id", "digest", "area", "keys", "spots"])
+                lists = [pa.array(list(column), pa.list_(pa.int64())) for column in zip(*corners, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("image_id"), pa.array(digests, pa.binary()), pa.array(areas, pa.int64()), *lists], names=["image_id", "digest", "area", "marks", "spots", "keys"])
 
     return images.select("image_id", "width", "height", "pixels").mapInArrow(run, f"image_id long, digest binary, area long, {CORNERS}")
 
@@ -285,21 +320,9 @@ def are_copies(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return agreeing(a, b, side) >= max(VOTES, VOTING * min(len(a[0]), len(b[0])))
 
 
-def corner_mark(i: Column) -> Column:
-    """The mark of corner ``i`` of a row with ``keys``."""
-    low = [F.shiftleft(F.col("keys")[i * TABLES + t].bitwiseAND(F.lit((1 << MARK_BITS) - 1)), t * MARK_BITS) for t in range(TABLES)]
-    return low[0].bitwiseOR(low[1]).bitwiseOR(low[2])
-
-
-def near(one: str, other: str) -> Column:
-    """Whether two corners' marks are near enough for a vote."""
-    return F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= BITS
-
-
 def compared(facts: DataFrame, repeated: DataFrame) -> DataFrame:
     """(image, area, marks, spots): what images are verified by; those with ``repeated`` (image_id) ids have the corners of all their pictures."""
-    marks = F.transform("spots", lambda _, i: corner_mark(i))
-    own = facts.where("size(spots) > 0").select(F.col("image_id").alias("image"), "digest", "area", marks.alias("marks"), "spots")
+    own = facts.where("size(spots) > 0").select(F.col("image_id").alias("image"), "digest", "area", "marks", "spots")
     repeated = small(repeated.withColumnRenamed("image_id", "image"))
     pictures = own.join(repeated, "image", "left_semi").groupBy("image", "digest").agg(F.first(F.struct("area", "marks", "spots")).alias("p"))
     pictures = pictures.groupBy("image").agg(F.max("p.area").alias("area"), *[F.flatten(F.collect_list(f"p.{n}")).alias(n) for n in ("marks", "spots")])
@@ -326,18 +349,18 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def copy_links(rows: DataFrame, pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, that join the images of ``rows`` (bucket, image, mark, area), distinct corners, and of buckets of two, ``pairs``, into classes.
+    """Links (a, b), a < b, that join the images of ``rows`` (bucket, image, area), distinct, and of buckets of two, ``pairs``, into classes.
 
-    Buckets only nominate pairs of images with corners near each other: a corner of a bucket's largest image meets all others;
-    then, round by round, up to ``ROUND`` of the corners outside the bucket's main class those of other classes, until none is left.
+    Buckets only nominate pairs of images: a bucket's largest image meets all others;
+    then, round by round, up to ``ROUND`` of the images outside the bucket's main class meet those of other classes, until none is left.
     A pair is verified once, with all corners of both, so its link doesn't depend on the other images there.
     """
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     rows, sizes = salted(rows.withColumn("done", F.lit(False)), "image")
     rows = saved(rows, "buckets")
-    top = rows.groupBy("bucket").agg(F.max(F.struct("area", (-F.col("image")).alias("minus"), "mark")).alias("top"))
-    top = top.select("bucket", (-F.col("top.minus")).alias("pivot"), F.col("top.mark").alias("its"))
-    met = to_bucket(rows, top, sizes).where((F.col("image") != F.col("pivot")) & near("mark", "its"))
+    top = rows.groupBy("bucket").agg(F.max(F.struct("area", (-F.col("image")).alias("minus"))).alias("top"))
+    top = top.select("bucket", (-F.col("top.minus")).alias("pivot"))
+    met = to_bucket(rows, top, sizes).where("image <> pivot")
     tried = saved(met.select(*pair("pivot", "image")).union(pairs).distinct(), "pairs")
     found = verified(tried, held)
     while True:
@@ -346,15 +369,15 @@ def copy_links(rows: DataFrame, pairs: DataFrame, held: DataFrame) -> DataFrame:
         counts = rows.groupBy("bucket", "class").agg(F.count("*").alias("n"))
         main = counts.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
         rows = saved(to_bucket(rows, main.select("bucket", F.col("main.class").alias("main")), sizes), "open")
-        chosen = first_rows(rows.where("class <> main AND NOT done"), [F.desc("area"), F.col("image"), F.col("mark")], ROUND)
-        chosen = saved(chosen.select("bucket", F.col("image").alias("x"), F.col("mark").alias("its"), F.col("class").alias("cx")), "chosen")
+        chosen = first_rows(rows.where("class <> main AND NOT done"), [F.desc("area"), F.col("image")], ROUND)
+        chosen = saved(chosen.select("bucket", F.col("image").alias("x"), F.col("class").alias("cx")), "chosen")
         if chosen.isEmpty():
             return found
-        met = to_bucket(rows, chosen, sizes).where((F.col("class") != F.col("cx")) & near("mark", "its")).select(*pair("x", "image")).distinct()
+        met = to_bucket(rows, chosen, sizes).where("class <> cx").select(*pair("x", "image")).distinct()
         fresh = saved(met.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried, found = tried.union(fresh), found.union(verified(fresh, held))
-        went = chosen.select("bucket", F.col("x").alias("image"), F.col("its").alias("mark"), F.lit(True).alias("went"))
-        rows = rows.drop("main").join(went, ["bucket", "image", "mark"], "left").withColumn("done", F.col("done") | F.coalesce("went", F.lit(False))).drop("went")
+        went = chosen.select("bucket", F.col("x").alias("image"), F.lit(True).alias("went"))
+        rows = rows.drop("main").join(went, ["bucket", "image"], "left").withColumn("done", F.col("done") | F.coalesce("went", F.lit(False))).drop("went")
 
 
 def image_copies(images: DataFrame) -> DataFrame:
@@ -367,17 +390,12 @@ def image_copies(images: DataFrame) -> DataFrame:
     member = saved(facts.select("image_id", "digest", "area", corners).join(equal, "digest", "left").select("image_id", rep.alias("rep"), "area", "n_corners"), "member")
     repeated = saved(member.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").select("image_id"), "repeated")
     reps = facts.join(equal, "digest", "left").where(F.col("image_id") == rep).select(F.col("image_id").alias("image"), "keys")
-    # a bucket of one image goes, one of two is a pair, others go on; all from one exchange
-    here = Window.partitionBy("bucket")
-    rows = reps.select("image", "keys", F.posexplode("keys").alias("at", "bucket"))
-    rows = rows.select("image", corner_mark((F.col("at") / TABLES).cast("int")).alias("mark"), "bucket")
-    corner = F.struct("image", "mark")
-    rows = rows.withColumns({"one": F.min(corner).over(here), "other": F.max(corner).over(here), "n": F.count("*").over(here)}).where("one.image <> other.image")
-    rows = saved(rows, "shared")
-    pairs = rows.where((F.col("n") == 2) & (F.col("image") == F.col("one.image")) & near("one.mark", "other.mark"))
-    pairs = pairs.select(F.col("one.image").alias("a"), F.col("other.image").alias("b"))
+    rows = reps.select("image", F.explode("keys").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("image").alias("a"), F.max("image").alias("b"), F.count("*").alias("n")).where("a <> b")
+    shared = saved(shared, "shared")
+    pairs = shared.where("n = 2").select("a", "b")
     area = member.where("image_id = rep").groupBy(F.col("image_id").alias("image")).agg(F.max("area").alias("area"))
-    crowds = rows.where("n > 2").select("bucket", "image", "mark").distinct().join(area, "image")
+    crowds = rows.join(small(shared.where("n > 2").select("bucket")), "bucket").distinct().join(area, "image")
     links = copy_links(crowds, pairs, compared(facts, repeated))
     several = member.groupBy("image_id").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("image_id")
     ties = member.join(several, "image_id").select(F.col("image_id").alias("a"), F.col("rep").alias("b"))

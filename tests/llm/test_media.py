@@ -66,8 +66,7 @@ def test_like_all_pairs(spark):
             images[10 * i + k + 1] = media.edit(image, int(rng.integers(5)), int(rng.integers(1e6)))
     told = {}
     for i, a in images.items():
-        keys, spots = media.describe(a)
-        told[i] = (media.marked(keys), spots)
+        told[i] = media.describe(a)[:2]
     group = {i: i for i in images}
     for a, b in itertools.combinations(sorted(images), 2):
         if media.are_copies(told[a], told[b], float(np.sqrt(images[b].size))):
@@ -115,3 +114,35 @@ def test_salts_keep_buckets_whole(spark, monkeypatch):
     assert buckets.to_bucket(dealt, facts, sizes).where("fact = 'y'").count() == 90
     first = buckets.first_rows(dealt, [F.desc("item")], 3).where("bucket = 100").select("item").collect()
     assert sorted(r["item"] for r in first) == [87, 88, 89]
+
+
+def test_neighbours_are_the_nearest_of_all():
+    rng = np.random.default_rng(4)
+    points = rng.permutation(np.stack(np.meshgrid(np.arange(0, 90, 3.0), np.arange(0, 120, 3.0)), axis=-1).reshape(-1, 2))[:700] + rng.uniform(0, 1, (700, 2))
+    apart = np.square(points[:, None] - points[None]).sum(axis=-1) + np.diag(np.full(700, np.inf))
+    nearest = np.argsort(apart, axis=1)[:, : media.NEIGHBOURS]
+    want = {(min(i, j), max(i, j)) for i, row in enumerate(nearest.tolist()) for j in row}
+    assert set(zip(*(a.tolist() for a in media.neighbours(points)), strict=True)) == want
+    assert len(media.neighbours(points[:1])[0]) == 0
+
+
+def test_few_pictures_share_a_key_by_chance():
+    rng = np.random.default_rng(6)
+    keys = [media.describe(picture(rng))[2] for _ in range(150)]
+    found = np.unique(np.concatenate(keys), return_counts=True)[1]
+    assert (found > 1).sum() <= 2  # of 11,175 pairs of pictures
+    assert all(len(np.unique(k)) == len(k) for k in keys)
+
+
+def test_watermarked_pictures_meet_in_one_bucket(spark, monkeypatch):
+    """Pictures that all show one mark are one class, whatever their number; a large bucket is dealt over tasks."""
+    monkeypatch.setattr(buckets, "PART", 4)
+    rng = np.random.default_rng(9)
+    mark = picture(rng)[:36, :36]
+    images = []
+    for i in range(30):
+        image = picture(rng)
+        image[-36:, -36:] = mark
+        images.append(row(i, image))
+    got = media.image_copies(spark.createDataFrame(images, IMAGES).repartition(4)).collect()
+    assert np.mean([r["class_id"] == 0 for r in got]) > 0.9
