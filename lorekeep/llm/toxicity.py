@@ -3,15 +3,20 @@
 A text is read as lines of tokens; sentence marks cut a line into clauses.  Five
 transducers read the same tokens and are composed, state by state as needed, into one machine:
 
-* insult: marks the end of an insult, a learned or built-in word or a phrase of several words;
-* threat: marks a threat, a violent verb that an intention precedes and a person follows
-  (``i will ... hurt ... you``), that asks a person to harm themselves, or a phrase;
-* target: says at a clause's end whom it is about: a person addressed or named by a pronoun,
+* insult: marks the end of an insult, a learned word, a phrase of several words, or a built-in word in a relation to a
+  person: one addressed by a pronoun near it with no content word between (``you are such an idiot``, ``an idiot like you``), or one it is
+  said of (``the mayor is an idiot``, ``that clown``).  A noun that only describes the next one (``clown fish``) is in none.  For this
+  the line is read once from its end, so that the machine knows what follows an insult;
+* threat: marks a threat, a violent verb that an intention precedes and a person follows with no content word between
+  (``i will hurt you``), whose person stands before it (``je vais te tuer``) or at its end (``matarte``), that asks a person to harm themselves, or a phrase.
+  Verbs of contests and films (``beat``, ``shoot``) need a person addressed;
+* target: says at a clause's end whom it is about, for learned words and phrases: a person addressed or named by a pronoun,
   a noun or other content word that the insult stands with, or nobody;
 * negation: marks what follows a negator within three tokens;
 * reported speech: marks what follows a report verb in its clause, and what stands between
   quotation marks, which stay open over the clauses of a line.
 
+Built-in words are those of English, French, German and Spanish.
 A clause is matched if it holds a marked insult or threat that is neither negated nor reported, and,
 for an insult, a target.  Isolated words, negated and reported clauses have no accepting path and score nothing.
 A clause's score is the sum of its matched insults' weights, by kind of target, and of its threats.
@@ -34,7 +39,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -53,22 +58,35 @@ BEGINNINGS = (4, 5, 6, 7)
 REMEMBERED, COUNTED = 300_000, 100_000
 
 # The words of the built-in classes.
-INSULTS = "idiot moron stupid dumb loser scum trash worthless pathetic disgusting clown jerk bastard imbecile".split()
-THREATS = "kill hurt destroy murder beat burn shoot stab strangle crush".split()
-INTENTIONS = "i we will gonna going want hope ll must should".split()
+PERSONS = "idiot idiots moron morons loser losers clown clowns jerk jerks bastard bastards imbecile imbécile imbéciles crétin connard trottel dummkopf arschloch idiota idiotas imbécil imbéciles cabrón".split()
+QUALITIES = "stupid dumb scum trash worthless pathetic disgusting stupide minable dumm abschaum wertlos estúpido estúpida tonto basura".split()
+THREATS = "kill hurt murder stab strangle".split()
+CONTESTS = "destroy beat burn shoot crush".split()
+FINAL_THREATS = "tuer frapper étrangler détruire umbringen töten verprügeln erwürgen erschießen matar golpear destruir".split()
+ENCLITIC_THREATS = "matarte matarlo matarla matarlos mataros golpearte golpearlo golpearla destruirte".split()
+INTENTIONS = "i we will gonna going want hope ll must should vais va veux allons werde werden wollen voy vamos quiero".split()
 SELVES = "yourself yourselves".split()
-TARGETS = "you your yours u ur they them he him she her tu toi vous usted du dich dir sie".split()
+ADDRESSEES = "you your yours u ur tu te toi vous usted du dich dir euch".split()
+OTHERS = "they them he him she her sie ihn".split()
+COPULAS = "is are was were am be re est es sont suis ist bist sind war eres son era".split()
+POINTERS = "that this these those such what cet cette ces dieser diese dieses ese esa esos este esta".split()
+ARTICLES = "a an the un une le la les ein eine einen der die das el los las una".split()
 NEGATORS = "not no never isn aren wasn weren don doesn didn without nicht kein keine pas jamais nunca".split()
 REPORTS = "said says say wrote writes claimed claims called calls reported reports quoted sagte dijo".split()
-FUNCTION = "the and but for nor with from into was were are has had have that this these those what how who such very der die das und ein eine les des une est los las una que".split()
+FUNCTION = "and but for nor with from into has had have how who very und des que like comme wie como".split()
 QUOTES = "\" “ ” „ « »".split()
 BOUNDARIES = ". ! ? ; \n".split()
 INSULT_PHRASES = ("piece of trash", "piece of garbage", "waste of space", "waste of air", "son of a bitch")
 THREAT_PHRASES = ("drop dead", "watch your back", "you are dead", "you re dead")
 
-KINDS = SMALL, WORD, INSULT, THREAT, INTENTION, SELF, TARGET, NEGATOR, REPORT, QUOTE, END = range(11)
-#: What a mark says of the token it is on.
-IS_INSULT, IS_THREAT, IS_NEGATED, IS_REPORTED = 1, 2, 4, 8
+KINDS = SMALL, WORD, LEARNED, PERSON, QUALITY, THREAT, CONTEST, FINAL, ENCLITIC, INTENTION, SELF, ADDRESSEE, OTHER, COPULA, POINTER, ARTICLE, NEGATOR, REPORT, QUOTE, END = range(20)
+PEOPLE = (ADDRESSEE, OTHER, SELF)
+#: Kinds without which, or the last word of a phrase, no clause matches.
+HITS = frozenset((LEARNED, PERSON, QUALITY, THREAT, CONTEST, FINAL, ENCLITIC))
+#: What a mark says of the token it is on; an insult that is said to or of a person needs no other target.
+IS_INSULT, IS_THREAT, IS_NEGATED, IS_REPORTED, IS_SAID_TO, IS_SAID_OF = 1, 2, 4, 8, 16, 32
+#: What follows a built-in insult: no content word; a person soon.
+HEADS, CALLS = 1, 2
 #: Whom a clause is about.
 NOBODY, NAMED, ADDRESSED = range(3)
 BUILT_IN_WEIGHT = 3.0
@@ -78,11 +96,12 @@ PRIOR = (-3.0, 3.0, 2.5, 3.5, 0.0)
 
 @dataclass(frozen=True)
 class Symbol:
-    """What the machines read: a kind, the phrase word if the token is one, the insult's weight."""
+    """What the machines read: a kind, the phrase word if the token is one, the insult's weight, what follows it."""
 
     kind: int
     word: str = ""
     weight: float = 0.0
+    ahead: int = 0
 
 
 #: A state, what is read -> the next state and the marks of the token.
@@ -113,21 +132,62 @@ def phrases(entries: tuple[str, ...], mark: int, single: int | None = None) -> S
     return step
 
 
+def looked_ahead(line: list[Symbol], reach: int = 3) -> list[Symbol]:
+    """A line whose built-in insults know what follows them, read from its end."""
+    out, calls, after = list(line), 0, END
+    for i in range(len(line) - 1, -1, -1):
+        kind = line[i].kind
+        if kind in (PERSON, QUALITY):
+            out[i] = replace(line[i], ahead=(0 if after == WORD else HEADS) | (CALLS if calls else 0))
+        calls = 0 if kind == END else reach if kind in PEOPLE else max(calls - 1, 0)
+        after = kind
+    return out
+
+
+def directed(reach: int = 5, predicate: int = 3) -> Step:
+    """Marks a built-in insult that is said to a person or of one.
+
+    A state is (tokens of a person's reach left, tokens of a copula's reach left, the kind just read); a content word ends a person's reach.
+    """
+
+    def step(state: object, read: Symbol) -> tuple[object, int]:
+        near, told, before = state or (0, 0, SMALL)
+        if read.kind == END:
+            return None, 0
+        found = 0
+        if read.kind in (PERSON, QUALITY):
+            head = read.ahead & HEADS
+            if (near or read.ahead & CALLS) and (head or read.kind == QUALITY or before in PEOPLE):
+                found = IS_SAID_TO
+            elif read.kind == PERSON and (before == POINTER or head and (told or before == ARTICLE)):
+                found = IS_SAID_OF
+        near = reach if read.kind in PEOPLE else 0 if read.kind == WORD else max(near - 1, 0)
+        return (near, predicate if read.kind == COPULA else max(told - 1, 0), read.kind if read.kind in (POINTER, ARTICLE, *PEOPLE) else SMALL), found
+
+    return step
+
+
 def threat(reach: int = 4) -> Step:
-    """Marks the person that a violent verb is aimed at.
+    """Marks where a violent verb and the person that it is aimed at have both been read.
 
-    A state is (tokens of an intention's reach left, tokens of the verb's reach left, is the verb intended).
+    A state is (tokens of an intention's reach left, of a person's, of the verb's, is the verb intended, must its person be addressed).
     """
 
     def step(state: object, read: Symbol) -> tuple[object, int]:
-        intent, verb, meant = state or (0, 0, False)
+        intent, person, verb, meant, contest = state or (0, 0, 0, False, False)
         if read.kind == END:
             return None, 0
-        if read.kind in (TARGET, SELF) and verb and (meant or read.kind == SELF):
+        if verb and (read.kind == SELF or meant and (read.kind == ADDRESSEE or read.kind == OTHER and not contest)):
+            return None, IS_THREAT
+        if intent and (read.kind == ENCLITIC or read.kind == FINAL and person):
             return None, IS_THREAT
-        if read.kind == THREAT:
-            return (max(intent - 1, 0), reach, intent > 0), 0
-        return (reach if read.kind == INTENTION else max(intent - 1, 0), max(verb - 1, 0), meant), 0
+        if read.kind in (THREAT, CONTEST, FINAL):
+            verb, meant, contest = reach, intent > 0, read.kind == CONTEST
+        else:
+            verb = 0 if read.kind == WORD else max(verb - 1, 0)
+        intent = reach if read.kind == INTENTION else max(intent - 1, 0)
+        person = reach if read.kind in PEOPLE else max(person - 1, 0)
+        return (intent, person, verb, verb > 0 and meant, verb > 0 and contest), 0
 
     return step
 
@@ -147,7 +207,7 @@ def target(state: object, read: Symbol) -> tuple[object, int]:
     """The state says whom the clause is about so far; an address outdoes a name."""
     if read.kind == END:
         return NOBODY, 0
-    found = ADDRESSED if read.kind in (TARGET, SELF) else NAMED if read.kind == WORD and not read.word else NOBODY
+    found = ADDRESSED if read.kind in PEOPLE else NAMED if read.kind == WORD and not read.word else NOBODY
     return max(state or NOBODY, found), 0
 
 
@@ -176,7 +236,7 @@ def reported(state: object, read: Symbol) -> tuple[object, int]:
 
 
 MACHINES: tuple[Step, ...] = (
-    phrases(INSULT_PHRASES, IS_INSULT, single=INSULT),
+    either(phrases(INSULT_PHRASES, IS_INSULT, single=LEARNED), directed()),
     either(phrases(THREAT_PHRASES, IS_THREAT), threat()),
     target,
     negation(),
@@ -195,10 +255,10 @@ class Grammar:
         self.machines = machines
         self.states: list[tuple] = [((), None, None, None, None)]
         self.numbers = {self.states[0]: 0}
-        self.arcs: dict[tuple[int, int, str], tuple[int, int]] = {}
+        self.arcs: dict[tuple[int, int, str, int], tuple[int, int]] = {}
 
     def step(self, state: int, read: Symbol) -> tuple[int, int]:
-        key = (state, read.kind, read.word)
+        key = (state, read.kind, read.word, read.ahead)
         if (arc := self.arcs.get(key)) is None:
             moves = [machine(own, read) for machine, own in zip(self.machines, self.states[state], strict=True)]
             to = tuple(m[0] for m in moves)
@@ -217,17 +277,22 @@ class Grammar:
 
     def matched(self, line: list[Symbol]) -> list[tuple[int, float, float]]:
         """(target, insults, threats) of the clauses of a line that have an accepting path."""
-        out, state, insults, threats = [], 0, 0.0, 0.0
-        for read in [*line, Symbol(END)]:
+        out, state, loose, said, threats, to = [], 0, 0.0, 0.0, 0.0, NOBODY
+        for read in [*looked_ahead(line), Symbol(END)]:
             about = self.about(state) if read.kind == END else NOBODY
             state, marks = self.step(state, read)
             if marks and not marks & (IS_NEGATED | IS_REPORTED):
-                insults += (read.weight or BUILT_IN_WEIGHT) if marks & IS_INSULT else 0.0
+                weight = read.weight or BUILT_IN_WEIGHT
+                if marks & (IS_SAID_TO | IS_SAID_OF):
+                    said, to = said + weight, max(to, ADDRESSED if marks & IS_SAID_TO else NAMED)
+                elif marks & IS_INSULT:
+                    loose += weight
                 threats += BUILT_IN_WEIGHT if marks & IS_THREAT else 0.0
             if read.kind == END:
-                if threats or insults and about:
-                    out.append((about, insults if about else 0.0, threats))
-                insults = threats = 0.0
+                insults = said + (loose if about else 0.0)
+                if threats or insults:
+                    out.append((max(to, about if loose or threats else NOBODY), insults, threats))
+                loose, said, threats, to = 0.0, 0.0, 0.0, NOBODY
         return out
 
 
@@ -235,20 +300,23 @@ class Grammar:
 class Model:
     """Learned words and beginnings with weights, and the logistic coefficients."""
 
-    words: dict[str, float] = field(default_factory=lambda: {w: BUILT_IN_WEIGHT for w in INSULTS})
+    words: dict[str, float] = field(default_factory=dict)
     beginnings: dict[str, float] = field(default_factory=dict)
     logistic: tuple[float, ...] = PRIOR
 
     def __post_init__(self) -> None:
         self.known: dict[str, Symbol] = {}
         self.grammar = Grammar()
-        fixed = ((FUNCTION, SMALL), (THREATS, THREAT), (INTENTIONS, INTENTION), (SELVES, SELF), (TARGETS, TARGET), (NEGATORS, NEGATOR), (REPORTS, REPORT), (QUOTES, QUOTE), (BOUNDARIES, END))
+        fixed = (
+            *((FUNCTION, SMALL), (PERSONS, PERSON), (QUALITIES, QUALITY), (THREATS, THREAT), (CONTESTS, CONTEST), (FINAL_THREATS, FINAL), (ENCLITIC_THREATS, ENCLITIC), (INTENTIONS, INTENTION)),
+            *((SELVES, SELF), (ADDRESSEES, ADDRESSEE), (OTHERS, OTHER), (COPULAS, COPULA), (POINTERS, POINTER), (ARTICLES, ARTICLE), (NEGATORS, NEGATOR), (REPORTS, REPORT), (QUOTES, QUOTE), (BOUNDARIES, END)),
+        )
         self.fixed = {w: kind for words, kind in fixed for w in words}
 
     def symbol(self, token: str) -> Symbol:
         """What the machines read for a token."""
         weight = max([self.words.get(token, 0.0), *(self.beginnings.get(token[:n], 0.0) for n in BEGINNINGS if len(token) > n)])
-        kind = INSULT if weight > 0 else self.fixed.get(token, WORD if len(token) > 2 else SMALL)
+        kind = LEARNED if weight > 0 else self.fixed.get(token, WORD if len(token) > 2 else SMALL)
         out = Symbol(kind, token if token in PHRASE_WORDS or kind == END else "", weight)
         if len(self.known) >= REMEMBERED:
             self.known.clear()
@@ -258,7 +326,8 @@ class Model:
     def clauses(self, text: str | None) -> list[tuple[int, float, float]]:
         """(target, insults, threats) of the matched clauses of a text.
 
-        Only lines with an insult, a violent verb or a phrase's last word can match.
+        Only lines with an insult, a violent verb or a phrase's last word can match.  A word that was learned needs no more than the learned
+        rule of a target: its weight says what it counts for wherever it stands.
         """
         out, line, hit, known = [], [], False, self.known
         for token in TOKEN.findall(text.lower()) if text else ():
@@ -269,7 +338,7 @@ class Model:
                 line, hit = [], False
             else:
                 line.append(read)
-                hit = hit or read.kind in (INSULT, THREAT) or token in _LAST
+                hit = hit or read.kind in HITS or token in _LAST
         return out + self.grammar.matched(line) if hit else out
 
     def features(self, text: str | None) -> list[float]:
@@ -388,7 +457,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not kept or not clean:
         return model
     words, beginnings = lexicon(_tally(rows, kept), len(kept), clean)
-    model = Model({w: BUILT_IN_WEIGHT for w in INSULTS} | words, beginnings)
+    model = Model(words, beginnings)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(model.words, model.beginnings)

@@ -17,41 +17,49 @@ from lorekeep.llm.labelled import training_rows
 def plain_matches(tokens):
     """(target, insults, threats) of each matched clause of a line, by definition."""
     t, out, begin = toxicity, [], 0
-    ends = [i for i, x in enumerate(tokens) if x in t.BOUNDARIES] + [len(tokens)]
-    last_threat = -1
-    for end in ends:
-        clause = tokens[begin:end]
-        kind = lambda i, words: tokens[i] in words
-        hits = []
-        last_threat = begin - 1
+    known = t.Model()
+    kinds = [known.symbol(x).kind for x in tokens]
+    for end in [i for i, k in enumerate(kinds) if k == t.END] + [len(tokens)]:
+        where = lambda some, low, high: [j for j in range(max(low, begin), min(high, end)) if kinds[j] in some]  # noqa: B023, E731
+        said, loose, threats, to, last = 0, 0, 0, t.NOBODY, begin - 1
         for i in range(begin, end):
+            kind, hit, threat = kinds[i], t.NOBODY, False
             phrase = lambda entries: any(tuple(tokens[max(begin, i + 1 - len(e.split())) : i + 1]) == tuple(e.split()) for e in entries)  # noqa: B023, E731
-            insult = kind(i, t.INSULTS) or phrase(t.INSULT_PHRASES)
-            threat = phrase(t.THREAT_PHRASES)
-            if kind(i, t.TARGETS + t.SELVES):
-                verbs = [j for j in range(last_threat + 1, i) if kind(j, t.THREATS)]
-                if verbs and i - verbs[-1] <= 4:
-                    meant = any(kind(j, t.INTENTIONS) and verbs[-1] - j <= 4 for j in range(last_threat + 1, verbs[-1]))
-                    if meant or kind(i, t.SELVES):
-                        threat, last_threat = True, i
-            negated = any(kind(j, t.NEGATORS) for j in range(max(begin, i - 3), i))
-            told = any(kind(j, t.REPORTS) for j in range(begin, i)) or sum(kind(j, t.QUOTES) for j in range(i)) % 2 == 1
-            if (insult or threat) and not negated and not told:
-                hits.append((insult, threat))
-        named = any(len(x) > 2 and x not in {w for m in (t.INSULTS, t.FUNCTION, t.THREATS, t.INTENTIONS, t.NEGATORS, t.REPORTS) for w in m} and x not in t.PHRASE_WORDS for x in clause)
-        about = t.ADDRESSED if any(x in t.TARGETS + t.SELVES for x in clause) else t.NAMED if named else t.NOBODY
-        insults, threats = (sum(t.BUILT_IN_WEIGHT for h in hits if h[k]) for k in (0, 1))
-        if threats or insults and about:
-            out.append((about, insults if about else 0.0, threats))
+            if kind in (t.PERSON, t.QUALITY):
+                head = i + 1 == len(tokens) or kinds[i + 1] != t.WORD
+                people = [j for j in where(t.PEOPLE, i - 5, i) if not where((t.WORD,), j, i)]
+                before = kinds[i - 1] if i > begin else None
+                if (people or where(t.PEOPLE, i + 1, i + 4)) and (head or kind == t.QUALITY or before in t.PEOPLE):
+                    hit = t.ADDRESSED
+                elif kind == t.PERSON and (before == t.POINTER or head and (before == t.ARTICLE or where((t.COPULA,), i - 3, i))):
+                    hit = t.NAMED
+            verbs = where((t.THREAT, t.CONTEST, t.FINAL), max(last + 1, i - 4), i)
+            intended = lambda v: bool(where((t.INTENTION,), max(last + 1, v - 4), v))  # noqa: B023, E731
+            if kind in t.PEOPLE and verbs and not where((t.WORD,), verbs[-1], i):
+                threat = kind == t.SELF or intended(verbs[-1]) and (kind == t.ADDRESSEE or kinds[verbs[-1]] != t.CONTEST)
+            elif kind in (t.ENCLITIC, t.FINAL):
+                threat = intended(i) and (kind == t.ENCLITIC or bool(where(t.PEOPLE, max(last + 1, i - 4), i)))
+            last = i if threat else last
+            negated = where((t.NEGATOR,), i - 3, i)
+            told = where((t.REPORT,), begin, i) or sum(k == t.QUOTE for k in kinds[:i]) % 2 == 1
+            if not negated and not told:
+                said, to = said + (hit > 0), max(to, hit)
+                loose += not hit and phrase(t.INSULT_PHRASES)
+                threats += threat or phrase(t.THREAT_PHRASES)
+        named = any(kinds[j] == t.WORD and tokens[j] not in t.PHRASE_WORDS for j in range(begin, end))
+        about = t.ADDRESSED if where(t.PEOPLE, begin, end) else t.NAMED if named else t.NOBODY
+        insults = said + (loose if about else 0)
+        if insults or threats:
+            out.append((max(to, about if loose or threats else t.NOBODY), insults * t.BUILT_IN_WEIGHT, threats * t.BUILT_IN_WEIGHT))
         begin = end + 1
     return out
 
 
 def test_grammar_like_each_machine_by_itself():
     t, rng, model = toxicity, random.Random(8), toxicity.Model()
-    some = ["idiot", "scum", "piece", "of", "trash", "a", "is", "table", "waste", "space", "drop", "dead", "i", "will", "kill", "hurt", "you", "them", "yourself", "not", "never", "said", '"', "“", ".", "!", "the"]
+    some = "idiot clown stupid scum piece of trash a is that table waste space drop dead i will kill beat tuer matarte hurt you them yourself not never said \" “ . ! the".split()
     seen = set()
-    for _ in range(4000):
+    for _ in range(12000):
         tokens = [rng.choice(some) for _ in range(rng.randrange(1, 16))]
         got = model.grammar.matched([model.symbol(x) for x in tokens])
         assert got == plain_matches(tokens), tokens
@@ -70,17 +78,46 @@ def test_clauses_and_not_words_are_toxic():
         assert chance(m, text) >= toxicity.CUT, text
     for text in ("idiot", "Idiot! Moron. Clown", "piece of trash", 'he said "you idiot"', "he said: you idiot", 'he wrote "you fool. you idiot." then left', "you are not an idiot", "i will never hurt you", "they kill time", "kill the lights", "", None):
         assert chance(m, text) < toxicity.CUT, text
-    assert len(m.clauses("an idiot here. you moron! fine, clown")) == 3
+    assert len(m.clauses("that idiot here. you moron! he is a clown")) == 3
+    assert m.clauses("an idiot here. fine, clown") == []
     without = [(a, i, h) for text in ("idiot", "you are not an idiot", 'he said "you idiot"') for a, i, h in m.clauses(text)]
     assert without == []
 
 
+#: (text, is toxic): built-in words of four languages in use: directed, quoted, negated and incidental.
+USES = [
+    *((x, True) for x in ("tu eres un idiota", "eres un imbécil", "du bist ein dummkopf", "tu es un imbécile", "t'es un crétin", "you are such an idiot", "an idiot like you", "you stupid cow")),
+    *((x, True) for x in ("you, loser", "that clown drove off", "the mayor is an idiot", "what a jerk", "stupid people like you", "je vais te tuer", "ich werde dich umbringen", "voy a matarte", "te voy a matar")),
+    *((x, True) for x in ("we will hurt them", "i will destroy you", "i am going to strangle him", "you should burn yourself", "you piece of trash")),
+    *((x, False) for x in ("trash collection starts monday", "take out the trash", "clown fish swim near coral", "the idiot proof design works fine", "this is idiot proof", "the food is disgusting", "a worthless coin")),
+    *((x, False) for x in ("we must beat them in the final", "we will shoot the film with them tomorrow", "je vais tuer le temps", "quiero matar el tiempo", "beat the eggs, then burn the sugar", "they will crush them on sunday")),
+    *((x, False) for x in ('he said "you idiot"', "she called him a loser", "“you moron” stood on the wall", "you are not an idiot", "i will never hurt you", "du bist kein idiot", "er sagte du bist ein idiot", "nunca voy a matarte")),
+]
+
+
+def test_uses_that_a_sum_of_words_cannot_tell_apart():
+    m = toxicity.Model()
+    for text, toxic in USES:
+        assert (chance(m, text) > 0.5) if toxic else (chance(m, text) < 0.2), text
+    words = {*toxicity.PERSONS, *toxicity.QUALITIES, *toxicity.THREATS, *toxicity.CONTESTS, *toxicity.FINAL_THREATS, *toxicity.ENCLITIC_THREATS}
+    plain = [any(w in words for w in toxicity.TOKEN.findall(text)) for text, _ in USES]
+    assert np.mean([p == toxic for p, (_, toxic) in zip(plain, USES, strict=True)]) < 0.6
+
+
+def test_learned_words_count_wherever_they_stand():
+    m = toxicity.Model(words={"grblx": 4.0})
+    assert m.clauses("the grblx table") == [(toxicity.NAMED, 4.0, 0.0)] and m.clauses("grblx") == []
+    assert m.clauses("not grblx table") == [] and m.clauses("you grblx") == [(toxicity.ADDRESSED, 4.0, 0.0)]
+
+
 def test_long_clauses_and_many_insults():
     m, began = toxicity.Model(), time.time()
-    assert m.clauses("you " + "word " * 300_000 + "idiot") == [(toxicity.ADDRESSED, 3.0, 0.0)]
+    assert m.clauses("you " + "word " * 300_000 + "idiot") == [] and m.clauses("word " * 300_000 + "you idiot") == [(toxicity.ADDRESSED, 3.0, 0.0)]
+    learned = toxicity.Model(words={"grblx": 3.0})
+    assert learned.clauses("you " + "word " * 300_000 + "grblx") == [(toxicity.ADDRESSED, 3.0, 0.0)]
     assert m.clauses("you idiot " * 100_000) == [(toxicity.ADDRESSED, 300_000.0, 0.0)]
     assert time.time() - began < 20
-    assert len(m.grammar.states) < 200
+    assert len(m.grammar.states) < 400
 
 
 def test_ties_at_the_cuts(spark):
