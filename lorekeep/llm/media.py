@@ -2,8 +2,8 @@
 
 Grey images (width, height, one byte for each pixel) get corners on every level of a pyramid whose levels
 are ``RATIO`` apart, as many as there are: their number grows with the area.  A corner is placed between pixels, its orientation is
-that of its patch's intensity centroid; 168 binary tests on the detail around it (differences of two
-local means), turned by the orientation, make a descriptor.  The tests are chosen among random ones, by a fixed rule, to be even and little
+that of its patch's intensity centroid; binary tests on the detail around it (differences of two
+local means), turned by the orientation, are tried, and the 63 best make a descriptor.  The tests are chosen among random ones, by a fixed rule, to be even and little
 correlated on textured noise.  The keys of the Hamming tables are made of two neighbouring corners of a level: equal pieces of both descriptors, how the second one lies to
 the first one's orientation, and their distance in steps.  One corner alone (that of a plain rectangle, say) looks alike in many pictures; two that also lie alike hardly do, so what
 shares a key by chance is little.  Keys don't tell levels apart, so corners meet their counterparts in a resized copy.
@@ -42,10 +42,12 @@ from lorekeep.llm.near_dup import components
 RATIO, REACH, BORDER, APART = 1.15, 6, 8, 3
 #: Reach of the wider mean that detail is told from.
 AROUND = 5
-#: Tests of a descriptor; tables, and tests of each corner that make up a table's key.
-TESTS, TABLES, PIECE = 168, 5, 22
+#: Tests that are chosen; the first ones, which are the most even, are a corner's mark.
+TESTS, MARK = 168, 63
+#: Tables, and tests of each corner that make up a table's key.
+TABLES, PIECE = 3, 18
 #: Neighbours that a corner is paired with, looked for in cells of so many pixels and those around them.
-NEIGHBOURS, CELL = 3, 16
+NEIGHBOURS, CELL = 4, 16
 #: Steps of the angles between two corners, and of their distance.
 BEARINGS, LENGTHS = 12, 1.4
 #: Bits in which two marks of one corner may differ.
@@ -57,9 +59,9 @@ VOTES, VOTING, SHIFT, PART = 4, 0.01, 8.0, 0.2
 #: Images of a bucket that meet the rest of it in one round.
 ROUND = 16
 SIZE = 80
-#: Tests that make up a corner's mark, by which corners are compared.
-MARKED = np.concatenate([np.arange(begin, begin + 21) for begin in (0, 56, 112)])
-CORNERS = "marks array<bigint>, spots array<bigint>, keys array<bigint>"
+#: Steps of the orientation that a spot holds.
+FINE = 256
+CORNERS = "marks array<bigint>, spots array<bigint>"
 
 
 def windows(a: np.ndarray, n: int, axis: int, join: np.ufunc) -> np.ndarray:
@@ -223,10 +225,10 @@ def neighbours(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.divmod(np.unique(np.concatenate(found)), len(points))
 
 
-def pair_keys(points: np.ndarray, angle: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def pair_keys(points: np.ndarray, angle: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """The table keys of a level's neighbouring corners; of a pair, the corner with the smaller piece comes first."""
     i, j = neighbours(points)
-    pieces = bits[:, : TABLES * PIECE].reshape(len(points), TABLES, PIECE) @ (1 << np.arange(PIECE))
+    pieces = marks[:, None] >> PIECE * np.arange(TABLES) & (1 << PIECE) - 1
     p, q = pieces[i], pieces[j]
     one, other = np.where(p > q, j[:, None], i[:, None]), np.where(p > q, i[:, None], j[:, None])
     away = points[other] - points[one]
@@ -236,22 +238,30 @@ def pair_keys(points: np.ndarray, angle: np.ndarray, bits: np.ndarray) -> np.nda
     return (((np.arange(TABLES) << 4 | bearing) << 4 | turn) << 4 | length) << 2 * PIECE | np.minimum(p, q) << PIECE | np.maximum(p, q)
 
 
-def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The marks and spots of an image's corners, and its distinct table keys."""
-    tests, none = chosen_tests(), np.empty(0, np.int64)
-    marks, spots, keys = [none], [none], [none]
-    for size, points, angle, difference in contrasts(image, tests):
-        bits = (difference < 0).astype(np.int64)
-        marks.append(bits[:, MARKED] @ (1 << np.arange(len(MARKED))))
-        turn = np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
+def keys_of(marks: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """The distinct table keys of an image with these corners."""
+    keys = [np.empty(0, np.int64)]
+    for level in np.unique(spots & 255):
+        own = spots & 255 == level
+        spot = spots[own]
+        points = (np.stack([spot >> 16 & (1 << 24) - 1, spot >> 40], axis=1) / 8 + 0.5) / RATIO**level - 0.5
+        keys.append(pair_keys(points, (spot >> 8 & 255) * (2 * np.pi / FINE), marks[own]).ravel())
+    return np.unique(np.concatenate(keys))
+
+
+def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marks and spots of an image's corners."""
+    tests, marks, spots = chosen_tests(), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for size, points, angle, difference in contrasts(image, tests[:MARK]):
+        marks.append((difference < 0) @ (1 << np.arange(MARK)))
+        turn = np.rint(angle * FINE / (2 * np.pi)).astype(np.int64) % FINE
         y, x = np.rint(8 * np.maximum((points.T + 0.5) * size - 0.5, 0)).astype(np.int64)
         spots.append(x << 40 | y << 16 | turn << 8 | round(np.log(size) / np.log(RATIO)))
-        keys.append(pair_keys(points, angle, bits).ravel())
-    return np.concatenate(marks), np.concatenate(spots), np.unique(np.concatenate(keys))
+    return np.concatenate(marks), np.concatenate(spots)
 
 
 def described(images: DataFrame) -> DataFrame:
-    """(image_id, digest, area, marks, spots, keys) of ``images`` (image_id, width, height, pixels)."""
+    """(image_id, digest, area, marks, spots) of ``images`` (image_id, width, height, pixels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,11 +275,26 @@ def described(images: DataFrame) -> DataFrame:
                     areas.append(w * h if fits else 0)
                     corners.append(describe(np.frombuffer(data, np.uint8).reshape(h, w) if fits else np.empty((0, 0))))
                 lists = [pa.array(list(column), pa.list_(pa.int64())) for column in zip(*corners, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("image_id"), pa.array(digests, pa.binary()), pa.array(areas, pa.int64()), *lists], names=["image_id", "digest", "area", "marks", "spots", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("image_id"), pa.array(digests, pa.binary()), pa.array(areas, pa.int64()), *lists], names=["image_id", "digest", "area", "marks", "spots"])
 
     return images.select("image_id", "width", "height", "pixels").mapInArrow(run, f"image_id long, digest binary, area long, {CORNERS}")
 
 
+def keyed(corners: DataFrame) -> DataFrame:
+    """(image, bucket), distinct for each row of ``corners`` (image, marks, spots)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, len(batch), 256):
+                part = batch.slice(begin, 256)
+                marks, spots = (part.column(n) for n in ("marks", "spots"))
+                keys = [keys_of(*(c[row].values.to_numpy(zero_copy_only=False) for c in (marks, spots))) for row in range(len(part))]
+                images = np.repeat(part.column("image").to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(images, pa.int64()), pa.array(np.concatenate(keys), pa.int64())], names=["image", "bucket"])
+
+    return corners.select("image", "marks", "spots").mapInArrow(run, "image long, bucket long")
+
+
 def nearest_corners(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): the nearest mark in ``b`` to every one in ``a`` that has one within ``BITS`` bits."""
     near, bits = np.zeros(len(a), int), np.full(len(a), BITS + 1)
@@ -291,7 +316,7 @@ def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     if len(i) < VOTES:
         return 0
     p, q = a[1][i], b[1][j]
-    turn, level = ((q >> 8 & 255) - (p >> 8 & 255)) % TURNS, (q & 255) - (p & 255)
+    turn, level = ((q >> 8 & 255) - (p >> 8 & 255) + FINE // TURNS // 2) // (FINE // TURNS) % TURNS, (q & 255) - (p & 255)
     (ax, ay), (bx, by) = ((s >> 40, s >> 16 & (1 << 24) - 1) for s in (p, q))
     place = [x // 24 << 32 | y // 24 for x, y in ((ax, ay), (bx, by))]  # eighths of pixels
     ax, ay, bx, by = (c / 8 for c in (ax, ay, bx, by))
@@ -389,8 +414,8 @@ def image_copies(images: DataFrame) -> DataFrame:
     corners = F.size("spots").cast("long").alias("n_corners")
     member = saved(facts.select("image_id", "digest", "area", corners).join(equal, "digest", "left").select("image_id", rep.alias("rep"), "area", "n_corners"), "member")
     repeated = saved(member.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").select("image_id"), "repeated")
-    reps = facts.join(equal, "digest", "left").where(F.col("image_id") == rep).select(F.col("image_id").alias("image"), "keys")
-    rows = reps.select("image", F.explode("keys").alias("bucket"))
+    reps = facts.join(equal, "digest", "left").where(F.col("image_id") == rep).select(F.col("image_id").alias("image"), "marks", "spots")
+    rows = keyed(reps.where("size(spots) > 1"))
     shared = rows.groupBy("bucket").agg(F.min("image").alias("a"), F.max("image").alias("b"), F.count("*").alias("n")).where("a <> b")
     shared = saved(shared, "shared")
     pairs = shared.where("n = 2").select("a", "b")
