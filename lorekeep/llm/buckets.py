@@ -22,6 +22,13 @@ def salted(rows: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
     return rows.join(sizes, "bucket", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(item), F.col("salts")), F.lit(0).cast("long"))).drop("salts"), sizes
 
 
+def dealt(rows: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
+    """As ``salted``, for rows that hold the size ``k`` of their bucket: no join, and ``rows`` are computed once and saved."""
+    rows = saved(rows.withColumn("salt", F.pmod(F.xxhash64(item), F.ceil(F.col("k") / PART))), "dealt")
+    sizes = rows.where(F.col("k") > PART).groupBy("bucket").agg(F.ceil(F.max("k") / PART).alias("salts"))
+    return rows, small(saved(sizes, "sizes"))
+
+
 def to_bucket(rows: DataFrame, facts: DataFrame, sizes: DataFrame) -> DataFrame:
     """``rows`` joined to ``facts``, any number of them for a bucket; rows of other buckets go."""
     salts = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)

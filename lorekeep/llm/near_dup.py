@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.buckets import first_rows, salted, to_bucket
+from lorekeep.llm.buckets import dealt, first_rows, to_bucket
 from lorekeep.llm.common import saved, small, table
 
 WORD = re.compile(r"\w+")
@@ -251,8 +251,8 @@ def ceiling(n: str, s: str, n2: str, s2: str, overlap: Column | None = None) ->
     return common / F.greatest(F.col(n) + F.col(n2) - common, common + alone)
 
 
-def linked_classes(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """(doc, class) for all with a verified link in the buckets of ``rows`` (bucket, doc, n).
+def linked_classes(rows: DataFrame, sizes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(doc, class) for all with a verified link in the buckets of ``rows`` (bucket, doc, n, k, salt) and ``sizes``, as ``dealt`` gives them.
 
     Every round, pivots of a bucket meet the rest of it that is in another class so far, and leave
     the bucket.  The first round is for buckets of up to ``ROUND`` documents, all of them pivots.  Larger ones
@@ -260,8 +260,6 @@ def linked_classes(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFr
     to ``ROUND`` of those outside the bucket's largest class.  Rows that can't link to another class go, as do
     buckets with one class, until none is left.  Large buckets are dealt over several tasks; their pivots and facts are sent to each.
     """
-    rows, sizes = salted(rows, "doc")
-    rows = to_bucket(rows, rows.groupBy("bucket").agg(F.count("*").alias("k")), sizes)
     rest, rows, every = rows.where(F.col("k") > ROUND).drop("k"), rows.where(F.col("k") <= ROUND).drop("k"), bags
     found, classes, number = None, None, 0
     while True:
@@ -328,11 +326,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     reps = member.where("doc_id IS NOT NULL AND bands IS NOT NULL").select(F.col("doc_id").alias("doc"), "n", "bands")
     rows = reps.select(F.explode("bands").alias("bucket"), "doc", "n")
-    shared = rows.groupBy("bucket").agg(F.min("doc").alias("one"), F.max("doc").alias("other")).where("one <> other")
-    rows = saved(rows.join(shared.select("bucket"), "bucket"), "shared")
-    wanted = rows.select(F.col("doc").alias("doc_id")).distinct()
+    shared = rows.groupBy("bucket").agg(F.min("doc").alias("one"), F.max("doc").alias("other"), F.count("*").alias("k")).where("one <> other")
+    rows, sizes = dealt(rows.join(shared.select("bucket", "k"), "bucket"), "doc")
+    wanted = rows.select(F.col("doc").alias("doc_id")).distinct().hint("merge")  # one plan at every size, so a small run shows the shuffle of a large one
     bags = own.join(wanted, "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag array<long>, profile array<int>")
-    classes = linked_classes(rows, saved(bags, "bags"), threshold)
+    classes = linked_classes(rows, sizes, saved(bags, "bags"), threshold)
     # an id whose rows have several texts ties their representatives together
     several = member.groupBy("doc_id").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).where("one <> other").select("doc_id")
     ties = member.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

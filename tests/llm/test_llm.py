@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import random
+import re
 import time
 
 import numpy as np
@@ -203,6 +204,38 @@ def test_near_duplicate_edge_cases(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 1}
 
 
+def executions(spark) -> list[int]:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [found.apply(k).executionId() for k in range(found.size())]
+
+
+def joined_rows(spark, after: int, what: str) -> int:
+    """Rows that joins whose description holds ``what`` made in the executions after that one."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    for i in (i for i in executions(spark) if i > after):
+        values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and what in re.sub(r"#\d+L?", "", node.desc()):
+                metrics = node.metrics()
+                ids = [m.accumulatorId() for m in (metrics.apply(k) for k in range(metrics.size())) if m.name() == "number of output rows"]
+                made += sum(int(values.apply(m).replace(",", "")) for m in ids if values.contains(m))
+    return made
+
+
+def test_rows_of_large_buckets_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "PART", 64)
+    rng, n = random.Random(9), 120
+    base, texts = words(rng, 120).split(), []
+    for i in range(n):
+        texts.append(" ".join([*base[: i % 120], f"own{i}", *base[i % 120 + 1 :]]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    before = max([-1, *executions(spark)])
+    got = near_dup.near_duplicates(df).collect()
+    assert len(got) == n and {r["class_id"] for r in got} == {0}
+    assert 0 < joined_rows(spark, before, "[bucket], [bucket], LeftOuter") < near_dup.BANDS * n  # five times the rows of all buckets, when each use of them joined the sizes anew
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     df = spark.createDataFrame(edges, "a long, b long")
