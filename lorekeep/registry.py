@@ -867,7 +867,7 @@ def edges_page_total(spark, sf_dir):
 @query(_WORDS + "SELECT id, round(bm25, 6) AS bm25 FROM bm ORDER BY round(bm25, 9) DESC, id LIMIT 25")
 def bm25_indexed(spark, sf_dir):
     path = new_path(spark, "postings")
-    postings.write(memories(spark, sf_dir), path)
+    postings.write(views.texts(spark, sf_dir), path)
     df = postings.bm25(spark, path, QUERY)
     return df.orderBy(F.round("bm25", 9).desc(), "id").limit(25).select("id", F.round("bm25", 6).alias("bm25"))
 

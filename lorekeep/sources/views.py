@@ -59,6 +59,19 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, namespace, title, content) of ``memories``, read from the documents alone, so that no text is sent for the sake of a join.
+
+    Only where a document has several labels or events, each of which gives a memory, they are joined.
+    """
+    for name, key in (("labels", "doc_id"), ("events", "event_id")):
+        held = table(spark, sf_dir, name).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+        if not held.where("n > 1").isEmpty():
+            return memories(spark, sf_dir).select("id", "namespace", "title", "content")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("namespace"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"))
+
+
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(edge_id, source_id, target_id, relation_type): no self edges, some memories without any."""
     n = _documents(spark, sf_dir)

@@ -8,6 +8,7 @@ from test_operators import COLUMNS, memory
 
 from lorekeep import schema as S
 from lorekeep.operators import filters, hints, postings, search
+from lorekeep.sources import views
 
 WORDS = [f"w{i}" for i in range(40)]
 NOW = "2024-06-01 12:00:00"
@@ -103,3 +104,39 @@ def test_empty_index(spark, tmp_path):
     assert index.n == 0 and index.bm25("x").count() == 0 and index.top("x", 3).count() == 0
     index = postings.changed(spark, str(tmp_path / "index"), index.bm25("x").selectExpr("id", "'' AS title", "'' AS content"), spark.createDataFrame([("a", "x", "y")], "id string, title string, content string"))
     assert [r["id"] for r in index.top("x", 3).collect()] == ["a"]
+
+
+def test_postings_are_packed_before_anything_is_sent(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "DOCUMENTS", 16)
+    df = corpus(spark, random.Random(3), list(range(200)), 30).repartition(2).cache()
+    plan = postings.packed(df, False)._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+    index = postings.write(df, str(tmp_path / "index"))
+    assert index.postings().count() < 0.5 * sum(len(set(r["content"].split())) for r in df.collect())
+
+
+def test_compaction_joins_short_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "DOCUMENTS", 8)
+    df, path = corpus(spark, random.Random(4), list(range(96)), 20).coalesce(1).cache(), str(tmp_path / "index")
+    postings.write(df.where("id < 48"), path)
+    postings.changed(spark, path, df.where("id < 36"), df.where("id >= 48 AND id < 52"))
+    index = postings.changed(spark, path, df.limit(0), df.where("id >= 52 AND id < 56"))
+    left = df.where("id >= 36 AND id < 56")
+    full = postings.compacted(spark, path)
+    assert full.blocks().count() <= index.blocks().count() - 3
+    assert full.postings().groupBy("term", "block").count().where("count > 1").isEmpty()
+    assert scores(full.bm25("w0 w1 w7")) == scores(search.bm25(left, "w0 w1 w7"))
+
+
+def test_texts_are_those_of_the_memories(spark, sf, tmp_path):
+    names = ["id", "namespace", "title", "content"]
+    plan = views.texts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    for name in ("documents", "events"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for held in (labels, labels.union(labels.limit(3))):
+        held.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+        want = views.memories(spark, str(tmp_path)).select(names)
+        got = views.texts(spark, str(tmp_path))
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
