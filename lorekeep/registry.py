@@ -925,7 +925,7 @@ def search_dispatch(spark, sf_dir):
 def search_dispatch_indexed(spark, sf_dir):
     """The same strategies with the keyword index instead of the texts."""
     df = memories(spark, sf_dir)
-    index = postings.write(df, new_path(spark, "postings"))
+    index = postings.write(views.texts(spark, sf_dir), new_path(spark, "postings"))
     return _each_strategy(spark, sf_dir, df.drop("content"), index)
 
 
