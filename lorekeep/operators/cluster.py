@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,8 +16,8 @@ from lorekeep.functions.text import jaccard, tokens
 from lorekeep.operators.search import cosine
 from lorekeep.sources.tables import saved
 
-#: Vectors of a block; a task compares two blocks at a time.
-BLOCK = 1024
+#: Vectors of a block, and bytes of vectors in a part of the blocks; a task compares two parts, block by block.
+BLOCK, PART = 1024, 64 << 20
 #: Pivots at most, the sample that they are chosen from, and bins of the angle to the nearest one.
 PIVOTS, SAMPLE, BINS = 48, 4096, 2048
 STRATEGIES = ("merge", "summarize", "deduplicate")
@@ -44,7 +46,7 @@ def chosen_pivots(own: DataFrame, most: int) -> np.ndarray:
 
 
 def in_cells(embeddings: DataFrame, dim: int, pivots: np.ndarray) -> DataFrame:
-    """(id, vector, cell, bin, angles): unit vectors with their angles to all pivots, the nearest of which is the cell; zero vectors go."""
+    """(id, vector, cell, bin): unit vectors with the nearest pivot, which is the cell, and the angle to it; zero vectors go."""
     own = embeddings.where(F.size("vector") == dim).select("id", F.col("vector").cast("array<double>").alias("vector"))
     id_type = own.schema["id"].dataType.simpleString()
 
@@ -59,14 +61,16 @@ def in_cells(embeddings: DataFrame, dim: int, pivots: np.ndarray) -> DataFrame:
             angles = np.arccos(np.clip(v @ pivots.T, -1.0, 1.0))
             cell = angles.argmin(axis=1)
             bins = np.minimum(BINS - 1, angles[np.arange(len(v)), cell] / np.pi * BINS).astype(np.int32)
-            lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (v, angles)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(ok)), lists[0], pa.array(cell.astype(np.int32)), pa.array(bins), lists[1]], names=["id", "vector", "cell", "bin", "angles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(ok)), pa.array(list(v), pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(bins)], names=["id", "vector", "cell", "bin"])
+
+    return own.mapInArrow(run, f"id {id_type}, vector array<double>, cell int, bin int")
 
-    return own.mapInArrow(run, f"id {id_type}, vector array<double>, cell int, bin int, angles array<double>")
 
+def in_blocks(cells: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(block, lo, hi, ids, vectors): ``cells`` as a row for each block, with the least and largest angles to all pivots.
 
-def in_blocks(cells: DataFrame) -> DataFrame:
-    """``cells`` with ``block``: vectors of a cell at like angles from its pivot, about BLOCK of them; a bin of more is dealt by a hash of the id."""
+    A block has vectors of a cell at like angles from its pivot, about BLOCK of them; a bin of more is dealt by a hash of the id.
+    """
     counts = {(r["cell"], r["bin"]): r["n"] for r in cells.groupBy("cell", "bin").agg(F.count("*").alias("n")).toLocalIterator()}  # pivots times bins at most
     rows, block, held, last = [], -1, BLOCK, None
     for (cell, at), n in sorted(counts.items()):
@@ -75,77 +79,144 @@ def in_blocks(cells: DataFrame) -> DataFrame:
         rows.append((cell, at, block, parts := max(1, -(-n // BLOCK))))
         block, held = block + parts - 1, held + n
     dealt = cells.sparkSession.createDataFrame(rows, "cell int, bin int, first int, parts int")
-    return cells.join(F.broadcast(dealt), ["cell", "bin"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("bin", "first", "parts")
+    own = cells.join(F.broadcast(dealt), ["cell", "bin"]).select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("block"), "id", "vector")
+    id_type = own.schema["id"].dataType.simpleString()
 
+    def pack(rows: pa.Table) -> pa.Table:
+        v = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        angles = np.arccos(np.clip(v @ pivots.T, -1.0, 1.0))
+        ids = rows["id"].combine_chunks()
+        row = {"block": rows["block"].slice(0, 1), "lo": [angles.min(axis=0).tolist()], "hi": [angles.max(axis=0).tolist()]}
+        return pa.table(row | {"ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "vectors": [v.tobytes()]})
+
+    return own.groupBy("block").applyInArrow(pack, f"block int, lo array<double>, hi array<double>, ids array<{id_type}>, vectors binary")
 
-def block_pairs(blocks: DataFrame, pivots: int, threshold: float) -> DataFrame:
-    """(x, y): the pairs of blocks, x <= y, that may hold vectors of cosine ``threshold`` or more.
+
+def met(blocks: DataFrame, threshold: float, columns: Sequence[str] = ()) -> DataFrame:
+    """(x, y, and ``columns`` of either): the pairs of blocks, x <= y, that may hold vectors of cosine ``threshold`` or more.
 
     Angles obey the triangle inequality: if all of one block lies so far from a pivot and all of the other so near that the
-    difference exceeds the angle of the threshold, no pair of theirs is near enough.  Cells are tested first, then blocks of cells that passed.
+    difference exceeds the angle of the threshold, no pair of theirs is near enough.  A task reads a part of the blocks and
+    another part of them, so no block is sent or written for the sake of a pair.
     """
     far = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-7
-    ends = [f(F.col("angles")[i]).alias(f"{n}{i}") for i in range(pivots) for n, f in (("lo", F.min), ("hi", F.max))]
-    held = saved(blocks.groupBy("cell", "block").agg(*ends), "blocks")  # a row for each block
-    pack = lambda n: F.array(*[F.col(f"{n}{i}") for i in range(pivots)]).alias(n)
-    apart = lambda a, b: F.array_max(F.zip_with(f"{a}_lo", f"{b}_hi", lambda x, y: x - y)) > far
+    side = lambda s: blocks.select(F.col("block").alias(s), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    apart = lambda a, b: F.array_max(F.zip_with(f"{a}_lo", f"{b}_hi", lambda p, q: p - q)) > far
+    near = (F.col("x") <= F.col("y")) & ~apart("x", "y") & ~apart("y", "x")
+    return side("x").hint("shuffle_replicate_nl").join(side("y"), near).select("x", "y", *[f"{s}_{c}" for s in "xy" for c in columns])
 
-    def met(rows: DataFrame, key: str, on: DataFrame | None) -> DataFrame:
-        side = lambda s: rows.select(F.col("cell").alias(f"{s}_cell"), F.col(key).alias(f"{s}_key"), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi"))
-        left, right = side("x"), side("y")
-        both = left.join(F.broadcast(on), "x_cell").join(right, "y_cell") if on is not None else left.join(F.broadcast(right), F.col("x_key") <= F.col("y_key"))
-        return both.where("x_key <= y_key").where(~apart("x", "y") & ~apart("y", "x"))
 
-    cells = held.groupBy("cell").agg(*[f(f"{n}{i}").alias(f"{n}{i}") for i in range(pivots) for n, f in (("lo", F.min), ("hi", F.max))]).select("cell", pack("lo"), pack("hi"))
-    # a row for each pivot at most meets as many, none of them a vector
-    near = met(cells, "cell", None).select("x_cell", "y_cell")
-    rows = held.select("cell", "block", pack("lo"), pack("hi"))
-    return met(rows, "block", near).select(F.col("x_key").alias("x"), F.col("y_key").alias("y"))
+def packed_blocks(embeddings: DataFrame) -> DataFrame | None:
+    """The blocks of ``embeddings`` in a few parts of bounded size, as they were written; None if there are no vectors."""
+    spark = embeddings.sparkSession
+    dim, n = commonest_length(embeddings)
+    pivots = chosen_pivots(embeddings.where(F.size("vector") == dim), min(PIVOTS, 1 + int(np.sqrt(n / BLOCK)))) if dim else np.empty((0, 0))
+    if not len(pivots):
+        return None
+    blocks = saved(in_blocks(in_cells(embeddings, dim, pivots), pivots), "blocks")
+    parts = max(-(-n * dim * 8 // PART), min(spark.sparkContext.defaultParallelism, -(-n // BLOCK)))
+    return blocks.coalesce(parts)
+
+
+def alike(batch: pa.RecordBatch, threshold: float) -> Iterator[tuple[int, int, pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each pair of blocks: its numbers and ids, the places of the vectors that are as near as ``threshold``, and their similarities."""
+    for r in range(len(batch)):
+        x, y = batch["x"][r].as_py(), batch["y"][r].as_py()
+        one, other = batch["x_ids"][r].values, batch["y_ids"][r].values
+        left, right = (np.frombuffer(batch[c][r].as_buffer(), np.float64).reshape(len(i), -1) for c, i in (("x_vectors", one), ("y_vectors", other)))
+        s = left @ right.T
+        i, j = np.nonzero(s >= threshold - 1e-9)
+        s = s[i, j]
+        near = s >= threshold
+        yield x, y, one, other, i[near], j[near], s[near]
 
 
 def similar_pairs(embeddings: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of all pairs with cosine at or above ``threshold``; a < b.
 
-    Exact.  Vectors lie in blocks by their angles to a few pivots; pairs of blocks that can't reach the threshold are left out before anything
-    is sent, and each of the others is one bounded group, compared by one matrix product.  Only vectors of
+    Exact.  Vectors lie in blocks by their angles to a few pivots; pairs of blocks that can't reach the threshold are left out, and each
+    of the others is compared by one matrix product.  The work grows with the square of the vectors, what is written doesn't.  Only vectors of
     the commonest length count; zero vectors never match.  ``compared_blocks`` tells how many pairs of blocks are left.
     """
-    return _compared(embeddings, threshold)[0]
+    kind = embeddings.schema["id"].dataType.simpleString()
+    schema = f"a {kind}, b {kind}, similarity double"
+    blocks = packed_blocks(embeddings)
+    if blocks is None:
+        return embeddings.sparkSession.createDataFrame([], schema)
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, one, other, i, j, s in alike(batch, threshold):
+                a, b = one.take(pa.array(i)), other.take(pa.array(j))
+                first = pc.less(a, b)
+                if x == y:
+                    yield pa.RecordBatch.from_arrays([a.filter(first), b.filter(first), pa.array(s).filter(first)], names=["a", "b", "similarity"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pc.if_else(first, a, b), pc.if_else(first, b, a), pa.array(s)], names=["a", "b", "similarity"])
+
+    return met(blocks, threshold, ("ids", "vectors")).mapInArrow(compare, schema)
 
-def compared_blocks(embeddings: DataFrame, threshold: float) -> tuple[int, int]:
-    """How many pairs of blocks are compared, and how many there are."""
-    pairs, blocks = _compared(embeddings, threshold)[1:]
-    n = blocks.select("block").distinct().count() if blocks is not None else 0
-    return (pairs.count() if pairs is not None else 0), n * (n + 1) // 2
 
+def similar_links(embeddings: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): enough links between similar vectors to connect all that ``similar_pairs`` connects.
 
-def _compared(embeddings: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    A task links what its pairs connect to one of each set, so its rows are as many as its vectors at most, not as its pairs.
+    """
     kind = embeddings.schema["id"].dataType.simpleString()
-    schema = f"a {kind}, b {kind}, similarity double"
-    dim, n = commonest_length(embeddings)
-    pivots = chosen_pivots(embeddings.where(F.size("vector") == dim), min(PIVOTS, 1 + int(np.sqrt(n / BLOCK)))) if dim else np.empty((0, 0))
-    if not len(pivots):
-        return embeddings.sparkSession.createDataFrame([], schema), None, None
-    blocks = in_blocks(saved(in_cells(embeddings, dim, pivots), "cells"))
-    pairs = saved(block_pairs(blocks, len(pivots), threshold), "pairs")
-    own = blocks.select("id", "vector", "block")
-    left, right = own.join(pairs, own["block"] == pairs["x"]), own.join(pairs.where("x < y"), own["block"] == pairs["y"])
-    dealt = left.unionByName(right).select("x", "y", "id", "vector", "block")
-
-    def compare(rows: pa.Table) -> pa.Table:
-        v = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-        block, x, y = rows["block"].to_numpy(), rows["x"][0].as_py(), rows["y"][0].as_py()
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        s = v[left] @ v[right].T
-        i, j = np.nonzero(s >= threshold - 1e-9)
-        found = pa.table({"a": rows["id"].take(pa.array(left[i])), "b": rows["id"].take(pa.array(right[j])), "similarity": s[i, j]})
-        first = pc.less(found["a"], found["b"])
-        if x == y:
-            return found.filter(first)
-        return pa.table({"a": pc.if_else(first, found["a"], found["b"]), "b": pc.if_else(first, found["b"], found["a"]), "similarity": found["similarity"]})
+    blocks = packed_blocks(embeddings)
+    if blocks is None:
+        return embeddings.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+        begin: dict[int, int] = {}
+        parent = np.empty(0, np.int64)
+
+        def place(block: int, ids: pa.Array) -> int:
+            nonlocal parent
+            if block not in begin:
+                begin[block] = len(parent)
+                parent = np.append(parent, np.arange(len(parent), len(parent) + len(ids)))
+                held.append(pa.concat_arrays([ids]))
+            return begin[block]
+
+        def root(at: np.ndarray) -> np.ndarray:
+            while len(at) and (parent[at] != at).any():
+                at = parent[at]
+            return at
+
+        for batch in batches:
+            for x, y, one, other, i, j, _ in alike(batch, threshold):
+                a, b = place(x, one) + i, place(y, other) + j
+                while True:
+                    a, b = root(a), root(b)
+                    open_ = a != b
+                    if not open_.any():
+                        break
+                    a, b = np.minimum(a, b)[open_], np.maximum(a, b)[open_]
+                    parent[b] = a  # of several the last; the others are open still
+                if len(i):
+                    parent[:] = parent[parent]
+        if not held:
+            return
+        top = root(np.arange(len(parent)))
+        moved = np.flatnonzero(top != np.arange(len(parent)))
+        ids = pa.concat_arrays(held)
+        for at in np.array_split(moved, 1 + len(moved) // 100_000):
+            a, b = ids.take(pa.array(at)), ids.take(pa.array(top[at]))
+            other = pc.not_equal(a, b)
+            yield pa.RecordBatch.from_arrays([a.filter(other), b.filter(other)], names=["a", "b"])
+
+    return met(blocks, threshold, ("ids", "vectors")).mapInArrow(link, f"a {kind}, b {kind}")
 
-    return dealt.groupBy("x", "y").applyInArrow(compare, schema).where(F.col("similarity") >= threshold), pairs, blocks
+
+def compared_blocks(embeddings: DataFrame, threshold: float) -> tuple[int, int]:
+    """How many pairs of blocks are compared, and how many there are."""
+    blocks = packed_blocks(embeddings)
+    if blocks is None:
+        return 0, 0
+    n = blocks.count()
+    return met(blocks, threshold).count(), n * (n + 1) // 2
 
 
 def connected(edges: DataFrame, checkpoint: str) -> DataFrame:

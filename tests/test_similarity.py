@@ -75,6 +75,26 @@ def test_pruned_pairs_like_all_pairs(spark, monkeypatch, kind):
     assert cluster.similar_pairs(df.limit(0), 0.9).count() == 0 and cluster.compared_blocks(df.limit(0), 0.9) == (0, 0)
 
 
+def test_no_vector_is_sent_for_a_pair(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(rng.normal(size=(60, 6)))], "id long, vector array<double>")
+    plan = cluster.similar_pairs(df, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_links_connect_what_pairs_connect(spark, monkeypatch, tmp_path, kind):
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(6, 12))
+    v = np.concatenate([centres[rng.integers(0, 6, 200)] + 0.2 * rng.normal(size=(200, 12)), rng.normal(size=(60, 12))])
+    df = spark.createDataFrame([(i if kind == "long" else f"v{i:03}", [float(x) for x in row]) for i, row in enumerate(v)], f"id {kind}, vector array<double>")
+    pairs, links = cluster.similar_pairs(df, 0.9), cluster.similar_links(df, 0.9)
+    of = lambda edges, name: {tuple(r) for r in cluster.connected(edges, str(tmp_path / name)).collect()}
+    assert of(links, "links") == of(pairs, "pairs")
+    assert links.count() < 0.5 * pairs.count()
+
+
 @pytest.mark.parametrize("kind", [int, str])
 def test_consolidation_of_any_id(spark, kind):
     name = (lambda i: i) if kind is int else (lambda i: f"u-{i}")
