@@ -456,7 +456,7 @@ def near_dup_pairs(spark, sf_dir):
 @query("""SELECT id, cluster FROM (WITH RECURSIVE p AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.id <> b.id WHERE list_cosine_similarity(a.vector, b.vector) >= 0.42),
  r(id, root) AS (SELECT DISTINCT a, a FROM p UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id) SELECT id, min(root) AS cluster FROM r GROUP BY id) x""")
 def near_dup_clusters(spark, sf_dir):
-    return cluster.connected(cluster.similar_pairs(views.embeddings(spark, sf_dir), 0.42), new_path(spark, "clusters"))
+    return cluster.connected(cluster.similar_links(views.embeddings(spark, sf_dir), 0.42), new_path(spark, "clusters"))
 
 
 _TOKENS = r"""list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 3))"""
