@@ -894,7 +894,7 @@ _CHANGED = """
  UNION ALL SELECT 'all', id, bm25 FROM best""")
 def index_upkeep(spark, sf_dir):
     """The index after updates and deletions in two further segments, and after compaction, gives the scores of the changed corpus."""
-    df = saved(memories(spark, sf_dir).select("id", "title", "content"), "memories")
+    df = views.texts(spark, sf_dir).select("id", "title", "content")
     path = new_path(spark, "postings")
     postings.write(df, path)
     old, gone = df.where("id % 10 = 3"), df.where("id % 10 = 4")
