@@ -738,15 +738,16 @@ def _questions(spark, sf_dir):
     """The benchmark passages as questions, and the documents that hold one whole; passages of fewer than five words have none.
 
     Documents and passages meet on runs of three words: the second to fourth word of a passage stand whole in
-    every text that holds it.  Texts are fetched for the documents that share one.
+    every text that holds it.  A text is looked through where it is read, and goes on only with the runs that it shares.
     """
     given = views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("query"), tx.words(F.col("text")).alias("w"))
     run = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
-    starts = given.where("size(w) >= 5").select("question", run(F.col("w"), F.lit(2)).alias("run"))
+    starts = given.where("size(w) >= 5").select("question", "query", run(F.col("w"), F.lit(2)).alias("run"))
     docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    words = docs.select("id", tx.words(F.col("text")).alias("w")).where("size(w) >= 3")
-    runs = words.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: run(F.col("w"), i)))).alias("run"))
-    met = runs.join(starts, "run").select("question", "id").distinct().join(docs, "id").join(given, "question")
+    words = docs.select("id", "text", tx.words(F.col("text")).alias("w")).where("size(w) >= 3")
+    every = starts.agg(F.collect_set("run").alias("runs"))  # a number for each question
+    runs = words.crossJoin(F.broadcast(every)).select("id", "text", F.explode(F.array_intersect(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: run(F.col("w"), i)), "runs")).alias("run"))
+    met = runs.join(F.broadcast(starts) if starts.count() <= S.BROADCAST_ROWS else starts, "run")
     return given.select("question", "query"), met.where(F.col("text").contains(F.col("query"))).select("question", "id").distinct()
 
 
@@ -798,7 +799,7 @@ def benchmark_hybrid(spark, sf_dir):
     vectors = views.embeddings(spark, sf_dir)
     spaces = F.when(F.col("question") % 2 == 1, F.array(*[F.lit(f"src{i}") for i in (0, 1, 2, 3, 5, 8)])).otherwise(F.array().cast("array<string>"))
     asked = questions.join(vectors.withColumnRenamed("id", "question"), "question", "left").withColumn("namespaces", spaces).withColumn("kind", F.substring(F.lit("abc"), (F.col("question") % 3 + 1).cast("int"), F.lit(1)))
-    found = benchmark.ranking(df, filters.select_memories(df), asked, vectors, now(), 10, S.WEIGHTS, FLOOR)
+    found = benchmark.ranking(views.texts(spark, sf_dir), filters.select_memories(df), asked, vectors, now(), 10, S.WEIGHTS, FLOOR)
     means = benchmark.by_kind(found, relevant, asked)
     return means.select("kind", "questions", *[F.round(c, 6).alias(c) for c in means.columns if c not in ("kind", "questions")])
 

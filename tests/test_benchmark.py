@@ -96,3 +96,25 @@ def test_access_state_expires_and_survives_a_restart(spark, tmp_path):
         assert sorted(map(tuple, access.latest_counts(spark, path).collect())) == sorted(map(tuple, want.collect()))
     left = {r["memory_id"]: r["n"] for r in access.latest_counts(spark, path).collect()}
     assert 5 not in left and 0 < left[6] < sum(m == 6 for m, _ in rows)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pools_are_the_best_of_each_question_without_sending_words(spark, kind):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i if kind == "long" else f"m{i:03}", "abc"[i % 3], "t", " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(240)]
+    rows += [(500 + i if kind == "long" else f"x{i}", "a", "t", "w1 w2 w3") for i in range(30)]  # ties
+    df = spark.createDataFrame(rows, f"id {kind}, namespace string, title string, content string")
+    kept = df.where("content <> 'w1 w2 w3' OR namespace = 'a'").where("namespace <> 'c'")
+    questions = spark.createDataFrame([(1, "w1 w2 w2 w9", []), (2, "w3 w1", ["a"]), (3, "nothing there", []), (4, "", None), (5, "w7", ["b", "c"])], "question long, query string, namespaces array<string>")
+    spaces = {r["question"]: set(r["namespaces"] or "abc") for r in questions.collect()}
+    where, scored = {r["id"]: r["namespace"] for r in kept.collect()}, {}
+    for r in search.batch_scores(df, questions).collect():
+        if where.get(r["id"]) in spaces[r["question"]]:
+            scored.setdefault(r["question"], []).append((-r["bm25"], r["id"]))
+    pools = benchmark.keyword_pools(df, kept, questions, 8)
+    got = {}
+    for r in pools.orderBy("question", "br").collect():
+        got.setdefault(r["question"], []).append(r["id"])
+    assert got == {q: [i for _, i in sorted(x)[:8]] for q, x in scored.items()} and set(got) == {1, 2, 5}
+    assert "Generate" not in pools._jdf.queryExecution().optimizedPlan().toString()
