@@ -492,7 +492,7 @@ SELECT 'link' AS kind, a, b, round(o / (na + nb - o), 6) AS similarity FROM ov W
 UNION ALL SELECT 'member', class, id, 1.0 FROM cl""")
 def jaccard_join(spark, sf_dir):
     """All memories of similar sets of words: links between classes of equal sets, and each memory's class (a: class, b: memory)."""
-    links, classes = setjoin.jaccard_links(memories(spark, sf_dir), 0.8)
+    links, classes = setjoin.jaccard_links(views.texts(spark, sf_dir), 0.8)
     return links.select(F.lit("link").alias("kind"), "a", "b", F.round("similarity", 6).alias("similarity")).union(classes.select(F.lit("member"), "class", "id", F.lit(1.0)))
 
 

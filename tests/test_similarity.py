@@ -46,6 +46,20 @@ def test_copies_do_not_meet(spark):
     assert setjoin.jaccard_links(df.limit(0), 0.8)[0].count() == 0
 
 
+def test_pairs_that_share_rare_words_alone_are_not_verified(spark, monkeypatch):
+    rng = random.Random(9)
+    common = [f"common{i}" for i in range(400)]
+    rows = [(i, "", " ".join([f"rare{i // 2}x{j}" for j in range(6)] + rng.sample(common, 60))) for i in range(120)]
+    rows += [(1000 + i, "", rows[i][2] + " more") for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, title string, content string")
+    seen, verified = [], setjoin.verified_in_parts
+    monkeypatch.setattr(setjoin, "verified_in_parts", lambda pairs, sets: (seen.append(pairs.count()), verified(pairs, sets))[1])
+    monkeypatch.setattr(setjoin, "PART", 2_000)
+    links, classes = setjoin.jaccard_links(df, 0.8)
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(i, 1000 + i) for i in range(10)} and classes.count() == 130
+    assert seen == [10]
+
+
 def test_pair_similarity_has_one_measure(spark):
     df = spark.createDataFrame([(1, "aaa bbb", ""), (2, "bbb ccc", None), (3, "", "")], "id long, title string, content string")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 3)], "a long, b long")
