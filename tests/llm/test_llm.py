@@ -503,3 +503,12 @@ def test_pipeline(spark, sf):
     t = library()
     for r in kinds[4][1].join(kinds[3][1].select("doc_id", "text").distinct(), "doc_id").limit(40).collect():
         assert list(r["ids"]) == t.encode(r["text"], add_special_tokens=False).ids
+
+
+def test_ann_brings_no_vectors_to_the_driver(spark, monkeypatch):
+    rng = random.Random(13)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(40)]) for i in range(200)], "vec_id long, embedding array<double>")
+    seen, given = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: (seen.append(given(self)), seen[-1])[1])
+    assert ann.nearest(df, F.col("vec_id") % 20 == 0, 3).count() == 30
+    assert seen and all(t.column_names == ["p"] and len(t["p"][0]) == ann.PROJECTIONS for t in seen)
